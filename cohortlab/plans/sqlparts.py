@@ -89,3 +89,20 @@ def panel_ctes() -> list[tuple[str, str]]:
         f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), {f}__default_fill) AS {f}" for f in LAB_FEATURES)
     ctes += [("panel", f"SELECT id, record_date, sex, age, {locf} FROM zc, sw")]
     return ctes
+
+
+PARSE_SQL = r"""
+SELECT id, response, think,
+       CASE WHEN think IS NULL OR answer IS NULL THEN NULL ELSE COALESCE(TRY_CAST(answer AS DOUBLE), -1.0) END AS pred,
+       CASE WHEN think IS NULL OR answer IS NULL THEN 'failed' ELSE 'ok' END AS status
+FROM (SELECT id, response,
+             CASE WHEN NOT json_valid(body) THEN NULL
+                  WHEN starts_with(body, '[') THEN json_extract_string(body, '$[#-1].think')
+                  ELSE json_extract_string(body, '$.think') END AS think,
+             CASE WHEN NOT json_valid(body) THEN NULL
+                  WHEN starts_with(body, '[') THEN json_extract_string(body, '$[#-1].answer')
+                  ELSE json_extract_string(body, '$.answer') END AS answer
+      FROM (SELECT id, response,
+                   CASE WHEN contains(response, '```') THEN regexp_extract(response, '(?s)```(?:json)?\s*(.*?)\s*```', 1)
+                        ELSE trim(response) END AS body
+            FROM f_responses))"""
