@@ -79,3 +79,31 @@ def common_prefix_len(a, b) -> Column:
         ),
     )
     return folded["len"]
+
+
+def py_float_text(c) -> Column:
+    """Shortest round-trip text of a double, written the way Python's ``str`` does.
+
+    Spark's cast gives the same digits but switches to ``1.0E-4`` style outside
+    [1e-3, 1e7); this rewrites those cases to Python's layout ('0.0001',
+    '10000000.0', '1e-05', '1e+16').
+    """
+    c = col(c).cast("double")
+    s = c.cast("string")
+    mant = F.substring_index(s, "E", 1)
+    exp = F.substring_index(s, "E", -1).cast("int")
+    neg = mant.startswith("-")
+    m = F.regexp_replace(mant, "^-", "")
+    digits = F.regexp_replace(F.regexp_replace(m, r"\.", ""), "0+$", "")
+    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
+    nd = F.length(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+    big = F.when(nd <= exp + 1, F.concat(digits, F.repeat(F.lit("0"), exp + 1 - nd), F.lit(".0"))) \
+           .otherwise(F.concat(F.substring(digits, 1, exp + 1), F.lit("."), F.substring(digits, exp + 2, 1 << 20)))
+    sci_m = F.when(nd == 1, digits).otherwise(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 1 << 20)))
+    sci = F.concat(sci_m, F.lit("e"), F.format_string("%+03d", exp))
+    body = F.when((exp >= -4) & (exp <= -1), small).when((exp >= 7) & (exp <= 15), big).otherwise(sci)
+    body = F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")), body)
+    return (F.when(c.isNull(), F.lit(None)).when(F.isnan(c), F.lit("nan"))
+             .when(c == float("inf"), F.lit("inf")).when(c == float("-inf"), F.lit("-inf"))
+             .when(s.contains("E"), body).otherwise(s))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlab.functions.exprs import py_float_text
 from cohortlab.functions.templates import DEFAULT_BINARY_PRED, NOTE_HEADER, TASK_PREFIX
 
 RESPONSE_SCHEMA = T.StructType([T.StructField("think", T.StringType()), T.StructField("answer", T.StringType())])
@@ -43,7 +44,7 @@ def patient_visits(visits: DataFrame, id_col: str, time_col: str, cols: list[str
 
 def _values(visits: Column, feature: str, unit: str | None = None) -> Column:
     def one(v):
-        t = F.coalesce(F.format_string("%.2f", v[feature]), F.lit("NaN"))
+        t = F.when(v[feature].isNull(), F.lit("NaN")).otherwise(py_float_text(v[feature]))
         return F.concat(t, F.lit(" " + unit)) if unit else t
     return F.transform(visits, one)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from cohortlab.plans import q_core  # noqa: F401
 from cohortlab.plans.registry import REGISTRY
 
-for _mod in ("q_eval", "q_text", "q_vectors", "q_ml", "q_io"):
+for _mod in ("q_eval", "q_text", "q_vectors", "q_ml", "q_io", "q_stream"):
     try:
         __import__(f"cohortlab.plans.{_mod}")
     except ModuleNotFoundError as exc:  # module not written yet
