@@ -3,10 +3,8 @@
 Every metric takes ``run_cols`` (the experiment key), so one query scores the
 whole grid. Threshold tests are strict (> 0.5); division by zero gives 0.
 
-Curve metrics (AUROC, AP, minPSE) share one cumulative table. It is built
-without a run-wide sort: scores are pre-aggregated to distinct values, cut
-into equal-width score buckets, bucket totals give each bucket's offset, and
-only rows inside a bucket are ranked.
+Curve metrics (AUROC, AP, minPSE) share one cumulative table, built from the
+distinct scores of each run with ``ordered_cumsum`` (no run-wide sort).
 """
 
 from __future__ import annotations
@@ -17,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.exprs import safe_div
+from cohortlab.functions.ordered import ordered_cumsum
 
 CURVE_BUCKETS = 4096
 LOG_CLAMP = -100.0
@@ -51,24 +50,13 @@ def pr_curve(df: DataFrame, run_cols: list[str], score: str = "pred", label: str
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     y = F.col(label).cast("double")
-    agg = df.groupBy(*run_cols, F.col(score).cast("double").alias("threshold")).agg(
+    agg = df.where(F.col(score).isNotNull()).groupBy(*run_cols, F.col(score).cast("double").alias("threshold")).agg(
         F.sum(w * y).alias("pos"), F.sum(w * (1 - y)).alias("neg"))
-    rng = agg.groupBy(*run_cols).agg(F.min("threshold").alias("_lo"), F.max("threshold").alias("_hi"),
-                                     F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    a = agg.join(rng, run_cols) if run_cols else agg.crossJoin(rng)
-    a = a.withColumn("_bk", F.when(F.col("_hi") > F.col("_lo"), F.least(
-        F.floor((F.col("threshold") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets),
-        F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"))
-    bt = a.groupBy(*run_cols, "_bk").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    wb = Window.partitionBy(*run_cols).orderBy(F.col("_bk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select(*run_cols, "_bk", F.coalesce(F.sum("_bp").over(wb), F.lit(0.0)).alias("_tp0"),
-                   F.coalesce(F.sum("_bn").over(wb), F.lit(0.0)).alias("_fp0"))
-    a = a.join(bt, run_cols + ["_bk"])
-    wi = Window.partitionBy(*run_cols, "_bk").orderBy(F.col("threshold").desc()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    a = (a.withColumn("tp", F.col("_tp0") + F.sum("pos").over(wi))
-          .withColumn("fp", F.col("_fp0") + F.sum("neg").over(wi)))
-    return a.select(*run_cols, "threshold", "pos", "neg", "tp", "fp", "P", "N",
+    tot = agg.groupBy(*run_cols).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    c = ordered_cumsum(agg, run_cols, "threshold", ["pos", "neg"], descending=True, buckets=buckets)
+    c = c.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp")
+    c = c.join(tot, run_cols) if run_cols else c.crossJoin(tot)
+    return c.select(*run_cols, "threshold", "pos", "neg", "tp", "fp", "P", "N",
                     safe_div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
                     safe_div(F.col("tp"), F.col("P")).alias("recall"))
 
