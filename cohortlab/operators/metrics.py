@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.exprs import safe_div
 from cohortlab.functions.ordered import ordered_cumsum
+from cohortlab.session import materialize
 
 CURVE_BUCKETS = 4096
 LOG_CLAMP = -100.0
@@ -41,17 +42,20 @@ def confusion_metrics(df: DataFrame, run_cols: list[str], score: str = "pred", l
         safe_div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-def pr_curve(df: DataFrame, run_cols: list[str], score: str = "pred", label: str = "label",
-             weight: str | None = None, buckets: int = CURVE_BUCKETS) -> DataFrame:
-    """Op 74: per run and distinct score (descending), cumulative tp/fp,
-    precision and recall at threshold ``score >= s``.
+def score_table(df: DataFrame, run_cols: list[str], score: str = "pred", label: str = "label",
+                weight: str | None = None) -> DataFrame:
+    """(run, threshold, pos, neg): weighted label counts per distinct score.
 
-    Output: run_cols, threshold, pos, neg, tp, fp, P, N, precision, recall.
-    """
+    Every binary metric is a function of this table, which is as small as the
+    number of distinct scores per run and is built with map-side partial
+    aggregation."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     y = F.col(label).cast("double")
-    agg = df.where(F.col(score).isNotNull()).groupBy(*run_cols, F.col(score).cast("double").alias("threshold")).agg(
+    return df.where(F.col(score).isNotNull()).groupBy(*run_cols, F.col(score).cast("double").alias("threshold")).agg(
         F.sum(w * y).alias("pos"), F.sum(w * (1 - y)).alias("neg"))
+
+
+def curve_from_table(agg: DataFrame, run_cols: list[str], buckets: int = CURVE_BUCKETS) -> DataFrame:
     tot = agg.groupBy(*run_cols).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     c = ordered_cumsum(agg, run_cols, "threshold", ["pos", "neg"], descending=True, buckets=buckets)
     c = c.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp")
@@ -61,6 +65,33 @@ def pr_curve(df: DataFrame, run_cols: list[str], score: str = "pred", label: str
                     safe_div(F.col("tp"), F.col("P")).alias("recall"))
 
 
+def pr_curve(df: DataFrame, run_cols: list[str], score: str = "pred", label: str = "label",
+             weight: str | None = None, buckets: int = CURVE_BUCKETS) -> DataFrame:
+    """Op 74: per run and distinct score (descending), cumulative tp/fp,
+    precision and recall at threshold ``score >= s``.
+
+    Output: run_cols, threshold, pos, neg, tp, fp, P, N, precision, recall.
+    """
+    return curve_from_table(score_table(df, run_cols, score, label, weight), run_cols, buckets)
+
+
+def confusion_from_table(agg: DataFrame, run_cols: list[str], threshold: float = 0.5) -> DataFrame:
+    p = F.col("threshold") > threshold
+    s = agg.groupBy(*run_cols).agg(
+        F.sum(F.col("pos") + F.col("neg")).alias("_all"),
+        F.sum(F.when(p, F.col("pos")).otherwise(0.0)).alias("_tp"),
+        F.sum(F.when(p, F.col("neg")).otherwise(0.0)).alias("_fp"),
+        F.sum(F.when(~p, F.col("pos")).otherwise(0.0)).alias("_fn"),
+        F.sum(F.when(~p, F.col("neg")).otherwise(0.0)).alias("_tn"))
+    tp, fp, fn, tn = (F.col(c) for c in ("_tp", "_fp", "_fn", "_tn"))
+    return s.select(
+        *run_cols,
+        safe_div(tp + tn, F.col("_all")).alias("accuracy"),
+        safe_div(tp, tp + fp).alias("precision"),
+        safe_div(tp, tp + fn).alias("recall"),
+        safe_div(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
 def curve_metrics(curve: DataFrame, run_cols: list[str]) -> DataFrame:
     """Ops 71-73 from the shared curve: exact AUROC (ties count 1/2), average
     precision (step sum, no interpolation) and minPSE = max min(precision, recall)."""
@@ -72,10 +103,12 @@ def curve_metrics(curve: DataFrame, run_cols: list[str]) -> DataFrame:
 
 
 def binary_metrics(df: DataFrame, run_cols: list[str], score: str = "pred", label: str = "label",
-                   weight: str | None = None) -> DataFrame:
-    """auroc, auprc, minpse, f1, accuracy, precision, recall per run."""
-    c = curve_metrics(pr_curve(df, run_cols, score, label, weight), run_cols)
-    m = confusion_metrics(df, run_cols, score, label, weight=weight)
+                   weight: str | None = None, table: DataFrame | None = None) -> DataFrame:
+    """auroc, auprc, minpse, f1, accuracy, precision, recall per run, all from
+    one score table (pass ``table`` to reuse a materialised one)."""
+    t = table if table is not None else score_table(df, run_cols, score, label, weight)
+    c = curve_metrics(curve_from_table(t, run_cols), run_cols)
+    m = confusion_from_table(t, run_cols)
     return c.join(m, run_cols) if run_cols else c.crossJoin(m)
 
 
@@ -165,11 +198,20 @@ def bootstrap_ci(df: DataFrame, run_cols: list[str], id_col: str = "id", score:
                  label: str = "label", resamples: int = 100, seed: int = 42,
                  metrics: tuple[str, ...] = ("auroc", "auprc", "accuracy", "f1")) -> DataFrame:
     """Op 78: per run and metric: point estimate, bootstrap mean, population std
-    and the 2.5 / 97.5 linear percentiles. Single-class resamples are skipped."""
-    bw = bootstrap_weights(df.select(*run_cols, id_col, score, label), id_col, resamples, seed)
-    per = binary_metrics(bw, run_cols + ["b"], score, label, weight="w")
-    cls = bw.groupBy(*run_cols, "b").agg(F.sum(F.col("w") * F.col(label)).alias("_p"),
-                                         F.sum(F.col("w") * (1 - F.col(label))).alias("_n"))
+    and the 2.5 / 97.5 linear percentiles. Single-class resamples are skipped.
+
+    The B-fold expansion is aggregated straight into the (run, b, score) table
+    (map-side combine), which is written once to the shared checkpoint folder;
+    every per-resample metric is computed from that small table.
+    """
+    base = df.select(*run_cols, id_col, score, label)
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if base.rdd.getNumPartitions() < par:  # spread the B-fold expansion over all cores
+        base = base.repartition(par, id_col)
+    bw = bootstrap_weights(base, id_col, resamples, seed)
+    table = materialize(score_table(bw, run_cols + ["b"], score, label, weight="w"))
+    per = binary_metrics(None, run_cols + ["b"], table=table)
+    cls = table.groupBy(*run_cols, "b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     per = per.join(cls.where((F.col("_p") > 0) & (F.col("_n") > 0)), run_cols + ["b"], "left_semi")
     point = binary_metrics(df, run_cols, score, label)
     arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])

@@ -55,14 +55,16 @@ def panel_split_ctes() -> list[tuple[str, str]]:
 
 def trimmed_stats_ctes(src: str, features: list[str], out: str = "st") -> list[tuple[str, str]]:
     lng = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM {src}" for f in features)
+    names = ", ".join(f"('{f}')" for f in features)
     keep = "value > lo AND value < hi"
     return [
         (f"{out}_l", lng),
-        (f"{out}_q", f"SELECT feature, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi "
-                     f"FROM {out}_l GROUP BY feature"),
-        (f"{out}_0", f"SELECT l.feature, AVG(value) FILTER (WHERE {keep}) AS mean, "
+        (f"{out}_f", f"SELECT * FROM (VALUES {names}) t(feature)"),
+        (f"{out}_q", f"SELECT f.feature, quantile_cont(l.value, 0.05) AS lo, quantile_cont(l.value, 0.95) AS hi "
+                     f"FROM {out}_f f LEFT JOIN {out}_l l ON l.feature = f.feature GROUP BY f.feature"),
+        (f"{out}_0", f"SELECT q.feature, AVG(value) FILTER (WHERE {keep}) AS mean, "
                      f"STDDEV_SAMP(value) FILTER (WHERE {keep}) AS std, MEDIAN(value) FILTER (WHERE {keep}) AS median "
-                     f"FROM {out}_l l JOIN {out}_q q ON l.feature = q.feature GROUP BY l.feature"),
+                     f"FROM {out}_q q LEFT JOIN {out}_l l ON l.feature = q.feature GROUP BY q.feature"),
         (out, f"SELECT feature, COALESCE(mean, 0) AS mean, COALESCE(std, 0) AS std, COALESCE(median, 0) AS median, "
               f"(COALESCE(median, 0) - COALESCE(mean, 0)) / (COALESCE(std, 0) + 1e-12) AS default_fill FROM {out}_0"),
     ]

@@ -33,7 +33,9 @@ def _cell(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "null"
-        return f"{round(v, 6):.6f}"
+        v = round(v, 6)
+        # 6 decimals, and at most 12 significant digits (huge values differ in the last ulp)
+        return f"{v:.6f}" if abs(v) < 1e6 else f"{v:.12g}"
     if hasattr(v, "item"):
         return _cell(v.item())
     return str(v)
