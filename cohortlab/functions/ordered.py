@@ -51,3 +51,51 @@ def dense_rank(df: DataFrame, group_cols: list[str], value_col: str, out: str =
     c = ordered_cumsum(d, group_cols, value_col, ["_one"])
     c = c.select(*group_cols, value_col, (F.col("_one_cum") - 1).cast("long").alias(out))
     return df.join(c, group_cols + [value_col])
+
+
+def exact_quantiles(df: DataFrame, key_cols: list[str], value_col: str, probs: list[float],
+                    accuracy: int = 10000, prefix: str = "q") -> DataFrame:
+    """Exact linear-interpolated quantiles per key (numpy / ``quantile_cont`` rule),
+    without holding a group's values in one map.
+
+    1. One aggregate pass: count, min, max and approximate quantiles at p -/+ 5/accuracy,
+       which bracket the exact order statistics (rank error <= n / accuracy).
+    2. One pass counts the values below each bracket and collects the distinct values
+       inside it (about 10 n / accuracy of them) with their multiplicities.
+    3. A running count over the bracket's distinct values picks the two order
+       statistics around (n - 1) p, which are interpolated.
+
+    Output: key_cols, ``{prefix}{i}`` per probability (null for an empty group).
+    """
+    delta = 5.0 / accuracy
+    v = df.select(*key_cols, F.col(value_col).cast("double").alias("_v")).where(
+        F.col("_v").isNotNull() & ~F.isnan("_v"))
+    lo_p = [max(0.0, p - delta) for p in probs]
+    hi_p = [min(1.0, p + delta) for p in probs]
+    br = v.groupBy(*key_cols).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", lo_p, accuracy).alias("_alo"),
+        F.percentile_approx("_v", hi_p, accuracy).alias("_ahi"))
+    pr = br.select(*key_cols, "_n", "_min", "_max", "_alo", "_ahi",
+                   F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
+    blo = F.when(F.col("_p") - delta <= 0, F.col("_min")).otherwise(F.element_at("_alo", F.col("_i") + 1))
+    bhi = F.when(F.col("_p") + delta >= 1, F.col("_max")).otherwise(F.element_at("_ahi", F.col("_i") + 1))
+    h = (F.col("_n") - 1) * F.col("_p")
+    pr = pr.select(*key_cols, "_i", blo.alias("_blo"), bhi.alias("_bhi"), F.floor(h).cast("long").alias("_rf"),
+                   F.ceil(h).cast("long").alias("_rc"), (h - F.floor(h)).alias("_fr"))
+    j = v.join(F.broadcast(pr), key_cols) if key_cols else v.crossJoin(F.broadcast(pr))
+    below = j.groupBy(*key_cols, "_i").agg(F.sum((F.col("_v") < F.col("_blo")).cast("long")).alias("_below"))
+    cand = (j.where((F.col("_v") >= F.col("_blo")) & (F.col("_v") <= F.col("_bhi")))
+             .groupBy(*key_cols, "_i", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    w = Window.partitionBy(*key_cols, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cand = cand.withColumn("_cum", F.sum("_c").over(w))
+    cand = cand.join(below, key_cols + ["_i"]).join(pr.select(*key_cols, "_i", "_rf", "_rc", "_fr"), key_cols + ["_i"])
+    at = cand.groupBy(*key_cols, "_i").agg(
+        F.min(F.when(F.col("_below") + F.col("_cum") > F.col("_rf"), F.col("_v"))).alias("_vf"),
+        F.min(F.when(F.col("_below") + F.col("_cum") > F.col("_rc"), F.col("_v"))).alias("_vc"),
+        F.first("_fr").alias("_fr"))
+    q = at.select(*key_cols, "_i", (F.col("_vf") + F.col("_fr") * (F.col("_vc") - F.col("_vf"))).alias("_q"))
+    wide = q.groupBy(*key_cols).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{prefix}{i}")
+                                      for i in range(len(probs))])
+    keys = br.select(*key_cols)
+    return keys.join(wide, key_cols, "left") if key_cols else wide

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.exprs import EPS_STD, nan_to_null, safe_div
+from cohortlab.functions.ordered import exact_quantiles
+from cohortlab.session import materialize
 
 OUTLIER_LIMIT = 1e4  # |z| above this is replaced by 0
 MISSING_STATS_FILL = -1.0  # default fill of a feature that has no statistics
@@ -59,22 +61,31 @@ def trimmed_stats(train: DataFrame, features: list[str], lo: float = 0.05, hi: f
     cells strictly inside are kept (cell-wise, not a row filter); mean, sample
     std and median of the kept cells; missing statistic -> 0;
     fill = (median - mean) / (std + 1e-12).
+
+    Cells are unpivoted to (feature, value) so each feature is spread over
+    many tasks; quantiles are exact without a per-feature value map
+    (``exact_quantiles``). The one-row result is written to the shared
+    checkpoint folder, since every split reuses it.
     """
-    cells = train.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in features])
-    q = cells.agg(*[F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(f"{c}__q") for c in features])
-    j = cells.crossJoin(F.broadcast(q))  # q is exactly one row
-    aggs = []
-    for c in features:
-        kept = F.when((F.col(c) > F.col(f"{c}__q")[0]) & (F.col(c) < F.col(f"{c}__q")[1]), F.col(c))
-        aggs += [F.avg(kept).alias(f"{c}__mean"), F.stddev_samp(kept).alias(f"{c}__std"),
-                 F.median(kept).alias(f"{c}__median")]
-    s = j.agg(*aggs)
+    cells = train.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), nan_to_null(F.col(c).cast("double")).alias("value")) for c in features
+    ]))).where(F.col("value").isNotNull())
+    cells = materialize(cells)  # read several times below; written once instead of recomputed
+    names = train.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in features])).alias("feature"))
+    q = exact_quantiles(cells, ["feature"], "value", [lo, hi])
+    kept = cells.join(F.broadcast(q), "feature").where((F.col("value") > F.col("q0")) & (F.col("value") < F.col("q1")))
+    mom = kept.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    med = exact_quantiles(kept.select("feature", "value"), ["feature"], "value", [0.5]).withColumnRenamed("q0", "median")
+    st = names.join(mom, "feature", "left").join(med, "feature", "left")
+    m, sd, md = (F.coalesce(nan_to_null(F.col(k)), F.lit(0.0)) for k in ("mean", "std", "median"))
+    st = st.select("feature", m.alias("mean"), sd.alias("std"), md.alias("median"))
     cols = []
     for c in features:
-        m, sd, md = (F.coalesce(nan_to_null(F.col(f"{c}__{k}")), F.lit(0.0)) for k in ("mean", "std", "median"))
-        cols += [m.alias(f"{c}__mean"), sd.alias(f"{c}__std"), md.alias(f"{c}__median"),
-                 ((md - m) / (sd + F.lit(EPS_STD))).alias(f"{c}__fill")]
-    return s.select(*cols)
+        pick = F.col("feature") == c
+        cols += [F.max(F.when(pick, F.col(k))).alias(f"{c}__{k}") for k in ("mean", "std", "median")]
+        cols.append(F.max(F.when(pick, (F.col("median") - F.col("mean")) / (F.col("std") + F.lit(EPS_STD))))
+                    .alias(f"{c}__fill"))
+    return materialize(st.agg(*cols))
 
 
 def stats_long(stats: DataFrame, features: list[str]) -> DataFrame:
@@ -126,13 +137,11 @@ def los_info(train: DataFrame, id_col: str, los_col: str = "los") -> DataFrame:
     st = trimmed_stats(train, [los_col]).select(
         F.col(f"{los_col}__mean").alias("los_mean"), F.col(f"{los_col}__std").alias("los_std"),
         F.col(f"{los_col}__median").alias("los_median"))
-    per = train.groupBy(id_col).agg(F.max(F.col(los_col).cast("double")).alias("m"))
-    q = per.agg(F.percentile("m", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    per = materialize(train.groupBy(id_col).agg(F.max(F.col(los_col).cast("double")).alias("m")))
+    q = exact_quantiles(per, [], "m", [0.05, 0.95])
     th = (per.crossJoin(F.broadcast(q))
-             .agg(F.first(F.col("q")[1]).alias("large_los"),
-                  (F.avg(F.when((F.col("m") >= F.col("q")[0]) & (F.col("m") <= F.col("q")[1]), F.col("m")))
-                   * 0.5).alias("threshold")))
-    return st.crossJoin(th)
+             .agg(F.avg(F.when((F.col("m") >= F.col("q0")) & (F.col("m") <= F.col("q1")), F.col("m"))).alias("_t")))
+    return st.crossJoin(q.select(F.col("q1").alias("large_los"))).crossJoin(th.select((F.col("_t") * 0.5).alias("threshold")))
 
 
 def reverse_los(df: DataFrame, info: DataFrame, col: str, out: str) -> DataFrame:

@@ -6,25 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.exprs import nan_to_null
+from cohortlab.functions.ordered import exact_quantiles
+from cohortlab.session import materialize
 
 
 def profile_describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Op 9: count / mean / std / min / exact quartiles / max per numeric column,
-    one row per column (exact linear quartiles, not ``summary()``'s approximation)."""
-    aggs = []
-    for c in columns:
-        v = nan_to_null(F.col(c).cast("double"))
-        aggs += [F.count(v).alias(f"{c}__count"), F.avg(v).alias(f"{c}__mean"),
-                 F.stddev_samp(v).alias(f"{c}__std"), F.min(v).alias(f"{c}__min"),
-                 F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q"),
-                 F.max(v).alias(f"{c}__max")]
-    s = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__count").alias("count"),
-                              F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-                              F.col(f"{c}__min").alias("min"), F.col(f"{c}__q")[0].alias("q25"),
-                              F.col(f"{c}__q")[1].alias("q50"), F.col(f"{c}__q")[2].alias("q75"),
-                              F.col(f"{c}__max").alias("max")) for c in columns])
-    return s.select(F.inline(rows))
+    one row per column (exact linear quartiles, not ``summary()``'s approximation).
+    Cells are unpivoted so a column's work spreads over tasks."""
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), nan_to_null(F.col(c).cast("double")).alias("v")) for c in columns])))
+    cells = materialize(cells)
+    mom = cells.groupBy("column_name").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+        F.min("v").alias("min"), F.max("v").alias("max"))
+    q = exact_quantiles(cells, ["column_name"], "v", [0.25, 0.5, 0.75])
+    out = mom.join(q, "column_name", "left")
+    return out.select("column_name", "count", "mean", "std", "min", F.col("q0").alias("q25"),
+                      F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max")
 
 
 def column_types(df: DataFrame) -> list[tuple[str, str]]:
@@ -44,8 +43,9 @@ def visits_per_patient(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def visit_count_stats(counts: DataFrame, col: str = "n_visits") -> DataFrame:
     """Op 11: mean / median / max / min of the group sizes."""
-    return counts.agg(F.avg(col).alias("mean_visits"), F.median(col).alias("median_visits"),
-                      F.max(col).alias("max_visits"), F.min(col).alias("min_visits"))
+    m = counts.agg(F.avg(col).alias("mean_visits"), F.max(col).alias("max_visits"), F.min(col).alias("min_visits"))
+    med = exact_quantiles(counts, [], col, [0.5]).select(F.col("q0").alias("median_visits"))
+    return m.crossJoin(med).select("mean_visits", "median_visits", "max_visits", "min_visits")
 
 
 def visit_count_distribution(counts: DataFrame, col: str = "n_visits") -> DataFrame:

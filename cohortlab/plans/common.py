@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.operators import cleaning, panel, splits
+from cohortlab.session import materialize
 from cohortlab.sources.tables import fixture
 
 PANEL_FEATURES = ["age", "click", "error", "purchase", "signup", "view_"]
@@ -24,7 +25,7 @@ def customer_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 def panel_splits(spark: SparkSession, sf: str) -> DataFrame:
     pc = fixture(spark, sf, "f_patients").select("id", F.col("outcome").alias("label"))
-    return splits.stratified_fraction(pc, 1 / 8, seed=42, salt="val").select("id", "label", "split")
+    return materialize(splits.stratified_fraction(pc, 1 / 8, seed=42, salt="val").select("id", "label", "split"))
 
 
 def panel_stats(spark: SparkSession, sf: str) -> DataFrame:
