@@ -3,9 +3,11 @@
 ``ordered_cumsum`` takes a table with one row per (group, value) and adds the
 inclusive running sum of some measures in value order. The value range of
 each group is cut into equal-width buckets; bucket totals (at most ``buckets``
-rows per group) give each bucket's starting offset, and rows are only sorted
-inside their (group, bucket) cell. Work is spread over group x bucket tasks
-instead of one task per group, and the result is exact.
+rows per group, written once) give each bucket's starting offset, and rows are
+only sorted inside their (group, bucket) cell. Work is spread over group x
+bucket tasks instead of one task per group, and the result is exact. If the
+values crowd into a few buckets (a cell above ``skew_cell_rows``), the same sums
+are taken over Spark's sampled range partitioning instead.
 """
 
 from __future__ import annotations
@@ -13,18 +15,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlab.session import materialize
+
 DEFAULT_BUCKETS = 4096
 
 
+SKEW_CELL_ROWS = 2_000_000  # a (group, bucket) cell larger than this takes the range-partitioned path
+
+
 def ordered_cumsum(agg: DataFrame, group_cols: list[str], value_col: str, measures: list[str],
-                   descending: bool = False, buckets: int = DEFAULT_BUCKETS, suffix: str = "_cum") -> DataFrame:
+                   descending: bool = False, buckets: int = DEFAULT_BUCKETS, suffix: str = "_cum",
+                   skew_cell_rows: int = SKEW_CELL_ROWS) -> DataFrame:
     v = F.col(value_col).cast("double")
     rng = agg.groupBy(*group_cols).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     a = agg.join(rng, group_cols) if group_cols else agg.crossJoin(rng)
     frac = (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     bk = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(frac * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
     a = a.withColumn("_bk", bk.cast("int")).drop("_lo", "_hi")
-    bt = a.groupBy(*group_cols, "_bk").agg(*[F.sum(m).alias(f"_bt_{m}") for m in measures])
+    bt = materialize(a.groupBy(*group_cols, "_bk").agg(F.count(F.lit(1)).alias("_cells"),
+                                                       *[F.sum(m).alias(f"_bt_{m}") for m in measures]))
+    biggest = bt.agg(F.max("_cells")).first()[0] or 0
+    if biggest > skew_cell_rows:
+        # values crowd into few buckets: fall back to sampled range partitioning
+        return _ordered_cumsum_ranged(agg, group_cols, value_col, measures, descending, suffix)
     border = F.col("_bk").desc() if descending else F.col("_bk").asc()
     wb = Window.partitionBy(*group_cols).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select(*group_cols, "_bk", *[F.coalesce(F.sum(f"_bt_{m}").over(wb), F.lit(0)).alias(f"_off_{m}")
@@ -37,6 +50,27 @@ def ordered_cumsum(agg: DataFrame, group_cols: list[str], value_col: str, measur
     return a.drop("_bk", *[f"_off_{m}" for m in measures])
 
 
+def _ordered_cumsum_ranged(agg: DataFrame, group_cols: list[str], value_col: str, measures: list[str],
+                           descending: bool, suffix: str) -> DataFrame:
+    """Same result via Spark's sampled range partitioning (balanced under any value
+    distribution). The partitioned table is checkpointed so partition ids are fixed;
+    per-partition totals give each partition's offset."""
+    spark = agg.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    vorder = F.col(value_col).desc() if descending else F.col(value_col).asc()
+    order = [F.col(g) for g in group_cols] + [vorder]
+    s = materialize(agg.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
+    tot = s.groupBy("_pid", *group_cols).agg(*[F.sum(m).alias(f"_pt_{m}") for m in measures])
+    w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_pid", *group_cols, *[F.coalesce(F.sum(f"_pt_{m}").over(w), F.lit(0)).alias(f"_off_{m}")
+                                            for m in measures])
+    out = s.join(off, ["_pid"] + group_cols)
+    wi = Window.partitionBy("_pid", *group_cols).orderBy(vorder).rowsBetween(Window.unboundedPreceding, 0)
+    for m in measures:
+        out = out.withColumn(f"{m}{suffix}", F.col(f"_off_{m}") + F.sum(m).over(wi))
+    return out.drop("_pid", *[f"_off_{m}" for m in measures])
+
+
 def average_rank(df: DataFrame, group_cols: list[str], value_col: str, out: str = "rank") -> DataFrame:
     """1-based ascending rank per group with ties sharing their average rank."""
     d = df.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n"))

@@ -111,22 +111,41 @@ def clip_outliers(df: DataFrame, features: list[str], limit: float = OUTLIER_LIM
                        if c in features else F.col(f"`{c}`") for c in df.columns])
 
 
+def _time_number(c, dtype: str):
+    """A number that increases with the time column (days for dates, seconds for timestamps)."""
+    if dtype == "date":
+        return F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
+    if dtype.startswith("timestamp"):
+        return F.unix_seconds(F.col(c).cast("timestamp"))
+    return F.col(c).cast("double")
+
+
 def locf_impute(df: DataFrame, id_col: str, time_col: str, features: list[str],
-                stats: DataFrame | None = None) -> DataFrame:
+                stats: DataFrame | None = None, bucket_width: float = 32) -> DataFrame:
     """Op 30: per id in time order carry the last observed value forward;
     leading (or all) missing -> the feature's default fill (-1 without stats).
 
-    One shuffle on ``id``; a patient's window is bounded by its record.
+    Skew-safe: rows are windowed per (id, time bucket of ``bucket_width`` days
+    or units), and the value carried into a bucket is the last observed value
+    of that id's earlier buckets, taken from a table with one row per
+    (id, bucket). A patient with a third of all visits is spread over many tasks.
     """
-    w = Window.partitionBy(id_col).orderBy(time_col).rowsBetween(Window.unboundedPreceding, 0)
+    dtype = dict(df.dtypes)[time_col]
+    d = df.withColumn("_tb", F.floor(_time_number(time_col, dtype) / F.lit(bucket_width)))
+    w = Window.partitionBy(id_col, "_tb").orderBy(time_col).rowsBetween(Window.unboundedPreceding, 0)
+    last_in = d.groupBy(id_col, "_tb").agg(*[
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(time_col))).alias(f"_lb_{c}") for c in features])
+    wb = Window.partitionBy(id_col).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last_in.select(id_col, "_tb", *[F.last(f"_lb_{c}", ignorenulls=True).over(wb).alias(f"_cy_{c}")
+                                            for c in features])
+    d = d.join(carry, [id_col, "_tb"], "left")
     if stats is not None:
         fills = stats.select(*[F.col(f"{c}__fill") for c in features])
-        d = df.crossJoin(F.broadcast(fills))
+        d = d.crossJoin(F.broadcast(fills))
         fill = {c: F.col(f"{c}__fill") for c in features}
     else:
-        d = df
         fill = {c: F.lit(MISSING_STATS_FILL) for c in features}
-    out = [F.coalesce(F.last(F.col(c), ignorenulls=True).over(w), fill[c]).alias(c)
+    out = [F.coalesce(F.last(F.col(c), ignorenulls=True).over(w), F.col(f"_cy_{c}"), fill[c]).alias(c)
            if c in features else F.col(f"`{c}`") for c in df.columns]
     return d.select(*out)
 

@@ -167,6 +167,14 @@ def label_pick(labels: Column, last: bool = True) -> Column:
     return F.element_at(labels, -1 if last else 1)
 
 
+def first_last_label(df: DataFrame, id_col: str, order: list[str], label: str) -> DataFrame:
+    """Op 68 as an aggregate: first and last label per id in ``order`` (partial
+    aggregation, so an id with very many rows is combined map-side)."""
+    o = F.struct(*[F.col(c) for c in order])
+    return df.groupBy(id_col).agg(F.min_by(F.col(label), o).alias("first_label"),
+                                  F.max_by(F.col(label), o).alias("last_label"))
+
+
 def token_usage(df: DataFrame, run_cols: list[str], role_col: str, text_col: str,
                 prompt_role: str = "user", completion_role: str = "assistant") -> DataFrame:
     """Op 69: prompt and completion token totals per run (whitespace tokens)."""

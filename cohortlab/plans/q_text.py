@@ -322,10 +322,9 @@ def q_clamp(spark, sf):
     "SELECT patient_id AS id, FIRST(outcome ORDER BY record_date, record_id) AS first_label, "
     "LAST(outcome ORDER BY record_date, record_id) AS last_label FROM f_admissions GROUP BY patient_id", ("f_admissions",)))
 def q_label_pick(spark, sf):
-    a = fixture(spark, sf, "f_admissions").withColumn("t", F.struct("record_date", "record_id"))
-    p = sequences.pack_sequences(a, "patient_id", "t", [], labels=["outcome"])
-    return p.select(F.col("patient_id").alias("id"), prompts.label_pick(F.col("y_outcome"), last=False).alias("first_label"),
-                    prompts.label_pick(F.col("y_outcome"), last=True).alias("last_label"))
+    a = fixture(spark, sf, "f_admissions")
+    return prompts.first_last_label(a, "patient_id", ["record_date", "record_id"], "outcome").withColumnRenamed(
+        "patient_id", "id")
 
 
 @register("token_usage", oracle(

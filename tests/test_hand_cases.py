@@ -174,3 +174,24 @@ def test_bootstrap_poisson_weights_mean_one(spark):
     w = metrics.bootstrap_weights(df, "id", resamples=1)
     mean = w.agg(F.sum("w")).first()[0] / 20000
     assert mean == pytest.approx(1.0, abs=0.03)
+
+
+def test_ordered_cumsum_paths_agree(spark):
+    from cohortlab.functions.ordered import ordered_cumsum
+    agg = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") * F.col("id") / 7.0).alias("v"),
+                                   F.lit(1).alias("m"))
+    a = ordered_cumsum(agg, ["g"], "v", ["m"], descending=True).orderBy("g", "v").collect()
+    b = ordered_cumsum(agg, ["g"], "v", ["m"], descending=True, skew_cell_rows=10).orderBy("g", "v").collect()
+    assert a == b
+    assert a[0].m_cum == 1000  # smallest value of group 0 sees the whole group in descending order
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    from cohortlab.functions.ordered import exact_quantiles
+    rnd = np.random.default_rng(3)
+    vals = np.concatenate([rnd.normal(size=5000), np.full(2000, 0.25)])
+    df = spark.createDataFrame([("k", float(v)) for v in vals], "k string, v double")
+    got = exact_quantiles(df, ["k"], "v", [0.05, 0.5, 0.95]).first()
+    want = np.quantile(vals, [0.05, 0.5, 0.95])
+    assert [got.q0, got.q1, got.q2] == pytest.approx(list(want), abs=1e-12)
