@@ -87,8 +87,11 @@ def dense_rank(df: DataFrame, group_cols: list[str], value_col: str, out: str =
     return df.join(c, group_cols + [value_col])
 
 
+MAP_QUANTILE_LIMIT = 2_000_000  # groups up to this size use Spark's exact value->count map
+
+
 def exact_quantiles(df: DataFrame, key_cols: list[str], value_col: str, probs: list[float],
-                    accuracy: int = 10000, prefix: str = "q") -> DataFrame:
+                    accuracy: int = 10000, prefix: str = "q", map_limit: int = MAP_QUANTILE_LIMIT) -> DataFrame:
     """Exact linear-interpolated quantiles per key (numpy / ``quantile_cont`` rule),
     without holding a group's values in one map.
 
@@ -99,11 +102,19 @@ def exact_quantiles(df: DataFrame, key_cols: list[str], value_col: str, probs: l
     3. A running count over the bracket's distinct values picks the two order
        statistics around (n - 1) p, which are interpolated.
 
+    Groups whose size is provably small (largest group <= ``map_limit`` values,
+    checked with one count) take Spark's exact ``percentile`` aggregate instead,
+    whose per-group value map is then bounded.
+
     Output: key_cols, ``{prefix}{i}`` per probability (null for an empty group).
     """
     delta = 5.0 / accuracy
     v = df.select(*key_cols, F.col(value_col).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
+    largest = v.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= map_limit:
+        pa = v.groupBy(*key_cols).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
+        return pa.select(*key_cols, *[F.col("_q")[i].alias(f"{prefix}{i}") for i in range(len(probs))])
     lo_p = [max(0.0, p - delta) for p in probs]
     hi_p = [min(1.0, p + delta) for p in probs]
     br = v.groupBy(*key_cols).agg(

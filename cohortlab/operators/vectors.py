@@ -52,8 +52,7 @@ def pearson(df: DataFrame, group_cols: list[str], x: str, y: str) -> DataFrame:
 
 def spearman(df: DataFrame, group_cols: list[str], x: str, y: str) -> DataFrame:
     """Op 91: Pearson correlation of average ranks (ties share the mean rank)."""
-    d = df.select(*group_cols, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
-                  F.monotonically_increasing_id().alias("_row"))
+    d = df.select(*group_cols, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     d = average_rank(d, group_cols, "_x", "_rx")
     d = average_rank(d, group_cols, "_y", "_ry")
     return d.groupBy(*group_cols).agg(F.bround(F.corr("_rx", "_ry"), 2).alias("spearman_corr"))
@@ -281,30 +280,48 @@ def knn_graph(points: DataFrame, id_col: str, vec: str, k: int = 20, tiles: int
     Distance pairs are never written out as rows.
     """
     n_parts = points.sparkSession.sparkContext.defaultParallelism
-    t = tiles or max(1, int(math.isqrt(max(1, n_parts))))
+    if tiles is None:
+        # enough tiles to use every core, and at most ~50k points per tile side (bounded task memory)
+        tiles = max(1, int(math.isqrt(max(1, n_parts))), math.ceil(points.count() / 50_000))
+    t = tiles
     p = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"),
                       F.pmod(F.xxhash64(F.col(id_col)), F.lit(t)).cast("int").alias("_tile"))
     q = p.select("id", "v", F.col("_tile").alias("qt"), F.explode(F.sequence(F.lit(0), F.lit(t - 1))).alias("ct"))
     c = p.select("id", "v", F.col("_tile").alias("ct"), F.explode(F.sequence(F.lit(0), F.lit(t - 1))).alias("qt"))
 
+    keep_k = k + 5  # small margin against rounding at the cut; exact distances decide the final order
+
     def local_topk(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"id": pd.Series([], dtype="int64"), "nbr": pd.Series([], dtype="int64"),
+                              "dist": pd.Series([], dtype="float64")})
         if qdf.empty or cdf.empty:
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "nbr": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        qa = np.stack(qdf["v"].to_numpy())
-        ca = np.stack(cdf["v"].to_numpy())
-        d2 = (qa * qa).sum(1)[:, None] + (ca * ca).sum(1)[None, :] - 2 * qa @ ca.T
-        qid = qdf["id"].to_numpy()
-        cid = cdf["id"].to_numpy()
-        d2[qid[:, None] == cid[None, :]] = np.inf
-        kk = min(k + 5, ca.shape[0])  # small margin against rounding at the cut
-        idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < ca.shape[0] else np.tile(np.arange(ca.shape[0]), (qa.shape[0], 1))
-        rows = np.repeat(np.arange(qa.shape[0]), idx.shape[1])
-        cols = idx.ravel()
-        keep = np.isfinite(d2[rows, cols])
-        rows, cols = rows[keep], cols[keep]
-        exact = np.sqrt(((qa[rows] - ca[cols]) ** 2).sum(axis=1))  # direct form for the survivors
-        return pd.DataFrame({"id": qid[rows], "nbr": cid[cols], "dist": exact})
+            return empty
+        qa, ca = np.stack(qdf["v"].to_numpy()), np.stack(cdf["v"].to_numpy())
+        qid, cid = qdf["id"].to_numpy(), cdf["id"].to_numpy()
+        cn = (ca * ca).sum(1)
+        outs = []
+        for s0 in range(0, qa.shape[0], 1024):  # bounded memory: 1024 queries x 32768 candidates at a time
+            qb, qi = qa[s0:s0 + 1024], qid[s0:s0 + 1024]
+            best_d = np.full((qb.shape[0], 0), np.inf)
+            best_j = np.zeros((qb.shape[0], 0), dtype=np.int64)
+            for c0 in range(0, ca.shape[0], 32768):
+                cb = ca[c0:c0 + 32768]
+                d2 = (qb * qb).sum(1)[:, None] + cn[None, c0:c0 + 32768] - 2 * qb @ cb.T
+                d2[qi[:, None] == cid[None, c0:c0 + 32768]] = np.inf
+                cat_d = np.concatenate([best_d, d2], axis=1)
+                cat_j = np.concatenate([best_j, np.broadcast_to(np.arange(c0, c0 + cb.shape[0]), d2.shape)], axis=1)
+                kk = min(keep_k, cat_d.shape[1])
+                sel = np.argpartition(cat_d, kk - 1, axis=1)[:, :kk] if kk < cat_d.shape[1] else \
+                    np.broadcast_to(np.arange(cat_d.shape[1]), cat_d.shape)
+                best_d = np.take_along_axis(cat_d, sel, axis=1)
+                best_j = np.take_along_axis(cat_j, sel, axis=1)
+            rows = np.repeat(np.arange(qb.shape[0]), best_j.shape[1])
+            cols = best_j.ravel()
+            keep = np.isfinite(best_d.ravel())
+            rows, cols = rows[keep], cols[keep]
+            exact = np.sqrt(((qb[rows] - ca[cols]) ** 2).sum(axis=1))  # direct form for the survivors
+            outs.append(pd.DataFrame({"id": qi[rows], "nbr": cid[cols], "dist": exact}))
+        return pd.concat(outs, ignore_index=True) if outs else empty
 
     cand = q.groupBy("qt", "ct").cogroup(c.groupBy("qt", "ct")).applyInPandas(
         lambda a, b: local_topk(a, b), schema="id long, nbr long, dist double")
