@@ -351,11 +351,14 @@ def q_join_lookup(spark, sf):
     c = read_table(spark, sf, "customer", ["c_custkey", "c_nationkey"])
     n = read_table(spark, sf, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     r = read_table(spark, sf, "region", ["r_regionkey", "r_name"])
-    j = joins.join_lookup(c, n, "c_nationkey", "n_nationkey", "n_name", "nation")
-    j = j.join(n.select("n_nationkey", "n_regionkey"), j["c_nationkey"] == n["n_nationkey"], "left")
-    j = joins.join_lookup(j, r, "n_regionkey", "r_regionkey", "r_name", "region")
-    return j.select(F.col("c_custkey").alias("id"), "nation",
-                    F.when(F.col("n_regionkey").isNull(), F.lit("unknown")).otherwise(F.col("region")).alias("region"))
+    # dimension lookups are combined first, so the fact side is joined once
+    dim = joins.join_lookup(n, r, "n_regionkey", "r_regionkey", "r_name", "region").select(
+        "n_nationkey", "n_name", F.when(F.col("n_regionkey").isNull(), F.lit("unknown")).otherwise(F.col("region"))
+        .alias("region"))
+    j = c.join(dim, c["c_nationkey"] == dim["n_nationkey"], "left")
+    return j.select(F.col("c_custkey").alias("id"),
+                    F.coalesce(F.col("n_name"), F.col("c_nationkey").cast("string")).alias("nation"),
+                    F.coalesce(F.col("region"), F.lit("unknown")).alias("region"))
 
 
 @register("append_results", oracle(
