@@ -21,11 +21,18 @@ DEFAULT_BUCKETS = 4096
 
 
 SKEW_CELL_ROWS = 2_000_000  # a (group, bucket) cell larger than this takes the range-partitioned path
+SMALL_GROUP_ROWS = 1_000_000  # groups up to this size are summed with one plain window
 
 
 def ordered_cumsum(agg: DataFrame, group_cols: list[str], value_col: str, measures: list[str],
                    descending: bool = False, buckets: int = DEFAULT_BUCKETS, suffix: str = "_cum",
-                   skew_cell_rows: int = SKEW_CELL_ROWS) -> DataFrame:
+                   skew_cell_rows: int = SKEW_CELL_ROWS, small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+    vorder = F.col(value_col).desc() if descending else F.col(value_col).asc()
+    largest = agg.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_g")).agg(F.max("_g")).first()[0] or 0
+    if largest <= small_group_rows:
+        # every group is provably small: one window per group is bounded work per task
+        w = Window.partitionBy(*group_cols).orderBy(vorder).rowsBetween(Window.unboundedPreceding, 0)
+        return agg.withColumns({f"{m}{suffix}": F.sum(m).over(w) for m in measures})
     v = F.col(value_col).cast("double")
     rng = agg.groupBy(*group_cols).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     a = agg.join(rng, group_cols) if group_cols else agg.crossJoin(rng)
@@ -43,7 +50,6 @@ def ordered_cumsum(agg: DataFrame, group_cols: list[str], value_col: str, measur
     bt = bt.select(*group_cols, "_bk", *[F.coalesce(F.sum(f"_bt_{m}").over(wb), F.lit(0)).alias(f"_off_{m}")
                                          for m in measures])
     a = a.join(bt, group_cols + ["_bk"])
-    vorder = F.col(value_col).desc() if descending else F.col(value_col).asc()
     wi = Window.partitionBy(*group_cols, "_bk").orderBy(vorder).rowsBetween(Window.unboundedPreceding, 0)
     for m in measures:
         a = a.withColumn(f"{m}{suffix}", F.col(f"_off_{m}") + F.sum(m).over(wi))

@@ -181,8 +181,10 @@ def test_ordered_cumsum_paths_agree(spark):
     agg = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") * F.col("id") / 7.0).alias("v"),
                                    F.lit(1).alias("m"))
     a = ordered_cumsum(agg, ["g"], "v", ["m"], descending=True).orderBy("g", "v").collect()
-    b = ordered_cumsum(agg, ["g"], "v", ["m"], descending=True, skew_cell_rows=10).orderBy("g", "v").collect()
-    assert a == b
+    b = ordered_cumsum(agg, ["g"], "v", ["m"], descending=True, small_group_rows=10).orderBy("g", "v").collect()
+    c = ordered_cumsum(agg, ["g"], "v", ["m"], descending=True, small_group_rows=10,
+                       skew_cell_rows=10).orderBy("g", "v").collect()
+    assert a == b == c
     assert a[0].m_cum == 1000  # smallest value of group 0 sees the whole group in descending order
 
 
