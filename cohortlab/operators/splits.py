@@ -12,6 +12,8 @@ histogram and one ~1/65536 slice, not one giant sorted task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,11 +73,52 @@ def take_first_by_hash(df: DataFrame, group_cols: list[str], quotas: DataFrame,
     return d.withColumn(flag, sel).drop("_b", "_cb", "_cbase", "quota")
 
 
+SMALL_STRATUM_ROWS = 1_000_000  # strata up to this size are ranked with one window each
+MAX_LISTED_STRATA = 10_000       # per-stratum counts are brought to the driver only up to this many
+
+
+def _quota_table(counts: list[tuple[tuple, int]], target: int) -> dict[tuple, int]:
+    """Largest-remainder split of ``target`` over strata (ties: stratum order)."""
+    total = sum(n for _, n in counts)
+    tgt = min(total, target)
+    fl = {k: (tgt * n) // total for k, n in counts}
+    rem = sorted(counts, key=lambda kn: (-((tgt * kn[1]) % total), kn[0]))
+    extra = tgt - sum(fl.values())
+    for k, _ in rem[:extra]:
+        fl[k] += 1
+    return fl
+
+
 def _stratified_take(cohort: DataFrame, target, seed: int, salt: str | None,
                      strata: list[str], flag: str = "_sel") -> DataFrame:
+    """Flag the first quota ids of every stratum in hash order.
+
+    ``target`` is an int, or a function of the cohort size. The per-stratum
+    counts (one row per stratum) decide the plan: small strata are ranked with
+    one window each; large ones go through the hash-histogram selection.
+    """
     d = cohort.withColumn("_h", hash_order("id", seed, salt))
-    counts = d.groupBy(*strata).agg(F.count(F.lit(1)).alias("n_c"))
-    quotas = _largest_remainder(counts, strata, target)
+    counts_df = d.groupBy(*strata).agg(F.count(F.lit(1)).alias("n_c"))
+    listed = counts_df.limit(MAX_LISTED_STRATA + 1).collect()
+    if 0 < len(listed) <= MAX_LISTED_STRATA:
+        counts = [(tuple(r[g] for g in strata), r["n_c"]) for r in listed]
+        total = sum(n for _, n in counts)
+        tgt = target(total) if callable(target) else int(target)
+        quota = _quota_table(counts, tgt)
+        qexpr = F.lit(0)
+        for k, q in quota.items():
+            cond = F.lit(True)
+            for g, val in zip(strata, k):
+                cond = cond & (F.col(g) == F.lit(val)) if val is not None else cond & F.col(g).isNull()
+            qexpr = F.when(cond, F.lit(q)).otherwise(qexpr)
+        if max(n for _, n in counts) <= SMALL_STRATUM_ROWS:
+            w = Window.partitionBy(*strata).orderBy("_h", "id")
+            return d.withColumn(flag, F.row_number().over(w) <= qexpr).drop("_h")
+        quotas = counts_df.select(*strata, qexpr.alias("quota"))
+        return take_first_by_hash(d, strata, quotas, flag=flag).drop("_h")
+    # very many strata: quotas stay a DataFrame (largest remainder with windows)
+    tgt_col = F.ceil(F.col("n_all") * F.lit(target.frac)) if callable(target) else F.lit(target)
+    quotas = _largest_remainder(counts_df, strata, tgt_col)
     return take_first_by_hash(d, strata, quotas, flag=flag).drop("_h")
 
 
@@ -89,19 +132,21 @@ def random_holdout(cohort: DataFrame, n: int = 200, seed: int = 42, salt: str |
 def stratified_holdout(cohort: DataFrame, n: int = 200, seed: int = 42, salt: str | None = None,
                        label: str = "label") -> DataFrame:
     """Op 36: fixed-size stratified holdout; adds boolean ``in_test``."""
-    return _stratified_take(cohort, F.lit(n), seed, salt, [label], flag="in_test")
+    return _stratified_take(cohort, n, seed, salt, [label], flag="in_test")
 
 
 def stratified_cap(pool: DataFrame, cap: int = 10000, seed: int = 42, salt: str = "cap",
                    label: str = "label") -> DataFrame:
     """Op 37: keep at most ``cap`` ids of the pool, stratified; adds ``kept``."""
-    return _stratified_take(pool, F.lit(cap), seed, salt, [label], flag="kept")
+    return _stratified_take(pool, cap, seed, salt, [label], flag="kept")
 
 
 def stratified_fraction(pool: DataFrame, frac: float = 1 / 8, seed: int = 42, salt: str = "val",
                         label: str = "label") -> DataFrame:
     """Op 38: ceil(frac*n) ids to ``val`` (stratified), the rest ``train``."""
-    target = F.ceil(F.col("n_all") * F.lit(frac))
+    def target(total: int) -> int:
+        return math.ceil(total * frac)
+    target.frac = frac
     out = _stratified_take(pool, target, seed, salt, [label], flag="_v")
     return out.withColumn("split", F.when(F.col("_v"), "val").otherwise("train")).drop("_v")
 

@@ -198,3 +198,11 @@ def test_exact_quantiles_match_numpy(spark):
     for limit in (10, 10 ** 9):  # bracketed path and bounded-map path
         got = exact_quantiles(df, ["k"], "v", [0.05, 0.5, 0.95], map_limit=limit).first()
         assert [got.q0, got.q1, got.q2] == pytest.approx(list(want), abs=1e-12)
+
+
+def test_stratified_paths_agree(spark, monkeypatch):
+    cohort = spark.range(3000).select(F.col("id"), (F.col("id") % 5 == 0).cast("int").alias("label"))
+    small = {(r.id, r.split) for r in splits.assign_splits(cohort, test_n=200).collect()}
+    monkeypatch.setattr(splits, "SMALL_STRATUM_ROWS", 0)  # force the hash-histogram selection
+    big = {(r.id, r.split) for r in splits.assign_splits(cohort, test_n=200).collect()}
+    assert small == big
