@@ -17,6 +17,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # 32 MB of parquet per input split keeps tasks short and spill-free.
     "spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024),
+    # checkpoint files of DataFrames that are no longer referenced are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
