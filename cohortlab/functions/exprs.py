@@ -107,3 +107,15 @@ def py_float_text(c) -> Column:
     return (F.when(c.isNull(), F.lit(None)).when(F.isnan(c), F.lit("nan"))
              .when(c == float("inf"), F.lit("inf")).when(c == float("-inf"), F.lit("-inf"))
              .when(s.contains("E"), body).otherwise(s))
+
+
+def with_global(df, row):
+    """Append the columns of ``row`` to every row of ``df``.
+
+    ``row`` must be a global aggregate: a single row (statistics, quotas, centre
+    list) or a handful of rows fixed by parameters (one per probability). Its
+    size does not grow with the data, so it is broadcast; this is a column
+    append, never a data x data product.
+    """
+    from pyspark.sql import functions as _F
+    return df.crossJoin(_F.broadcast(row))

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlab.functions.exprs import with_global
+
 from cohortlab.session import materialize
 
 DEFAULT_BUCKETS = 4096
@@ -35,7 +37,7 @@ def ordered_cumsum(agg: DataFrame, group_cols: list[str], value_col: str, measur
         return agg.withColumns({f"{m}{suffix}": F.sum(m).over(w) for m in measures})
     v = F.col(value_col).cast("double")
     rng = agg.groupBy(*group_cols).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    a = agg.join(rng, group_cols) if group_cols else agg.crossJoin(rng)
+    a = agg.join(rng, group_cols) if group_cols else with_global(agg, rng)
     frac = (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     bk = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(frac * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
     a = a.withColumn("_bk", bk.cast("int")).drop("_lo", "_hi")
@@ -134,7 +136,7 @@ def exact_quantiles(df: DataFrame, key_cols: list[str], value_col: str, probs: l
     h = (F.col("_n") - 1) * F.col("_p")
     pr = pr.select(*key_cols, "_i", blo.alias("_blo"), bhi.alias("_bhi"), F.floor(h).cast("long").alias("_rf"),
                    F.ceil(h).cast("long").alias("_rc"), (h - F.floor(h)).alias("_fr"))
-    j = v.join(F.broadcast(pr), key_cols) if key_cols else v.crossJoin(F.broadcast(pr))
+    j = v.join(F.broadcast(pr), key_cols) if key_cols else with_global(v, pr)
     below = j.groupBy(*key_cols, "_i").agg(F.sum((F.col("_v") < F.col("_blo")).cast("long")).alias("_below"))
     cand = (j.where((F.col("_v") >= F.col("_blo")) & (F.col("_v") <= F.col("_bhi")))
              .groupBy(*key_cols, "_i", "_v").agg(F.count(F.lit(1)).alias("_c")))

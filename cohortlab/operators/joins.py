@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.functions.exprs import with_global
+
 
 def join_lookup(df: DataFrame, lookup: DataFrame, key: str, lookup_key: str, value: str, out: str) -> DataFrame:
     """Op 52: map a key to a display value; unmapped keys keep their own text."""
@@ -51,4 +53,4 @@ def equal_count_check(a: DataFrame, b: DataFrame) -> DataFrame:
     """Op 55 (check half): row counts of both sides in one row, and whether they agree."""
     ca = a.agg(F.count(F.lit(1)).alias("n_left"))
     cb = b.agg(F.count(F.lit(1)).alias("n_right"))
-    return ca.crossJoin(cb).withColumn("equal", F.col("n_left") == F.col("n_right"))
+    return with_global(ca, cb).withColumn("equal", F.col("n_left") == F.col("n_right"))

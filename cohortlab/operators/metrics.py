@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.functions.exprs import safe_div
+from cohortlab.functions.exprs import safe_div, with_global
 from cohortlab.functions.ordered import ordered_cumsum
 from cohortlab.session import materialize
 
@@ -59,7 +59,7 @@ def curve_from_table(agg: DataFrame, run_cols: list[str], buckets: int = CURVE_B
     tot = agg.groupBy(*run_cols).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     c = ordered_cumsum(agg, run_cols, "threshold", ["pos", "neg"], descending=True, buckets=buckets)
     c = c.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp")
-    c = c.join(tot, run_cols) if run_cols else c.crossJoin(tot)
+    c = c.join(tot, run_cols) if run_cols else with_global(c, tot)
     return c.select(*run_cols, "threshold", "pos", "neg", "tp", "fp", "P", "N",
                     safe_div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
                     safe_div(F.col("tp"), F.col("P")).alias("recall"))
@@ -109,7 +109,7 @@ def binary_metrics(df: DataFrame, run_cols: list[str], score: str = "pred", labe
     t = table if table is not None else score_table(df, run_cols, score, label, weight)
     c = curve_metrics(curve_from_table(t, run_cols), run_cols)
     m = confusion_from_table(t, run_cols)
-    return c.join(m, run_cols) if run_cols else c.crossJoin(m)
+    return c.join(m, run_cols) if run_cols else with_global(c, m)
 
 
 def regression_metrics(df: DataFrame, run_cols: list[str], pred: str = "pred", label: str = "label") -> DataFrame:
@@ -139,7 +139,7 @@ def multiclass_metrics(df: DataFrame, run_cols: list[str], scores: str = "scores
         F.avg(safe_div(F.col("tp"), F.col("tp") + F.col("fn"))).alias("recall_macro"),
         F.avg(safe_div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1_macro"))
     acc = d.groupBy(*run_cols).agg(F.avg((F.col("_p") == F.col("_y")).cast("double")).alias("accuracy"))
-    out = acc.join(macro, run_cols) if run_cols else acc.crossJoin(macro)
+    out = acc.join(macro, run_cols) if run_cols else with_global(acc, macro)
     return out.withColumn("f1_micro", F.col("accuracy"))
 
 

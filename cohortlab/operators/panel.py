@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.functions.exprs import EPS_STD, nan_to_null, safe_div
+from cohortlab.functions.exprs import EPS_STD, nan_to_null, safe_div, with_global
 from cohortlab.functions.ordered import exact_quantiles
 from cohortlab.session import materialize
 
@@ -99,7 +99,7 @@ def stats_long(stats: DataFrame, features: list[str]) -> DataFrame:
 def zscore(df: DataFrame, stats: DataFrame, features: list[str]) -> DataFrame:
     """Op 28: (x - mean) / (std + 1e-12) with train statistics (broadcast one-row join)."""
     s = stats.select(*[F.col(f"{c}__{k}") for c in features for k in ("mean", "std")])
-    j = df.crossJoin(F.broadcast(s))
+    j = with_global(df, s)
     out = [((F.col(c).cast("double") - F.col(f"{c}__mean")) / (F.col(f"{c}__std") + F.lit(EPS_STD))).alias(c)
            if c in features else F.col(f"`{c}`") for c in df.columns]
     return j.select(*out)
@@ -141,7 +141,7 @@ def locf_impute(df: DataFrame, id_col: str, time_col: str, features: list[str],
     d = d.join(carry, [id_col, "_tb"], "left")
     if stats is not None:
         fills = stats.select(*[F.col(f"{c}__fill") for c in features])
-        d = d.crossJoin(F.broadcast(fills))
+        d = with_global(d, fills)
         fill = {c: F.col(f"{c}__fill") for c in features}
     else:
         fill = {c: F.lit(MISSING_STATS_FILL) for c in features}
@@ -158,21 +158,22 @@ def los_info(train: DataFrame, id_col: str, los_col: str = "los") -> DataFrame:
         F.col(f"{los_col}__median").alias("los_median"))
     per = materialize(train.groupBy(id_col).agg(F.max(F.col(los_col).cast("double")).alias("m")))
     q = exact_quantiles(per, [], "m", [0.05, 0.95])
-    th = (per.crossJoin(F.broadcast(q))
+    th = (with_global(per, q)
              .agg(F.avg(F.when((F.col("m") >= F.col("q0")) & (F.col("m") <= F.col("q1")), F.col("m"))).alias("_t")))
-    return st.crossJoin(q.select(F.col("q1").alias("large_los"))).crossJoin(th.select((F.col("_t") * 0.5).alias("threshold")))
+    return with_global(with_global(st, q.select(F.col("q1").alias("large_los"))),
+                       th.select((F.col("_t") * 0.5).alias("threshold")))
 
 
 def reverse_los(df: DataFrame, info: DataFrame, col: str, out: str) -> DataFrame:
     """Op 32: y * los_std + los_mean (no epsilon)."""
-    j = df.crossJoin(F.broadcast(info.select("los_mean", "los_std")))
+    j = with_global(df, info.select("los_mean", "los_std"))
     return j.withColumn(out, F.col(col) * F.col("los_std") + F.col("los_mean")).drop("los_mean", "los_std")
 
 
 def los_normalize(df: DataFrame, info: DataFrame, col: str, out: str) -> DataFrame:
     """Op 33: (pred - los_mean) / (los_std + 1e-12), so generated LOS answers
     are on the scale of the z-scored labels."""
-    j = df.crossJoin(F.broadcast(info.select("los_mean", "los_std")))
+    j = with_global(df, info.select("los_mean", "los_std"))
     return (j.withColumn(out, (F.col(col) - F.col("los_mean")) / (F.col("los_std") + F.lit(EPS_STD)))
              .drop("los_mean", "los_std"))
 

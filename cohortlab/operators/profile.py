@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.functions.exprs import nan_to_null
+from cohortlab.functions.exprs import nan_to_null, with_global
 from cohortlab.functions.ordered import exact_quantiles
 from cohortlab.session import materialize
 
@@ -45,7 +45,7 @@ def visit_count_stats(counts: DataFrame, col: str = "n_visits") -> DataFrame:
     """Op 11: mean / median / max / min of the group sizes."""
     m = counts.agg(F.avg(col).alias("mean_visits"), F.max(col).alias("max_visits"), F.min(col).alias("min_visits"))
     med = exact_quantiles(counts, [], col, [0.5]).select(F.col("q0").alias("median_visits"))
-    return m.crossJoin(med).select("mean_visits", "median_visits", "max_visits", "min_visits")
+    return with_global(m, med).select("mean_visits", "median_visits", "max_visits", "min_visits")
 
 
 def visit_count_distribution(counts: DataFrame, col: str = "n_visits") -> DataFrame:

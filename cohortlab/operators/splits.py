@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.functions.exprs import hash_order
+from cohortlab.functions.exprs import hash_order, with_global
 from cohortlab.session import materialize
 
 _BUCKET_BITS = 16
@@ -60,13 +60,13 @@ def take_first_by_hash(df: DataFrame, group_cols: list[str], quotas: DataFrame,
     hist = d.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*group_cols).orderBy("_b")
     hist = hist.withColumn("_before", F.sum("_cnt").over(w) - F.col("_cnt"))
-    hist = hist.join(F.broadcast(quotas), group_cols) if group_cols else hist.crossJoin(F.broadcast(quotas))
+    hist = hist.join(F.broadcast(quotas), group_cols) if group_cols else with_global(hist, quotas)
     # first bucket that cannot be taken whole; none -> every row is selected
     hist = hist.withColumn("_over", F.col("_before") + F.col("_cnt") > F.col("quota"))
     cut = hist.groupBy(*group_cols, "quota").agg(
         F.coalesce(F.min(F.when(F.col("_over"), F.col("_b"))), F.lit(1 << (32 - _BUCKET_BITS))).alias("_cb"),
         F.coalesce(F.min_by(F.col("_before"), F.when(F.col("_over"), F.col("_b"))), F.lit(0)).alias("_cbase"))
-    d = d.join(F.broadcast(cut), group_cols) if group_cols else d.crossJoin(F.broadcast(cut))
+    d = d.join(F.broadcast(cut), group_cols) if group_cols else with_global(d, cut)
     wr = Window.partitionBy(*group_cols, "_b").orderBy(h_col, id_col)
     sel = (F.col("_b") < F.col("_cb")) | (
         (F.col("_b") == F.col("_cb")) & (F.col("_cbase") + F.row_number().over(wr) <= F.col("quota")))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.functions.exprs import common_prefix_len
+from cohortlab.functions.exprs import common_prefix_len, with_global
 from cohortlab.functions.ordered import average_rank, dense_rank, ordered_cumsum
 from cohortlab.session import materialize
 
@@ -79,7 +79,7 @@ def kendall_tau_b(df: DataFrame, group_cols: list[str], x: str, y: str) -> DataF
     cells = dense_rank(cells, group_cols, "_x", "_rx")
     cells = dense_rank(cells, group_cols, "_y", "_ry")
     mx = cells.groupBy(*group_cols).agg(F.max("_rx").alias("_mx"))
-    cells = cells.join(mx, group_cols) if group_cols else cells.crossJoin(mx)
+    cells = cells.join(mx, group_cols) if group_cols else with_global(cells, mx)
     levels = F.ceil(F.log2(F.col("_mx") + 1)).cast("int")
     ex = cells.withColumn("_lvl", F.explode(F.sequence(F.lit(0), F.greatest(levels - 1, F.lit(0)))))
     ex = ex.withColumn("_blk", F.expr("shiftright(_rx, _lvl + 1)")) \
@@ -91,7 +91,7 @@ def kendall_tau_b(df: DataFrame, group_cols: list[str], x: str, y: str) -> DataF
     nd = c.groupBy(*group_cols).agg(F.sum(F.col("_rgt") * (F.col("_left_cum") - F.col("_left"))).alias("_nd"))
     out = n
     for t in (tie_pairs(["_x"], "_n1"), tie_pairs(["_y"], "_n2"), tie_pairs(["_x", "_y"], "_n3"), nd):
-        out = out.join(t, group_cols, "left") if group_cols else out.crossJoin(t)
+        out = out.join(t, group_cols, "left") if group_cols else with_global(out, t)
     n0 = F.col("_n") * (F.col("_n") - 1) / 2
     num = n0 - F.col("_n1") - F.col("_n2") + F.col("_n3") - 2 * F.coalesce(F.col("_nd"), F.lit(0))
     den = F.sqrt((n0 - F.col("_n1")) * (n0 - F.col("_n2")))
@@ -127,7 +127,7 @@ def centre_row(centres: DataFrame) -> DataFrame:
 
 def nearest_center(points: DataFrame, vec: str, centres: DataFrame, out: str = "center") -> DataFrame:
     """Op 95: nearest centre by squared L2 distance (ties -> smaller cluster id)."""
-    j = points.crossJoin(F.broadcast(centre_row(centres)))
+    j = with_global(points, centre_row(centres))
     d = F.transform("_centres", lambda c: F.struct(sq_dist(F.col(vec), c["centre"]).alias("d"), c["cluster"].alias("c")))
     return j.withColumn(out, F.array_min(d)["c"]).drop("_centres")
 
@@ -194,7 +194,7 @@ def calinski_harabasz(df: DataFrame, group_cols: list[str], cluster: str, vec: s
         F.sum(F.col("_ss") - F.col("_s") * mean_c).alias("_w"),
         F.count_distinct("_c").alias("_k"))
     nn = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_nrows"))
-    p = parts.join(nn, group_cols) if group_cols else parts.crossJoin(nn)
+    p = parts.join(nn, group_cols) if group_cols else with_global(parts, nn)
     return p.select(*group_cols, F.when(F.col("_w") == 0, F.lit(1.0)).otherwise(
         (F.col("_b") / (F.col("_k") - 1)) / (F.col("_w") / (F.col("_nrows") - F.col("_k")))).alias("ch"))
 
@@ -232,7 +232,7 @@ def cluster_report(ch: DataFrame, distances: DataFrame, group_cols: list[str]) -
     d = distances.groupBy(*group_cols).agg(F.coalesce(F.avg(F.when(F.col("mean_distance") > 0,
                                                                    F.col("mean_distance"))), F.lit(0.0))
                                            .alias("average_distance"))
-    return ch.join(d, group_cols) if group_cols else ch.crossJoin(d)
+    return ch.join(d, group_cols) if group_cols else with_global(ch, d)
 
 
 def tree_path(code: Column) -> Column:
