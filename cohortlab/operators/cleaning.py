@@ -59,7 +59,7 @@ def drop_missing_labels(df: DataFrame, subset: list[str]) -> DataFrame:
 def los_label(df: DataFrame, start_col: str, end_col: str, out: str = "los") -> DataFrame:
     """Op 18: remaining stay in days per row, max(0, end - start); null dates stay null."""
     days = F.datediff(F.col(end_col), F.col(start_col))
-    return df.withColumn(out, F.when(days.isNotNull(), F.greatest(days, F.lit(0))))
+    return df.withColumn(out, F.when(days.isNotNull(), F.greatest(days, F.lit(0))).cast("bigint"))
 
 
 def constant_column_verdict(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -96,7 +96,7 @@ def q_write_prompts(spark, sf):
 
 
 @register("write_run_summary", oracle(
-    "SELECT model, COUNT(*) AS n, SUM(label) AS n_pos, AVG(pred) AS mean_pred FROM f_preds GROUP BY model",
+    "SELECT model, COUNT(*) AS n, CAST(SUM(label) AS BIGINT) AS n_pos, AVG(pred) AS mean_pred FROM f_preds GROUP BY model",
     ("f_preds",), dbl=("mean_pred",)))
 def q_write_run_summary(spark, sf):
     path = scratch_dir(spark, "runs")

@@ -29,7 +29,7 @@ def _row_sql(cols, digits=6):
     "FROM panel GROUP BY id", _PANEL_FIX, ctes=_PANEL_ALL))
 def q_pack_sequences(spark, sf):
     p = sequences.pack_sequences(panel_pipeline(spark, sf), "id", "record_date", LAB_FEATURES)
-    return p.select("id", F.size("x_ts").alias("n_visits"), nested_text("x_ts").alias("x_ts"))
+    return p.select("id", F.size("x_ts").cast("bigint").alias("n_visits"), nested_text("x_ts").alias("x_ts"))
 
 
 @register("record_time_list", oracle(
@@ -66,7 +66,7 @@ def q_assemble_records(spark, sf):
     from cohortlab.operators import panel as P
     visits = fixture(spark, sf, "f_visits")
     x = sequences.pack_sequences(panel_pipeline(spark, sf), "id", "record_date", LAB_FEATURES).select(
-        "id", F.size("x_ts").alias("n_visits"), nested_text("x_ts").alias("x_ts"))
+        "id", F.size("x_ts").cast("bigint").alias("n_visits"), nested_text("x_ts").alias("x_ts"))
     mm = sequences.pack_sequences(P.missing_mask(visits, _MASK_COLS), "id", "record_date", [],
                                   extra=["missing_mask"]).select(
         "id", nested_text("missing_mask", None).alias("missing_mask"),
@@ -328,8 +328,9 @@ def q_label_pick(spark, sf):
 
 
 @register("token_usage", oracle(
-    "SELECT conv_id, SUM(CASE WHEN role = 'user' THEN len(regexp_extract_all(text, '\\S+')) ELSE 0 END) AS prompt_tokens, "
-    "SUM(CASE WHEN role = 'assistant' THEN len(regexp_extract_all(text, '\\S+')) ELSE 0 END) AS completion_tokens "
+    "SELECT conv_id, CAST(SUM(CASE WHEN role = 'user' THEN len(regexp_extract_all(text, '\\S+')) ELSE 0 END) AS BIGINT) "
+    "AS prompt_tokens, CAST(SUM(CASE WHEN role = 'assistant' THEN len(regexp_extract_all(text, '\\S+')) ELSE 0 END) "
+    "AS BIGINT) AS completion_tokens "
     "FROM conversations GROUP BY conv_id"))
 def q_token_usage(spark, sf):
     c = read_table(spark, sf, "conversations", ["conv_id", "role", "text"])

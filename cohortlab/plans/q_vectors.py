@@ -136,7 +136,7 @@ def _codes(spark, sf):
 
 
 @register("code_distance", oracle(
-    "SELECT id_a, id_b, len(code_a) + len(code_b) - 2 * " + _lcp_sql("code_a", "code_b") + " AS dist FROM cp",
+    "SELECT id_a, id_b, CAST(len(code_a) + len(code_b) - 2 * " + _lcp_sql("code_a", "code_b") + " AS BIGINT) AS dist FROM cp",
     ("f_codes",), ctes=_CODE_CTES))
 def q_code_distance(spark, sf):
     c = _codes(spark, sf)
@@ -172,8 +172,8 @@ def q_code_tree(spark, sf):
 
 
 @register("tree_distance", oracle(
-    "SELECT id_a, id_b, len(pa) + len(pb) - 2 * list_sum(list_transform(range(1, LEAST(len(pa), len(pb)) + 1), "
-    "lambda i: CASE WHEN pa[i] = pb[i] THEN 1 ELSE 0 END)) AS dist FROM (SELECT id_a, id_b, "
+    "SELECT id_a, id_b, CAST(len(pa) + len(pb) - 2 * list_sum(list_transform(range(1, LEAST(len(pa), len(pb)) + 1), "
+    "lambda i: CASE WHEN pa[i] = pb[i] THEN 1 ELSE 0 END)) AS BIGINT) AS dist FROM (SELECT id_a, id_b, "
     + _path_sql("code_a") + " AS pa, " + _path_sql("code_b") + " AS pb FROM cp)", ("f_codes",), ctes=_CODE_CTES))
 def q_tree_distance(spark, sf):
     c = _codes(spark, sf)

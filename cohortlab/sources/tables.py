@@ -41,7 +41,7 @@ SELECT o_orderkey AS record_id, o_custkey AS patient_id, CAST(o_orderdate AS DAT
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 GROUP BY o_orderkey, o_custkey, CAST(o_orderdate AS DATE), o_orderstatus"""),
     "f_sparse_ids": (("conversations",), """
-SELECT ROW_NUMBER() OVER (ORDER BY conv_id, turn) AS src_row,
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY conv_id, turn) AS BIGINT) AS src_row,
        CASE WHEN turn = 0 THEN conv_id END AS id_sparse, role
 FROM conversations"""),
     "f_documents": (("documents",), """
