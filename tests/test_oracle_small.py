@@ -20,7 +20,18 @@ def test_entry_smoke(spark):
     assert "id" in df.columns
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("key", sorted(k for k in E.queries() if k not in SLOW))
 def test_query_matches_oracle(spark, duck_small, key):
     r = compare(spark, duck_small, key, E.queries()[key], E.oracle_sql().get(key), SF_SMALL)
     assert r["ok"] in (True, None), r
+
+
+@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+def test_result_types_match_oracle(spark, duck_small, key):
+    sdf = E.queries()[key](spark, SF_SMALL)
+    spark_types = {n: TYPES.get(t, t) for n, t in sdf.dtypes}
+    duck_types = {r[0]: r[1] for r in duck_small.execute(f"DESCRIBE {E.oracle_sql()[key]}").fetchall()}
+    assert spark_types == duck_types
