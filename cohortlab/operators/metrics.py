@@ -75,6 +75,12 @@ def pr_curve(df: DataFrame, run_cols: list[str], score: str = "pred", label: str
     return curve_from_table(score_table(df, run_cols, score, label, weight), run_cols, buckets)
 
 
+def roc_points(curve: DataFrame, run_cols: list[str]) -> DataFrame:
+    """Op 74 (ROC view of the same table): true- and false-positive rate per threshold."""
+    return curve.select(*run_cols, "threshold", safe_div(F.col("tp"), F.col("P")).alias("tpr"),
+                        safe_div(F.col("fp"), F.col("N")).alias("fpr"))
+
+
 def confusion_from_table(agg: DataFrame, run_cols: list[str], threshold: float = 0.5) -> DataFrame:
     p = F.col("threshold") > threshold
     s = agg.groupBy(*run_cols).agg(

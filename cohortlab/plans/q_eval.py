@@ -59,6 +59,13 @@ def q_pr_curve(spark, sf):
     return metrics.pr_curve(_preds(spark, sf), ["model"])
 
 
+@register("roc_points", oracle(
+    "SELECT model, threshold, COALESCE(tp / NULLIF(P, 0), 0) AS tpr, COALESCE(fp / NULLIF(N, 0), 0) AS fpr FROM cur",
+    ("f_preds",), ctes=tuple(curve_ctes("f_preds")), dbl=("threshold", "tpr", "fpr")))
+def q_roc_points(spark, sf):
+    return metrics.roc_points(metrics.pr_curve(_preds(spark, sf), ["model"]), ["model"])
+
+
 for _m in ("auroc", "auprc", "minpse"):
     def _mk(m):
         @register(m, oracle(f"SELECT model, {m} FROM cur_m", ("f_preds",), ctes=tuple(curve_ctes("f_preds")),
