@@ -116,10 +116,13 @@ def exact_quantiles(df: DataFrame, key_cols: list[str], value_col: str, probs: l
 
     Output: key_cols, ``{prefix}{i}`` per probability (null for an empty group).
     """
-    delta = 5.0 / accuracy
     v = df.select(*key_cols, F.col(value_col).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     largest = v.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    # bracket width ~10 n / accuracy: raise the sketch accuracy with n so that at most
+    # ~1e6 candidate values per key reach the exact ranking step
+    accuracy = max(accuracy, min(10_000_000, -(-largest // 100_000)))
+    delta = 5.0 / accuracy
     if largest <= map_limit:
         pa = v.groupBy(*key_cols).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
         return pa.select(*key_cols, *[F.col("_q")[i].alias(f"{prefix}{i}") for i in range(len(probs))])
