@@ -34,7 +34,7 @@ def panel_stats(spark: SparkSession, sf: str) -> DataFrame:
     return panel.trimmed_stats(train, PANEL_FEATURES)
 
 
-def panel_pipeline(spark: SparkSession, sf: str, stage: str = "locf") -> DataFrame:
+def build_panel(spark: SparkSession, sf: str, stage: str = "locf") -> DataFrame:
     """f_visits -> train stats -> z-score -> clip -> LOCF (the flagship slice)."""
     visits = fixture(spark, sf, "f_visits")
     stats = panel_stats(spark, sf)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortlab.operators import cleaning, panel, profile, splits
 from cohortlab.plans import sqlparts as S
 from cohortlab.plans.common import (LAB_FEATURES, PANEL_FEATURES, EVENT_TYPES, admissions_los,
-                                    customer_cohort, customer_splits, panel_pipeline, panel_splits,
+                                    customer_cohort, customer_splits, build_panel, panel_splits,
                                     panel_stats)
 from cohortlab.plans.registry import oracle, register
 from cohortlab.sources.tables import fixture, read_table
@@ -209,19 +209,19 @@ _PANEL_ALL = tuple(S.panel_ctes())
 @register("zscore", oracle("SELECT * FROM zs", ("f_patients", "f_visits"), ctes=_PANEL_ALL,
                            dbl=tuple(PANEL_FEATURES), txt=("record_date",)))
 def q_zscore(spark, sf):
-    return panel_pipeline(spark, sf, "zscore")
+    return build_panel(spark, sf, "zscore")
 
 
 @register("clip_outlier_to_zero", oracle("SELECT * FROM zc", ("f_patients", "f_visits"), ctes=_PANEL_ALL,
                                          dbl=tuple(PANEL_FEATURES), txt=("record_date",)))
 def q_clip(spark, sf):
-    return panel_pipeline(spark, sf, "clip")
+    return build_panel(spark, sf, "clip")
 
 
 @register("locf_impute", oracle("SELECT * FROM panel", ("f_patients", "f_visits"), ctes=_PANEL_ALL,
                                 dbl=tuple(PANEL_FEATURES), txt=("record_date",)))
 def q_locf(spark, sf):
-    return panel_pipeline(spark, sf, "locf")
+    return build_panel(spark, sf, "locf")
 
 
 @register("last_visit", oracle(
@@ -230,7 +230,7 @@ def q_locf(spark, sf):
     + ", MAX(pt.outcome) AS outcome FROM panel p JOIN f_patients pt ON pt.id = p.id GROUP BY p.id",
     ("f_patients", "f_visits"), ctes=_PANEL_ALL, dbl=tuple(PANEL_FEATURES), txt=("record_date",)))
 def q_last_visit(spark, sf):
-    p = panel_pipeline(spark, sf, "locf")
+    p = build_panel(spark, sf, "locf")
     lv = panel.last_visit(p, "id", "record_date", PANEL_FEATURES)
     lab = fixture(spark, sf, "f_patients").select("id", "outcome")
     return lv.join(lab, "id")

@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlab.operators import metrics, ml, panel, splits
-from cohortlab.plans.common import PANEL_FEATURES, panel_pipeline, panel_splits
+from cohortlab.plans.common import PANEL_FEATURES, build_panel, panel_splits
 from cohortlab.plans.registry import register
 from cohortlab.sources.tables import fixture
 
 
 def _last_visit_table(spark, sf):
-    p = panel_pipeline(spark, sf)
+    p = build_panel(spark, sf)
     lv = panel.last_visit(p, "id", "record_date", PANEL_FEATURES + ["sex"])
     lab = fixture(spark, sf, "f_patients").select("id", "outcome")
     sp = panel_splits(spark, sf).select("id", "split")

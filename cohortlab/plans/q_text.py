@@ -10,7 +10,7 @@ from cohortlab.functions import templates as TPL
 from cohortlab.functions.exprs import array_text, nested_text
 from cohortlab.operators import joins, prompts, sequences
 from cohortlab.plans import sqlparts as S
-from cohortlab.plans.common import LAB_FEATURES, panel_pipeline
+from cohortlab.plans.common import LAB_FEATURES, build_panel
 from cohortlab.plans.registry import oracle, register
 from cohortlab.sources.tables import fixture, read_table
 
@@ -28,7 +28,7 @@ def _row_sql(cols, digits=6):
     "SELECT id, COUNT(*) AS n_visits, string_agg(" + _row_sql(LAB_FEATURES) + ", ';' ORDER BY record_date) AS x_ts "
     "FROM panel GROUP BY id", _PANEL_FIX, ctes=_PANEL_ALL))
 def q_pack_sequences(spark, sf):
-    p = sequences.pack_sequences(panel_pipeline(spark, sf), "id", "record_date", LAB_FEATURES)
+    p = sequences.pack_sequences(build_panel(spark, sf), "id", "record_date", LAB_FEATURES)
     return p.select("id", F.size("x_ts").cast("bigint").alias("n_visits"), nested_text("x_ts").alias("x_ts"))
 
 
@@ -65,7 +65,7 @@ _MASK_COLS = ["sex", "age"] + LAB_FEATURES
 def q_assemble_records(spark, sf):
     from cohortlab.operators import panel as P
     visits = fixture(spark, sf, "f_visits")
-    x = sequences.pack_sequences(panel_pipeline(spark, sf), "id", "record_date", LAB_FEATURES).select(
+    x = sequences.pack_sequences(build_panel(spark, sf), "id", "record_date", LAB_FEATURES).select(
         "id", F.size("x_ts").cast("bigint").alias("n_visits"), nested_text("x_ts").alias("x_ts"))
     mm = sequences.pack_sequences(P.missing_mask(visits, _MASK_COLS), "id", "record_date", [],
                                   extra=["missing_mask"]).select(
@@ -78,7 +78,7 @@ def q_assemble_records(spark, sf):
 
 
 def _padded(spark, sf):
-    p = sequences.pack_sequences(panel_pipeline(spark, sf), "id", "record_date", LAB_FEATURES, extra=["error"])
+    p = sequences.pack_sequences(build_panel(spark, sf), "id", "record_date", LAB_FEATURES, extra=["error"])
     p = p.withColumn("batch", F.floor(F.col("id") / 32))
     return sequences.pad_sequences(p, "batch", "x_ts", len(LAB_FEATURES))
 
