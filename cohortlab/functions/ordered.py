@@ -98,8 +98,16 @@ def dense_rank(df: DataFrame, group_cols: list[str], value_col: str, out: str =
 MAP_QUANTILE_LIMIT = 2_000_000  # groups up to this size use Spark's exact value->count map
 
 
+def largest_group(df: DataFrame, key_cols: list[str], value_col: str) -> int:
+    """Size of the largest key group of non-null values (one small aggregate job)."""
+    v = F.col(value_col).cast("double")
+    n = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n"))
+    return n.agg(F.max("_n")).first()[0] or 0
+
+
 def exact_quantiles(df: DataFrame, key_cols: list[str], value_col: str, probs: list[float],
-                    accuracy: int = 10000, prefix: str = "q", map_limit: int = MAP_QUANTILE_LIMIT) -> DataFrame:
+                    accuracy: int = 10000, prefix: str = "q", map_limit: int = MAP_QUANTILE_LIMIT,
+                    largest: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per key (numpy / ``quantile_cont`` rule),
     without holding a group's values in one map.
 
@@ -118,7 +126,8 @@ def exact_quantiles(df: DataFrame, key_cols: list[str], value_col: str, probs: l
     """
     v = df.select(*key_cols, F.col(value_col).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    largest = v.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest is None:  # callers that already know an upper bound pass it in
+        largest = largest_group(df, key_cols, value_col)
     # bracket width ~10 n / accuracy: raise the sketch accuracy with n so that at most
     # ~1e6 candidate values per key reach the exact ranking step
     accuracy = max(accuracy, min(10_000_000, -(-largest // 100_000)))

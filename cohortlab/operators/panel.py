@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.exprs import EPS_STD, nan_to_null, safe_div, with_global
-from cohortlab.functions.ordered import exact_quantiles
+from cohortlab.functions.ordered import exact_quantiles, largest_group
 from cohortlab.session import materialize
 
 OUTLIER_LIMIT = 1e4  # |z| above this is replaced by 0
@@ -72,10 +72,12 @@ def trimmed_stats(train: DataFrame, features: list[str], lo: float = 0.05, hi: f
     ]))).where(F.col("value").isNotNull())
     cells = materialize(cells)  # read several times below; written once instead of recomputed
     names = train.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in features])).alias("feature"))
-    q = exact_quantiles(cells, ["feature"], "value", [lo, hi])
+    largest = largest_group(cells, ["feature"], "value")  # also bounds the kept cells below
+    q = exact_quantiles(cells, ["feature"], "value", [lo, hi], largest=largest)
     kept = cells.join(F.broadcast(q), "feature").where((F.col("value") > F.col("q0")) & (F.col("value") < F.col("q1")))
     mom = kept.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    med = exact_quantiles(kept.select("feature", "value"), ["feature"], "value", [0.5]).withColumnRenamed("q0", "median")
+    med = exact_quantiles(kept.select("feature", "value"), ["feature"], "value", [0.5],
+                          largest=largest).withColumnRenamed("q0", "median")
     st = names.join(mom, "feature", "left").join(med, "feature", "left")
     m, sd, md = (F.coalesce(nan_to_null(F.col(k)), F.lit(0.0)) for k in ("mean", "std", "median"))
     st = st.select("feature", m.alias("mean"), sd.alias("std"), md.alias("median"))
