@@ -206,3 +206,35 @@ def test_stratified_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(splits, "SMALL_STRATUM_ROWS", 0)  # force the hash-histogram selection
     big = {(r.id, r.split) for r in splits.assign_splits(cohort, test_n=200).collect()}
     assert small == big
+
+
+def test_fill_id_down_across_blocks(spark):
+    from cohortlab.operators import cleaning
+    rows = [(i, (i // 10) if i % 10 == 0 else None) for i in range(1, 95)]  # ids every 10 rows, first row empty
+    df = spark.createDataFrame(rows, "src_row long, id_sparse long")
+    want = {}
+    last = None
+    for i, v in rows:
+        last = v if v is not None else last
+        want[i] = last
+    for block in (7, 1 << 20):  # many small ranges (carry path) and one range
+        got = {r.src_row: r.id for r in cleaning.fill_id_down(df, "src_row", "id_sparse", "id", block).collect()}
+        assert got == want
+
+
+def test_locf_bucket_width_does_not_change_result(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(p, t, None if rnd.random() < 0.6 else float(rnd.randint(0, 9))) for p in range(4) for t in range(60)]
+    df = spark.createDataFrame(rows, "id int, t int, x double")
+    ref = {(r.id, r.t): r.x for r in panel.locf_impute(df, "id", "t", ["x"], bucket_width=1000).collect()}
+    for width in (1, 3, 7):
+        got = {(r.id, r.t): r.x for r in panel.locf_impute(df, "id", "t", ["x"], bucket_width=width).collect()}
+        assert got == ref
+    # brute force
+    for p in range(4):
+        last = -1.0
+        for t in range(60):
+            v = dict(((a, b), c) for a, b, c in rows)[(p, t)]
+            last = v if v is not None else last
+            assert ref[(p, t)] == last
