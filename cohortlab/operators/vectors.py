@@ -71,12 +71,14 @@ def kendall_tau_b(df: DataFrame, group_cols: list[str], x: str, y: str) -> DataF
     d = df.select(*group_cols, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
           .na.drop(subset=["_x", "_y"])
 
+    # distinct (x, y) cells with multiplicities, written once: every count below reads them
+    base = materialize(d.groupBy(*group_cols, "_x", "_y").agg(F.count(F.lit(1)).alias("_w")))
+
     def tie_pairs(cols, name):
-        t = d.groupBy(*group_cols, *cols).agg(F.count(F.lit(1)).alias("_c"))
+        t = base.groupBy(*group_cols, *cols).agg(F.sum("_w").alias("_c"))
         return t.groupBy(*group_cols).agg(F.sum(F.col("_c") * (F.col("_c") - 1) / 2).alias(name))
-    n = d.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    cells = d.groupBy(*group_cols, "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
-    cells = dense_rank(cells, group_cols, "_x", "_rx")
+    n = base.groupBy(*group_cols).agg(F.sum("_w").alias("_n"))
+    cells = dense_rank(base, group_cols, "_x", "_rx")
     cells = dense_rank(cells, group_cols, "_y", "_ry")
     mx = cells.groupBy(*group_cols).agg(F.max("_rx").alias("_mx"))
     cells = cells.join(mx, group_cols) if group_cols else with_global(cells, mx)
