@@ -215,11 +215,14 @@ def bootstrap_ci(df: DataFrame, run_cols: list[str], id_col: str = "id", score:
     if base.rdd.getNumPartitions() < par:  # spread the B-fold expansion over all cores
         base = base.repartition(par, id_col)
     bw = bootstrap_weights(base, id_col, resamples, seed)
-    table = materialize(score_table(bw, run_cols + ["b"], score, label, weight="w"))
-    per = binary_metrics(None, run_cols + ["b"], table=table)
+    # b = 0 is the original sample (weight 1): point estimates come from the same table
+    orig = base.withColumn("b", F.lit(0)).withColumn("w", F.lit(1))
+    table = materialize(score_table(orig.unionByName(bw), run_cols + ["b"], score, label, weight="w"))
+    every = binary_metrics(None, run_cols + ["b"], table=table)
+    point = every.where(F.col("b") == 0).drop("b")
     cls = table.groupBy(*run_cols, "b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    per = per.join(cls.where((F.col("_p") > 0) & (F.col("_n") > 0)), run_cols + ["b"], "left_semi")
-    point = binary_metrics(df, run_cols, score, label)
+    per = every.where(F.col("b") > 0).join(cls.where((F.col("_p") > 0) & (F.col("_n") > 0)),
+                                           run_cols + ["b"], "left_semi")
     arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])
     per_l = per.select(*run_cols, "b", F.inline(arr))
     pt_l = point.select(*run_cols, F.inline(arr)).withColumnRenamed("v", "point")
