@@ -121,9 +121,11 @@ def q_stream_ingest(spark, sf):
     root = scratch_dir(spark, "stream")
     src = os.path.join(root, "in")
     raw = fixture(spark, sf, "f_responses").select(F.lit(RUN).alias("run"), "id", "response",
-                                                   F.lit(None).cast("double").alias("label"))
+                                                   F.lit(None).cast("double").alias("label"),
+                                                   F.current_timestamp().alias("received_at"))
     # two deliveries of the same responses: every (run, id) must come out once
     raw.write.mode("append").json(src)
     raw.write.mode("append").json(src)
-    out = ingest_available(spark, src, os.path.join(root, "out"), os.path.join(root, "ckpt"))
+    out = ingest_available(spark, src, os.path.join(root, "out"), os.path.join(root, "ckpt"),
+                           redelivery_window="1 hour")
     return out.select("run", "id", "think", "pred", "status")

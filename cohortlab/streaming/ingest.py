@@ -1,7 +1,8 @@
 """Op 110: streaming ingest of response files, each (run, id) taken once.
 
 Files land in a folder; a Structured Streaming query parses them (op 66),
-drops repeated (run, id) keys with state kept in the checkpoint, and appends
+drops repeated (run, id) keys (state bounded by a watermark on the arrival
+time when one is given, else kept in the checkpoint), and appends
 to a parquet sink. ``availableNow`` processes what is there and stops, so the
 same job serves as an incremental batch.
 """
@@ -10,21 +11,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlab.operators.prompts import parse_response
 from cohortlab.sources.io import RESPONSE_RECORD
 
 
-def response_stream(spark: SparkSession, source: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    raw = (spark.readStream.schema(RESPONSE_RECORD).option("maxFilesPerTrigger", max_files_per_trigger)
+STREAM_RECORD = T.StructType(RESPONSE_RECORD.fields + [T.StructField("received_at", T.TimestampType())])
+
+
+def response_stream(spark: SparkSession, source: str, max_files_per_trigger: int = 1000,
+                    redelivery_window: str | None = None) -> DataFrame:
+    """Parsed responses, each (run, id) once.
+
+    With ``redelivery_window`` (e.g. "1 hour") and a ``received_at`` time on the
+    records, repeats are dropped within that event-time window and the dedup
+    state is evicted behind the watermark, so it stays bounded. Without it the
+    (run, id) keys are kept for the life of the checkpoint.
+    """
+    raw = (spark.readStream.schema(STREAM_RECORD).option("maxFilesPerTrigger", max_files_per_trigger)
            .json(source))
-    parsed = parse_response(raw.select("run", "id", "response", "label"), "response")
+    parsed = parse_response(raw.select("run", "id", "response", "label", "received_at"), "response")
+    if redelivery_window:
+        return (parsed.withWatermark("received_at", redelivery_window)
+                      .dropDuplicatesWithinWatermark(["run", "id"]))
     return parsed.dropDuplicates(["run", "id"])
 
 
-def ingest_available(spark: SparkSession, source: str, sink: str, checkpoint: str) -> DataFrame:
+def ingest_available(spark: SparkSession, source: str, sink: str, checkpoint: str,
+                     redelivery_window: str | None = None) -> DataFrame:
     """Run the stream over all files present now, then return the sink as a table."""
-    q = (response_stream(spark, source).writeStream.format("parquet").option("path", sink)
+    q = (response_stream(spark, source, redelivery_window=redelivery_window)
+         .writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(sink).select("run", "id", "think", "pred", "status",
