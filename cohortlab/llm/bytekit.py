@@ -119,7 +119,7 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int = 5):
     """
     n_words = np.diff(first)
     total = np.zeros(h.size, np.uint64)
-    for j in range(k):
+    for j in range(min(k, h.size)):
         total[:h.size - j] += h[j:] * _PLACE[j]
     count = np.where(n_words >= k, n_words - k + 1, np.minimum(n_words, 1))
     keep = np.ones(h.size, bool)

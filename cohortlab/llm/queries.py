@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import line_runs, oracles
+from cohortlab.llm import line_runs, ngram_jaccard, oracles
 from cohortlab.llm.common import read_table
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.report(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,
 }
 
