@@ -75,15 +75,18 @@ def blocks(offsets: np.ndarray, most: int = BLOCK):
         lo = hi
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
-    """Byte ``starts`` and ``ends`` of the words, and each row's first word (n + 1 entries)."""
-    inside = is_word[data]
-    opens, closes = inside.copy(), inside.copy()
-    opens[1:] &= ~inside[:-1]
-    closes[:-1] &= ~inside[1:]
+def find_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray):
+    """Byte ``starts`` and ``ends`` of the runs of one byte class (0 or False: no word), and
+    each row's first run (n + 1 entries)."""
+    cls = classes[data]
+    opens = cls != 0
+    closes = opens.copy()
+    same = cls[1:] == cls[:-1]
+    opens[1:] &= ~same
+    closes[:-1] &= ~same
     full = offsets[:-1] < offsets[1:]
     at, last = offsets[:-1][full], offsets[1:][full] - 1
-    opens[at], closes[last] = inside[at], inside[last]
+    opens[at], closes[last] = cls[at] != 0, cls[last] != 0
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 

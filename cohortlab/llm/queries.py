@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import line_runs, ngram_jaccard, oracles
+from cohortlab.llm import decontaminate, line_runs, ngram_jaccard, oracles, piece_codec, quality
 from cohortlab.llm.common import read_table
 
 
@@ -12,13 +12,29 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.drop("rid")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.report(read_table(spark, sf_dir, "documents"))
 
 
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_quality": op3_quality,
+    "op7_decontaminate": op7_decontaminate,
     "op8_line_dedup": op8_line_dedup,
+    "op10_piece_codec": op10_piece_codec,
 }
 
 
