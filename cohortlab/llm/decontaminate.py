@@ -113,7 +113,7 @@ def _index(vocabulary, anchor_terms, reach):
 
     def posted(batches):
         v, lead = vocabulary.value, anchor_terms.value
-        is_anchor = np.isin(v.terms, lead)
+        is_anchor = np.append(np.isin(v.terms, lead), False)  # the last one is for "not a term"
         for b in batches:
             ids, rids = b.column("doc_id"), b.column("rid")
             for lo, hi, h, first in _terms(b.column("text")):
