@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import decontaminate, line_runs, ngram_jaccard, oracles, piece_codec, quality
+from cohortlab.llm import (decontaminate, fingerprints, html_extract, line_runs, ngram_jaccard, oracles, piece_codec, quality,
+                           token_counts, unit_dedup)
 from cohortlab.llm.common import read_table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.report(read_table(spark, sf_dir, "documents"))
 
@@ -16,6 +21,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(read_table(spark, sf_dir, "documents"))
+
+
+def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return out.drop("rid")
@@ -25,15 +38,23 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.report(read_table(spark, sf_dir, "documents"))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_quality": op3_quality,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_unit_dedup": op5_unit_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_line_dedup": op8_line_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_piece_codec": op10_piece_codec,
 }
 
