@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import (decontaminate, fingerprints, html_extract, line_runs, ngram_jaccard, oracles, piece_codec, quality,
-                           token_counts, unit_dedup)
+from cohortlab.llm import (decontaminate, fingerprints, html_extract, line_runs, ngram_jaccard, oracles, pii, piece_codec,
+                           quality, token_counts, unit_dedup)
 from cohortlab.llm.common import read_table
 
 
@@ -29,6 +29,10 @@ def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return out.drop("rid")
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_fingerprints": op4_fingerprints,
     "op5_unit_dedup": op5_unit_dedup,
+    "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
