@@ -11,8 +11,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20      # bytes hashed in one go
-_LONG_WORD = 1 << 20  # longer words are hashed by blake2b
+BLOCK = 1 << 20      # bytes hashed in one go
+_LONG_WORD = 1 << 19  # longer words are hashed by blake2b
 
 # Byte classes: fixed by the operators' word patterns.
 NON_SPACE = np.ones(256, bool)

@@ -71,7 +71,7 @@ class Vocabulary:
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """``(item, item_id, terms)``: term hashes of each item that has words; ``item`` numbers rows by content."""
+    """``(item, item_id, terms)``: a number and the term hashes of each item that has words."""
 
     def hashed(batches):
         for b in batches:
@@ -79,7 +79,8 @@ def item_terms(items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(out, pa.list_(pa.int64()))], ["item_id", "terms"])
 
     return (items.select(F.col("item_id").cast("string").alias("item_id"), text_or_empty().alias("text"))
-            .mapInArrow(hashed, "item_id string, terms array<long>").where(F.size("terms") > 0).distinct())
+            .mapInArrow(hashed, "item_id string, terms array<long>").where(F.size("terms") > 0).distinct()
+            .select(F.monotonically_increasing_id().alias("item"), "item_id", "terms"))
 
 
 def frequencies(docs: DataFrame, vocabulary) -> DataFrame:
@@ -98,14 +99,14 @@ def frequencies(docs: DataFrame, vocabulary) -> DataFrame:
 
 
 def anchors(items: DataFrame, freq: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``(term, item_id, terms, places)``: the item positions at which ``term`` anchors a window."""
-    word = items.select("item_id", "terms", F.posexplode("terms").alias("at", "term")).join(freq, "term", "left")
-    ranked = word.groupBy("item_id", "terms").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
+    """``(term, item, places)``: the item positions at which ``term`` anchors a window."""
+    word = items.select("item", "terms", F.posexplode("terms").alias("at", "term")).join(freq, "term", "left")
+    ranked = word.groupBy("item", "terms").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
     best = F.transform(starts, lambda s: F.array_min(F.transform(F.slice("w", s + 1, size), lambda x: F.struct(x["n"], x["at"]))))
-    picked = ranked.select("item_id", "terms", F.explode(F.array_distinct(best)).alias("b")).where("b.n > 0")
-    return (picked.select("item_id", "terms", F.col("b.at").alias("at"), F.get("terms", F.col("b.at")).alias("term"))
-            .groupBy("term", "item_id", "terms").agg(F.array_sort(F.collect_list("at")).alias("places")))
+    picked = ranked.select("item", "terms", F.explode(F.array_distinct(best)).alias("b")).where("b.n > 0")
+    return (picked.select("item", F.col("b.at").alias("at"), F.get("terms", F.col("b.at")).alias("term"))
+            .groupBy("term", "item").agg(F.array_sort(F.collect_list("at")).alias("places")))
 
 
 def _index(vocabulary, anchor_terms, reach):
@@ -145,49 +146,73 @@ def _index(vocabulary, anchor_terms, reach):
 _MATCH = "doc_id long, rid long, item_id string, at array<int>, places array<int>"
 
 
-def _intersect(size):
-    """Rows of one document and item with the document's postings: the matched positions.
+class Items:
+    """The items' terms, one behind the other, for the tasks."""
 
-    ``at``/``places``: document and item position of each word of an occurring window.
+    def __init__(self, rows):
+        self.number = np.array([r.item for r in rows], np.int64)
+        self.ids = [r.item_id for r in rows]
+        self.size = np.array([len(r.terms) for r in rows], np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.size)))
+        self.terms = np.array([t for r in rows for t in r.terms], np.int64)
+
+
+def _nested(col):
+    """Of a list column: rows, and the fields of its structs, the last of which is a list."""
+    bounds = col.offsets.to_numpy()
+    inner = col.values.slice(bounds[0], bounds[-1] - bounds[0])
+    one, many = inner.field(0), inner.field(1)
+    cuts = many.offsets.to_numpy()
+    sizes = np.diff(cuts)
+    row = np.repeat(np.arange(len(col)), np.diff(bounds))
+    return np.repeat(row, sizes), np.repeat(one.to_numpy(), sizes), many.values.to_numpy()[cuts[0]:cuts[-1]].astype(np.int64)
+
+
+def _intersect(items, size):
+    """A row for each document: its postings, and the diagonals on which an anchor lies, by item.
+
+    On each diagonal the item's other lists must meet the document's at the adjusted
+    offsets. ``at``/``places``: document and item position of each word of an occurring window.
     """
 
     def matched(batches):
-        for b in (x.slice(i, 256) for x in batches for i in range(0, len(x), 256)):
-            ids, rids, items, ats, places = [], [], [], [], []
-            for doc_id, rid, item_id, terms, diagonals, post in zip(*(b.column(c).to_pylist() for c in (
-                    "doc_id", "rid", "item_id", "terms", "diagonals", "post"))):
-                lists = {p["term"]: p["positions"] for p in post}
-                need = min(size, len(terms))
-                hits = set()
-                # term by term, the shortest list first: which diagonals it lies on
-                order = sorted(range(len(terms)), key=lambda q: len(lists.get(terms[q], ())))
-                alive = {d: bytearray(len(terms)) for d in diagonals}
-                for q in order:
-                    found = lists.get(terms[q], ())
-                    if len(found) < len(alive):
-                        for p in found:
-                            if p - q in alive:
-                                alive[p - q][q] = 1
-                    else:
-                        found = set(found)
-                        for d, row in alive.items():
-                            row[q] = d + q in found
-                for d, row in alive.items():
-                    run = 0
-                    for q in range(len(terms) + 1):
-                        if q < len(terms) and row[q]:
-                            run += 1
-                            continue
-                        if run >= need:
-                            hits.update((d + x, x) for x in range(q - run, q))
-                        run = 0
-                if hits:
-                    hits = sorted(hits)
-                    ids.append(doc_id), rids.append(rid), items.append(item_id)
-                    ats.append([p for p, _ in hits]), places.append([q for _, q in hits])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rids, pa.int64()), pa.array(items, pa.string()),
-                                              pa.array(ats, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32()))],
-                                             ["doc_id", "rid", "item_id", "at", "places"])
+        known = items.value
+        for b in batches:
+            row, term, pos = _nested(b.column("post"))
+            key = (row << 33) + pos
+            order = np.argsort(key)
+            key, term = key[order], term[order]
+            c_row, c_item, c_diag = _nested(b.column("spots"))
+            c_item = np.searchsorted(known.number, c_item)
+            found: dict[tuple[int, int], set[tuple[int, int]]] = {}
+            ends = np.cumsum(known.size[c_item])
+            lo = 0
+            while lo < c_row.size:   # about a million list entries at once
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 1_000_000)))
+                rows, which, diag = c_row[lo:hi], c_item[lo:hi], c_diag[lo:hi]
+                n = known.size[which]
+                first = np.concatenate(([0], np.cumsum(n)))
+                cand = np.repeat(np.arange(n.size), n)
+                q = np.arange(first[-1]) - first[cand]
+                p = diag[cand] + q
+                want = (rows[cand] << 33) + np.maximum(p, 0)
+                at = np.minimum(np.searchsorted(key, want), max(0, key.size - 1))
+                hit = (p >= 0) & (key[at] == want) & (term[at] == known.terms[known.first[which[cand]] + q])
+                edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
+                cuts = first[1:-1]     # a run ends with its candidate
+                begin = np.union1d(np.flatnonzero(edge == 1), cuts[hit[cuts] & hit[cuts - 1]] if cuts.size else cuts)
+                stop = np.union1d(np.flatnonzero(edge == -1), cuts[hit[cuts] & hit[cuts - 1]] if cuts.size else cuts)
+                full = stop - begin >= np.minimum(size, n[cand[begin]]) if begin.size else np.zeros(0, bool)
+                for x, y in zip(begin[full].tolist(), stop[full].tolist()):
+                    found.setdefault((int(rows[cand[x]]), int(which[cand[x]])), set()).update(zip(p[x:y].tolist(), q[x:y].tolist()))
+                lo = hi
+            names = sorted(found)
+            hits = [sorted(found[k]) for k in names]
+            take = pa.array([r for r, _ in names], pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                b.column("doc_id").take(take), b.column("rid").take(take), pa.array([known.ids[i] for _, i in names], pa.string()),
+                pa.array([[p for p, _ in h] for h in hits], pa.list_(pa.int32())), pa.array([[q for _, q in h] for h in hits], pa.list_(pa.int32()))],
+                ["doc_id", "rid", "item_id", "at", "places"])
 
     return matched
 
@@ -202,6 +227,9 @@ class PositionalIndex:
         if known.size > MAX_TERMS:
             raise ValueError(f"the benchmark has over {MAX_TERMS} different terms; split it into parts")
         vocabulary = spark.sparkContext.broadcast(Vocabulary(known))
+        if (self.items.agg(F.sum(F.size("terms"))).first()[0] or 0) > 4 * MAX_TERMS:
+            raise ValueError(f"the benchmark has over {4 * MAX_TERMS} words; split it into parts")
+        self.held = spark.sparkContext.broadcast(Items(self.items.orderBy("item").collect()))
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("rid"), text_or_empty().alias("text"))
         freq = written(frequencies(rows, vocabulary), "bench-frequencies")
         self.anchors = written(anchors(self.items, freq, size), "bench-anchors")
@@ -215,24 +243,23 @@ class PositionalIndex:
     def phrase_matches(self) -> DataFrame:
         """``(doc_id, rid, item_id, at, places)`` for each document and item with occurring windows."""
         spots = (self.postings.join(self.anchors, "term")
-                 .select("doc_id", "rid", "item_id", "terms",
+                 .select("doc_id", "rid", "item",
                          F.array_distinct(F.flatten(F.transform("positions", lambda p: F.transform("places", lambda q: p - q)))).alias("d")))
-        lines = (spots.groupBy("doc_id", "rid", "item_id", "terms")
-                 .agg(F.array_distinct(F.flatten(F.collect_set("d"))).alias("diagonals")))
-        lists = (self.postings.groupBy("doc_id", "rid")
-                 .agg(F.collect_set(F.struct("term", "positions")).alias("post")))
+        lines = (spots.groupBy("doc_id", "rid", "item").agg(F.array_distinct(F.flatten(F.collect_set("d"))).alias("d"))
+                 .groupBy("doc_id", "rid").agg(F.collect_list(F.struct("item", "d")).alias("spots")))
+        lists = self.postings.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("term", "positions")).alias("post"))
         both = lines.join(lists, lines.doc_id.eqNullSafe(lists.doc_id) & (lines.rid == lists.rid)).select(
-            lines.doc_id, lines.rid, "item_id", "terms", "diagonals", "post")
-        return both.mapInArrow(_intersect(self.size), _MATCH)
+            lines.doc_id, lines.rid, "spots", "post")
+        return both.mapInArrow(_intersect(self.held, self.size), _MATCH)
 
     def proximity_matches(self) -> DataFrame:
         """``(doc_id, rid, item_id, start)``: a window's anchor at ``start`` and all its terms within ``reach`` words."""
         reach = self.reach
         near = (self.postings.select("doc_id", "rid", "term", F.explode("positions").alias("p")))
-        windows = (self.items.select("item_id", "terms", F.explode(F.sequence(F.lit(0), F.greatest(F.size("terms") - self.size, F.lit(0)))).alias("s"))
-                   .select("item_id", "s", F.array_distinct(F.slice("terms", F.col("s") + 1, self.size)).alias("w")))
-        lead = (self.anchors.select("term", "item_id", F.explode("places").alias("q"))
-                .join(windows, "item_id").where((F.col("q") >= F.col("s")) & (F.col("q") < F.col("s") + self.size)))
+        windows = (self.items.select("item", "item_id", "terms", F.explode(F.sequence(F.lit(0), F.greatest(F.size("terms") - self.size, F.lit(0)))).alias("s"))
+                   .select("item", "item_id", "s", F.array_distinct(F.slice("terms", F.col("s") + 1, self.size)).alias("w")))
+        lead = (self.anchors.select("term", "item", F.explode("places").alias("q"))
+                .join(windows, "item").where((F.col("q") >= F.col("s")) & (F.col("q") < F.col("s") + self.size)))
         spots = lead.join(near, "term").select("item_id", "s", "w", "doc_id", "rid", F.col("p").alias("start"))
         all_terms = spots.select("*", F.explode("w").alias("term"))
         other = near.select(F.col("doc_id").alias("d2"), F.col("rid").alias("r2"), "term", F.col("p").alias("p2"))
