@@ -119,3 +119,13 @@ def with_global(df, row):
     """
     from pyspark.sql import functions as _F
     return df.crossJoin(_F.broadcast(row))
+
+
+def join_null_safe(left, right, keys: list[str], how: str = "inner"):
+    """Join on ``keys`` where null equals null; the right side's keys are not repeated."""
+    if not keys:
+        return with_global(left, right)
+    from pyspark.sql import functions as _F
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [_F.col(f"`{k}`").eqNullSafe(_F.col(f"`_right_{k}`")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])

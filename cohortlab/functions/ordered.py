@@ -15,8 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.functions.exprs import with_global
-
+from cohortlab.functions.exprs import join_null_safe
 from cohortlab.session import materialize
 
 DEFAULT_BUCKETS = 4096
@@ -37,7 +36,7 @@ def ordered_cumsum(agg: DataFrame, group_cols: list[str], value_col: str, measur
         return agg.withColumns({f"{m}{suffix}": F.sum(m).over(w) for m in measures})
     v = F.col(value_col).cast("double")
     rng = agg.groupBy(*group_cols).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    a = agg.join(rng, group_cols) if group_cols else with_global(agg, rng)
+    a = join_null_safe(agg, rng, group_cols)
     frac = (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     bk = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(frac * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
     a = a.withColumn("_bk", bk.cast("int")).drop("_lo", "_hi")
@@ -51,7 +50,7 @@ def ordered_cumsum(agg: DataFrame, group_cols: list[str], value_col: str, measur
     wb = Window.partitionBy(*group_cols).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select(*group_cols, "_bk", *[F.coalesce(F.sum(f"_bt_{m}").over(wb), F.lit(0)).alias(f"_off_{m}")
                                          for m in measures])
-    a = a.join(bt, group_cols + ["_bk"])
+    a = join_null_safe(a, bt, group_cols + ["_bk"])
     wi = Window.partitionBy(*group_cols, "_bk").orderBy(vorder).rowsBetween(Window.unboundedPreceding, 0)
     for m in measures:
         a = a.withColumn(f"{m}{suffix}", F.col(f"_off_{m}") + F.sum(m).over(wi))
@@ -72,7 +71,7 @@ def _ordered_cumsum_ranged(agg: DataFrame, group_cols: list[str], value_col: str
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_pid", *group_cols, *[F.coalesce(F.sum(f"_pt_{m}").over(w), F.lit(0)).alias(f"_off_{m}")
                                             for m in measures])
-    out = s.join(off, ["_pid"] + group_cols)
+    out = join_null_safe(s, off, ["_pid"] + group_cols)
     wi = Window.partitionBy("_pid", *group_cols).orderBy(vorder).rowsBetween(Window.unboundedPreceding, 0)
     for m in measures:
         out = out.withColumn(f"{m}{suffix}", F.col(f"_off_{m}") + F.sum(m).over(wi))
@@ -84,7 +83,7 @@ def average_rank(df: DataFrame, group_cols: list[str], value_col: str, out: str
     d = df.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n"))
     c = ordered_cumsum(d, group_cols, value_col, ["_n"])
     c = c.select(*group_cols, value_col, (F.col("_n_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out))
-    return df.join(c, group_cols + [value_col])
+    return join_null_safe(df, c, group_cols + [value_col])
 
 
 def dense_rank(df: DataFrame, group_cols: list[str], value_col: str, out: str = "drank") -> DataFrame:
@@ -92,7 +91,7 @@ def dense_rank(df: DataFrame, group_cols: list[str], value_col: str, out: str =
     d = df.groupBy(*group_cols, value_col).agg(F.lit(1).alias("_one"))
     c = ordered_cumsum(d, group_cols, value_col, ["_one"])
     c = c.select(*group_cols, value_col, (F.col("_one_cum") - 1).cast("long").alias(out))
-    return df.join(c, group_cols + [value_col])
+    return join_null_safe(df, c, group_cols + [value_col])
 
 
 MAP_QUANTILE_LIMIT = 2_000_000  # groups up to this size use Spark's exact value->count map
@@ -148,13 +147,13 @@ def exact_quantiles(df: DataFrame, key_cols: list[str], value_col: str, probs: l
     h = (F.col("_n") - 1) * F.col("_p")
     pr = pr.select(*key_cols, "_i", blo.alias("_blo"), bhi.alias("_bhi"), F.floor(h).cast("long").alias("_rf"),
                    F.ceil(h).cast("long").alias("_rc"), (h - F.floor(h)).alias("_fr"))
-    j = v.join(F.broadcast(pr), key_cols) if key_cols else with_global(v, pr)
+    j = join_null_safe(v, pr, key_cols)
     below = j.groupBy(*key_cols, "_i").agg(F.sum((F.col("_v") < F.col("_blo")).cast("long")).alias("_below"))
     cand = (j.where((F.col("_v") >= F.col("_blo")) & (F.col("_v") <= F.col("_bhi")))
              .groupBy(*key_cols, "_i", "_v").agg(F.count(F.lit(1)).alias("_c")))
     w = Window.partitionBy(*key_cols, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     cand = cand.withColumn("_cum", F.sum("_c").over(w))
-    cand = cand.join(below, key_cols + ["_i"]).join(pr.select(*key_cols, "_i", "_rf", "_rc", "_fr"), key_cols + ["_i"])
+    cand = join_null_safe(join_null_safe(cand, below, key_cols + ["_i"]), pr.select(*key_cols, "_i", "_rf", "_rc", "_fr"), key_cols + ["_i"])
     at = cand.groupBy(*key_cols, "_i").agg(
         F.min(F.when(F.col("_below") + F.col("_cum") > F.col("_rf"), F.col("_v"))).alias("_vf"),
         F.min(F.when(F.col("_below") + F.col("_cum") > F.col("_rc"), F.col("_v"))).alias("_vc"),
@@ -163,4 +162,4 @@ def exact_quantiles(df: DataFrame, key_cols: list[str], value_col: str, probs: l
     wide = q.groupBy(*key_cols).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{prefix}{i}")
                                       for i in range(len(probs))])
     keys = br.select(*key_cols)
-    return keys.join(wide, key_cols, "left") if key_cols else wide
+    return join_null_safe(keys, wide, key_cols, "left") if key_cols else wide

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.functions.exprs import nan_to_null
+from cohortlab.functions.exprs import join_null_safe, nan_to_null
+from cohortlab.session import materialize
 
 
 def scan_project(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -18,26 +19,41 @@ def rename_standardize(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(mapping)
 
 
+MAX_CARRY_ROWS = 1_000_000  # block ends that one task may fill down
+
+
 def fill_id_down(df: DataFrame, order_col: str, id_col: str, out: str = "id",
                  block_size: int = 1 << 20) -> DataFrame:
     """Op 14: forward-fill an id that is only given on the first row of its block.
 
-    Rows are cut into fixed ranges of ``order_col`` (block_size rows each); each
-    range is filled by its own window, and the value carried into a range is the
-    last non-null id of the ranges before it (a table of one row per range).
-    No single task ever sees more than one range.
+    Rows are cut into fixed ranges of ``order_col`` (``block_size`` wide; the order may
+    have gaps); each range is filled by its own window, and the value carried into a
+    range is the last non-null id of the ranges before it.
     """
     d = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block_size)))
     w = Window.partitionBy("_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_loc", F.last(F.col(id_col), ignorenulls=True).over(w))
-    per_blk = d.groupBy("_blk").agg(
-        F.max_by(F.col(id_col), F.when(F.col(id_col).isNotNull(), F.col(order_col))).alias("_last"))
-    wb = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_blk.select("_blk", F.last("_last", ignorenulls=True).over(wb).alias("_carry"))
-    d = d.join(carry, "_blk", "left")
+    ends = d.groupBy("_blk").agg(F.max_by(F.col(id_col), F.when(F.col(id_col).isNotNull(), F.col(order_col))).alias("_last"))
+    d = join_null_safe(d, _carried(ends), ["_blk"], "left")
     return d.withColumn(out, F.coalesce("_loc", "_carry")).drop("_blk", "_loc", "_carry")
 
 
+def _carried(ends: DataFrame) -> DataFrame:
+    """``(_blk, _carry)``: the last non-null ``_last`` of the blocks before each one. While there
+    are more than MAX_CARRY_ROWS blocks, 1024 of them at a time are blocks of the next level."""
+    ends = materialize(ends)
+    before = F.last("_last", ignorenulls=True)
+    if ends.limit(MAX_CARRY_ROWS + 1).count() <= MAX_CARRY_ROWS:
+        one = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)  # at most MAX_CARRY_ROWS rows
+        return ends.select("_blk", before.over(one).alias("_carry"))
+    d = ends.withColumn("_up", F.floor(F.col("_blk") / 1024))
+    own = Window.partitionBy("_up").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    upper = _carried(d.groupBy(F.col("_up").alias("_blk")).agg(
+        F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_blk"))).alias("_last")))
+    d = d.withColumn("_loc", before.over(own)).join(upper.select(F.col("_blk").alias("_up"), "_carry"), "_up", "left")
+    return d.select("_blk", F.coalesce("_loc", "_carry").alias("_carry"))
+
+
 def recode_values(df: DataFrame, column: str, mapping: dict, out: str | None = None) -> DataFrame:
     """Op 15: map listed values (e.g. sex 2 -> 0), keep others."""
     expr = F.col(column)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlab.functions.exprs import nan_to_null
+
 FAIR_EPS = 1e-8
 FAIR_METRICS = ("DI", "SPD", "EOD", "AOD")
 
@@ -99,6 +101,6 @@ def report_runs(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
 
 def join_preds_default(ids: DataFrame, results: DataFrame, id_col: str = "id", pred: str = "pred",
                        default: float = 0.501) -> DataFrame:
-    """Op 51: every cohort id gets a prediction; missing or null -> ``default``."""
+    """Op 51: every cohort id gets a prediction; missing, null or NaN -> ``default``."""
     return ids.join(results.select(id_col, pred), id_col, "left").withColumn(
-        pred, F.coalesce(F.col(pred).cast("double"), F.lit(default)))
+        pred, F.coalesce(nan_to_null(F.col(pred).cast("double")), F.lit(default)))

@@ -119,13 +119,15 @@ def binary_metrics(df: DataFrame, run_cols: list[str], score: str = "pred", labe
 
 
 def regression_metrics(df: DataFrame, run_cols: list[str], pred: str = "pred", label: str = "label") -> DataFrame:
-    """Op 75: MAE, MSE, RMSE, R^2 = 1 - SS_res / SS_tot (one pass)."""
+    """Op 75: MAE, MSE, RMSE, R^2 = 1 - SS_res / SS_tot (one pass). Of constant labels R^2 is 1
+    if every prediction is right, else 0."""
     e = F.col(pred) - F.col(label)
     s = df.groupBy(*run_cols).agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"),
                                   F.sum(e * e).alias("_ssr"),
                                   (F.var_pop(F.col(label)) * F.count(F.lit(1))).alias("_sst"))
     return s.select(*run_cols, "mae", "mse", F.sqrt("mse").alias("rmse"),
-                    (F.lit(1.0) - safe_div(F.col("_ssr"), F.col("_sst"))).alias("r2"))
+                    F.when(F.col("_sst") > 0, 1.0 - F.col("_ssr") / F.col("_sst"))
+                    .when(F.col("_ssr") > 0, 0.0).when(F.col("_ssr") == 0, 1.0).alias("r2"))
 
 
 def multiclass_metrics(df: DataFrame, run_cols: list[str], scores: str = "scores", label: str = "label") -> DataFrame:

@@ -34,9 +34,14 @@ def category_vocabulary(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
 
 
+MAX_CATEGORIES = 10_000  # columns that a one-hot table may get
+
+
 def one_hot(df: DataFrame, column: str, values: list, keep: bool = False) -> DataFrame:
     """Op 24: one 0/1 double column ``{column}->{value}`` per vocabulary value,
     placed where the categorical column was; missing -> all zeros."""
+    if len(values) > MAX_CATEGORIES:
+        raise ValueError(f"over {MAX_CATEGORIES} categories in {column}")
     out = []
     for f in df.columns:
         if f == column:

@@ -42,48 +42,46 @@ def patient_visits(visits: DataFrame, id_col: str, time_col: str, cols: list[str
         F.array_sort(F.collect_list(F.struct(time_col, *cols))).alias("visits"))
 
 
-def _values(visits: Column, feature: str, unit: str | None = None) -> Column:
-    def one(v):
-        t = F.when(v[feature].isNull(), F.lit("NaN")).otherwise(py_float_text(v[feature]))
-        return F.concat(t, F.lit(" " + unit)) if unit else t
-    return F.transform(visits, one)
-
-
-def format_features_list(visits: Column, features: list[str], units: dict | None = None,
-                         ranges: dict | None = None) -> Column:
-    """Op 58: one line per feature ``- f (Unit: u. Reference Range: r.): [v1, v2]``."""
-    lines = []
-    for f in features:
-        ur = ""
-        if units or ranges:
-            ur = " ("
-            if units:
-                ur += f"Unit: {units[f]}. "
-            if ranges:
-                ur += f"Reference Range: {ranges[f]}. "
-            ur = ur.rstrip() + ")"
-        lines.append(F.concat(F.lit(f"- {f}{ur}: ["), F.array_join(_values(visits, f), ", "), F.lit("]")))
-    return F.concat_ws("\n", *lines)
-
-
-def format_features_text(visits: Column, features: list[str], units: dict | None = None,
-                         ranges: dict | None = None) -> Column:
-    """Op 59: ``The feature `f` has n visits of values a, b and c u, with a reference range of r.``
-    (unit on every value; unit/range suppressed when '/')."""
-    parts = []
-    for f in features:
-        u = units.get(f) if units else None
-        vals = _values(visits, f, u if u and u != "/" else None)
-        n = F.size(vals)
-        joined = F.when(n > 1, F.concat(F.array_join(F.slice(vals, 1, n - 1), ", "), F.lit(" and "),
-                                        F.element_at(vals, -1))).otherwise(F.element_at(vals, -1))
-        rr = ""
-        if ranges and ranges.get(f) and ranges[f] != "/":
-            rr = f", with a reference range of {ranges[f]}"
-        word = F.when(n > 1, F.lit("visits")).otherwise(F.lit("visit"))
-        parts.append(F.concat(F.lit(f"The feature `{f}` has "), n.cast("string"), F.lit(" "), word,
-                              F.lit(" of values "), joined, F.lit(rr + ".")))
-    return F.concat_ws(" ", *parts)
+def feature_lookup(lookup: DataFrame) -> DataFrame:
+    """Units and reference ranges of a table ``(feature, unit, range)`` as one row of two maps
+    (one entry per feature of the data dictionary); null cells are left out."""
+    def entries(c: str) -> Column:
+        return F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("feature", c)))).alias(f"{c}s")
+    return lookup.agg(entries("unit"), entries("range"))
+
+
+def _value_texts(visits: Column, feature: str) -> Column:
+    return F.transform(visits, lambda v: F.coalesce(py_float_text(v[feature]), F.lit("NaN")))
+
+
+def _known(lookup: Column | None, feature: str) -> Column:
+    return F.lit(None).cast("string") if lookup is None else F.try_element_at(lookup, F.lit(feature))
+
+
+def format_features_list(visits: Column, features: list[str], units: Column | None = None,
+                         ranges: Column | None = None) -> Column:
+    """Op 58: one line per feature ``- f (Unit: u. Reference Range: r.): [v1, v2]``; ``units`` and
+    ``ranges`` are maps by feature, and what they don't hold is left out."""
+    def line(f: str) -> Column:
+        notes = F.concat_ws(" ", F.concat(F.lit("Unit: "), _known(units, f), F.lit(".")),
+                            F.concat(F.lit("Reference Range: "), _known(ranges, f), F.lit(".")))
+        name = F.concat_ws(" ", F.lit(f"- {f}"), F.when(notes != "", F.concat(F.lit("("), notes, F.lit(")"))))
+        return F.concat(name, F.lit(": ["), F.array_join(_value_texts(visits, f), ", "), F.lit("]"))
+    return F.concat_ws("\n", *[line(f) for f in features])
+
+
+def format_features_text(visits: Column, features: list[str], units: Column | None = None,
+                         ranges: Column | None = None) -> Column:
+    """Op 59: a sentence per feature, ``The feature `f` has n visits of values a, b and c u, with a
+    reference range of r.``; '/' in the lookup stands for none."""
+    def sentence(f: str) -> Column:
+        unit, span = (F.nullif(_known(m, f), F.lit("/")) for m in (units, ranges))
+        values = F.transform(_value_texts(visits, f), lambda t: F.concat_ws(" ", t, unit))
+        n = F.size(values)
+        listed = F.concat_ws(" and ", F.nullif(F.array_join(F.slice(values, 1, n - 1), ", "), F.lit("")), F.element_at(values, -1))
+        head = F.concat(F.lit(f"The feature `{f}` has "), n.cast("string"), F.when(n > 1, F.lit(" visits")).otherwise(F.lit(" visit")))
+        return F.concat(F.concat_ws(", with a reference range of ", F.concat(head, F.lit(" of values "), listed), span), F.lit("."))
+    return F.concat_ws(" ", *[sentence(f) for f in features])
 
 
 def record_time_text(visits: Column, time_field: str, sep: str = ", ") -> Column:
@@ -140,18 +138,26 @@ def setting_name(n_shot: Column, unit: Column, rng: Column, fmt: Column, order:
 def parse_response(df: DataFrame, text_col: str = "response") -> DataFrame:
     """Op 66: pull ``think`` and ``answer`` out of a free-text reply.
 
-    A surrounding code fence is stripped; a JSON list yields its last element;
-    both keys are required (else status 'failed', no pred); a non-numeric
-    answer gives pred -1. Unparseable text is 'failed' (no JSON repair).
+    What stands before a closing ``</think>`` tag is set aside. Then the JSON is taken
+    from the text around it (prose, code fences, closed or not): a list of objects
+    yields its last one; else the span from the first ``{`` to the last ``}``; if that is
+    no JSON, the last flat object. Both keys are required (else status 'failed', no
+    pred); a non-numeric answer gives pred -1.
     """
-    raw = F.col(text_col)
-    fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    body = F.when(raw.contains("```"), fenced).otherwise(F.trim(raw))
-    obj = F.when(body.startswith("["), F.element_at(F.from_json(body, T.ArrayType(RESPONSE_SCHEMA)), -1)) \
-           .otherwise(F.from_json(body, RESPONSE_SCHEMA))
+    text = F.regexp_replace(F.col(text_col), r"(?s)^.*</think>", "")
+    many = F.regexp_extract(text, r"(?s)\[\s*\{.*\}\s*\]", 0)
+    one, tail = F.regexp_extract(text, r"(?s)\{.*\}", 0), F.regexp_extract(text, r"(?s)^.*(\{[^{}]*\})", 1)
+
+    def alone(body: Column, kind: T.DataType) -> Column:
+        """The parsed body, null unless it is one JSON value and nothing else."""
+        boxed = F.from_json(F.concat(F.lit("["), body, F.lit("]")), T.ArrayType(kind))
+        return F.when((body != "") & (F.size(boxed) == 1), F.get(boxed, F.lit(0)))
+    listed = (many != "") & (F.position(many, text) < F.instr(text, "{"))
+    obj = F.when(listed, F.element_at(alone(many, T.ArrayType(RESPONSE_SCHEMA)), -1)).otherwise(
+        F.coalesce(alone(one, RESPONSE_SCHEMA), alone(tail, RESPONSE_SCHEMA)))
     d = df.withColumn("_r", obj)
     ok = F.col("_r.think").isNotNull() & F.col("_r.answer").isNotNull()
-    return d.select(*df.columns, F.col("_r.think").alias("think"),
+    return d.select(*df.columns, F.when(ok, F.col("_r.think")).alias("think"),
                     F.when(ok, F.coalesce(F.col("_r.answer").try_cast("double"), F.lit(-1.0))).alias("pred"),
                     F.when(ok, F.lit("ok")).otherwise(F.lit("failed")).alias("status"))
 

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.functions.exprs import hash_order, with_global
+from cohortlab.functions.exprs import hash_order, join_null_safe
 from cohortlab.session import materialize
 
 _BUCKET_BITS = 16
@@ -30,96 +30,56 @@ def first_label_per_id(df: DataFrame, id_col: str, time_col: str, label_col: str
     return df.groupBy(F.col(id_col).alias("id")).agg(F.min_by(F.col(label_col), order).alias("label"))
 
 
-def _largest_remainder(counts: DataFrame, group_cols: list[str], target) -> DataFrame:
-    """Per-stratum quota of ``target`` rows split in proportion to stratum size.
+def _quotas(counts: DataFrame, strata: list[str], target) -> DataFrame:
+    """Quota of every stratum, ``(*strata, quota)``, in proportion to its size ``n_c``.
 
-    counts: (*group_cols, n_c). Floor of the exact share, then the leftover rows go
-    to the largest remainders (ties: stratum value order). Integer arithmetic only.
-    ``target`` is a Column expression evaluated against n_all (total rows).
+    Floor of the exact share, and one more for the largest remainders (ties: stratum
+    order, null last). ``target`` is an int or a function of the cohort size. Only two
+    sums reach the driver.
     """
-    w_all = Window.partitionBy()
-    c = counts.withColumn("n_all", F.sum("n_c").over(w_all))
-    c = c.withColumn("tgt", F.least(F.col("n_all"), target.cast("bigint")))
-    c = (c.withColumn("fl", F.expr("(tgt * n_c) div n_all"))
-          .withColumn("rem", F.expr("(tgt * n_c) % n_all")))
-    w_rank = Window.orderBy(F.col("rem").desc(), *[F.col(g) for g in group_cols])
-    c = c.withColumn("extra", F.col("tgt") - F.sum("fl").over(w_all))
-    c = c.withColumn("quota", F.col("fl") + F.when(F.row_number().over(w_rank) <= F.col("extra"), 1).otherwise(0))
-    return c.select(*group_cols, "quota")
+    total = counts.agg(F.sum("n_c")).first()[0] or 0
+    tgt = min(total, target(total) if callable(target) else int(target))
+    share = F.lit(tgt).cast("decimal(19,0)") * F.col("n_c")  # a product of two counts may pass 2^63
+    floor = F.floor(share / max(total, 1)) if total >= 1 << 31 else F.expr(f"({tgt} * n_c) div {max(total, 1)}")
+    c = counts.withColumn("fl", floor.cast("bigint"))
+    c = c.withColumn("rem", (share - F.col("fl").cast("decimal(19,0)") * max(total, 1)).cast("bigint"))
+    extra = tgt - (c.agg(F.sum("fl")).first()[0] or 0)
+    top = c.orderBy(F.desc("rem"), *[F.asc_nulls_last(g) for g in strata]).limit(extra).select(*strata, F.lit(1).alias("more"))
+    return join_null_safe(c, top, strata, "left").select(*strata, (F.col("fl") + F.coalesce("more", F.lit(0))).alias("quota"))
 
 
 def take_first_by_hash(df: DataFrame, group_cols: list[str], quotas: DataFrame,
                        h_col: str = "_h", id_col: str = "id", flag: str = "_sel") -> DataFrame:
     """Flag the first ``quota`` rows of every group in (h, id) order, exactly.
 
-    ``quotas`` has one row per group: (*group_cols, quota); it is bounded by the
-    number of groups (strata) and broadcast. Rows are ranked only inside their
-    (group, 16-bit bucket) cell, so the sort is spread over 65536 cells per group.
+    ``quotas`` has one row per group: (*group_cols, quota); null is a group like any
+    other. Hash buckets below the one that straddles the quota are taken whole, and
+    only the rows of that bucket (a 65536th of a group) are ranked.
     """
+    cols = df.columns
     d = df.withColumn("_b", F.shiftright(F.col(h_col), _BUCKET_BITS))
     hist = d.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*group_cols).orderBy("_b")
-    hist = hist.withColumn("_before", F.sum("_cnt").over(w) - F.col("_cnt"))
-    hist = hist.join(F.broadcast(quotas), group_cols) if group_cols else with_global(hist, quotas)
+    w = Window.partitionBy(*group_cols).orderBy("_b")  # at most 65536 rows a group
+    hist = join_null_safe(hist.withColumn("_before", F.sum("_cnt").over(w) - F.col("_cnt")), quotas, group_cols)
     # first bucket that cannot be taken whole; none -> every row is selected
     hist = hist.withColumn("_over", F.col("_before") + F.col("_cnt") > F.col("quota"))
     cut = hist.groupBy(*group_cols, "quota").agg(
         F.coalesce(F.min(F.when(F.col("_over"), F.col("_b"))), F.lit(1 << (32 - _BUCKET_BITS))).alias("_cb"),
         F.coalesce(F.min_by(F.col("_before"), F.when(F.col("_over"), F.col("_b"))), F.lit(0)).alias("_cbase"))
-    d = d.join(F.broadcast(cut), group_cols) if group_cols else with_global(d, cut)
+    d = materialize(join_null_safe(d, cut, group_cols))
     wr = Window.partitionBy(*group_cols, "_b").orderBy(h_col, id_col)
-    sel = (F.col("_b") < F.col("_cb")) | (
-        (F.col("_b") == F.col("_cb")) & (F.col("_cbase") + F.row_number().over(wr) <= F.col("quota")))
-    return d.withColumn(flag, sel).drop("_b", "_cb", "_cbase", "quota")
-
-
-SMALL_STRATUM_ROWS = 1_000_000  # strata up to this size are ranked with one window each
-MAX_LISTED_STRATA = 10_000       # per-stratum counts are brought to the driver only up to this many
-
-
-def _quota_table(counts: list[tuple[tuple, int]], target: int) -> dict[tuple, int]:
-    """Largest-remainder split of ``target`` over strata (ties: stratum order)."""
-    total = sum(n for _, n in counts)
-    tgt = min(total, target)
-    fl = {k: (tgt * n) // total for k, n in counts}
-    rem = sorted(counts, key=lambda kn: (-((tgt * kn[1]) % total), kn[0]))
-    extra = tgt - sum(fl.values())
-    for k, _ in rem[:extra]:
-        fl[k] += 1
-    return fl
+    whole = d.where(F.col("_b") != F.col("_cb")).withColumn(flag, F.col("_b") < F.col("_cb"))
+    edge = d.where(F.col("_b") == F.col("_cb")).withColumn(flag, F.col("_cbase") + F.row_number().over(wr) <= F.col("quota"))
+    return whole.unionByName(edge).select(*cols, flag)
 
 
 def _stratified_take(cohort: DataFrame, target, seed: int, salt: str | None,
                      strata: list[str], flag: str = "_sel") -> DataFrame:
-    """Flag the first quota ids of every stratum in hash order.
-
-    ``target`` is an int, or a function of the cohort size. The per-stratum
-    counts (one row per stratum) decide the plan: small strata are ranked with
-    one window each; large ones go through the hash-histogram selection.
-    """
+    """Flag the first quota ids of every stratum in hash order, in one way for any
+    number and size of strata."""
     d = cohort.withColumn("_h", hash_order("id", seed, salt))
-    counts_df = d.groupBy(*strata).agg(F.count(F.lit(1)).alias("n_c"))
-    listed = counts_df.limit(MAX_LISTED_STRATA + 1).collect()
-    if 0 < len(listed) <= MAX_LISTED_STRATA:
-        counts = [(tuple(r[g] for g in strata), r["n_c"]) for r in listed]
-        total = sum(n for _, n in counts)
-        tgt = target(total) if callable(target) else int(target)
-        quota = _quota_table(counts, tgt)
-        qexpr = F.lit(0)
-        for k, q in quota.items():
-            cond = F.lit(True)
-            for g, val in zip(strata, k):
-                cond = cond & (F.col(g) == F.lit(val)) if val is not None else cond & F.col(g).isNull()
-            qexpr = F.when(cond, F.lit(q)).otherwise(qexpr)
-        if max(n for _, n in counts) <= SMALL_STRATUM_ROWS:
-            w = Window.partitionBy(*strata).orderBy("_h", "id")
-            return d.withColumn(flag, F.row_number().over(w) <= qexpr).drop("_h")
-        quotas = counts_df.select(*strata, qexpr.alias("quota"))
-        return take_first_by_hash(d, strata, quotas, flag=flag).drop("_h")
-    # very many strata: quotas stay a DataFrame (largest remainder with windows)
-    tgt_col = F.ceil(F.col("n_all") * F.lit(target.frac)) if callable(target) else F.lit(target)
-    quotas = _largest_remainder(counts_df, strata, tgt_col)
-    return take_first_by_hash(d, strata, quotas, flag=flag).drop("_h")
+    counts = materialize(d.groupBy(*strata).agg(F.count(F.lit(1)).alias("n_c")))
+    return take_first_by_hash(d, strata, _quotas(counts, strata, target), flag=flag).drop("_h")
 
 
 def random_holdout(cohort: DataFrame, n: int = 200, seed: int = 42, salt: str | None = None) -> DataFrame:
@@ -146,22 +106,23 @@ def stratified_fraction(pool: DataFrame, frac: float = 1 / 8, seed: int = 42, sa
     """Op 38: ceil(frac*n) ids to ``val`` (stratified), the rest ``train``."""
     def target(total: int) -> int:
         return math.ceil(total * frac)
-    target.frac = frac
     out = _stratified_take(pool, target, seed, salt, [label], flag="_v")
     return out.withColumn("split", F.when(F.col("_v"), "val").otherwise("train")).drop("_v")
 
 
-def assign_splits(cohort: DataFrame, test_n: int = 200, cap: int = 10000, val_frac: float = 1 / 8,
+def assign_splits(cohort: DataFrame, test_n: int = 200, cap: int | None = None, val_frac: float = 1 / 8,
                   seed: int = 42) -> DataFrame:
-    """Ops 36-38 chained: stratified test, stratified cap of the rest, 7/8-1/8 train/val.
+    """Ops 36-38 chained: stratified test, then 7/8-1/8 train/val of the rest.
 
-    Input (id, label); output (id, label, split). Capped-away ids are dropped.
+    Input (id, label); output (id, label, split). Every id gets a split unless a ``cap``
+    on the rest is asked for (op 37), which drops the ids beyond it.
     """
     t = materialize(stratified_holdout(cohort, test_n, seed))
     test = t.where("in_test").select("id", "label", F.lit("test").alias("split"))
     pool = t.where(~F.col("in_test")).select("id", "label")
-    kept = materialize(stratified_cap(pool, cap, seed).where("kept").select("id", "label"))
-    tv = stratified_fraction(kept, val_frac, seed).select("id", "label", "split")
+    if cap is not None:
+        pool = materialize(stratified_cap(pool, cap, seed).where("kept").select("id", "label"))
+    tv = stratified_fraction(pool, val_frac, seed).select("id", "label", "split")
     return materialize(test.unionByName(tv))
 
 

@@ -51,8 +51,9 @@ def pearson(df: DataFrame, group_cols: list[str], x: str, y: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, group_cols: list[str], x: str, y: str) -> DataFrame:
-    """Op 91: Pearson correlation of average ranks (ties share the mean rank)."""
-    d = df.select(*group_cols, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    """Op 91: Pearson correlation of average ranks (ties share the mean rank) over complete pairs."""
+    d = df.select(*group_cols, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
+          .na.drop(subset=["_x", "_y"])
     d = average_rank(d, group_cols, "_x", "_rx")
     d = average_rank(d, group_cols, "_y", "_ry")
     return d.groupBy(*group_cols).agg(F.bround(F.corr("_rx", "_ry"), 2).alias("spearman_corr"))

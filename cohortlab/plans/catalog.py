@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from cohortlab.plans import q_core  # noqa: F401
+from cohortlab.plans import q_core, q_eval, q_io, q_ml, q_text, q_vectors  # noqa: F401
 from cohortlab.plans.registry import REGISTRY
 
-for _mod in ("q_eval", "q_text", "q_vectors", "q_ml", "q_io", "q_stream"):
-    try:
-        __import__(f"cohortlab.plans.{_mod}")
-    except ModuleNotFoundError as exc:  # module not written yet
-        if exc.name != f"cohortlab.plans.{_mod}":
-            raise
-
 
 def queries():
     return {k: v.build for k, v in REGISTRY.items()}

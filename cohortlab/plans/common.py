@@ -20,7 +20,7 @@ def customer_cohort(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def customer_splits(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.assign_splits(customer_cohort(spark, sf), test_n=200, cap=10000, val_frac=1 / 8, seed=42)
+    return splits.assign_splits(customer_cohort(spark, sf), test_n=200, val_frac=1 / 8, seed=42)
 
 
 def panel_splits(spark: SparkSession, sf: str) -> DataFrame:

@@ -165,7 +165,7 @@ def q_daily_merge(spark, sf):
     return panel.daily_merge(fixture(spark, sf, "f_events"), ["id", "record_date"], "feature", "value", EVENT_TYPES)
 
 
-_LANGS = ["de", "en", "es", "fr"]
+_LANGS = ["de", "en", "es", "fr"]  # of the test tables, for the oracle
 
 
 @register("one_hot", oracle(
@@ -173,7 +173,9 @@ _LANGS = ["de", "en", "es", "fr"]
     + ", n_chars FROM f_documents", ("f_documents",), dbl=tuple(f"dataset->{v}" for v in _LANGS)))
 def q_one_hot(spark, sf):
     d = fixture(spark, sf, "f_documents").select("id", "dataset", "n_chars")
-    return panel.one_hot(d, "dataset", _LANGS)
+    # the vocabulary is what the table holds; the result's columns follow it
+    values = [r.value for r in panel.category_vocabulary(d, "dataset").limit(panel.MAX_CATEGORIES + 1).collect()]
+    return panel.one_hot(d, "dataset", values)
 
 
 @register("missing_mask", oracle(
@@ -300,7 +302,7 @@ def q_stratified_holdout(spark, sf):
     return splits.stratified_holdout(customer_cohort(spark, sf), 200).where("in_test").select("id", "label")
 
 
-@register("stratified_cap", oracle("SELECT id, label FROM kept", ("f_admissions",), ctes=_CUST))
+@register("stratified_cap", oracle("SELECT id, label FROM kept", ("f_admissions",), ctes=tuple(S.customer_cap_ctes())))
 def q_stratified_cap(spark, sf):
     t = splits.stratified_holdout(customer_cohort(spark, sf), 200)
     pool = t.where(~F.col("in_test")).select("id", "label")

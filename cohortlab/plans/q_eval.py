@@ -81,7 +81,8 @@ _REG_SRC = ("reg", "SELECT CAST(outcome AS INT) AS run, CAST(GREATEST(datediff('
                    "AS DOUBLE) AS label, lab_quantity / 5 AS pred FROM f_admissions")
 _REG_SQL = ("SELECT run, AVG(ABS(pred - label)) AS mae, AVG((pred - label) * (pred - label)) AS mse, "
             "SQRT(AVG((pred - label) * (pred - label))) AS rmse, "
-            "1 - COALESCE(SUM((pred - label) * (pred - label)) / NULLIF(VAR_POP(label) * COUNT(*), 0), 0) AS r2 "
+            "CASE WHEN MIN(label) < MAX(label) THEN 1 - SUM(power(pred - label, 2)) / (SUM(label * label) - SUM(label) * SUM(label) / COUNT(*)) "
+            "WHEN MAX(ABS(pred - label)) = 0 THEN 1.0 ELSE 0.0 END AS r2 "
             "FROM reg GROUP BY run")
 
 
@@ -121,7 +122,8 @@ _MT_SRC = ("mt", "SELECT outcome AS label, LEAST(CAST(1 AS DOUBLE), lab_quantity
     + _CONF_SQL.format(src="mt") + ") k ON k.model = c.model JOIN ("
     "SELECT model, AVG(ABS(los_pred - los)) AS mae, AVG((los_pred - los) * (los_pred - los)) AS mse, "
     "SQRT(AVG((los_pred - los) * (los_pred - los))) AS rmse, "
-    "1 - COALESCE(SUM((los_pred - los) * (los_pred - los)) / NULLIF(VAR_POP(los) * COUNT(*), 0), 0) AS r2 "
+    "CASE WHEN MIN(los) < MAX(los) THEN 1 - SUM(power(los_pred - los, 2)) / (SUM(los * los) - SUM(los) * SUM(los) / COUNT(*)) "
+            "WHEN MAX(ABS(los_pred - los)) = 0 THEN 1.0 ELSE 0.0 END AS r2 "
     "FROM mt GROUP BY model) r ON r.model = c.model", ("f_admissions",), ctes=(_MT_SRC,) + tuple(curve_ctes("mt")),
     dbl=("auroc", "auprc", "minpse", "f1", "accuracy", "mae", "mse", "rmse", "r2")))
 def q_multitask(spark, sf):

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from cohortlab.functions import templates as TPL
-from cohortlab.functions.exprs import array_text, nested_text
+from cohortlab.functions.exprs import nested_text, with_global
 from cohortlab.operators import joins, prompts, sequences
 from cohortlab.plans import sqlparts as S
 from cohortlab.plans.common import LAB_FEATURES, build_panel
@@ -130,7 +130,12 @@ def q_decode_categorical(spark, sf):
 
 
 UNITS = {"click": "count", "error": "/", "purchase": "USD", "signup": "count", "view_": "count"}
-_FEAT_DISPLAY = LAB_FEATURES
+RANGES = {"click": "0 - 50", "error": "/", "purchase": "10 - 90", "signup": "/", "view_": "0 - 100"}
+
+
+def _lookup(spark):
+    rows = [(f, UNITS[f], RANGES[f]) for f in LAB_FEATURES]
+    return prompts.feature_lookup(spark.createDataFrame(rows, "feature string, unit string, range string"))
 
 
 def _sql_vals(f, unit=None):
@@ -139,7 +144,7 @@ def _sql_vals(f, unit=None):
 
 
 _LIST_SQL = "concat_ws(chr(10), " + ", ".join(
-    f"'- {f} (Unit: {UNITS[f]}.): [' || string_agg({_sql_vals(f)}, ', ' ORDER BY record_date) || ']'"
+    f"'- {f} (Unit: {UNITS[f]}. Reference Range: {RANGES[f]}.): [' || string_agg({_sql_vals(f)}, ', ' ORDER BY record_date) || ']'"
     for f in LAB_FEATURES) + ")"
 
 
@@ -148,7 +153,8 @@ def _text_sql_feature(f):
     lst = f"list({_sql_vals(f, u if u != '/' else None)} ORDER BY record_date)"
     return (f"'The feature `{f}` has ' || CAST(COUNT(*) AS VARCHAR) || CASE WHEN COUNT(*) > 1 THEN ' visits' ELSE ' visit' END "
             f"|| ' of values ' || CASE WHEN COUNT(*) > 1 THEN array_to_string(list_slice({lst}, 1, COUNT(*) - 1), ', ') "
-            f"|| ' and ' || {lst}[-1] ELSE {lst}[-1] END || '.'")
+            f"|| ' and ' || {lst}[-1] ELSE {lst}[-1] END || "
+            + (f"', with a reference range of {RANGES[f]}.'" if RANGES[f] != "/" else "'.'"))
 
 
 _TEXT_SQL = "concat_ws(' ', " + ", ".join(_text_sql_feature(f) for f in LAB_FEATURES) + ")"
@@ -156,19 +162,19 @@ _TEXT_SQL = "concat_ws(' ', " + ", ".join(_text_sql_feature(f) for f in LAB_FEAT
 
 def _visits(spark, sf):
     v = fixture(spark, sf, "f_visits")
-    return prompts.patient_visits(v, "id", "record_date", ["sex", "age"] + LAB_FEATURES)
+    return with_global(prompts.patient_visits(v, "id", "record_date", ["sex", "age"] + LAB_FEATURES), _lookup(spark))
 
 
 @register("format_features_list", oracle(f"SELECT id, {_LIST_SQL} AS detail FROM f_visits GROUP BY id", ("f_visits",)))
 def q_format_list(spark, sf):
     v = _visits(spark, sf)
-    return v.select("id", prompts.format_features_list(F.col("visits"), LAB_FEATURES, units=UNITS).alias("detail"))
+    return v.select("id", prompts.format_features_list(F.col("visits"), LAB_FEATURES, F.col("units"), F.col("ranges")).alias("detail"))
 
 
 @register("format_features_text", oracle(f"SELECT id, {_TEXT_SQL} AS detail FROM f_visits GROUP BY id", ("f_visits",)))
 def q_format_text(spark, sf):
     v = _visits(spark, sf)
-    return v.select("id", prompts.format_features_text(F.col("visits"), LAB_FEATURES, units=UNITS).alias("detail"))
+    return v.select("id", prompts.format_features_text(F.col("visits"), LAB_FEATURES, F.col("units"), F.col("ranges")).alias("detail"))
 
 
 def _sql_lit(s: str) -> str:
@@ -203,12 +209,36 @@ _PROMPT_VALUES = {
     f"SELECT id, {_sql_fill(TPL.USER_PROMPT, _PROMPT_VALUES)} AS user_prompt FROM f_visits GROUP BY id", ("f_visits",)))
 def q_build_prompt(spark, sf):
     v = _visits(spark, sf)
-    detail = prompts.format_features_list(F.col("visits"), LAB_FEATURES, units=UNITS)
+    detail = prompts.format_features_list(F.col("visits"), LAB_FEATURES, F.col("units"), F.col("ranges"))
     return v.select("id", prompts.build_prompt(F.col("visits"), "record_date", detail, TPL.USER_PROMPT,
                                                TPL.TASK_DESCRIPTION["mortality"], TPL.RESPONSE_FORMAT_MORTALITY,
                                                "").alias("user_prompt"))
 
 
+_TASKS = [("mimic-iv", "mortality"), ("mimic-iv", "readmission"), ("tjh", "los")]
+
+
+def _task_prompt_sql(dataset, task, n_shot):
+    values = {**_PROMPT_VALUES, "TASK_DESCRIPTION": _sql_lit(TPL.TASK_DESCRIPTION[task]),
+              "RESPONSE_FORMAT": _sql_lit(TPL.RESPONSE_FORMAT[task]), "DETAIL": _TEXT_SQL if n_shot else _LIST_SQL,
+              "EXAMPLE": _sql_lit(TPL.EXAMPLE[dataset][task].strip()) if n_shot else "''"}
+    return (f"SELECT id, '{dataset}' AS dataset, '{task}' AS task, {n_shot} AS n_shot, md5({_sql_fill(TPL.USER_PROMPT, values)}) AS prompt_md5 "
+            "FROM f_visits GROUP BY id")
+
+
+@register("build_prompt_tasks", oracle(" UNION ALL ".join(_task_prompt_sql(d, t, n) for d, t in _TASKS for n in (0, 1)), ("f_visits",)))
+def q_build_prompt_tasks(spark, sf):
+    """Op 60 for every task, without and with its example (then with details as sentences)."""
+    v = _visits(spark, sf)
+    args = [F.col("visits"), LAB_FEATURES, F.col("units"), F.col("ranges")]
+    detail = [prompts.format_features_list(*args), prompts.format_features_text(*args)]
+    one = [F.struct(F.lit(d).alias("dataset"), F.lit(t).alias("task"), F.lit(n).alias("n_shot"),
+                    F.md5(prompts.build_prompt(F.col("visits"), "record_date", detail[n], TPL.USER_PROMPT, TPL.TASK_DESCRIPTION[t],
+                                               TPL.RESPONSE_FORMAT[t], TPL.EXAMPLE[d][t] if n else "")).alias("prompt_md5"))
+           for d, t in _TASKS for n in (0, 1)]
+    return v.select("id", F.inline(F.array(*one)))
+
+
 _NOTE_DS = "CASE WHEN lang = 'en' THEN 'mimic-iv' ELSE 'mimic-iii' END"
 
 
@@ -226,23 +256,25 @@ def q_build_note_prompt(spark, sf):
 _TRUNC_SQL = "array_to_string(list_slice(regexp_extract_all(text, '\\S+'), 1, 512), ' ')"
 
 
+_MM_VALUES = {**_PROMPT_VALUES, "NOTE": "FIRST(nt)", "TASK_DESCRIPTION": _sql_lit(TPL.MM_TASK_DESCRIPTION["mortality"]),
+              "RESPONSE_FORMAT": _sql_lit(TPL.MM_RESPONSE_FORMAT["mortality"])}
+
+
 @register("build_multimodal_prompt", oracle(
     "SELECT v.id, o.ord AS note_order, CASE WHEN o.ord = 'note_first' THEN v.pn ELSE v.pe END AS user_prompt "
-    "FROM (SELECT id, " + _sql_fill(TPL.USER_PROMPT_NOTE_FIRST, {**_PROMPT_VALUES, "NOTE": "FIRST(nt)"}) + " AS pn, "
-    + _sql_fill(TPL.USER_PROMPT_EHR_FIRST, {**_PROMPT_VALUES, "NOTE": "FIRST(nt)"}) + " AS pe "
-    "FROM (SELECT f.*, " + _TRUNC_SQL.replace("text", "d.text") + " AS nt FROM f_visits f JOIN documents d ON d.doc_id = f.id) "
+    "FROM (SELECT id, " + _sql_fill(TPL.USER_PROMPT_NOTE_FIRST, _MM_VALUES) + " AS pn, "
+    + _sql_fill(TPL.USER_PROMPT_EHR_FIRST, _MM_VALUES) + " AS pe "
+    "FROM (SELECT f.*, d.text AS nt FROM f_visits f JOIN documents d ON d.doc_id = f.id) "
     "GROUP BY id) v, (VALUES ('note_first'), ('ehr_first')) o(ord)", ("f_visits",)))
 def q_build_multimodal_prompt(spark, sf):
-    v = fixture(spark, sf, "f_visits")
-    docs = read_table(spark, sf, "documents", ["doc_id", "text"]).select(
-        F.col("doc_id").alias("id"), prompts.truncate_note(F.col("text"), 512).alias("nt"))
-    rec = prompts.patient_visits(v, "id", "record_date", ["sex", "age"] + LAB_FEATURES).join(docs, "id")
-    detail = prompts.format_features_list(F.col("visits"), LAB_FEATURES, units=UNITS)
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"]).select(F.col("doc_id").alias("id"), F.col("text").alias("nt"))
+    rec = _visits(spark, sf).join(docs, "id")
+    detail = prompts.format_features_list(F.col("visits"), LAB_FEATURES, F.col("units"), F.col("ranges"))
     rec = rec.withColumn("note_order", F.explode(F.array(F.lit("note_first"), F.lit("ehr_first"))))
 
     def mk(t):
-        return prompts.build_prompt(F.col("visits"), "record_date", detail, t, TPL.TASK_DESCRIPTION["mortality"],
-                                    TPL.RESPONSE_FORMAT_MORTALITY, "", extra={"NOTE": F.col("nt")})
+        return prompts.build_prompt(F.col("visits"), "record_date", detail, t, TPL.MM_TASK_DESCRIPTION["mortality"],
+                                    TPL.MM_RESPONSE_FORMAT["mortality"], "", extra={"NOTE": F.col("nt")})
     return rec.select("id", "note_order", F.when(F.col("note_order") == "note_first", mk(TPL.USER_PROMPT_NOTE_FIRST))
                       .otherwise(mk(TPL.USER_PROMPT_EHR_FIRST)).alias("user_prompt"))
 
@@ -341,9 +373,6 @@ def q_token_usage(spark, sf):
 # ---------------------------------------------------------------- joins
 
 
-MODEL_NAMES = {"m0": "Quality model"}  # display names; others fall back to their key
-
-
 @register("join_lookup", oracle(
     "SELECT c.c_custkey AS id, COALESCE(n.n_name, CAST(c.c_nationkey AS VARCHAR)) AS nation, "
     "COALESCE(CASE WHEN r.r_regionkey IS NOT NULL THEN r.r_name END, 'unknown') AS region "
@@ -363,12 +392,12 @@ def q_join_lookup(spark, sf):
 
 
 @register("append_results", oracle(
-    "SELECT 'scored' AS modality, id, pred, CAST(label AS INT) AS label, NULL::VARCHAR AS status FROM f_preds WHERE model = 'm0' "
+    "SELECT 'scored ' || model AS modality, id, pred, CAST(label AS INT) AS label, NULL::VARCHAR AS status FROM f_preds "
     "UNION ALL SELECT 'generated', id, pred, NULL::INT, status FROM parsed", ("f_preds", "f_responses"),
     ctes=(("parsed", S.PARSE_SQL),), dbl=("pred",)))
 def q_append_results(spark, sf):
-    a = fixture(spark, sf, "f_preds").where(F.col("model") == "m0").select(
-        F.lit("scored").alias("modality"), "id", "pred", F.col("label").cast("int").alias("label"))
+    a = fixture(spark, sf, "f_preds").select(
+        F.concat(F.lit("scored "), F.col("model")).alias("modality"), "id", "pred", F.col("label").cast("int").alias("label"))
     b = _parsed(spark, sf).select(F.lit("generated").alias("modality"), "id", "pred", "status")
     return joins.append_results([a, b])
 

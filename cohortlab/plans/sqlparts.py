@@ -38,14 +38,21 @@ def customer_split_ctes() -> list[tuple[str, str]]:
     ctes = customer_cohort_ctes()
     ctes += strat_ctes("cohort", "s_test", "200", None, "in_test")
     ctes += [("pool", "SELECT id, label FROM s_test WHERE NOT in_test")]
-    ctes += strat_ctes("pool", "s_cap", "10000", "cap", "kept")
-    ctes += [("kept", "SELECT id, label FROM s_cap WHERE kept")]
-    ctes += strat_ctes("kept", "s_val", "CEIL(n_all * 0.125)", "val", "v")
+    ctes += strat_ctes("pool", "s_val", "CEIL(n_all * 0.125)", "val", "v")
     ctes += [("splits", "SELECT id, label, 'test' AS split FROM s_test WHERE in_test UNION ALL "
                         "SELECT id, label, CASE WHEN v THEN 'val' ELSE 'train' END AS split FROM s_val")]
     return ctes
 
 
+def customer_cap_ctes() -> list[tuple[str, str]]:
+    """At most 10,000 of the ids outside the test set."""
+    ctes = customer_cohort_ctes()
+    ctes += strat_ctes("cohort", "s_test", "200", None, "in_test")
+    ctes += [("pool", "SELECT id, label FROM s_test WHERE NOT in_test")]
+    ctes += strat_ctes("pool", "s_cap", "10000", "cap", "kept")
+    return ctes + [("kept", "SELECT id, label FROM s_cap WHERE kept")]
+
+
 def panel_split_ctes() -> list[tuple[str, str]]:
     ctes = [("pc", "SELECT id, outcome AS label FROM f_patients")]
     ctes += strat_ctes("pc", "ps", "CEIL(n_all * 0.125)", "val", "v")
@@ -94,17 +101,15 @@ def panel_ctes() -> list[tuple[str, str]]:
 
 
 PARSE_SQL = r"""
-SELECT id, response, think,
-       CASE WHEN think IS NULL OR answer IS NULL THEN NULL ELSE COALESCE(TRY_CAST(answer AS DOUBLE), -1.0) END AS pred,
-       CASE WHEN think IS NULL OR answer IS NULL THEN 'failed' ELSE 'ok' END AS status
-FROM (SELECT id, response,
-             CASE WHEN NOT json_valid(body) THEN NULL
-                  WHEN starts_with(body, '[') THEN json_extract_string(body, '$[#-1].think')
-                  ELSE json_extract_string(body, '$.think') END AS think,
-             CASE WHEN NOT json_valid(body) THEN NULL
-                  WHEN starts_with(body, '[') THEN json_extract_string(body, '$[#-1].answer')
-                  ELSE json_extract_string(body, '$.answer') END AS answer
-      FROM (SELECT id, response,
-                   CASE WHEN contains(response, '```') THEN regexp_extract(response, '(?s)```(?:json)?\s*(.*?)\s*```', 1)
-                        ELSE trim(response) END AS body
-            FROM f_responses))"""
+SELECT id, response, think, CASE WHEN think IS NOT NULL THEN COALESCE(TRY_CAST(answer AS DOUBLE), -1.0) END AS pred,
+       CASE WHEN think IS NULL THEN 'failed' ELSE 'ok' END AS status
+FROM (SELECT id, response, answer, CASE WHEN answer IS NOT NULL THEN think END AS think
+      FROM (SELECT id, response, json_extract_string(body, '$.think') AS think, json_extract_string(body, '$.answer') AS answer
+            FROM (SELECT id, response,
+                         CASE WHEN many <> '' AND instr(t, many) < instr(t, '{')
+                              THEN CASE WHEN json_valid(many) THEN CAST(json_extract(many, '$[#-1]') AS VARCHAR) END
+                              WHEN one <> '' AND json_valid(one) THEN one
+                              WHEN tail <> '' AND json_valid(tail) THEN tail END AS body
+                  FROM (SELECT id, response, t, regexp_extract(t, '(?s)\[\s*\{.*\}\s*\]', 0) AS many,
+                               regexp_extract(t, '(?s)\{.*\}', 0) AS one, regexp_extract(t, '(?s)^.*(\{[^{}]*\})', 1) AS tail
+                        FROM (SELECT id, response, regexp_replace(response, '(?s)^.*</think>', '') AS t FROM f_responses)))))"""

@@ -50,7 +50,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        # unset only in local tests: a private folder under the system temp dir
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # local tests only: a private folder under the system temp dir
         root = tempfile.mkdtemp(prefix="cohortlab-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)

@@ -35,9 +35,14 @@ def read_fixed_width(spark: SparkSession, path: str, max_code_len: int = MAX_COD
 
 
 def write_fixed_width(df: DataFrame, path: str, order: str, code: str, title: str, flag: str | None = None) -> None:
-    """Writer of the same layout (used to stage code files for op 3)."""
-    f = F.col(flag).cast("string") if flag else F.lit("0")
-    line = F.concat(F.rpad(F.lpad(F.col(order).cast("string"), 5, "0"), 6, " "), F.rpad(F.col(code), 8, " "),
+    """Writer of the same layout (used to stage code files for op 3). Fields that don't fit fail the job:
+    an order of over 6 digits, a code of over 8 or a flag of over 2 characters."""
+    def fits(c, width: int, name: str):
+        return F.when(F.length(c) <= width, c).otherwise(F.raise_error(F.concat(F.lit(f"{name} too long: "), c)))
+    f = fits(F.col(flag).cast("string"), 2, "flag") if flag else F.lit("0")
+    number = fits(F.col(order).cast("string"), 6, "order")
+    number = F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number)
+    line = F.concat(F.rpad(number, 6, " "), F.rpad(fits(F.col(code), 8, "code"), 8, " "),
                     F.rpad(f, 2, " "), F.rpad(F.substring(F.col(title), 1, 60), 61, " "), F.col(title))
     df.select(line.alias("value")).write.mode("overwrite").text(path)
 
@@ -75,5 +80,5 @@ def run_summary(preds: DataFrame, run_cols: list[str], pred: str = "pred", label
 
 
 def incremental_skip(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Op 8: rows whose result already exists are skipped (anti join)."""
-    return todo.join(done.select(*keys).distinct(), keys, "left_anti")
+    """Op 8: rows whose result already exists, whatever it says, are skipped (anti join)."""
+    return todo.join(done.select(*keys), keys, "left_anti")

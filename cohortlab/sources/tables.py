@@ -41,7 +41,7 @@ SELECT o_orderkey AS record_id, o_custkey AS patient_id, CAST(o_orderdate AS DAT
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 GROUP BY o_orderkey, o_custkey, CAST(o_orderdate AS DATE), o_orderstatus"""),
     "f_sparse_ids": (("conversations",), """
-SELECT CAST(ROW_NUMBER() OVER (ORDER BY conv_id, turn) AS BIGINT) AS src_row,
+SELECT CAST(conv_id * 1000000 + turn AS BIGINT) AS src_row,
        CASE WHEN turn = 0 THEN conv_id END AS id_sparse, role
 FROM conversations"""),
     "f_documents": (("documents",), """
@@ -54,13 +54,17 @@ SELECT d.doc_id AS id, m.model, CASE WHEN m.model = 'm0' THEN l.quality ELSE l.t
 FROM documents d JOIN labels l ON l.doc_id = d.doc_id
 CROSS JOIN (SELECT 'm0' AS model UNION ALL SELECT 'm1' AS model) m"""),
     "f_responses": (("events",), """
-SELECT event_id AS id, CASE event_id % 5
+SELECT event_id AS id, CASE event_id % 9
   WHEN 0 THEN '{"think": "t", "answer": 0.' || LPAD(k, 2, '0') || '}'
   WHEN 1 THEN '```json {"think": "t", "answer": 0.' || LPAD(k, 2, '0') || '} ```'
   WHEN 2 THEN '[{"think": "a", "answer": 0.10}, {"think": "b", "answer": 0.' || LPAD(k, 2, '0') || '}]'
   WHEN 3 THEN 'I do not know'
+  WHEN 4 THEN 'Here is my assessment [1].' || chr(10) || '{"think": "t", "answer": 0.' || LPAD(k, 2, '0') || '}'
+  WHEN 5 THEN '```json' || chr(10) || '{"think": "t", "answer": 0.' || LPAD(k, 2, '0') || '}'
+  WHEN 6 THEN '<think>a {draft}</think>{"think": "u ```x``` v", "answer": 0.' || LPAD(k, 2, '0') || '}'
+  WHEN 7 THEN '{"think": "first", "answer": 0.01} or rather {"think": "last", "answer": 0.' || LPAD(k, 2, '0') || '}'
   ELSE '{"think": "t", "answer": "high"}' END AS response
-FROM (SELECT event_id, REGEXP_EXTRACT(props, '[0-9]+', 0) AS k FROM events WHERE event_id < 1000) e"""),
+FROM (SELECT event_id, REGEXP_EXTRACT(props, '[0-9]+', 0) AS k FROM events) e"""),
     "f_codes": (("part",), """
 SELECT p_partkey AS id,
        UPPER(SUBSTR(MD5(CAST(p_partkey AS STRING)), 1, CAST(3 + p_partkey % 3 AS INT))) AS code,

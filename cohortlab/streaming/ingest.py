@@ -1,10 +1,10 @@
 """Op 110: streaming ingest of response files, each (run, id) taken once.
 
-Files land in a folder; a Structured Streaming query parses them (op 66),
-drops repeated (run, id) keys (state bounded by a watermark on the arrival
-time when one is given, else kept in the checkpoint), and appends
-to a parquet sink. ``availableNow`` processes what is there and stops, so the
-same job serves as an incremental batch.
+Files land in a folder; a Structured Streaming query parses them (op 66) and hands each
+micro-batch to a merge with the sink: what the sink holds already is dropped by an anti
+join, however late a repeat or a first delivery comes (no watermark, no state that grows in
+memory). ``availableNow`` processes what is there and stops, so the same job serves as
+an incremental batch. A micro-batch writes a folder of its own, replaced if it is retried.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlab.functions.exprs import join_null_safe
 from cohortlab.operators.prompts import parse_response
 from cohortlab.sources.io import RESPONSE_RECORD
 
@@ -20,30 +21,38 @@ from cohortlab.sources.io import RESPONSE_RECORD
 STREAM_RECORD = T.StructType(RESPONSE_RECORD.fields + [T.StructField("received_at", T.TimestampType())])
 
 
-def response_stream(spark: SparkSession, source: str, max_files_per_trigger: int = 1000,
-                    redelivery_window: str | None = None) -> DataFrame:
-    """Parsed responses, each (run, id) once.
+SINK_RECORD = T.StructType([
+    T.StructField("batch", T.LongType()), T.StructField("run", T.StringType()), T.StructField("id", T.LongType()),
+    T.StructField("think", T.StringType()), T.StructField("pred", T.DoubleType()), T.StructField("status", T.StringType()),
+    T.StructField("label", T.DoubleType())])
 
-    With ``redelivery_window`` (e.g. "1 hour") and a ``received_at`` time on the
-    records, repeats are dropped within that event-time window and the dedup
-    state is evicted behind the watermark, so it stays bounded. Without it the
-    (run, id) keys are kept for the life of the checkpoint.
-    """
+
+def response_stream(spark: SparkSession, source: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Parsed responses as they come."""
     raw = (spark.readStream.schema(STREAM_RECORD).option("maxFilesPerTrigger", max_files_per_trigger)
            .json(source))
-    parsed = parse_response(raw.select("run", "id", "response", "label", "received_at"), "response")
-    if redelivery_window:
-        return (parsed.withWatermark("received_at", redelivery_window)
-                      .dropDuplicatesWithinWatermark(["run", "id"]))
-    return parsed.dropDuplicates(["run", "id"])
+    return parse_response(raw.select("run", "id", "response", "label", "received_at"), "response")
+
+
+def read_sink(spark: SparkSession, sink: str) -> DataFrame:
+    return spark.read.schema(SINK_RECORD).parquet(sink)
 
 
 def ingest_available(spark: SparkSession, source: str, sink: str, checkpoint: str,
-                     redelivery_window: str | None = None) -> DataFrame:
-    """Run the stream over all files present now, then return the sink as a table."""
-    q = (response_stream(spark, source, redelivery_window=redelivery_window)
-         .writeStream.format("parquet").option("path", sink)
-         .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+                     max_files_per_trigger: int = 1000) -> DataFrame:
+    """Run the stream over all files present now, then return the sink as a table.
+
+    Within a micro-batch the record received first wins (then the smallest response text).
+    """
+    spark.createDataFrame([], SINK_RECORD).drop("batch").write.mode("overwrite").parquet(f"{sink}/batch=-1")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        first = (batch.groupBy("run", "id").agg(F.min(F.struct("received_at", "response", "think", "pred", "status", "label")).alias("r"))
+                 .select("run", "id", "r.think", "r.pred", "r.status", F.col("r.label").cast("double").alias("label")))
+        held = read_sink(batch.sparkSession, sink).where(F.col("batch") < number).select("run", "id")
+        join_null_safe(first, held, ["run", "id"], "left_anti").write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    q = (response_stream(spark, source, max_files_per_trigger).writeStream.foreachBatch(merge)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(sink).select("run", "id", "think", "pred", "status",
-                                           F.col("label").cast("double").alias("label"))
+    return read_sink(spark, sink).select("run", "id", "think", "pred", "status", "label")

@@ -3,7 +3,7 @@
 import os
 import re
 
-import __spark_entry__ as E
+from cohortlab.plans import catalog as E
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 

@@ -200,12 +200,128 @@ def test_exact_quantiles_match_numpy(spark):
         assert [got.q0, got.q1, got.q2] == pytest.approx(list(want), abs=1e-12)
 
 
-def test_stratified_paths_agree(spark, monkeypatch):
-    cohort = spark.range(3000).select(F.col("id"), (F.col("id") % 5 == 0).cast("int").alias("label"))
-    small = {(r.id, r.split) for r in splits.assign_splits(cohort, test_n=200).collect()}
-    monkeypatch.setattr(splits, "SMALL_STRATUM_ROWS", 0)  # force the hash-histogram selection
-    big = {(r.id, r.split) for r in splits.assign_splits(cohort, test_n=200).collect()}
-    assert small == big
+def test_splits_keep_null_labels_and_many_strata(spark):
+    cohort = spark.range(1003).select("id", F.when(F.col("id") % 5 > 0, (F.col("id") % 2).cast("int")).alias("label"))
+    sp = splits.assign_splits(cohort, test_n=100)
+    assert sp.count() == 1003 and sp.select("id").distinct().count() == 1003
+    sizes = {(r.split, r.label): r["count"] for r in sp.groupBy("split", "label").count().collect()}
+    assert sizes[("test", None)] == 20 and sum(n for (s, _), n in sizes.items() if s == "test") == 100
+    many = spark.range(40_000).select("id", (F.col("id") % 20_000).alias("label"))
+    held = splits.stratified_holdout(many, 30_000).where("in_test").groupBy("label").count()
+    assert {r["count"]: r.n for r in held.groupBy("count").agg(F.count("*").alias("n")).collect()} == {1: 10_000, 2: 10_000}
+    assert splits.stratified_holdout(cohort.limit(0), 10).count() == 0
+
+
+def test_assign_splits_has_no_hidden_cap(spark):
+    cohort = spark.range(11_000).select("id", (F.col("id") % 2).alias("label"))
+    assert splits.assign_splits(cohort).count() == 11_000
+    assert splits.assign_splits(cohort, cap=1000).count() == 1200
+
+
+def test_running_sums_keep_null_groups(spark):
+    from cohortlab.functions.ordered import average_rank, exact_quantiles, ordered_cumsum
+    df = spark.createDataFrame([(g, float(i), 1) for g in (None, "a") for i in range(51)], "g string, v double, n int")
+    paths = [dict(), dict(small_group_rows=0), dict(small_group_rows=0, skew_cell_rows=0)]
+    out = [sorted(((r.g or "", r.v, r.n_cum) for r in ordered_cumsum(df, ["g"], "v", ["n"], **p).collect())) for p in paths]
+    assert len(out[0]) == 102 and out[0] == out[1] == out[2]
+    assert average_rank(df, ["g"], "v").count() == 102
+    for limit in (10 ** 6, 0):
+        got = {r.g: r.q0 for r in exact_quantiles(df, ["g"], "v", [0.5], map_limit=limit).collect()}
+        assert got == {None: 25.0, "a": 25.0}
+
+
+def test_r2_of_constant_labels(spark):
+    rows = [("off", 1.0, 5.0), ("off", 9.0, 5.0), ("hit", 5.0, 5.0), ("hit", 5.0, 5.0), ("some", 1.0, 1.0), ("some", 2.0, 3.0)]
+    out = {r.run: r.r2 for r in metrics.regression_metrics(spark.createDataFrame(rows, "run string, pred double, label double"), ["run"]).collect()}
+    assert out["off"] == 0.0 and out["hit"] == 1.0 and out["some"] == pytest.approx(0.5)
+
+
+def test_spearman_drops_incomplete_pairs(spark):
+    rows = [(1.0, 2.0), (2.0, 3.0), (3.0, 1.0), (9.0, None), (0.0, None)]
+    out = vectors.spearman(spark.createDataFrame([("g", *r) for r in rows], "g string, x double, y double"), ["g"], "x", "y").first()
+    assert out.spearman_corr == -0.5
+
+
+def test_nan_prediction_gets_the_default(spark):
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    res = spark.createDataFrame([(1, float("nan")), (2, 0.25)], "id int, pred double")
+    assert {r.id: r.pred for r in fairness.join_preds_default(ids, res).collect()} == {1: 0.501, 2: 0.25, 3: 0.501}
+
+
+def test_replies_in_prose_and_broken_fences(spark):
+    body = '{"think": "t", "answer": 0.7}'
+    rows = [f"Here is my assessment [1].\n{body}", f"```json\n{body}", f"<think>so {{maybe}}</think>{body}", f"{body} or rather " + body.replace("0.7", "0.8"),
+            '{"think": "a ```fence``` here", "answer": 0.7} Bye.', f"Both: [{body.replace('0.7', '0.1')}, {body}]", '{"think": "t", "answer": "NaN"}',
+            '{"think": "t"}', "{broken", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, response string")
+    out = [r for r in prompts.parse_response(df).orderBy("id").collect()]
+    assert [r.pred for r in out[:6]] == [0.7, 0.7, 0.7, 0.8, 0.7, 0.7]
+    assert math.isnan(out[6].pred) and [r.status for r in out[7:]] == ["failed"] * 3
+
+
+def test_feature_texts_by_lookup(spark):
+    look = prompts.feature_lookup(spark.createDataFrame([("a", "mg", "1 - 2"), ("b", "/", "/"), ("c", None, "x")], "feature string, unit string, range string"))
+    df = spark.createDataFrame([([(1.0, 2.5, None), (None, 3.0, 4.0)],)], "visits array<struct<a:double,b:double,c:double>>").crossJoin(look)
+    args = (F.col("visits"), ["a", "b", "c"])
+    r = df.select(prompts.format_features_list(*args).alias("l0"), prompts.format_features_list(*args, F.col("units"), F.col("ranges")).alias("l1"),
+                  prompts.format_features_text(*args, F.col("units"), F.col("ranges")).alias("t")).first()
+    assert r.l0.split("\n")[0] == "- a: [1.0, NaN]"
+    assert r.l1.split("\n") == ["- a (Unit: mg. Reference Range: 1 - 2.): [1.0, NaN]", "- b (Unit: /. Reference Range: /.): [2.5, 3.0]",
+                                "- c (Reference Range: x.): [NaN, 4.0]"]
+    assert r.t == ("The feature `a` has 2 visits of values 1.0 mg and NaN mg, with a reference range of 1 - 2. "
+                   "The feature `b` has 2 visits of values 2.5 and 3.0. The feature `c` has 2 visits of values NaN and 4.0, with a reference range of x.")
+
+
+def test_overlong_fixed_width_fields_fail(spark, tmp_path):
+    from cohortlab.sources import io
+    ok = spark.createDataFrame([(1, "AB", "t"), (123456, "C", "u")], "o int, c string, t string")
+    io.write_fixed_width(ok, str(tmp_path / "ok"), "o", "c", "t")
+    assert {r.code for r in io.read_fixed_width(spark, str(tmp_path / "ok")).collect()} == {"AB", "C"}
+    for bad in ((1234567, "AB", "t"), (1, "ABCDEFGHIJ", "t")):
+        with pytest.raises(Exception, match="too long"):
+            io.write_fixed_width(spark.createDataFrame([bad], "o int, c string, t string"), str(tmp_path / "bad"), "o", "c", "t")
+
+
+def test_late_and_repeated_deliveries(spark, tmp_path):
+    from cohortlab.streaming.ingest import ingest_available
+    src, sink, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    reply = '{"think": "t", "answer": 0.5}'
+    deliveries = [[(1, "01"), (2, "01")], [(1, "09"), (3, "09")], [(4, "02"), (2, "02")], [(6, "03"), (6, "04"), (3, "00")]]
+    for i, rows in enumerate(deliveries):
+        df = spark.createDataFrame([("r", k, reply, f"2024-01-01 {h}:00:00") for k, h in rows], "run string, id long, response string, t string")
+        df.select("run", "id", "response", F.col("t").cast("timestamp").alias("received_at")).coalesce(1).write.mode("append").json(src)
+        if i % 2:
+            out = ingest_available(spark, src, sink, ckpt, max_files_per_trigger=1)
+    assert sorted(r.id for r in out.collect()) == [1, 2, 3, 4, 6]
+
+
+def test_fill_down_carries_over_levels(spark, monkeypatch):
+    from cohortlab.operators import cleaning
+    monkeypatch.setattr(cleaning, "MAX_CARRY_ROWS", 3)
+    rows = [(i * 5, i if i in (2, 700, 5000) else None) for i in range(8000)]
+    out = cleaning.fill_id_down(spark.createDataFrame(rows, "o long, v long"), "o", "v", "id", block_size=4)
+    got = {r.o: r.id for r in out.collect()}
+    assert all(got[i * 5] == (None if i < 2 else 2 if i < 700 else 700 if i < 5000 else 5000) for i in range(8000))
+
+
+def test_checkpoint_folder_is_asked_for_off_local():
+    from cohortlab import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Sc:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(type("S", (), {"sparkContext": Sc()})())
 
 
 def test_fill_id_down_across_blocks(spark):
