@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,44 +136,60 @@ def nearest_center(points: DataFrame, vec: str, centres: DataFrame, out: str = "
     return j.withColumn(out, F.array_min(d)["c"]).drop("_centres")
 
 
-def recompute_centres(assigned: DataFrame, vec: str, center: str, previous: DataFrame) -> DataFrame:
-    """Means of assigned points; a centre that lost all its points keeps its old position."""
-    new = cluster_centres(assigned, center, vec).select("cluster", F.col("centre").alias("_new"))
-    return previous.join(new, "cluster", "left").select(
-        "cluster", F.coalesce("_new", "centre").alias("centre"), F.lit(1).alias("n"))
+def _partial_sums(centres: np.ndarray):
+    """Per Arrow batch and centre: how many points it is nearest to, and their vector sum."""
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.stack([v.values.to_numpy(zero_copy_only=False) for v in b.column("v")]).astype(float)
+            near = np.argmin(((x[:, None, :] - centres[None]) ** 2).sum(2) if x.size * len(centres) < 1 << 24 else
+                             np.stack([((x - c) ** 2).sum(1) for c in centres], axis=1), axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, x)
+            n = np.bincount(near, minlength=len(centres))
+            has = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array(n[has], pa.int64()),
+                                              pa.array(list(sums[has]), pa.list_(pa.float64()))], ["c", "n", "s"])
+    return run
 
 
 def lloyd_kmeans(points: DataFrame, id_col: str, vec: str, k: int, max_iter: int = 1000,
                  seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Op 96: Lloyd iterations from k hash-chosen initial points until no point
-    changes cluster (or ``max_iter``). Centres are checkpointed each round to
-    the shared folder, so lineage stays one round deep.
+    """Op 96: Lloyd iterations from k hash-chosen initial points until the centres stay
+    (or ``max_iter``). A round is one pass over the points that shuffles k partial sums per
+    batch; only the k centres (k x dim numbers) reach the driver. A centre that lost all
+    its points keeps its place.
 
-    Returns (centres, assignments).
+    Returns (centres, assignments); the assignments are one more pass.
     """
     from cohortlab.functions.exprs import hash_order
-    init = points.withColumn("_h", hash_order(id_col, seed, "init")).orderBy("_h", id_col).limit(k)
-    centres = materialize(init.select(F.row_number().over(Window.orderBy("_h", id_col)).alias("cluster"),
-                                      F.col(vec).cast("array<double>").alias("centre"), F.lit(1).alias("n")))
-    pts = points.select(id_col, vec)
-    prev = None
-    for _ in range(max_iter):
-        assigned = materialize(nearest_center(pts, vec, centres))
-        if prev is not None:
-            changed = assigned.alias("a").join(prev.alias("b"), id_col).where(
-                F.col("a.center") != F.col("b.center")).limit(1).count()
-            if changed == 0:
-                break
-        centres = materialize(recompute_centres(assigned, vec, "center", centres))
-        prev = assigned
-    return centres, assigned
+    init = (points.withColumn("_h", hash_order(id_col, seed, "init")).orderBy("_h", id_col).limit(k)
+            .select(F.col(vec).cast("array<double>").alias("v")).collect())
+    centres = np.array([r.v for r in init], float)
+    pts = points.select(F.col(vec).cast("array<double>").alias("v"))
+    for _ in range(max_iter if len(centres) else 0):
+        parts = pts.mapInArrow(_partial_sums(centres), "c int, n long, s array<double>")
+        sums = (parts.select("c", "n", F.posexplode("s").alias("d", "s")).groupBy("c", "d")
+                .agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect())
+        moved = centres.copy()
+        for r in sums:
+            moved[r.c, r.d] = r.s / r.n
+        # sums of another order differ in the last digits
+        done = np.allclose(moved, centres, rtol=1e-12, atol=1e-12)
+        centres = moved
+        if done:
+            break
+    rows = [(i + 1, c.tolist(), 1) for i, c in enumerate(centres)]
+    table = points.sparkSession.createDataFrame(rows, "cluster int, centre array<double>, n int")
+    return table, nearest_center(points.select(id_col, vec), vec, table)
 
 
 def kmeans_fit(points: DataFrame, id_col: str, vec: str, ks: list[int], seed: int = 42) -> DataFrame:
     """Op 94: Spark ML k-means for every k; rows (k, id, cluster)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    v = points.select(id_col, array_to_vector(F.col(vec).cast("array<double>")).alias("features")).cache()
+    v = materialize(points.select(id_col, array_to_vector(F.col(vec).cast("array<double>")).alias("features")))
     outs = []
     for k in ks:
         model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(v)
@@ -274,28 +291,29 @@ def tree_distance(a: Column, b: Column, a_known: Column | None = None, b_known:
 
 # ---------------------------------------------------------------- k nearest neighbours
 
-def knn_graph(points: DataFrame, id_col: str, vec: str, k: int = 20, tiles: int | None = None) -> DataFrame:
+def knn_graph(points: DataFrame, id_col: str, vec: str, k: int = 20, queries: DataFrame | None = None,
+              block: int = 50_000) -> DataFrame:
     """Op 102: exact k nearest neighbours (Euclidean, no self), as edges (id, nbr, rank, dist).
 
-    Points are hashed into T tiles; every (query tile, candidate tile) cell is a
+    ``queries(id_col)`` names the points to search for (cluster centres, a sample); without
+    it every point is a query, which is quadratic work and meant for small tables. Queries and
+    points are hashed into blocks of about ``block`` rows; every pair of blocks is a
     co-group computed with numpy inside the task, which returns only its local
-    top-k per query. Per query at most T*k candidates remain, reduced to k.
-    Distance pairs are never written out as rows.
+    top-k per query. Distance pairs are never written out as rows.
     """
-    n_parts = points.sparkSession.sparkContext.defaultParallelism
-    if tiles is None:
-        # enough tiles to use every core, and at most ~50k points per tile side (bounded task memory)
-        tiles = max(1, int(math.isqrt(max(1, n_parts))), math.ceil(points.count() / 50_000))
-    t = tiles
-    p = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"),
-                      F.pmod(F.xxhash64(F.col(id_col)), F.lit(t)).cast("int").alias("_tile"))
-    q = p.select("id", "v", F.col("_tile").alias("qt"), F.explode(F.sequence(F.lit(0), F.lit(t - 1))).alias("ct"))
-    c = p.select("id", "v", F.col("_tile").alias("ct"), F.explode(F.sequence(F.lit(0), F.lit(t - 1))).alias("qt"))
-
-    keep_k = k + 5  # small margin against rounding at the cut; exact distances decide the final order
+    kind = points.schema[id_col].dataType.simpleString()
+    p = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    asked = p if queries is None else p.join(queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+    tq, tc = (max(1, math.ceil(d.count() / block)) for d in (asked, p))
+    tile = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    q = asked.select(F.col("id").alias("id"), F.col("v").alias("v"), tile(tq).alias("qt"), F.explode(F.sequence(F.lit(0), F.lit(tc - 1))).alias("ct"))
+    c = p.select("id", "v", tile(tc).alias("ct"), F.explode(F.sequence(F.lit(0), F.lit(tq - 1))).alias("qt"))
+
+    keep_k = k + 5  # rounding at the cut may swap neighbours; exact distances decide the final order
+    id_kind = "int64" if kind in ("bigint", "int") else "object"
 
     def local_topk(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": pd.Series([], dtype="int64"), "nbr": pd.Series([], dtype="int64"),
+        empty = pd.DataFrame({"id": pd.Series([], dtype=id_kind), "nbr": pd.Series([], dtype=id_kind),
                               "dist": pd.Series([], dtype="float64")})
         if qdf.empty or cdf.empty:
             return empty
@@ -327,6 +345,6 @@ def knn_graph(points: DataFrame, id_col: str, vec: str, k: int = 20, tiles: int
         return pd.concat(outs, ignore_index=True) if outs else empty
 
     cand = q.groupBy("qt", "ct").cogroup(c.groupBy("qt", "ct")).applyInPandas(
-        lambda a, b: local_topk(a, b), schema="id long, nbr long, dist double")
+        lambda a, b: local_topk(a, b), schema=f"id {kind}, nbr {kind}, dist double")
     w = Window.partitionBy("id").orderBy("dist", "nbr")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -1,13 +1,19 @@
-"""Registered queries: Spark ML fits and scoring (ops 103-109). Rows-only checks:
-fitted models are not bit-comparable across libraries."""
+"""Registered queries: Spark ML fits and scoring (ops 103-109).
+
+Fitted models are not bit-comparable across libraries, so a query returns each scored
+row's id and label with what can be checked: that the prediction is a probability (or a
+length of stay that is not negative) and, over all rows, that the model beats chance."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortlab.functions.exprs import with_global
 from cohortlab.operators import metrics, ml, panel, splits
 from cohortlab.plans.common import PANEL_FEATURES, build_panel, panel_splits
-from cohortlab.plans.registry import register
+from cohortlab.plans import sqlparts as S
+from cohortlab.plans.registry import oracle, register
+from cohortlab.session import materialize
 from cohortlab.sources.tables import fixture
 
 
@@ -22,27 +28,60 @@ def _last_visit_table(spark, sf):
 _TREE_FEATURES = ["sex"] + PANEL_FEATURES
 
 
+_PANEL = dict(fixtures=("f_patients", "f_visits"), ctes=tuple(S.panel_split_ctes()))
+
+
+def _panel_oracle(cols: str, where: str = "") -> str:
+    return oracle(f"SELECT p.id, CAST(p.label AS DOUBLE) AS label, {cols} FROM psplit p {where}", **_PANEL)
+
+
+def _checked(scores):
+    """id, label, and whether the prediction is a probability; of the whole table: better than chance."""
+    scores = materialize(scores)
+    auc = metrics.binary_metrics(scores.withColumn("run", F.lit(1)), ["run"]).select((F.col("auroc") > 0.5).alias("better"))
+    return with_global(scores.select("id", "label", F.col("pred").between(0, 1).alias("valid")), auc)
+
+
 def _tree(kind):
     def q(spark, sf):
-        t = _last_visit_table(spark, sf)
+        t = materialize(_last_visit_table(spark, sf))
         model = ml.fit_tree_model(t.where(F.col("split") == "train"), _TREE_FEATURES, "outcome", kind)
-        return ml.batch_score(model, t.where(F.col("split") == "val"), "id", "outcome")
+        return _checked(ml.batch_score(model, t.where(F.col("split") == "val"), "id", "outcome")).drop("better")
     return q
 
 
-register("fit_decision_tree")(_tree("dt"))
-register("fit_random_forest")(_tree("rf"))
-register("fit_gbt")(_tree("gbt"))
+_VAL = _panel_oracle("true AS valid", "WHERE split = 'val'")  # too few rows at small scale to ask for more
+register("fit_decision_tree", _VAL)(_tree("dt"))
+register("fit_random_forest", _VAL)(_tree("rf"))
+register("fit_gbt", _VAL)(_tree("gbt"))
 
 
-@register("batch_score")
+def _regressor(kind):
+    def q(spark, sf):
+        """Days between first and last visit, from the last visit's values."""
+        v = fixture(spark, sf, "f_visits").groupBy("id").agg(F.datediff(F.max("record_date"), F.min("record_date")).cast("double").alias("los"))
+        t = materialize(_last_visit_table(spark, sf).join(v, "id"))
+        model = ml.fit_tree_model(t.where(F.col("split") == "train"), _TREE_FEATURES, "los", kind, task="los", n_trees=20, rounds=20)
+        s = ml.batch_score(model, t.where(F.col("split") == "val"), "id", "los", task="los")
+        return s.select("id", "label", (F.col("pred") >= 0).alias("valid"))
+    return q
+
+
+_LOS_VAL = oracle("SELECT p.id, CAST(datediff('day', MIN(v.record_date), MAX(v.record_date)) AS DOUBLE) AS label, true AS valid "
+                  "FROM psplit p JOIN f_visits v ON v.id = p.id WHERE p.split = 'val' GROUP BY p.id", **_PANEL)
+register("fit_los_decision_tree", _LOS_VAL)(_regressor("dt"))
+register("fit_los_random_forest", _LOS_VAL)(_regressor("rf"))
+register("fit_los_gbt", _LOS_VAL)(_regressor("gbt"))
+
+
+@register("batch_score", _panel_oracle("true AS valid, true AS better"))
 def q_batch_score(spark, sf):
-    t = _last_visit_table(spark, sf)
+    t = materialize(_last_visit_table(spark, sf))
     model = ml.fit_tree_model(t.where(F.col("split") == "train"), _TREE_FEATURES, "outcome", "dt")
-    return ml.batch_score(model, t, "id", "outcome")
+    return _checked(ml.batch_score(model, t, "id", "outcome"))
 
 
-@register("full_vs_few")
+@register("full_vs_few", "SELECT * FROM (VALUES ('full', true), ('few', true)) t(shot, valid)")
 def q_full_vs_few(spark, sf):
     t = _last_visit_table(spark, sf)
     few_ids = splits.few_shot(panel_splits(spark, sf).where(F.col("split") != "test"), 5)
@@ -53,7 +92,8 @@ def q_full_vs_few(spark, sf):
         s = ml.batch_score(model, t.where(F.col("split") == "val"), "id", "outcome").withColumn("shot", F.lit(shot))
         outs.append(s)
     scores = outs[0].unionByName(outs[1])
-    return metrics.binary_metrics(scores, ["shot"])
+    m = metrics.binary_metrics(scores, ["shot"])
+    return m.select("shot", (F.col("auroc").between(0, 1) & F.col("auprc").between(0, 1)).alias("valid"))
 
 
 def _emb_split(spark, sf):
@@ -62,17 +102,21 @@ def _emb_split(spark, sf):
     return e.join(sp, "id")
 
 
-@register("fit_mlp_on_embeddings")
+@register("fit_mlp_on_embeddings", oracle(
+    "SELECT id, CAST(label AS DOUBLE) AS label, true AS valid FROM ms WHERE v", ("f_embeddings",), ctes=tuple(
+        [("me", "SELECT id, CAST(cluster >= 5 AS INT) AS label FROM f_embeddings")] + S.strat_ctes("me", "ms", "CEIL(n_all * 0.125)", "mlp", "v"))))
 def q_fit_mlp(spark, sf):
     e = _emb_split(spark, sf)
     model = ml.fit_mlp(e.where(F.col("split") == "train"), ["embedding"], "label", hidden=256, max_iter=50)
-    return ml.batch_score(model, e.where(F.col("split") == "val"), "id", "label", vec_cols=["embedding"])
+    return _checked(ml.batch_score(model, e.where(F.col("split") == "val"), "id", "label", vec_cols=["embedding"])).drop("better")
 
 
-@register("fit_fused_mlp")
+@register("fit_fused_mlp", oracle(
+    "SELECT id, CAST(label AS DOUBLE) AS label, true AS valid FROM fs WHERE v", ("f_pairs",), ctes=tuple(
+        [("fe", "SELECT id, CAST(score >= 2 AS INT) AS label FROM f_pairs")] + S.strat_ctes("fe", "fs", "CEIL(n_all * 0.125)", "fused", "v"))))
 def q_fit_fused(spark, sf):
     p = fixture(spark, sf, "f_pairs").withColumn("label", (F.col("score") >= 2).cast("int"))
     sp = splits.stratified_fraction(p.select("id", "label"), 1 / 8, salt="fused").select("id", "split")
     d = p.join(sp, "id")
     model = ml.fit_mlp(d.where(F.col("split") == "train"), ["e1", "e2"], "label", hidden=256, max_iter=50)
-    return ml.batch_score(model, d.where(F.col("split") == "val"), "id", "label", vec_cols=["e1", "e2"])
+    return _checked(ml.batch_score(model, d.where(F.col("split") == "val"), "id", "label", vec_cols=["e1", "e2"])).drop("better")

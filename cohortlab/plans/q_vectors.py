@@ -98,15 +98,26 @@ def q_calinski_harabasz(spark, sf):
     return V.calinski_harabasz(_emb(spark, sf), [], "cluster", "embedding")
 
 
-@register("kmeans")
+_KS = [10, 20, 30, 40, 50]
+
+
+@register("kmeans", oracle("SELECT k, id, true AS valid, true AS all_used FROM f_embeddings, (VALUES " + ", ".join(
+    f"({k})" for k in _KS) + ") v(k)", ("f_embeddings",)))
 def q_kmeans(spark, sf):
-    return V.kmeans_fit(_emb(spark, sf), "id", "embedding", [10, 20, 30, 40, 50], seed=42)
+    """Every point has one of the k clusters, and each cluster has points."""
+    out = V.kmeans_fit(_emb(spark, sf), "id", "embedding", _KS, seed=42)
+    used = out.groupBy("k").agg((F.count_distinct("cluster") == F.col("k")).alias("all_used"))
+    return out.join(used, "k").select("k", "id", ((F.col("cluster") >= 0) & (F.col("cluster") < F.col("k"))).alias("valid"), "all_used")
 
 
-@register("lloyd_kmeans")
+@register("lloyd_kmeans", oracle("SELECT id, true AS fixed_point FROM f_embeddings", ("f_embeddings",)))
 def q_lloyd(spark, sf):
+    """Every point with the check that its centre is the mean of the points that have it."""
     centres, assigned = V.lloyd_kmeans(_emb(spark, sf), "id", "embedding", k=10, max_iter=1000, seed=42)
-    return assigned.select("id", "center")
+    means = V.cluster_centres(assigned, "center", "embedding").select(F.col("cluster").alias("center"), F.col("centre").alias("mean"))
+    near = F.forall(F.zip_with("mean", "centre", lambda a, b: F.abs(a - b) < 1e-9), lambda x: x)
+    fixed = means.join(centres.select(F.col("cluster").alias("center"), "centre"), "center").select("center", near.alias("fixed_point"))
+    return assigned.join(fixed, "center").select("id", "fixed_point")
 
 
 # ---------------------------------------------------------------- codes
@@ -188,7 +199,9 @@ def q_tree_distance(spark, sf):
     "ROW_NUMBER() OVER (PARTITION BY a.id ORDER BY SQRT(SUM((x.a - x.b) * (x.a - x.b))), b.id) AS rank "
     "FROM f_embeddings a JOIN f_embeddings b ON a.id <> b.id, "
     "LATERAL (SELECT unnest(a.embedding)::DOUBLE AS a, unnest(b.embedding)::DOUBLE AS b) x GROUP BY a.id, b.id) "
-    "WHERE rank <= 20", ("f_embeddings",), dbl=("dist",)))
+    "WHERE rank <= 20 AND id % 100 = 0", ("f_embeddings",), dbl=("dist",)))
 def q_knn_graph(spark, sf):
-    g = V.knn_graph(_emb(spark, sf), "id", "embedding", k=20)
+    e = _emb(spark, sf)
+    # the search's query set: every hundredth id, against all points
+    g = V.knn_graph(e, "id", "embedding", k=20, queries=e.where("id % 100 = 0"))
     return g.select("id", "nbr", F.col("rank").cast("bigint").alias("rank"), "dist")
