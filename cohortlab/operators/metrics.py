@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.functions.exprs import safe_div, with_global
+from cohortlab.functions.exprs import join_null_safe, safe_div, with_global
 from cohortlab.functions.ordered import ordered_cumsum
 from cohortlab.session import materialize
 
@@ -112,7 +112,8 @@ def binary_metrics(df: DataFrame, run_cols: list[str], score: str = "pred", labe
                    weight: str | None = None, table: DataFrame | None = None) -> DataFrame:
     """auroc, auprc, minpse, f1, accuracy, precision, recall per run, all from
     one score table (pass ``table`` to reuse a materialised one)."""
-    t = table if table is not None else score_table(df, run_cols, score, label, weight)
+    # read twice: the curve and the confusion counts
+    t = table if table is not None else materialize(score_table(df, run_cols, score, label, weight))
     c = curve_metrics(curve_from_table(t, run_cols), run_cols)
     m = confusion_from_table(t, run_cols)
     return c.join(m, run_cols) if run_cols else with_global(c, m)
@@ -204,7 +205,7 @@ def bootstrap_weights(df: DataFrame, id_col: str, resamples: int = 100, seed: in
 
 def bootstrap_ci(df: DataFrame, run_cols: list[str], id_col: str = "id", score: str = "pred",
                  label: str = "label", resamples: int = 100, seed: int = 42,
-                 metrics: tuple[str, ...] = ("auroc", "auprc", "accuracy", "f1")) -> DataFrame:
+                 metrics: tuple[str, ...] = ("auroc", "auprc", "minpse", "accuracy", "f1")) -> DataFrame:
     """Op 78: per run and metric: point estimate, bootstrap mean, population std
     and the 2.5 / 97.5 linear percentiles. Single-class resamples are skipped.
 
@@ -226,13 +227,39 @@ def bootstrap_ci(df: DataFrame, run_cols: list[str], id_col: str = "id", score:
     per = every.where(F.col("b") > 0).join(cls.where((F.col("_p") > 0) & (F.col("_n") > 0)),
                                            run_cols + ["b"], "left_semi")
     arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])
-    per_l = per.select(*run_cols, "b", F.inline(arr))
-    pt_l = point.select(*run_cols, F.inline(arr)).withColumnRenamed("v", "point")
-    ci = per_l.groupBy(*run_cols, "metric").agg(
+    return _intervals(point.select(*run_cols, F.inline(arr)), per.select(*run_cols, "b", F.inline(arr)), run_cols)
+
+
+def _intervals(point: DataFrame, per: DataFrame, run_cols: list[str]) -> DataFrame:
+    """Point estimates ``(metric, v)`` with the spread of the resamples' ``(b, metric, v)``."""
+    ci = per.groupBy(*run_cols, "metric").agg(
         F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"),
         F.percentile("v", F.lit(0.025)).alias("lo"), F.percentile("v", F.lit(0.975)).alias("hi"),
         F.count(F.lit(1)).alias("n_resamples"))
-    return pt_l.join(ci, run_cols + ["metric"])
+    return join_null_safe(point.withColumnRenamed("v", "point"), ci, run_cols + ["metric"])
+
+
+def bootstrap_regression_ci(df: DataFrame, run_cols: list[str], id_col: str = "id", pred: str = "pred", label: str = "label",
+                            resamples: int = 100, seed: int = 42) -> DataFrame:
+    """Op 78 for lengths of stay: MAE, MSE, RMSE and R^2 with the same resamples.
+
+    Every metric follows from six weighted sums, so what is shuffled is one row per
+    run, resample and task. Sums of squares are taken about the run's mean label.
+    """
+    base = df.select(*run_cols, id_col, F.col(pred).cast("double").alias("_p"), F.col(label).cast("double").alias("_y"))
+    centre = base.groupBy(*run_cols).agg(F.avg("_y").alias("_c"))
+    base = join_null_safe(base, centre, run_cols)
+    drawn = base.withColumn("b", F.lit(0)).withColumn("w", F.lit(1)).unionByName(bootstrap_weights(base, id_col, resamples, seed))
+    e, y, w = F.col("_p") - F.col("_y"), F.col("_y") - F.col("_c"), F.col("w")
+    s = materialize(drawn.groupBy(*run_cols, "b").agg(
+        F.sum("w").alias("n"), F.sum(w * F.abs(e)).alias("a"), F.sum(w * e * e).alias("ssr"), F.sum(w * y).alias("y1"),
+        F.sum(w * y * y).alias("y2"), F.min("_y").alias("lo"), F.max("_y").alias("hi")))
+    sst = F.col("y2") - F.col("y1") * F.col("y1") / F.col("n")
+    r2 = F.when(F.col("lo") < F.col("hi"), 1.0 - F.col("ssr") / sst).when(F.col("ssr") > 0, 0.0).otherwise(1.0)
+    arr = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("v")) for m, v in (
+        ("mae", F.col("a") / F.col("n")), ("mse", F.col("ssr") / F.col("n")), ("rmse", F.sqrt(F.col("ssr") / F.col("n"))), ("r2", r2))])
+    every = s.select(*run_cols, "b", F.inline(arr))
+    return _intervals(every.where("b = 0").drop("b"), every.where("b > 0"), run_cols)
 
 
 def format_mean_std(df: DataFrame, mean: str, std: str, scale100: bool, out: str = "formatted") -> DataFrame:

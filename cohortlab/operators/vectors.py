@@ -105,8 +105,9 @@ def kendall_tau_b(df: DataFrame, group_cols: list[str], x: str, y: str) -> DataF
 def similarity_report(pairs: DataFrame, model_cols: list[str], a: str, b: str, score: str) -> DataFrame:
     """Op 93: per model x method (cosine, l1, l2): Pearson distance / r, Spearman, Kendall."""
     s = cosine_l1_l2(pairs, a, b)
-    long = s.select(*model_cols, F.col(score).cast("double").alias("_score"), F.inline(F.array(
-        *[F.struct(F.lit(m).alias("method"), F.col(m).alias("_sim")) for m in ("cosine", "l1", "l2")])))
+    # read by every correlation below: written once
+    long = materialize(s.select(*model_cols, F.col(score).cast("double").alias("_score"), F.inline(F.array(
+        *[F.struct(F.lit(m).alias("method"), F.col(m).alias("_sim")) for m in ("cosine", "l1", "l2")]))))
     g = model_cols + ["method"]
     out = pearson(long, g, "_score", "_sim")
     out = out.join(spearman(long, g, "_score", "_sim"), g).join(kendall_tau_b(long, g, "_score", "_sim"), g)

@@ -153,17 +153,17 @@ def _bootstrap_sql() -> str:
                   "SUM(CASE WHEN pred <= 0.5 AND label = 1 THEN w ELSE 0 END) AS fn, "
                   "SUM(CASE WHEN pred <= 0.5 AND label <> 1 THEN w ELSE 0 END) AS tn, "
                   "SUM(w * label) AS npos, SUM(w * (1 - label)) AS nneg FROM bk GROUP BY mb"),
-        ("per", "SELECT c.mb, c.auroc, c.auprc, CAST(tp + tn AS DOUBLE) / n AS accuracy, "
+        ("per", "SELECT c.mb, c.auroc, c.auprc, c.minpse, CAST(tp + tn AS DOUBLE) / n AS accuracy, "
                 "COALESCE(CAST(2 * tp AS DOUBLE) / NULLIF(2 * tp + fp + fn, 0), 0) AS f1 "
                 "FROM bc_m c JOIN bconf k ON k.mb = c.mb WHERE npos > 0 AND nneg > 0"),
         ("perl", "SELECT split_part(mb, '#', 1) AS model, m.metric, m.v FROM per, "
-                 "LATERAL (VALUES ('auroc', auroc), ('auprc', auprc), ('accuracy', accuracy), ('f1', f1)) m(metric, v)"),
+                 "LATERAL (VALUES ('auroc', auroc), ('auprc', auprc), ('minpse', minpse), ('accuracy', accuracy), ('f1', f1)) m(metric, v)"),
         ("ci", "SELECT model, metric, AVG(v) AS mean, STDDEV_POP(v) AS std, quantile_cont(v, 0.025) AS lo, "
                "quantile_cont(v, 0.975) AS hi, COUNT(*) AS n_resamples FROM perl GROUP BY model, metric"),
     ] + curve_ctes("f_preds", "model", "1", "pc") + [
         ("pconf", _CONF_SQL.format(src="f_preds")),
         ("pt", "SELECT c.model, m.metric, m.v AS point FROM pc_m c JOIN pconf k ON k.model = c.model, "
-               "LATERAL (VALUES ('auroc', c.auroc), ('auprc', c.auprc), ('accuracy', k.accuracy), ('f1', k.f1)) m(metric, v)"),
+               "LATERAL (VALUES ('auroc', c.auroc), ('auprc', c.auprc), ('minpse', c.minpse), ('accuracy', k.accuracy), ('f1', k.f1)) m(metric, v)"),
         ("boot", "SELECT pt.model, pt.metric, point, mean, std, lo, hi, n_resamples FROM pt JOIN ci "
                  "ON ci.model = pt.model AND ci.metric = pt.metric"),
     ]
@@ -183,6 +183,31 @@ def q_bootstrap(spark, sf):
     return _boot(spark, sf)
 
 
+def _los_boot_ctes():
+    """Op 78 over stays: one weighted regression per run and resample, resample 0 the sample itself."""
+    w = " + ".join(f"CAST(h >= {t} AS INT)" for t in metrics.poisson_thresholds())
+    return (
+        ("lr", "SELECT record_id AS id, CAST(outcome AS INT) AS run, CAST(GREATEST(datediff('day', record_date, discharge_date), 0) AS DOUBLE) "
+               "AS y, lab_quantity / 5 AS p FROM f_admissions"),
+        ("lw", f"SELECT *, CASE WHEN b = 0 THEN 1 ELSE {w} END AS w FROM (SELECT lr.*, b, ('0x' || substr(md5('42|' || CAST(b AS VARCHAR) || "
+               "'|' || CAST(id AS VARCHAR)), 1, 8))::BIGINT AS h FROM lr, (SELECT CAST(range AS INT) AS b FROM range(0, 21)))"),
+        ("lm", "SELECT *, SUM(w * y) OVER (PARTITION BY run, b) / SUM(w) OVER (PARTITION BY run, b) AS mu FROM lw"),
+        ("lg", "SELECT run, b, SUM(w * ABS(p - y)) / SUM(w) AS mae, SUM(w * power(p - y, 2)) / SUM(w) AS mse, "
+               "SQRT(SUM(w * power(p - y, 2)) / SUM(w)) AS rmse, 1 - SUM(w * power(p - y, 2)) / SUM(w * power(y - mu, 2)) AS r2 FROM lm GROUP BY run, b"),
+        ("ll", "SELECT run, b, m.metric, m.v FROM lg, LATERAL (VALUES ('mae', mae), ('mse', mse), ('rmse', rmse), ('r2', r2)) m(metric, v)"))
+
+
+@register("bootstrap_los", oracle(
+    "SELECT run, metric, MAX(v) FILTER (WHERE b = 0) AS point, AVG(v) FILTER (WHERE b > 0) AS mean, STDDEV_POP(v) FILTER (WHERE b > 0) AS std, "
+    "quantile_cont(v, 0.025) FILTER (WHERE b > 0) AS lo, quantile_cont(v, 0.975) FILTER (WHERE b > 0) AS hi, "
+    "COUNT(*) FILTER (WHERE b > 0) AS n_resamples FROM ll GROUP BY run, metric", ("f_admissions",), ctes=_los_boot_ctes(),
+    dbl=("point", "mean", "std", "lo", "hi")))
+def q_bootstrap_los(spark, sf):
+    a = admissions_los(spark, sf).select(F.col("record_id").alias("id"), F.col("outcome").cast("int").alias("run"),
+                                         F.col("los").alias("label"), (F.col("lab_quantity") / 5).alias("pred"))
+    return metrics.bootstrap_regression_ci(a, ["run"], resamples=20, seed=42)
+
+
 @register("format_mean_std", oracle(
     "SELECT model, metric, printf('%.2f±%.2f', mean * 100, std * 100) AS formatted FROM boot",
     ("f_preds",), ctes=_BOOT))
