@@ -7,12 +7,14 @@ normalising any split is a narrow, shuffle-free projection.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.exprs import EPS_STD, nan_to_null, safe_div, with_global
-from cohortlab.functions.ordered import exact_quantiles, largest_group
-from cohortlab.session import materialize
+from cohortlab.functions.ordered import MAP_QUANTILE_LIMIT, exact_quantiles
+from cohortlab.session import materialize, write_once
 
 OUTLIER_LIMIT = 1e4  # |z| above this is replaced by 0
 MISSING_STATS_FILL = -1.0  # default fill of a feature that has no statistics
@@ -59,6 +61,48 @@ def missing_mask(df: DataFrame, features: list[str], name: str = "missing_mask")
     return df.withColumn(name, F.array(*[F.isnull(c).cast("int") for c in features]))
 
 
+def wide_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of every column at once; null cells don't count.
+
+    One aggregate over all columns brackets the order statistics with approximate
+    quantiles, a second one counts the cells below each bracket, and only the cells
+    inside (about 10 n / accuracy a bracket) are unpivoted and ranked. Tables of at most
+    MAP_QUANTILE_LIMIT rows take Spark's exact ``percentile``, also in one aggregate.
+    What reaches the driver is a few numbers per column.
+    """
+    rows = df.count()
+    p_list = [float(p) for p in probs]
+    if rows <= MAP_QUANTILE_LIMIT:
+        got = df.agg(*[F.percentile(c, F.array(*map(F.lit, p_list))).alias(c) for c in columns]).first()
+        return {c: list(got[c]) if got[c] is not None else [None] * len(probs) for c in columns}
+    accuracy = max(10_000, min(10_000_000, -(-rows // 100_000)))
+    delta = 5.0 / accuracy
+    ends = [max(0.0, p - delta) for p in p_list] + [min(1.0, p + delta) for p in p_list]
+    found = df.agg(*[x for c in columns for x in (F.count(c).alias(f"{c}__n"), F.min(c).alias(f"{c}__0"), F.max(c).alias(f"{c}__1"),
+                                                  F.percentile_approx(c, ends, accuracy).alias(f"{c}__a"))]).first()
+    brackets = []  # column, probability, lower and upper end, rank
+    for c in columns:
+        for i, p in enumerate(p_list):
+            if found[f"{c}__n"]:
+                low = found[f"{c}__0"] if p - delta <= 0 else found[f"{c}__a"][i]
+                high = found[f"{c}__1"] if p + delta >= 1 else found[f"{c}__a"][len(p_list) + i]
+                brackets.append((c, i, low, high, (found[f"{c}__n"] - 1) * p))
+    below = df.agg(*[F.sum((F.col(c) < low).cast("long")).alias(f"b{k}") for k, (c, _, low, _, _) in enumerate(brackets)]).first()
+    inside = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.col(c).between(low, high), F.col(c)).alias("v"))
+                                          for k, (c, _, low, high, _) in enumerate(brackets)]))).where("v IS NOT NULL")
+    w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.groupBy("k", "v").agg(F.count(F.lit(1)).alias("m")).withColumn("upto", F.sum("m").over(w))
+    ranks = F.create_map(*[F.lit(x) for k, b in enumerate(brackets) for x in (k, [float(math.floor(b[4]) - below[f"b{k}"]),
+                                                                                  float(math.ceil(b[4]) - below[f"b{k}"])])])
+    at = ranked.withColumn("r", ranks[F.col("k")]).groupBy("k").agg(
+        F.min(F.when(F.col("upto") > F.col("r")[0], F.col("v"))).alias("v0"), F.min(F.when(F.col("upto") > F.col("r")[1], F.col("v"))).alias("v1"))
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    for r in at.collect():  # a row for each column and probability
+        c, i, _, _, rank = brackets[r.k]
+        out[c][i] = r.v0 + (rank - math.floor(rank)) * (r.v1 - r.v0)
+    return out
+
+
 def trimmed_stats(train: DataFrame, features: list[str], lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """Ops 26-27: one wide row with ``{f}__mean/std/median/fill`` per feature.
 
@@ -67,32 +111,22 @@ def trimmed_stats(train: DataFrame, features: list[str], lo: float = 0.05, hi: f
     std and median of the kept cells; missing statistic -> 0;
     fill = (median - mean) / (std + 1e-12).
 
-    Cells are unpivoted to (feature, value) so each feature is spread over
-    many tasks; quantiles are exact without a per-feature value map
-    (``exact_quantiles``). The one-row result is written to the shared
-    checkpoint folder, since every split reuses it.
+    The features' columns are written once (as they are, not unpivoted) and every
+    statistic of all features is taken in one aggregate.
     """
-    cells = train.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), nan_to_null(F.col(c).cast("double")).alias("value")) for c in features
-    ]))).where(F.col("value").isNotNull())
-    cells = materialize(cells)  # read several times below; written once instead of recomputed
-    names = train.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in features])).alias("feature"))
-    largest = largest_group(cells, ["feature"], "value")  # also bounds the kept cells below
-    q = exact_quantiles(cells, ["feature"], "value", [lo, hi], largest=largest)
-    kept = cells.join(F.broadcast(q), "feature").where((F.col("value") > F.col("q0")) & (F.col("value") < F.col("q1")))
-    mom = kept.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    med = exact_quantiles(kept.select("feature", "value"), ["feature"], "value", [0.5],
-                          largest=largest).withColumnRenamed("q0", "median")
-    st = names.join(mom, "feature", "left").join(med, "feature", "left")
-    m, sd, md = (F.coalesce(nan_to_null(F.col(k)), F.lit(0.0)) for k in ("mean", "std", "median"))
-    st = st.select("feature", m.alias("mean"), sd.alias("std"), md.alias("median"))
-    cols = []
-    for c in features:
-        pick = F.col("feature") == c
-        cols += [F.max(F.when(pick, F.col(k))).alias(f"{c}__{k}") for k in ("mean", "std", "median")]
-        cols.append(F.max(F.when(pick, (F.col("median") - F.col("mean")) / (F.col("std") + F.lit(EPS_STD))))
-                    .alias(f"{c}__fill"))
-    return materialize(st.agg(*cols))
+    cells = write_once(train.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(features)]), "cells")
+    names = cells.columns
+    q = wide_quantiles(cells, names, [lo, hi])
+    kept = cells.select(*[F.when((F.col(c) > q[c][0]) & (F.col(c) < q[c][1]), F.col(c)).alias(c) if q[c][0] is not None
+                          else F.lit(None).cast("double").alias(c) for c in names])
+    moments = kept.agg(*[x for c in names for x in (F.avg(c).alias(f"{c}_m"), F.stddev_samp(c).alias(f"{c}_s"))]).first()
+    median = wide_quantiles(kept, names, [0.5])
+    row, cols = [], []
+    for f, c in zip(features, names):
+        m, sd, md = (0.0 if x is None or x != x else float(x) for x in (moments[f"{c}_m"], moments[f"{c}_s"], median[c][0]))
+        row += [m, sd, md, (md - m) / (sd + EPS_STD)]
+        cols += [f"{f}__{k}" for k in ("mean", "std", "median", "fill")]
+    return train.sparkSession.createDataFrame([tuple(row)], ", ".join(f"`{c}` double" for c in cols))
 
 
 def stats_long(stats: DataFrame, features: list[str]) -> DataFrame:
@@ -192,6 +226,6 @@ def last_visit(df: DataFrame, id_col: str, time_col: str, cols: list[str]) -> Da
                                                                         for c in [time_col] + cols])
 
 
-__all__ = ["daily_merge", "category_vocabulary", "one_hot", "missing_mask", "trimmed_stats", "stats_long",
+__all__ = ["daily_merge", "category_vocabulary", "one_hot", "missing_mask", "wide_quantiles", "trimmed_stats", "stats_long",
            "zscore", "clip_outliers", "locf_impute", "los_info", "reverse_los", "los_normalize",
            "last_visit", "safe_div"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.operators import cleaning, panel, splits
-from cohortlab.session import materialize
+from cohortlab.session import materialize, write_once
 from cohortlab.sources.tables import fixture
 
 PANEL_FEATURES = ["age", "click", "error", "purchase", "signup", "view_"]
@@ -28,16 +28,16 @@ def panel_splits(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(splits.stratified_fraction(pc, 1 / 8, seed=42, salt="val").select("id", "label", "split"))
 
 
-def panel_stats(spark: SparkSession, sf: str) -> DataFrame:
-    visits = fixture(spark, sf, "f_visits")
+def panel_stats(spark: SparkSession, sf: str, visits: DataFrame | None = None) -> DataFrame:
+    visits = fixture(spark, sf, "f_visits") if visits is None else visits
     train = splits.split_filter(visits, panel_splits(spark, sf), "id", "train")
     return panel.trimmed_stats(train, PANEL_FEATURES)
 
 
 def build_panel(spark: SparkSession, sf: str, stage: str = "locf") -> DataFrame:
     """f_visits -> train stats -> z-score -> clip -> LOCF (the flagship slice)."""
-    visits = fixture(spark, sf, "f_visits")
-    stats = panel_stats(spark, sf)
+    visits = write_once(fixture(spark, sf, "f_visits"), "visits")  # aggregated once, read by columns below
+    stats = panel_stats(spark, sf, visits)
     z = panel.zscore(visits, stats, PANEL_FEATURES)
     if stage == "zscore":
         return z

@@ -70,6 +70,14 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def write_once(df, name: str):
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it back: for tables
+    that several jobs read by columns, where a checkpoint would keep whole rows."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint root for written tables."""
     root = checkpoint_root(spark)

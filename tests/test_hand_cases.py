@@ -37,6 +37,22 @@ def test_quantile_boundary_excluded(spark):
     assert s["a__mean"] == pytest.approx(sum(range(2, 19)) / 17)
 
 
+def test_wide_quantiles_paths_agree_with_numpy(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=3000), rng.integers(0, 6, 3000).astype(float)
+    df = spark.createDataFrame([(float(x), None if i % 3 else float(y), None) for i, (x, y) in enumerate(zip(a, b))],
+                               "a double, b double, c double").repartition(7)
+    probs = [0.0, 0.05, 0.37, 0.5, 0.95, 1.0]
+    want = {"a": np.quantile(a, probs), "b": np.quantile(b[::3], probs)}
+    for limit in (10 ** 6, 0):
+        monkeypatch.setattr(panel, "MAP_QUANTILE_LIMIT", limit)
+        got = panel.wide_quantiles(df, ["a", "b", "c"], probs)
+        assert got["c"] == [None] * 6
+        for c in "ab":
+            assert got[c] == pytest.approx(list(want[c]), abs=1e-12)
+
+
 def test_auroc_ties_half(spark):
     df = spark.createDataFrame([("r", 0.5, 0), ("r", 0.5, 1)], "run string, pred double, label int")
     m = metrics.binary_metrics(df, ["run"]).first()
