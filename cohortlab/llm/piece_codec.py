@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.llm import bytekit as bk
 from cohortlab.llm.common import text_or_empty
 
 SPACE = "▁"
-_MEMORY = 500_000  # units remembered by a worker; about 200 MB
+_MEMORY = 240_000  # units remembered by a worker; about 80 MB
 
 
 class PieceCodec:
@@ -47,7 +48,9 @@ class PieceCodec:
         self.ids = {self.pieces[i]: i for i in plain}
         self.score = {self.pieces[i]: sp.get_score(i) for i in plain}
         self.control = {i for i in range(n) if sp.is_control(i)}
-        self.special = self.control | set(self.byte_of)
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.control else p.replace(SPACE, " ").encode()
+                    for i, p in enumerate(self.pieces)]
+        self.shown = [str(i) for i in range(n)]
         if len(self.bytes) != 256 or any(sp.is_unused(i) for i in range(n)):
             raise ValueError("a merge-type model with byte fallback and without unused pieces is needed")
         if sp.normalize("a  ﬁé ") != f"{SPACE}a{SPACE}{SPACE}ﬁé{SPACE}":
@@ -64,7 +67,7 @@ class PieceCodec:
         self.units_of = _unit_pattern(letters, self.alphabet - letters - ends - {SPACE, "\n"})
         self.trie = ahocorasick.Automaton()
         for p in self.whole:
-            self.trie.add_word(p, p)
+            self.trie.add_word(p, (len(p) - 1, p))
         self.trie.make_automaton()
         # the next shorter piece that begins a piece
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.whole), None) for p in self.whole}
@@ -77,80 +80,67 @@ class PieceCodec:
         """Do the two pieces, written together, re-merge to these two?"""
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             got = self.pairs[a, b] = _merge_by_score(a + b, self.score) == [a, b]
         return got
 
-    def _agrees(self, parts: list[str]) -> bool:
-        known = self.pairs.get
-        for pair in zip(parts, parts[1:]):
-            ok = known(pair)
-            if not (self.compatible(*pair) if ok is None else ok):
-                return False
-        return True
-
     def _walk(self, text: str) -> list[str]:
         """The pieces of a text whose characters all occur in pieces."""
-        greedy = [p for _, p in self.trie.iter_long(text)]
-        if "".join(greedy) == text and self._agrees(greedy):
-            return greedy  # the walk below would not have to step back
         n = len(text)
         longest: list[str | None] = [None] * n
-        for end, p in self.trie.iter(text):
-            at = end + 1 - len(p)
-            if longest[at] is None or len(p) > len(longest[at]):
-                longest[at] = p
-        dead = bytearray(n // 8 + 1)  # bit i: no valid encoding passes a boundary at i
+        for end, (k, piece) in self.trie.iter(text):  # of one start, the longest ends last
+            longest[end - k] = piece
+        known, shorter = self.pairs.get, self.shorter
+        dead = None  # a bitfield; bit i: no valid encoding passes a boundary at i
         out: list[str] = []
-        at, piece = 0, longest[0]
+        at, piece, last = 0, longest[0], None
         while at < n:
             while piece is not None:
                 end = at + len(piece)
-                if not dead[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], piece)):
-                    break
-                piece = self.shorter[piece]
+                if dead is None or not dead[end >> 3] >> (end & 7) & 1:
+                    if last is None:
+                        break
+                    ok = known((last, piece))
+                    if self.compatible(last, piece) if ok is None else ok:
+                        break
+                piece = shorter[piece]
             if piece is not None:
                 out.append(piece)
-                at = end
+                last, at = piece, end
                 piece = longest[at] if at < n else None
             else:
+                if dead is None:
+                    dead = bytearray(n // 8 + 1)
                 dead[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
+                last = out[-1] if out else None
                 at -= len(piece)
-                piece = self.shorter[piece]
+                piece = shorter[piece]
         return out
 
     def encode_unit(self, unit: str) -> list[int]:
         """Ids of a unit: runs of known characters are walked, others become byte pieces."""
-        if unit in self.whole:
-            return [self.ids[unit]]
+        ids = self.ids
         if self.alphabet.issuperset(unit):
-            return [self.ids[p] for p in self._walk(unit)]
-        ids, known = [], []
+            return [ids[p] for p in self._walk(unit)]
+        out, known = [], []
         for c in unit:
             if c in self.alphabet:
                 known.append(c)
                 continue
             if known:
-                ids += [self.ids[p] for p in self._walk("".join(known))]
+                out += [ids[p] for p in self._walk("".join(known))]
                 known = []
-            ids += [self.bytes[x] for x in c.encode()]
+            out += [self.bytes[x] for x in c.encode()]
         if known:
-            ids += [self.ids[p] for p in self._walk("".join(known))]
-        return ids
+            out += [ids[p] for p in self._walk("".join(known))]
+        return out
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """The bytes of ids: U+2581 as space, byte pieces as they are, control pieces as nothing."""
-        if self.special.isdisjoint(ids):
-            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ").encode()
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif i not in self.control:
-                out += self.pieces[i].replace(SPACE, " ").encode()
-        return bytes(out)
+        raw = self.raw
+        return b"".join([raw[i] for i in ids])
 
     def _unit(self, unit: str) -> tuple[int, str, bytes]:
         got = self.units.get(unit)
@@ -158,7 +148,8 @@ class PieceCodec:
             got = self.older.pop(unit, None)
             if got is None:
                 ids = self.encode_unit(unit)
-                got = (len(ids), ",".join(map(str, ids)), self.decode_bytes(ids))
+                shown = self.shown
+                got = (len(ids), ",".join([shown[i] for i in ids]), self.decode_bytes(ids))
             if len(unit) <= 64:
                 if len(self.units) >= _MEMORY // 2:
                     self.older, self.units = self.units, {}
@@ -246,8 +237,7 @@ def digests(docs: DataFrame, model_file: str | None = None) -> DataFrame:
                                               pa.array(decoded, pa.string())],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(bk.tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
@@ -261,5 +251,4 @@ def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())),
                                               pa.array([c.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
-        run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(bk.tidy(run), "doc_id long, ids array<int>, decoded string")
