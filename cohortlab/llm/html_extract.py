@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,11 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
-                    re.S)
+from cohortlab.llm import bytekit as bk
+
+# Quoted attribute values may hold a ">"; bounds keep broken quotes from being searched to the page's end for every tag.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,1000}+"|'[^']{0,1000}+'){0,60}+)>"""
+                    r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|aria-hidden|hidden|style|type)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -88,6 +92,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """``(text, words in links, chrome, article, heading)`` of each block that has text, in page order."""
     out: list[tuple[str, int, int, int, int]] = []
     stack: list[tuple[str, int, int]] = []  # open containers: tag, chrome, article
+    opened: Counter[str] = Counter()  # by tag; a closing tag without one is passed over
+    endless: set[str] = set()  # elements known to have no end
     chrome = article = link = heading = linked = 0
     parts: list[str] = []
 
@@ -107,9 +113,9 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if link:
                 linked += len(text.split())
 
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), max(page.rfind(">"), page.rfind("<!"))
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last else None  # behind the last tag's end all is text
         if m is None:
             add(page[at:])
             break
@@ -122,7 +128,9 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if tag in RAW:
             flush()
             if not closing and not attributes.endswith("/"):
-                end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
+                end = None if tag in endless else re.compile(f"</{tag}\\s*>", re.I).search(page, at)
+                if end is None:
+                    endless.add(tag)
                 at = end.end() if end else (n if tag != "head" else at)
             continue
         if tag == "br":
@@ -137,22 +145,24 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             heading = 0 if closing else 1
         if tag in CONTAINER:
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                     if stack[k][0] == tag:
                         if parts and sum(x[1] for x in stack[k:]):
                             flush()
                         chrome -= sum(x[1] for x in stack[k:])
                         article -= sum(x[2] for x in stack[k:])
+                        opened.subtract(x[0] for x in stack[k:])
                         del stack[k:]
                         break
             elif not attributes.endswith("/"):
                 if tag in ("p", "li") and stack and stack[-1][0] == tag:  # these close themselves
                     chrome, article = chrome - stack[-1][1], article - stack[-1][2]
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
                 c, a = _enclosing(tag, attributes, article > 0)
                 if c and parts:
                     flush()
                 stack.append((tag, c, int(a)))
+                opened[tag] += 1
                 chrome, article = chrome + c, article + int(a)
     flush()
     return out
@@ -209,5 +219,4 @@ def extract(pages: DataFrame, tree=None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(
-        run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(bk.tidy(run), "page_id long, url string, text string, n_chars long")

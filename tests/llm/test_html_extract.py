@@ -72,6 +72,14 @@ def test_long_broken_and_odd_tables(spark, tree):
     assert H.extract(pages.limit(0), tree).count() == 0
 
 
+def test_odd_pages_take_linear_time(tree):
+    import time
+    t = time.time()
+    for page in ("<div>" * 60_000 + "</nav>" * 60_000 + "x", "<head>" * 60_000 + "x", "<p>a" * 60_000, "<a href='" * 60_000, "<!--" * 60_000, "<" * 300_000):
+        H.main_text(page, tree)
+    assert time.time() - t < 30
+
+
 def test_tree_fits_its_table(tree):
     wrong = sum(int(h != b[0]) for page in H.LABELLED for b, h in zip(page, H.predict(tree, H.features([b[1:] for b in page]))))
     assert wrong == 0
