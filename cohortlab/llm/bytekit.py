@@ -6,6 +6,7 @@ UTF-8 character are all >= 0x80, so words can be cut on the raw bytes.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -24,6 +25,27 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 32
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def tidy(run):
+    """``run`` for ``mapInArrow``, giving freed memory back to the system when a task's batches are
+    done: Spark keeps its Python workers for later tasks."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply); works on a copy."""
     x = x ^ (x >> np.uint64(30))

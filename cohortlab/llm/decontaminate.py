@@ -79,7 +79,7 @@ def item_terms(items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(out, pa.list_(pa.int64()))], ["item_id", "terms"])
 
     return (items.select(F.col("item_id").cast("string").alias("item_id"), text_or_empty().alias("text"))
-            .mapInArrow(hashed, "item_id string, terms array<long>").where(F.size("terms") > 0).distinct()
+            .mapInArrow(bk.tidy(hashed), "item_id string, terms array<long>").where(F.size("terms") > 0).distinct()
             .select(F.monotonically_increasing_id().alias("item"), "item_id", "terms"))
 
 
@@ -95,7 +95,7 @@ def frequencies(docs: DataFrame, vocabulary) -> DataFrame:
             has = np.flatnonzero(total[1:])
             yield pa.RecordBatch.from_arrays([pa.array(v.terms[has]), pa.array(total[1:][has])], ["term", "n"])
 
-    return docs.select("text").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(bk.tidy(counted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def anchors(items: DataFrame, freq: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -234,7 +234,7 @@ class PositionalIndex:
         freq = written(frequencies(rows, vocabulary), "bench-frequencies")
         self.anchors = written(anchors(self.items, freq, size), "bench-anchors")
         lead = self.anchors.select("term").distinct().toPandas()["term"].to_numpy(np.int64)  # at most the vocabulary
-        posted = written(rows.mapInArrow(_index(vocabulary, spark.sparkContext.broadcast(lead), self.reach),
+        posted = written(rows.mapInArrow(bk.tidy(_index(vocabulary, spark.sparkContext.broadcast(lead), self.reach)),
                                          "term long, doc_id long, rid long, positions array<int>, n_words long")
                          .sortWithinPartitions("term"), "bench-postings")
         self.rows = posted.where("term IS NULL").select("doc_id", "rid", "n_words")
@@ -250,7 +250,7 @@ class PositionalIndex:
         lists = self.postings.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("term", "positions")).alias("post"))
         both = lines.join(lists, lines.doc_id.eqNullSafe(lists.doc_id) & (lines.rid == lists.rid)).select(
             lines.doc_id, lines.rid, "spots", "post")
-        return both.mapInArrow(_intersect(self.held, self.size), _MATCH)
+        return both.mapInArrow(bk.tidy(_intersect(self.held, self.size)), _MATCH)
 
     def proximity_matches(self) -> DataFrame:
         """``(doc_id, rid, item_id, start)``: a window's anchor at ``start`` and all its terms within ``reach`` words."""

@@ -110,8 +110,7 @@ def edits(pairs: DataFrame) -> DataFrame:
                 pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int32()))],
                 ["id", "equal", "likeness", "gone", "new"])
 
-    return pairs.select(F.col("id").cast("long").alias("id"), "text_a", "text_b").mapInArrow(
-        run, "id long, equal boolean, likeness double, gone array<int>, new array<int>")
+    return pairs.select(F.col("id").cast("long").alias("id"), "text_a", "text_b").mapInArrow(bk.tidy(run), "id long, equal boolean, likeness double, gone array<int>, new array<int>")
 
 
 def _with_successors(batches):
@@ -178,4 +177,4 @@ def report(docs: DataFrame) -> DataFrame:
     placed = rows.select("id", "rid", "text", F.explode(F.when(is_first, with_sent).otherwise(places)).alias("to"))
     return (placed.select("to.bucket", "to.sent", F.col("id").alias("doc_id"), "rid", "text")
             .repartition("bucket").sortWithinPartitions("bucket", "sent", F.asc_nulls_first("doc_id"), "rid")
-            .mapInArrow(_with_successors, _OUT))
+            .mapInArrow(bk.tidy(_with_successors), _OUT))

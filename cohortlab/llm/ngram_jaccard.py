@@ -5,19 +5,28 @@ shingles. Sizes are cut into bands; the scheme of a band hashes the universe of
 into ``H + 1`` segments, H the most that a pair of that scheme can differ. Then one
 segment is equal in both sets (pigeonhole). Each set is indexed by the subset it has in
 each segment, under the scheme of its own band and, as the smaller partner, under the
-next one. Allocation by cost: a segment that is empty in a set would match the many
-sets that are empty there too, so it gets 0 (not probed) and a *flexible* segment gets 2
-instead: that one also matches when the subsets differ by one shingle, found through
-one-deletion neighbourhoods. The sum stays H + 1, so no pair is lost.
+next one; in the *flexible* segments also by its one-deletion neighbourhood (the subset
+less one shingle each).
 
-Sets of equal content are one class first. Within a list of equal signatures each member
-is compared with one centre only; lists whose members still lie in different components
-then have all their cross-component pairs verified, so the components are exact while a
-group of n near copies costs about n comparisons. Candidates first meet a bound (L1
-distance of bucketed shingle counts never exceeds the real difference); the rest are
-verified exactly on the shingles of the two texts.
+Allocation by cost: a set gives each segment 1 (equal subsets are looked up). A segment
+whose list is long and joins sets that are not in one component yet (empty segments, a
+passage that very many documents share) is dear: the set gives it 0 and a cheap flexible
+segment 2 instead, which also finds subsets that differ by one shingle. The larger set of
+a pair asks; it need not reach H + 1 but one more than what it can differ from smaller
+sets, so no pair is lost. Where that doesn't suffice, the set keeps 1.
 
-Shingles are identified by 64-bit hashes, classes by 64 bits of a digest of the set.
+Sets of equal content are one class first. The class with most copies leads a list, as near
+copies are mostly copies of it. Each set is first compared with the centres that lead most
+of its lists, so a group of n near copies costs about n comparisons; lists whose members then still lie in different components have their pairs between components looked
+at, as allocated.
+Candidates first meet a bound (the L1 distance of bucketed shingle counts never exceeds
+the real difference); the rest are verified exactly on the shingles of the two texts.
+
+Signatures travel in packed blocks; those that a task already holds twice send one row on
+(its first member stands for the rest), so a hot signature doesn't gather in one task.
+
+Shingles are identified by 64-bit hashes, classes by a 128-bit digest of the set;
+signatures have 48 bits, as a clash only costs a comparison.
 
 Defined results: no words (null, empty, white space): empty set, linked with nothing,
 ``component_id`` = its own doc_id. Repeated rows are members of one class; rows without
@@ -34,9 +43,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.llm import bytekit as bk
-from cohortlab.llm.common import connected_components, row_hash, text_or_empty, written
+from cohortlab.llm.common import connected_components, release, row_hash, text_or_empty, written
 
 _FLEX_SHARE = 0.08
+_FLUSH = 600_000   # signatures a task gathers before it sends blocks
+_BLOCK = 500_000     # signatures a part of the index should have
+_STARS = 3           # centres that a set is compared with at first
+_DEAR = 12           # members from which a list of several components is dear
+_NEXT, _FLEX, _LESS = 1, 2, 4   # bits of a row: next band's scheme, flexible segment, one shingle less; above: weight
+_MOST_WEIGHT = 31
 
 
 def bands(top: int, num: int = 4, den: int = 5) -> list[int]:
@@ -50,7 +65,7 @@ def bands(top: int, num: int = 4, den: int = 5) -> list[int]:
 def _scheme(edges: list[int], k: int) -> tuple[int, int]:
     """Segments of band k's scheme (the largest difference plus 1), and how many are flexible."""
     m = 2 * (edges[k + 1] - 1) // 9 + 1
-    return m, (0 if m < 4 else int(m * _FLEX_SHARE) + 2)
+    return m, min(m // 2, int(m * _FLEX_SHARE) + 5)
 
 
 _EDGES = bands(1 << 34)
@@ -67,106 +82,153 @@ def _row_sets(batch_texts):
 
 def _set_keys(batches):
     for b in batches:
-        nodes, sizes = [], []
-        for lo, hi, values, bounds in _row_sets(b.column("text")):
+        keys, sizes = [], []
+        for _, _, values, bounds in _row_sets(b.column("text")):
             cuts = bounds.tolist()
             for x, y in zip(cuts[:-1], cuts[1:]):
                 sizes.append(y - x)
-                nodes.append(int.from_bytes(hashlib.blake2b(values[x:y].tobytes(), digest_size=8).digest(), "little", signed=True)
-                             if y > x else None)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())],
-                                         ["doc_id", "rid", "node", "n_shingles"])
+                keys.append(hashlib.blake2b(values[x:y].tobytes(), digest_size=16).digest() if y > x else None)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())],
+                                         ["doc_id", "rid", "set", "n_shingles"])
+
 
+def _bands_of(sizes, shift):
+    """Band (moved by ``shift``), segments and flexible segments of each size."""
+    k = np.searchsorted(_EDGES, sizes, "right") - 1 + shift
+    scheme = {int(x): _scheme(_EDGES, int(x)) for x in np.unique(k)}
+    return k, np.array([scheme[int(x)][0] for x in k], np.int64), np.array([scheme[int(x)][1] for x in k], np.int64)
 
-def _segment_rows(values, bounds, sizes, shift):
+
+def _segment_rows(values, sizes, shift):
     """Signatures of a block of sets under the scheme of their own band (shift 0) or the next (1).
 
-    Yields ``(row, signature, probes)`` arrays: the whole subset of each segment, and for
-    flexible segments the subset less one shingle.
+    Yields ``(set, signature, bits)``: the whole subset of each segment, then, for the
+    flexible ones, the subset less one shingle.
     """
-    k = np.searchsorted(_EDGES, sizes, "right") - 1 + shift
-    scheme = {int(x): _scheme(_EDGES, int(x)) for x in np.unique(k)}
-    m = np.array([scheme[int(x)][0] for x in k], np.int64)
-    flex = np.array([scheme[int(x)][1] for x in k], np.int64)
+    k, m, flex = _bands_of(sizes, shift)
     base = np.concatenate(([0], np.cumsum(m)))
     row = np.repeat(np.arange(sizes.size), sizes)
     at = base[row] + (bk.mix(values ^ np.uint64(0xA5A5A5A5)) % m[row].astype(np.uint64)).astype(np.int64)
     code = bk.mix(values + np.uint64(0x51ED270B))
     total = np.zeros(base[-1], np.uint64)
     np.add.at(total, at, code)
-    count = np.bincount(at, minlength=base[-1])
     seg_row = np.repeat(np.arange(sizes.size), m)
     seg = np.arange(base[-1]) - base[seg_row]
     salt = bk.mix((k[seg_row].astype(np.uint64) << np.uint64(40)) + seg.astype(np.uint64))
-    # allocation: as many flexible segments with 2 as there are empty ones with 0
-    empty = count == 0
-    flexible = (seg < flex[seg_row]) & ~empty
-    n_empty = np.bincount(seg_row[empty], minlength=sizes.size)
-    rank = np.cumsum(flexible) - 1
-    rank -= np.concatenate(([0], np.cumsum(flexible)))[base[:-1]][seg_row]
-    two = flexible & (rank < n_empty[seg_row])
-    spare = np.bincount(seg_row[two], minlength=sizes.size)
-    e_rank = np.cumsum(empty) - 1
-    e_rank -= np.concatenate(([0], np.cumsum(empty)))[base[:-1]][seg_row]
-    probes = ~empty | (e_rank >= spare[seg_row])
-    yield seg_row, bk.mix(total ^ salt), probes
-    drop = np.flatnonzero(seg[at] < flex[row])
-    if drop.size:
-        where = at[drop]
-        yield row[drop], bk.mix((total[where] - code[drop]) ^ salt[where]), two[where]
-
-
-def _signatures(batches):
-    for b in batches:
-        nodes = b.column("node").to_numpy()
-        for lo, hi, values, bounds in _row_sets(b.column("text")):
-            sizes = np.diff(bounds)
-            has = sizes > 0
-            if not has.any():
-                continue
-            names, sizes = nodes[lo:hi][has], sizes[has]
-            for shift in (0, 1):
-                for row, sig, probes in _segment_rows(values, bounds, sizes, shift):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(names[row]), pa.array(probes)],
-                                                     ["sig", "node", "probes"])
-
-
-def _centres(batches):
-    """Rows sorted by (sig, probing first, node): every list of two or more with a probing centre."""
-    sig = centre = None
-    held = None   # first row of a list whose second row hasn't come yet
+    bits = np.where(seg < flex[seg_row], _FLEX, 0) + shift * _NEXT
+    yield seg_row, bk.mix(total ^ salt), bits.astype(np.uint8)
+    less = np.flatnonzero(seg[at] < flex[row])
+    where = at[less]
+    yield row[less], bk.mix((total[where] - code[less]) ^ salt[where]), np.full(less.size, _FLEX + _LESS + shift * _NEXT, np.uint8)
+
+
+def _pack(sig, node, bits, centre=None):
+    """One block: count, then the columns; nodes as offsets from the least."""
+    least = int(node.min() if centre is None else min(node.min(), centre.min()))
+    parts = [np.array([sig.size, least], np.int64), (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32),
+             (node - least).astype(np.uint32), (sig >> np.uint64(32)).astype(np.uint16), bits]
+    if centre is not None:
+        parts.insert(3, (centre - least).astype(np.uint32))
+    return b"".join(p.tobytes() for p in parts)
+
+
+def _unpack(data, with_centre):
+    n, least = np.frombuffer(data, np.int64, 2)
+    at, cols = 16, []
+    for kind in [np.uint32] * (2 + with_centre) + [np.uint16, np.uint8]:
+        cols.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    sig = cols[0].astype(np.int64) + (cols[-2].astype(np.int64) << 32)
+    return sig, cols[1] + least, cols[-1], (cols[2] + least if with_centre else None)
+
+
+def _by_origin(batch):
+    """The batch cut where the numbering (partition << 33 | row) passes to another partition:
+    offsets between the nodes of a block then fit into 32 bits."""
+    origin = batch.column("node").to_numpy() >> 33
+    cuts = [0, *(np.flatnonzero(np.diff(origin)) + 1).tolist(), len(batch)]
+    return [batch.slice(x, y - x) for x, y in zip(cuts[:-1], cuts[1:]) if y > x]
+
+
+def _signature_blocks(parts):
+    """Blocks of signatures by part, and rows of lists that have two members here already."""
+
+    def run(batches):
+        held, size, turn, origin = [], 0, 0, None
+
+        def flush():
+            sig, node, bits = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((_MOST_WEIGHT - (bits >> 3), sig))  # the most copied text leads its lists
+            sig, node, bits = sig[order], node[order], bits[order]
+            new = np.ones(sig.size, bool)
+            new[1:] = sig[1:] != sig[:-1]
+            head = np.flatnonzero(new)
+            lead = node[head][np.cumsum(new) - 1]
+            twice = ~new & (node != lead)
+            stands = np.zeros(sig.size, bool)
+            stands[head[np.unique((np.cumsum(new) - 1)[twice])]] = True
+            here = twice | stands
+            out = [(-1 - turn, _pack(sig[here], node[here], bits[here], lead[here]))] if here.any() else []
+            sig, node, bits = sig[head], node[head], bits[head]
+            cuts = np.searchsorted(sig, (np.arange(parts + 1).astype(object) * (1 << 48) // parts).astype(np.uint64))
+            out += [(p, _pack(sig[x:y], node[x:y], bits[x:y])) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())],
+                                              ["part", "data"])
+
+        for b in (x for y in batches for x in _by_origin(y)):
+            nodes = b.column("node").to_numpy()
+            weights = (b.column("weight").to_numpy() << 3).astype(np.uint8)
+            if size and nodes[0] >> 33 != origin:
+                yield flush()
+                held, size = [], 0
+            turn, origin = int(nodes[0]), nodes[0] >> 33   # turn spreads the rows of lists over the parts
+            for lo, hi, values, bounds in _row_sets(b.column("text")):
+                sizes = np.diff(bounds)
+                names, weight = nodes[lo:hi], weights[lo:hi]
+                for shift in (0, 1):
+                    for row, sig, bits in _segment_rows(values, sizes, shift):
+                        held.append((sig & np.uint64((1 << 48) - 1), names[row], bits | weight[row]))
+                        size += row.size
+                if size >= _FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def _lists(batches):
+    """All lists with two members or more: ``(sig, node, bits, centre)``, a row for each member."""
+    names = ["sig", "node", "bits", "centre"]
+    held = []
     for b in batches:
-        s, n, p = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if not s.size:
-            continue
-        new = np.ones(s.size, bool)
-        new[1:] = s[1:] != s[:-1]
-        new[0] = sig is None or s[0] != sig
-        heads = np.flatnonzero(new)
-        which = np.cumsum(new) - 1
-        lead = np.where(which >= 0, n[heads[np.maximum(which, 0)]] if heads.size else 0, 0)
-        live = np.where(which >= 0, p[heads[np.maximum(which, 0)]] if heads.size else False, False)
-        if not new[0]:
-            lead[which < 0], live[which < 0] = centre
-        follows = ~new & live & (n != lead)
-        has_follower = np.zeros(heads.size + 1, bool)
-        np.logical_or.at(has_follower, which[follows], True)   # -1: the list that came over
-        out_s, out_n, out_c = [s[follows]], [n[follows]], [lead[follows]]
-        if held is not None and has_follower[-1]:
-            out_s.append([held[0]]), out_n.append([held[1]]), out_c.append([held[1]])
-            held = None
-        full = heads[has_follower[:-1]]
-        out_s.append(s[full]), out_n.append(n[full]), out_c.append(n[full])
-        if heads.size:
-            held = None if has_follower[heads.size - 1] else (s[-1], n[heads[-1]])
-            centre = (n[heads[-1]], p[heads[-1]])
-        sig = s[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_s, out_n, out_c)],
-                                         ["sig", "node", "centre"])
+        for part, data in zip(b.column("part").to_pylist(), b.column("data")):
+            sig, node, bits, centre = _unpack(data.as_buffer(), part < 0)
+            if part < 0:
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(bits.astype(np.int32)), pa.array(centre)], names)
+            else:
+                held.append((sig, node, bits))
+    if held:
+        sig, node, bits = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((node, _MOST_WEIGHT - (bits >> 3), sig))
+        sig, node, bits = sig[order], node[order], bits[order]
+        same = np.zeros(sig.size + 1, bool)
+        same[1:-1] = sig[1:] == sig[:-1]
+        listed = same[1:] | same[:-1]
+        sig, node, bits, new = sig[listed], node[listed], bits[listed], ~same[:-1][listed]
+        if sig.size:
+            head = np.flatnonzero(new)
+            centre = node[head][np.cumsum(new) - 1]
+            for x in range(0, sig.size, 100_000):
+                part = slice(x, x + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[part]), pa.array(node[part]), pa.array(bits[part].astype(np.int32)),
+                                                  pa.array(centre[part])], names)
 
 
 def _sketches(batches):
-    """``(node, n, bins)``: counts of a set's shingles in 2^j buckets, about 4 a bucket, as bytes."""
+    """``(node, n, segments, flex, bins)``: size, segments and flexible segments of the band's scheme,
+    and the counts of the set's shingles in 2^j buckets, about 4 a bucket, as bytes."""
     for b in batches:
         nodes, seen, sizes, bins = b.column("node").to_numpy(), [], [], []
         for lo, hi, values, bounds in _row_sets(b.column("text")):
@@ -174,9 +236,10 @@ def _sketches(batches):
             for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                 width = 1 << max(4, (max(y - x, 1) // 4).bit_length())
                 counts = np.bincount((low[x:y] & np.uint64(width - 1)).astype(np.int64), minlength=width)
-                seen.append(nodes[lo + i]), sizes.append(y - x), bins.append(np.minimum(counts, 65535).astype(np.uint16).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())],
-                                         ["node", "n", "bins"])
+                seen.append(nodes[lo + i]), sizes.append(y - x), bins.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+        _, segments, flex = _bands_of(np.array(sizes, np.int64), 0)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(sizes, pa.int64()), pa.array(segments), pa.array(flex),
+                                          pa.array(bins, pa.binary())], ["node", "n", "segments", "flex", "bins"])
 
 
 def _may_link(batches):
@@ -185,7 +248,7 @@ def _may_link(batches):
         na, nb = b.column("na").to_pylist(), b.column("nb").to_pylist()
         keep = []
         for i, (x, y) in enumerate(zip(b.column("bins_a"), b.column("bins_b"))):
-            u, v = np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64), np.frombuffer(y.as_buffer(), np.uint16).astype(np.int64)
+            u, v = (np.frombuffer(z.as_buffer(), np.uint8).astype(np.int64) for z in (x, y))
             w = min(u.size, v.size)
             gap = int(np.abs(u.reshape(-1, w).sum(0) - v.reshape(-1, w).sum(0)).sum())
             keep.append(9 * gap <= na[i] + nb[i] and 5 * min(na[i], nb[i]) >= 4 * max(na[i], nb[i]))
@@ -196,7 +259,7 @@ def _verify(batches):
     """Exact: 100 * intersection >= 80 * union."""
     for b in batches:
         ok = np.zeros(len(b), bool)
-        step = max(1, int(len(b) * (8 << 20) / max(1, b.nbytes)))
+        step = max(1, int(len(b) * (4 << 20) / max(1, b.nbytes)))
         for at in range(0, len(b), step):
             part = b.slice(at, step)
             left, right = (_all_sets(part.column(c)) for c in ("text_a", "text_b"))
@@ -214,58 +277,127 @@ def _all_sets(texts):
 
 
 def set_keys(docs: DataFrame) -> DataFrame:
-    """``(doc_id, rid, node, n_shingles)`` of every row; ``node`` names the set (null: empty)."""
+    """``(doc_id, rid, set, n_shingles)`` of every row; ``set`` is a digest of its shingles (null: empty)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("rid"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_set_keys, "doc_id long, rid long, node long, n_shingles long")
+    return rows.mapInArrow(bk.tidy(_set_keys), "doc_id long, rid long, set binary, n_shingles long")
 
 
-def links(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Verified links ``(a, b)`` between classes; they span every component of the full join."""
-    reps = (keys.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "rid")).alias("r"))
-            .select("node", F.col("r.doc_id").alias("rep_id"), F.col("r.rid").alias("rep_rid")))
+def class_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(node, set, weight, text)``: a number, one text and a measure of its copies (twice their
+    binary logarithm) for every class of equal sets, written."""
+    reps = (keys.where("set IS NOT NULL").groupBy("set").agg(F.min(F.struct("doc_id", "rid")).alias("r"), F.count("*").alias("copies"))
+            .select("set", F.col("r.doc_id").alias("rep_id"), F.col("r.rid").alias("rep_rid"),
+                    F.least(F.lit(_MOST_WEIGHT), F.floor(F.log2("copies") * 2)).cast("int").alias("weight")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("rid"), "text")
-    texts = written(rows.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("rid") == F.col("rep_rid")))
-                    .select("node", "text"), "jaccard-texts")
-    lists = written(texts.mapInArrow(_signatures, "sig long, node long, probes boolean")
-                    .repartition("sig").sortWithinPartitions("sig", F.desc("probes"), "node")
-                    .mapInArrow(_centres, "sig long, node long, centre long"), "jaccard-lists")
-    sketch = written(texts.mapInArrow(_sketches, "node long, n long, bins binary"), "jaccard-sketch")
-    pairs = lists.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    seen = written(_check(pairs, sketch, texts), "jaccard-stars")
+    same = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("rid") == F.col("rep_rid"))
+    # of a repeated row one is enough; the node number is fixed by writing the table
+    return written(rows.join(reps, same).select(F.monotonically_increasing_id().alias("node"), "set", "weight", "text"), "jaccard-texts", "zstd")
+
+
+def links(texts: DataFrame, n_shingles: int) -> DataFrame:
+    """Verified links ``(a, b)`` between classes; they span every component of the full join."""
+    parts = max(1, n_shingles // _BLOCK)
+    lists = written(texts.select("node", "weight", "text").mapInArrow(bk.tidy(_signature_blocks(parts)), "part long, data binary")
+                    .repartition("part").mapInArrow(bk.tidy(_lists), "sig long, node long, bits int, centre long"), "jaccard-lists", "zstd")
+    sketch = written(texts.select("node", "text").mapInArrow(bk.tidy(_sketches), "node long, n long, segments long, flex long, bins binary"), "jaccard-sketch")
+    release(texts.sparkSession)
+    seen = written(_check(_stars(lists), sketch, texts), "jaccard-stars")
+    release(texts.sparkSession)
     comps = connected_components(seen.where("ok").select("a", "b"), "jaccard")
-    # lists whose members are still apart: all their pairs between components
-    placed = (lists.join(comps, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("comp")))
-    apart = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    rest = written(placed.join(apart, "sig"), "jaccard-apart")
-    other = rest.select("sig", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    cross = (rest.withColumnRenamed("node", "a").join(other, "sig").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")))
-             .select("a", "b").distinct())
-    tried = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _check(cross.join(tried, ["a", "b"], "left_anti"), sketch, texts)
-    return seen.where("ok").select("a", "b").union(written(more, "jaccard-cross").where("ok").select("a", "b"))
+    rest = written(_apart(lists, comps).join(sketch.select("node", F.col("n").alias("size"), "segments", "flex"), "node"), "jaccard-apart")
+    release(texts.sparkSession)
+    cross = _cross(rest).join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    more = written(_check(cross, sketch, texts), "jaccard-cross")
+    return seen.where("ok").select("a", "b").union(more.where("ok").select("a", "b"))
+
+
+def _stars(lists: DataFrame) -> DataFrame:
+    """Each set with the centres that lead most of its lists, ``_STARS`` at most: near copies share
+    many lists, while strangers meet in a few. What is left out here comes up again in ``_cross``."""
+    # a list's centre in a task stands for its members there; over all tasks, one leads it
+    lead = (lists.groupBy("sig").agg(F.min(F.struct((-F.shiftright("bits", 3)).alias("w"), "node")).alias("l"))
+            .select("sig", F.col("l.node").alias("centre")))
+    often = lists.drop("centre").join(lead, "sig").where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("times"))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), "centre"))
+    return (often.withColumn("nth", nth).where(F.col("nth") <= _STARS)
+            .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
+
+
+def _apart(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """The lists whose members lie in different components, each with its length ``n``."""
+    placed = lists.join(comps, "node", "left").select("sig", "node", "bits", F.coalesce("label", "node").alias("comp"))
+    apart = (placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+             .where("lo <> hi").select("sig", "n"))
+    return placed.join(apart, "sig")
+
+
+def _cross(rest: DataFrame) -> DataFrame:
+    """Pairs between components, as each set's allocation asks for.
+
+    The larger set of a pair asks, under the scheme of its own band: with l shingles it
+    differs from a smaller partner in 2 l / 9 at most, and the sum of its allocation needs
+    to be one more than that.
+    """
+    rest = rest.withColumn("dear", F.col("n") > _DEAR)
+    own = rest.where(F.col("bits").bitwiseAND(_NEXT) == 0)
+    flexible, less = F.col("bits").bitwiseAND(_FLEX) > 0, F.col("bits").bitwiseAND(_LESS) > 0
+    # flexible segments that can get 2: those without a dear list (counted low: a row each)
+    one = Window.partitionBy("node")
+    costly = (own.where("dear").withColumn("spoilt", F.sum(F.when(flexible, 1).otherwise(0)).over(one)).where(~less)
+              .withColumn("nth", F.row_number().over(one.orderBy(F.desc("n"), "sig"))))
+    spare = F.greatest(F.col("flex") - F.col("spoilt"), F.lit(0)) + F.col("segments") - 1 - F.floor(F.col("size") * 2 / 9)
+    # the longest lists get 0 as far as that goes; the rest are looked up
+    asking = own.where("NOT dear").select("sig", "node", "comp", "size").union(costly.where(F.col("nth") > spare).select("sig", "node", "comp", "size"))
+    other = rest.select("sig", F.col("node").alias("node_b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"))
+    # little data, many pairs: keep the number of partitions
+    n = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asking, other = written(asking, "jaccard-asking").repartition(n, "sig"), other.repartition(n, "sig")
+    # how often two components meet: members that ask times members there, over all lists
+    here = asking.groupBy("sig", "comp").agg(F.count("*").alias("asked"))
+    there = other.groupBy("sig", "comp_b").agg(F.count("*").alias("met"))
+    meets = here.join(there, "sig").where("comp <> comp_b").groupBy("comp", "comp_b").agg(F.sum(F.col("asked") * F.col("met")).alias("times"))
+    members = rest.select(F.col("comp"), "node", "size").distinct()
+    held = members.groupBy("comp").agg(F.count("*").alias("held"))
+    meets = written(meets.join(held, "comp").join(held.select(F.col("comp").alias("comp_b"), F.col("held").alias("held_b")), "comp_b")
+                    .select("comp", "comp_b", (F.col("times") > F.col("held") * F.col("held_b")).alias("whole")), "jaccard-meets")
+    # components that meet more often than they have pairs: every pair once; else list by list
+    whole = meets.where("whole").select(F.least("comp", "comp_b").alias("comp"), F.greatest("comp", "comp_b").alias("comp_b")).distinct()
+    theirs = members.select(F.col("comp").alias("comp_b"), F.col("node").alias("node_b"), F.col("size").alias("size_b"))
+    near = (F.least("size", "size_b") * 5 >= F.greatest("size", "size_b") * 4)
+    full = whole.join(members, "comp").join(theirs, "comp_b").where(near)
+    single = (here.join(there, "sig").where("comp <> comp_b").join(meets.where("NOT whole"), ["comp", "comp_b"]).select("sig", "comp", "comp_b")
+              .join(asking, ["sig", "comp"]).join(other, ["sig", "comp_b"]).where(near & (F.col("size_b") <= F.col("size"))))
+    pair = [F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")]
+    return full.select(*pair).union(single.select(*pair)).distinct()
 
 
 def _check(pairs: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:
     a, b = (sketch.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab")
-    near = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "bins_a", "bins_b").mapInArrow(_may_link, "a long, b long")
+    near = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "bins_a", "bins_b").mapInArrow(bk.tidy(_may_link), "a long, b long")
+    near = written(near, "jaccard-near")
+    release(texts.sparkSession)
     ta, tb = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     both = near.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify, "a long, b long, ok boolean")
+    return both.mapInArrow(bk.tidy(_verify), "a long, b long, ok boolean")
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """``(doc_id, rid, node, comp, n_shingles, component_id)`` for every row of ``docs``;
+    """``(doc_id, rid, set, comp, n_shingles, component_id)`` for every row of ``docs``;
     ``comp`` is the component itself, as two may bear the name of one repeated doc_id."""
     docs = docs.select("doc_id", "text")
     keys = written(set_keys(docs), "jaccard-keys")
-    labels = connected_components(links(docs, keys), "jaccard-all")
-    placed = (keys.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-              .join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")))
+    texts = class_texts(docs, keys)
+    release(docs.sparkSession)
+    total = keys.agg(F.sum("n_shingles")).first()[0] or 0
+    labels = connected_components(links(texts, total), "jaccard-all")
+    placed = (keys.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"))
+              .join(texts.groupBy("set").agg(F.min("node").alias("node")), "set").join(labels, "node", "left")
+              .withColumn("comp", F.coalesce("label", "node")))
     names = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = placed.select("node", "comp").join(names, "comp").select("node", "comp", "component_id")
-    out = keys.join(named, "node", "left")
-    return out.select("doc_id", "rid", "node", "comp", "n_shingles",
-                      F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = placed.select("set", "comp").join(names, "comp").select("set", "comp", "component_id")
+    out = keys.join(named, "set", "left")
+    return out.select("doc_id", "rid", "set", "comp", "n_shingles",
+                      F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -277,9 +409,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     text hash; of rows equal in both, any one. Rows without words or without doc_id stay
     (repeated rows without words: one)."""
     placed = components(docs).where("doc_id IS NOT NULL")
-    winner = (placed.where("node IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "rid")).alias("w"))
+    winner = (placed.where("set IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "rid")).alias("w"))
               .select("w.doc_id", "w.rid"))
-    keep = winner.union(placed.where("node IS NULL").select("doc_id", "rid")).distinct()
+    keep = winner.union(placed.where("set IS NULL").select("doc_id", "rid")).distinct()
     rows = docs.select("doc_id", row_hash().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     first = F.row_number().over(Window.partitionBy("doc_id", "rid").orderBy("doc_id"))
     kept = rows.join(keep.hint("merge"), ["doc_id", "rid"]).withColumn("nth", first).where("nth = 1")

@@ -138,10 +138,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, shards: i
     # at most max_train rows of three numbers: half a megabyte
     rows = (docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
             .withColumn("shard", F.pmod(F.xxhash64("turn"), F.lit(shards)).cast("int")))
-    seen = rows.select("shard", "turn", F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(
-        _examples, "shard int, turn long, doc_id long, y double, at array<int>, x array<float>")
+    seen = rows.select("shard", "turn", F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(bk.tidy(_examples), "shard int, turn long, doc_id long, y double, at array<int>, x array<float>")
     learnt = (seen.repartition(shards, "shard").sortWithinPartitions("shard", "turn", "doc_id")
-              .mapInArrow(_learner(epochs, dict(alpha=alpha, beta=beta, l1=l1, l2=l2)), "w binary, n long"))
+              .mapInArrow(bk.tidy(_learner(epochs, dict(alpha=alpha, beta=beta, l1=l1, l2=l2))), "w binary, n long"))
     found = learnt.collect()  # one row for each shard
     if not found:
         return np.zeros(_N + 1, np.float32)
@@ -165,7 +164,7 @@ def scored(rows: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(f.name) for f in fields] + [pa.array(score)], [f.name for f in fields] + ["score"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(bk.tidy(run), schema)
 
 
 def report(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:

@@ -110,7 +110,7 @@ def count_lines(docs: DataFrame, rule: str = "most", ranks_file: str | None = No
                 ["doc_id", "n_tokens", "n_sections", "n_crossing", "starts", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_sections long, n_crossing long, starts array<long>, counts array<long>")
+    return rows.mapInArrow(bk.tidy(run), "doc_id long, n_tokens long, n_sections long, n_crossing long, starts array<long>, counts array<long>")
 
 
 def count_fields(rows: DataFrame, key: str, fields: list[str], glue: str = "\n\n", rule: str = "most",
@@ -131,8 +131,7 @@ def count_fields(rows: DataFrame, key: str, fields: list[str], glue: str = "\n\n
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([g[0] for g in got], pa.int64()), *cols], ["k", "n_tokens", *names])
 
     kind = rows.schema[key].dataType.simpleString()
-    out = rows.select(F.col(key).alias("k"), *[F.col(f).cast("string").alias(n) for f, n in zip(fields, names)]).mapInArrow(
-        run, f"k {kind}, n_tokens long, " + ", ".join(f"{n} long" for n in names))
+    out = rows.select(F.col(key).alias("k"), *[F.col(f).cast("string").alias(n) for f, n in zip(fields, names)]).mapInArrow(bk.tidy(run), f"k {kind}, n_tokens long, " + ", ".join(f"{n} long" for n in names))
     return out.select(F.col("k").alias(key), "n_tokens", *[F.col(n).alias(f"n_{f}") for f, n in zip(fields, names)])
 
 

@@ -78,7 +78,7 @@ def _units(min_words):
 def units(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """``(h1, h2, doc_id, rid, start, stop)`` of every unit of ``min_words`` words or more."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("rid"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_units(min_words), "h1 long, h2 long, doc_id long, rid long, start long, stop long")
+    return rows.mapInArrow(bk.tidy(_units(min_words)), "h1 long, h2 long, doc_id long, rid long, start long, stop long")
 
 
 def removed_spans(docs: DataFrame, min_words: int = 5) -> DataFrame:
@@ -125,4 +125,4 @@ def report(docs: DataFrame, min_words: int = 5) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("rid"), text_or_empty().alias("text")).alias("r")
     both = rows.join(gone, F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.rid") == F.col("g.rid")), "left").select(
         "r.doc_id", "text", "spans")
-    return both.mapInArrow(_cut, "doc_id long, n_chars long, n_spans long, n_removed_chars long, spans string, kept string")
+    return both.mapInArrow(bk.tidy(_cut), "doc_id long, n_chars long, n_spans long, n_removed_chars long, spans string, kept string")

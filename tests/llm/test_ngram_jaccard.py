@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 import re
 
-import numpy as np
 import pyarrow as pa
 
 from cohortlab.llm import ngram_jaccard as J
@@ -98,20 +97,30 @@ def test_whole_small_table(spark):
     assert sorted((tuple(r) for r in J.report(docs).collect()), key=str) == brute(rows)
 
 
-def test_centres_do_not_depend_on_batches():
-    rng = np.random.default_rng(3)
-    rows = sorted({(int(s), not bool(p), int(n)) for s, p, n in zip(rng.integers(0, 12, 60), rng.integers(0, 2, 60), rng.integers(0, 9, 60))})
-
-    def run(step):
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in c]), pa.array([r[2] for r in c]), pa.array([not r[1] for r in c])],
-                                              ["sig", "node", "probes"]) for c in (rows[i:i + step] for i in range(0, len(rows), step))]
-        return sorted(tuple(x.values()) for b in J._centres(batches) for x in b.to_pylist())
-
-    want = []
-    for s in range(12):
-        own = [r for r in rows if r[0] == s]
-        if own and not own[0][1]:
-            lead = own[0][2]
-            rest = [r[2] for r in own[1:] if r[2] != lead]
-            want += [(s, n, lead) for n in rest + [lead] * bool(rest)]
-    assert run(1000) == run(1) == run(3) == sorted(want)
+def test_lists_do_not_depend_on_batches(monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.sample(words, 40) if i % 3 else words[:50]) + f" t{i % 7}" for i in range(40)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(100, 140)), pa.array([i % 4 for i in range(40)], pa.int32()), pa.array(texts)],
+                                      ["node", "weight", "text"])
+
+    def run(step, flush, parts):
+        monkeypatch.setattr(J, "_FLUSH", flush)
+        blocks = [b for i in range(0, 40, step) for b in J._signature_blocks(parts)([rows.slice(i, step)])]
+        out = [tuple(x.values()) for b in J._lists(blocks) for x in b.to_pylist()]
+        near = {}
+        for sig, node, _, centre in out:
+            near.setdefault(sig, set()).update((node, centre))
+        return {sig: frozenset(n) for sig, n in near.items() if len(n) > 1}
+
+    want = run(40, 10 ** 9, 1)
+    assert len(want) > 20 and any(len(n) > 5 for n in want.values())
+    assert run(40, 10 ** 9, 7) == run(8, 1, 3) == run(1, 10 ** 9, 5) == want
+
+
+def test_dear_lists_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(J, "_DEAR", 2)
+    rows = list(enumerate(variants(9)))
+    common = " ".join(f"c{i}" for i in range(30))
+    rows += [(1000 + i, common + " " + t) for i, (_, t) in enumerate(rows[::2])]
+    assert got(spark, rows) == brute(rows)
