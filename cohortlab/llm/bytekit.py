@@ -116,15 +116,18 @@ def find_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray):
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """64-bit hashes of the byte spans (ascending, not overlapping); ``fold``: A-Z as a-z."""
     table, out = (_FOLDED if fold else _BYTE), np.empty(starts.size, np.uint64)
-    i = 0
+    long = np.flatnonzero(ends - starts > _LONG_WORD)  # by their own length only: equal bytes have equal hashes
+    for i in long.tolist():
+        word = data[starts[i]:ends[i]]
+        out[i] = int.from_bytes(hashlib.blake2b((FOLD[word] if fold else word).tobytes(), digest_size=8).digest(), "little")
+    stops = iter([*long.tolist(), starts.size])
+    i, stop = 0, next(stops)
     while i < starts.size:
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        if hi - lo > _LONG_WORD and j == i + 1:
-            word = FOLD[data[lo:hi]] if fold else data[lo:hi]
-            out[i] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), "little")
-            i = j
+        if i == stop:
+            i, stop = i + 1, next(stops)
             continue
+        j = min(stop, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
         p, inv = _power_tables(hi - lo)
         total = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(table[data[lo:hi]] * p[:hi - lo], out=total[1:])

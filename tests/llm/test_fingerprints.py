@@ -70,3 +70,13 @@ def test_edits_are_located(spark):
     pairs = spark.createDataFrame([(1, "\n".join(lines), "\n".join(changed)), (2, None, ""), (3, "a", None)], "id long, text_a string, text_b string")
     got = {r.id: r for r in M.edits(pairs).collect()}
     assert (got[1].gone, got[1].new) == ([120], [50, 121]) and got[2].equal and got[3].likeness == 0
+
+
+def test_equal_long_words_have_equal_fingerprints(spark):
+    """600 KB without white space: beside a short paragraph, and beside another long word."""
+    long, other = "ab" * 300_000, "cd" * 300_000
+    one, _, _, two, _ = M.trees([t.encode() for t in (long, "short", "tiny", long, other)])
+    assert one.root == two.root and M.likeness(one, two) == 1.0
+    rows = [(1, long), (2, "short"), (3, long), (4, other)]
+    out = {r.doc_id: r for r in M.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].fingerprint == out[3].fingerprint != out[4].fingerprint

@@ -124,3 +124,11 @@ def test_dear_lists_lose_no_link(spark, monkeypatch):
     common = " ".join(f"c{i}" for i in range(30))
     rows += [(1000 + i, common + " " + t) for i, (_, t) in enumerate(rows[::2])]
     assert got(spark, rows) == brute(rows)
+
+
+def test_equal_long_words_are_linked(spark):
+    """600 KB without white space: followed by a short row, and by another long word."""
+    long, other = "ab" * 300_000, "cd" * 300_000
+    rows = [(1, long), (2, "short"), (3, long), (4, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in J.report(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
