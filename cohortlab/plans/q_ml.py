@@ -61,7 +61,7 @@ def _regressor(kind):
         """Days between first and last visit, from the last visit's values."""
         v = fixture(spark, sf, "f_visits").groupBy("id").agg(F.datediff(F.max("record_date"), F.min("record_date")).cast("double").alias("los"))
         t = materialize(_last_visit_table(spark, sf).join(v, "id"))
-        model = ml.fit_tree_model(t.where(F.col("split") == "train"), _TREE_FEATURES, "los", kind, task="los", n_trees=20, rounds=20)
+        model = ml.fit_tree_model(t.where(F.col("split") == "train"), _TREE_FEATURES, "los", kind, task="los")
         s = ml.batch_score(model, t.where(F.col("split") == "val"), "id", "los", task="los")
         return s.select("id", "label", (F.col("pred") >= 0).alias("valid"))
     return q
