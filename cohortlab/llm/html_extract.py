@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm import bytekit as bk
 
-# Quoted attribute values may hold a ">"; bounds keep broken quotes from being searched to the page's end for every tag.
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,1000}+"|'[^']{0,1000}+'){0,60}+)>"""
-                    r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|aria-hidden|hidden|style|type)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+# Quoted attribute values may hold a ">"; quotes elsewhere in a tag are characters like others.
+_VALUE = re.compile(r"""=\s*+(?:(["'])|[^\s>]++)|>""")
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
+_KEY = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)$", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # HTML's block-level elements, and elements whose content is no text.
@@ -77,7 +78,10 @@ def _enclosing(tag: str, attributes: str, in_article: bool) -> tuple[int, bool]:
     names, hidden = set(), False
     if attributes and tag not in ("body", "html"):
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
-            value, key = a or b or c, key.lower()
+            key = _KEY.search(key)
+            if not key:
+                continue
+            value, key = a or b or c, key[1].lower()
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                 hidden = True
             elif key in ("class", "id", "role"):
@@ -88,6 +92,24 @@ def _enclosing(tag: str, attributes: str, in_article: bool) -> tuple[int, bool]:
     return 0, tag in ("article", "main") or bool(names & ARTICLE_NAMES)
 
 
+def _tag_end(page: str, at: int, endless: set[int]) -> int:
+    """The end of the tag whose name ends at ``at``: the first ">" outside quoted values, or the first of all if there
+    is none (a quote is never closed); -1 without a ">". ``endless``: places in the page from where there is none."""
+    first = page.find(">", at)
+    if first < 0 or page.find('"', at, first) < 0 and page.find("'", at, first) < 0:
+        return first
+    seen: list[int] = []
+    while (m := _VALUE.search(page, at)) and m.end() not in endless:
+        if m[0] == ">":
+            return m.start()
+        seen.append(m.end())
+        at = page.find(m[1], m.end()) + 1 if m[1] else m.end()
+        if not at:
+            break
+    endless.update(seen)
+    return first
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """``(text, words in links, chrome, article, heading)`` of each block that has text, in page order."""
     out: list[tuple[str, int, int, int, int]] = []
@@ -113,18 +135,24 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if link:
                 linked += len(text.split())
 
-    at, n, last = 0, len(page), max(page.rfind(">"), page.rfind("<!"))
+    unclosed: set[int] = set()  # values behind which no tag ends
+    at, seek, n, last = 0, 0, len(page), max(page.rfind(">"), page.rfind("<!"))
     while at < n:
-        m = _TOKEN.search(page, at) if at <= last else None  # behind the last tag's end all is text
+        seek = max(at, seek)
+        m = _MARKUP.search(page, seek) if seek <= last else None  # behind the last tag's end all is text
         if m is None:
             add(page[at:])
             break
+        end = _tag_end(page, m.end(), unclosed) if m[2] else m.end()
+        if end < 0:
+            seek = m.end()
+            continue
         add(page[at:m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        if not m[2]:
+            at = end
             continue
-        tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        at = end + 1
+        tag, closing, attributes = m[2].lower(), bool(m[1]), page[m.end():end]
         if tag in RAW:
             flush()
             if not closing and not attributes.endswith("/"):

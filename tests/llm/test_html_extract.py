@@ -83,3 +83,22 @@ def test_odd_pages_take_linear_time(tree):
 def test_tree_fits_its_table(tree):
     wrong = sum(int(h != b[0]) for page in H.LABELLED for b, h in zip(page, H.predict(tree, H.features([b[1:] for b in page]))))
     assert wrong == 0
+
+
+def test_long_quoted_values_are_no_text(tree):
+    value = '{"body": 1}<p>gone</p><nav class=\'menu\'>' * 200
+    long = value.replace('"', "&quot;")
+    many = " ".join(f'data-{i}="a>b"' for i in range(200))
+    assert len(long) > 5_000
+    for page in (f'<article><div data-props="{long}"><p>kept</p></div></article>', f"<article><p {many}>kept</p></article>",
+                 f'<article><p title="{long}" class=lead>kept</p></article>', "<article><p title=it's>kept</p></article>"):
+        assert H.main_text(page, tree) == "kept"
+    assert H.main_text('<article><p title="never>closed</p><p>kept</p>', tree) == "closed\nkept"
+
+
+def test_odd_quotes_take_linear_time(tree):
+    import time
+    t = time.time()
+    for page in ("<a b='>" * 60_001, "<a b=\"'>" * 60_001, "<a b='\" c=\"'>" * 40_001, "<a b=c=\"d e='>" * 40_001, "<a " * 90_000 + "<!", "<a b='c' >" * 40_000 + "<a b=\"" * 40_001):
+        H.main_text(page, tree)
+    assert time.time() - t < 30
