@@ -38,7 +38,7 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLOCK = set("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption
     figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav object ol optgroup option
     p pre section select summary table tbody td tfoot th thead tr ul video audio""".split())
-RAW = set("script style noscript template textarea title iframe svg canvas head select math object audio video".split())
+RAW = set("script style noscript template textarea title iframe svg canvas head select annotation annotation-xml".split())
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CONTAINER = set("""article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section
     table td ul button label span p li""".split())
@@ -49,6 +49,9 @@ CHROME_NAMES = set("""nav navbar navigation menu sidebar aside ad ads adv advert
     breadcrumb breadcrumbs pagination pager toolbar footer copyright legal widget widgets skip hidden complementary contentinfo
     trending teaser masthead discussion""".split())
 HEADER_NAMES = {"header", "banner", "masthead", "topbar"}
+PLACES = set("list area box container wrapper wrap inner outer left right top bottom block section item items group panel row col column".split())
+WITHOUT = {"has", "no", "with", "without"}  # names behind them tell what is or isn't inside
+HARD = {"nav", "aside", "footer", "dialog"}  # elements whose articles are chrome too
 ARTICLE_NAMES = set("article content main post entry story body text maincontent articlebody".split())
 
 FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "chrome", "article", "heading")
@@ -71,11 +74,28 @@ LABELLED = [
     [(1, 3, 0, 0, 0, 0)], [(1, 200, 0, 0, 0, 0)], [(1, 1, 0, 0, 1, 0)], [(0, 3, 3, 0, 0, 0)], [(0, 30, 0, 1, 0, 0)],
     [(1, 2, 0, 0, 0, 0), (1, 3, 0, 0, 0, 0), (1, 60, 0, 0, 0, 0)],
 ]
+#: Likewise inside wrappers whose names hint at chrome (0.5): articles, then teasers and remarks.
+HINTED = [
+    [(0, 2, 2, 1, 0, 0), (1, 7, 0, 0.5, 1, 1), (1, 55, 0, 0.5, 1, 0), (1, 4, 0, 0.5, 1, 0), (1, 120, 4, 0.5, 1, 0), (0, 9, 0, 1, 0, 0)],
+    [(0, 3, 3, 0.5, 0, 0), (0, 4, 4, 0.5, 0, 0), (1, 60, 1, 0.5, 0, 0), (1, 45, 0, 0.5, 0, 0), (0, 9, 0, 1, 0, 0)], [(1, 52, 0, 0.5, 1, 0)],
+    [(0, 1, 1, 1, 0, 0), (1, 9, 0, 0.5, 1, 1), (1, 38, 0, 0.5, 1, 0), (1, 64, 3, 0.5, 1, 0), (1, 3, 0, 0.5, 1, 0), (1, 90, 0, 0.5, 1, 0), (1, 31, 2, 0.5, 1, 0)],
+    [(1, 5, 0, 0.5, 1, 1), (1, 150, 5, 0.5, 1, 0), (1, 12, 0, 0.5, 1, 1), (1, 70, 0, 0.5, 1, 0), (1, 44, 1, 0.5, 1, 0), (0, 30, 0, 1, 0, 0)],
+    [(1, 6, 0, 0.5, 0, 1), (1, 80, 0, 0.5, 0, 0), (1, 2, 0, 0.5, 0, 0), (1, 58, 2, 0.5, 0, 0), (1, 36, 0, 0.5, 0, 0), (0, 40, 0, 1, 0, 0), (0, 55, 2, 1, 0, 0)],
+    [(0, 6, 6, 0.5, 1, 1), (0, 14, 2, 0.5, 1, 0), (0, 7, 7, 0.5, 1, 1), (0, 16, 2, 0.5, 1, 0), (0, 8, 8, 0.5, 1, 1)],
+    [(0, 2, 0, 0.5, 0, 0), (0, 6, 1, 0.5, 0, 0), (0, 8, 0, 0.5, 0, 0)], [(0, 40, 36, 0.5, 0, 0)], [(0, 60, 50, 0.5, 1, 0)],
+    [(0, 6, 0, 0.5, 0, 1), (0, 12, 0, 0.5, 0, 0), (0, 9, 0, 0.5, 1, 0), (0, 15, 0, 0.5, 0, 0), (0, 11, 0, 0.5, 1, 0), (0, 18, 0, 0.5, 1, 0), (0, 7, 1, 0.5, 1, 0)],
+    [(0, 7, 7, 0.5, 1, 1), (0, 4, 2, 0.5, 1, 0), (0, 8, 8, 0.5, 1, 1), (0, 9, 3, 0.5, 1, 0), (0, 6, 6, 0.5, 1, 1), (0, 5, 0, 0.5, 1, 0), (0, 7, 7, 0.5, 1, 1), (0, 8, 0, 0.5, 0, 0)],
+    [(1, 85, 2, 0.5, 1, 0), (1, 4, 0, 0.5, 1, 0)], [(1, 66, 0, 0.5, 0, 0), (1, 9, 0, 0.5, 0, 0)], [(1, 45, 0, 0.5, 1, 0), (1, 13, 1, 0.5, 1, 0)],
+    # long paragraphs among link lists, and with links of their own
+    [(0, 4, 4, 0.5, 1, 0), (1, 48, 9, 0.5, 1, 0), (0, 4, 4, 0.5, 1, 0), (1, 62, 0, 0.5, 1, 0), (0, 9, 9, 0.5, 1, 0), (1, 35, 6, 0.5, 0, 0), (0, 6, 5, 0.5, 0, 0)],
+    [(1, 54, 8, 0.5, 0, 0), (0, 3, 3, 0.5, 0, 0), (1, 75, 14, 0.5, 0, 0), (0, 5, 5, 0.5, 0, 0), (1, 41, 0, 0.5, 0, 0), (0, 2, 2, 0.5, 0, 0)],
+]
 
 
-def _enclosing(tag: str, attributes: str, in_article: bool) -> tuple[int, bool]:
-    """What an element adds: (chrome, article)."""
-    names, hidden = set(), False
+def _enclosing(tag: str, attributes: str, in_article: bool) -> tuple[float, bool, bool]:
+    """What an element adds: (chrome, article, whether it, or an article in it, stays chrome inside chrome)."""
+    names: list[list[str]] = []
+    hidden = False
     if attributes and tag not in ("body", "html"):
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key = _KEY.search(key)
@@ -85,11 +105,21 @@ def _enclosing(tag: str, attributes: str, in_article: bool) -> tuple[int, bool]:
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                 hidden = True
             elif key in ("class", "id", "role"):
-                names.update(x.lower() for x in _NAME.findall(value))
-    header = (tag == "header" or bool(names & HEADER_NAMES)) and not in_article
-    if tag in CHROME_TAGS or hidden or header or names & (CHROME_NAMES - HEADER_NAMES):
-        return 1, False
-    return 0, tag in ("article", "main") or bool(names & ARTICLE_NAMES)
+                for name in value.split():
+                    parts = [x.lower() for x in _NAME.findall(name)]
+                    told = next((i for i, x in enumerate(parts) if x in WITHOUT), len(parts))
+                    names.append([x for x in parts[:told] if x not in PLACES])
+    if tag in CHROME_TAGS or hidden or tag == "header" and not in_article:
+        return 1, False, hidden or tag in HARD
+    chrome = CHROME_NAMES - HEADER_NAMES if in_article else CHROME_NAMES | HEADER_NAMES
+    own = tag in ("article", "main")
+    article = any(x in ARTICLE_NAMES for parts in names for x in parts)
+    hinted = any(x in chrome for parts in names for x in parts)
+    if own:
+        return 0.5 if any(parts and all(x in chrome for x in parts) for parts in names) else 0, True, hinted
+    if any(parts and parts[-1] in chrome for parts in names):  # the last part says what it is
+        return 1, False, False
+    return 0.5 if hinted else 0, article, False
 
 
 def _tag_end(page: str, at: int, endless: set[int]) -> int:
@@ -110,13 +140,13 @@ def _tag_end(page: str, at: int, endless: set[int]) -> int:
     return first
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
+def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     """``(text, words in links, chrome, article, heading)`` of each block that has text, in page order."""
-    out: list[tuple[str, int, int, int, int]] = []
-    stack: list[tuple[str, int, int]] = []  # open containers: tag, chrome, article
+    out: list[tuple[str, int, float, int, int]] = []
+    stack: list[tuple[str, float, int, int]] = []  # open containers: tag, chrome, article, hard chrome
     opened: Counter[str] = Counter()  # by tag; a closing tag without one is passed over
     endless: set[str] = set()  # elements known to have no end
-    chrome = article = link = heading = linked = 0
+    chrome = article = hard = link = heading = linked = 0
     parts: list[str] = []
 
     def flush():
@@ -175,28 +205,32 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if closing:
                 for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                     if stack[k][0] == tag:
-                        if parts and sum(x[1] for x in stack[k:]):
+                        if parts and any(x[1] for x in stack[k:]):
                             flush()
                         chrome -= sum(x[1] for x in stack[k:])
                         article -= sum(x[2] for x in stack[k:])
+                        hard -= sum(x[3] for x in stack[k:])
                         opened.subtract(x[0] for x in stack[k:])
                         del stack[k:]
                         break
             elif not attributes.endswith("/"):
                 if tag in ("p", "li") and stack and stack[-1][0] == tag:  # these close themselves
-                    chrome, article = chrome - stack[-1][1], article - stack[-1][2]
+                    chrome, article, hard = chrome - stack[-1][1], article - stack[-1][2], hard - stack[-1][3]
                     opened[stack.pop()[0]] -= 1
-                c, a = _enclosing(tag, attributes, article > 0)
+                c, a, h = _enclosing(tag, attributes, article > 0)
+                if tag in ("article", "main") and chrome and not (hard or article or c or h):
+                    # a wrapper of another kind than HARD, or its name, does not decide over an article
+                    c = (0.5 if tag == "article" and chrome >= 1 else 0) - chrome
                 if c and parts:
                     flush()
-                stack.append((tag, c, int(a)))
+                stack.append((tag, c, int(a), int(h)))
                 opened[tag] += 1
-                chrome, article = chrome + c, article + int(a)
+                chrome, article, hard = chrome + c, article + int(a), hard + int(h)
     flush()
     return out
 
 
-def features(rows: list[tuple[int, int, int, int, int]]) -> np.ndarray:
+def features(rows: list[tuple[int, int, float, int, int]]) -> np.ndarray:
     """FEATURES of a page's blocks from ``(words, words in links, chrome, article, heading)``."""
     x = np.array(rows, float).reshape(-1, 5)
     words, density = np.minimum(x[:, 0], 500), x[:, 1] / np.maximum(x[:, 0], 1)
@@ -206,17 +240,22 @@ def features(rows: list[tuple[int, int, int, int, int]]) -> np.ndarray:
                      np.minimum(x[:, 2], 2), x[:, 3], x[:, 4]], axis=1)
 
 
-def train(spark: SparkSession, labelled=LABELLED, depth: int = 5):
-    """The tree as nested ``(feature, threshold, left, right)`` and 0.0 or 1.0 at the leaves."""
-    rows = [(float(b[0]), Vectors.dense(f)) for page in labelled for b, f in zip(page, features([b[1:] for b in page]))]
-    fitted = DecisionTreeClassifier(maxDepth=depth, seed=1).fit(spark.createDataFrame(rows, ["label", "features"]))
+def train(spark: SparkSession, labelled=LABELLED, depth: int = 5, hinted=HINTED):
+    """The tree as nested ``(feature, threshold, left, right)`` and 0.0 or 1.0 at the leaves; blocks in wrappers
+    that only hint at chrome have a branch of their own, learnt from ``hinted``: words, links and neighbours decide."""
+    chrome = FEATURES.index("chrome")
 
     def node(j):
         if j.getClass().getSimpleName() == "LeafNode":
             return float(j.prediction())
         return j.split().featureIndex(), j.split().threshold(), node(j.leftChild()), node(j.rightChild())
 
-    return node(fitted._call_java("rootNode"))
+    def fit(pages, use):
+        rows = [(float(b[0]), Vectors.dense(f)) for page in pages for b, f in zip(page, features([b[1:] for b in page])) if use(f[chrome])]
+        return node(DecisionTreeClassifier(maxDepth=depth, seed=1).fit(spark.createDataFrame(rows, ["label", "features"]))._call_java("rootNode"))
+
+    plain = fit(labelled, lambda c: True)
+    return chrome, 0.25, plain, (chrome, 0.75, fit(hinted, lambda c: c == 0.5), plain)
 
 
 def predict(tree, x: np.ndarray) -> np.ndarray:

@@ -102,3 +102,28 @@ def test_odd_quotes_take_linear_time(tree):
     for page in ("<a b='>" * 60_001, "<a b=\"'>" * 60_001, "<a b='\" c=\"'>" * 40_001, "<a b=c=\"d e='>" * 40_001, "<a " * 90_000 + "<!", "<a b='c' >" * 40_000 + "<a b=\"" * 40_001):
         H.main_text(page, tree)
     assert time.time() - t < 30
+
+
+@pytest.mark.parametrize("wrapper, end", [
+    ('<div class="page has-sidebar"><article>', "</article></div>"), ('<main class="content no-comments">', "</main>"),
+    ('<div class="social-science-post">', "</div>"), ('<article id="legal-notice-explained">', "</article>"),
+    ('<div class="layout with-sidebar"><div class="related-reading">', "</div></div>"), ("<form><article>", "</article></form>"),
+    ('<div id="sidebar"><article>', "</article></div>"),
+])
+def test_a_name_does_not_decide_alone(tree, wrapper, end):
+    one = " ".join(LONG.split())
+    page = f"<nav><a href=1>One</a></nav>{wrapper}<h1>Title here</h1><p>{LONG}</p><p>Tiny one.</p><p>{LONG}</p>{end}<div id=sidebar><p>{LONG}</p></div>"
+    assert H.main_text(page, tree) == f"Title here\n{one}\nTiny one.\n{one}"
+
+
+def test_links_and_short_words_in_named_wrappers_are_left_out(tree):
+    teasers = "<article><h3><a href=1>One more story of the day</a></h3><p>A short <a href=1>teaser here</a></p></article>" * 3
+    for page in (f'<div class="related">{teasers}</div>', "<div class='social-bar'><p>Tell others</p><p><a href=1>Here</a></p></div>",
+                 f"<aside><article><p>{LONG}</p></article></aside>", f"<div class='post-comments'><p>{LONG}</p></div>",
+                 f"<ol class='comment-list'><li class='comment'><article class='comment-body'><p>{LONG}</p></article></ol>"):
+        assert H.main_text(page, tree) == ""
+
+
+def test_formulas_and_fallbacks_are_text(tree):
+    page = "<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> holds</p><object><p>a chart</p></object></article>"
+    assert " ".join(H.main_text(page, tree).split()) == "so x=2 holds a chart"
