@@ -4,8 +4,8 @@ Base spans are regular expressions (email, ip, card, phone) with exact offsets:
 are marked with a private-use character, the text is split there, and a running sum over
 the pieces gives the code point offsets. All of it is column expressions and windows.
 
-Bootstrapping: base spans are the seed instances, identifier-like tokens outside them (four
-digits or more, or an @) the unseen ones; the two words before an instance, and the word
+Bootstrapping: base spans are the seed instances, identifier-like tokens and digit groups outside
+them (four digits or more, or an @) the unseen ones; the two words before an instance, and the word
 before with the word behind, are its lexical patterns. In each round a pattern's
 confidence for a kind is the share of its occurrences held by instances of that kind; patterns
 with enough confidence and different instances pass it on to all their instances (noisy or),
@@ -48,6 +48,9 @@ _WORTH = {  # cheap tests first: texts without it have no match
 }
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|(?<=0))"
 _TOKEN = r"(?<!\S)(?=\S*?[0-9@])\S++"
+#: A single space between digit groups, which may be in round brackets: such groups can be one identifier.
+_GAP = r"(?:(?<=[0-9])|(?<=[0-9]\))) (?=\(?[0-9])"
+_NEAR = 6   # pieces to each side that can hold two words
 _ROW = ["doc_id", "rid"]
 
 
@@ -64,8 +67,10 @@ def _matches(rows: DataFrame, expression: str, text: Column, kind: str) -> DataF
     cut = rows.select(*_ROW, "copy", F.lit(kind).alias("kind"), F.posexplode(F.split(marked, _MARK, -1)).alias("pos", "value"))
     one = Window.partitionBy(*_ROW, "copy", "kind").orderBy("pos")   # odd pieces are the matches
     before = F.sum(F.char_length("value").cast("long")).over(one.rowsBetween(Window.unboundedPreceding, 0)) - F.char_length("value")
-    return (cut.withColumn("start", before).withColumn("left", F.lag(F.substring("value", -80, 80)).over(one))
-            .withColumn("right", F.lead(F.substring("value", 1, 80)).over(one)).where("pos % 2 = 1").drop("pos"))
+    left = F.concat_ws("", *[F.lag(F.substring("value", -80, 80), i).over(one) for i in range(_NEAR, 0, -1)])
+    right = F.concat_ws("", *[F.lead(F.substring("value", 1, 80), i).over(one) for i in range(1, _NEAR + 1)])
+    return (cut.withColumn("start", before).withColumn("left", F.substring(left, -80, 80))
+            .withColumn("right", F.substring(right, 1, 80)).where("pos % 2 = 1").drop("pos"))
 
 
 def _patterns() -> list[Column]:
@@ -97,10 +102,16 @@ def base_spans(rows: DataFrame) -> DataFrame:
 
 
 def tokens(rows: DataFrame) -> DataFrame:
-    """Identifier-like tokens without the brackets and stops around them: ``(doc_id, rid, start, stop, value, two, around)``."""
-    head = F.char_length(F.regexp_extract("value", r"^[(\[{<\"']*+", 0))
-    inner = F.regexp_extract("value", r"^[(\[{<\"']*+(.*?)[)\]}>\"'.,;:!?]*$", 1)
-    got = _matches(rows, _TOKEN, F.col("text"), "token").where(F.char_length("value") <= 200).select(
+    """Identifier-like tokens, and digit groups with single spaces between them, without the brackets and stops
+    around them: ``(doc_id, rid, start, stop, value, two, around)``."""
+    joined = _matches(rows.where(F.col("text").rlike(_GAP)), _TOKEN, F.regexp_replace("text", _GAP, _JOIN), "joined")
+    joined = joined.where(F.contains(F.col("value"), F.lit(_JOIN))).select(
+        *[F.translate(c, _JOIN, " ").alias(c) if c in ("value", "left", "right") else c for c in joined.columns])
+    found = _matches(rows, _TOKEN, F.col("text"), "token").unionByName(joined)
+    opening = r"""^(?:(?!\([0-9]{1,5}\)[ .-]?[0-9])[(\[{<"']){0,8}+"""  # the brackets of an area code stay
+    head = F.char_length(F.regexp_extract("value", opening, 0))
+    inner = F.regexp_extract("value", opening + r"""(.*?)[)\]}>"'.,;:!?]*$""", 1)
+    got = found.where(F.char_length("value") <= 200).select(
         *_ROW, (F.col("start") + head).alias("start"), F.lower(inner).alias("value"), F.char_length(inner).alias("size"), *_patterns())
     like = (F.length(F.regexp_replace("value", "[^0-9]", "")) >= 4) | F.contains(F.col("value"), F.lit("@"))
     return got.where(like & F.col("size").between(5, 64)).select(
@@ -147,6 +158,8 @@ def spans(docs: DataFrame, **params) -> DataFrame:
     free = written(outside(tokens(rows), base), "pii-tokens")
     new = bootstrap(base.unionByName(free, allowMissingColumns=True), **params)
     added = free.join(new, "value").select(*_ROW, "kind", "start", "stop").distinct()
+    wider = Window.partitionBy(*_ROW).orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
+    added = added.withColumn("reach", F.max("stop").over(wider)).where("reach IS NULL OR stop > reach").drop("reach")  # tokens lie inside groups
     return base.select(*_ROW, "kind", "start", "stop").withColumn("base", F.lit(True)).unionByName(added.withColumn("base", F.lit(False)))
 
 

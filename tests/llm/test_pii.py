@@ -79,3 +79,21 @@ def test_contexts_find_unseen_identifiers(spark):
 def test_small_tables_gain_nothing(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     assert pii.report(docs).where("n_added > 0").count() == 0
+
+
+def test_contexts_find_identifiers_of_several_tokens(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    seen = [(i, f"{word()} {word()} call me at +1 (555) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)} {word()}") for i in range(40)]
+    forms = ["0171 234 5678", "(555) 123-4567", "0171 (234) 56.78"]
+    unseen = [(100 + i, f"{word()} call me at {f} {word()}", f) for i, f in enumerate(forms)]
+    # within two words of another token, and with a comma behind
+    unseen += [(110, f"{word()} a1b2c3 me at 0171-2345679, {word()}", "0171-2345679")]
+    near = [(200 + i, f"{word()} 12345x at +49 30 {rng.randrange(10 ** 6, 10 ** 7)} {word()}") for i in range(40)]
+    unseen += [(300, f"{word()} 12345x at 0301 234567 {word()}", "0301 234567")]
+    docs = spark.createDataFrame(seen + near + [u[:2] for u in unseen], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.report(docs).collect()}
+    for d, text, form in unseen:
+        a = text.index(form)
+        assert (out[d].spans, out[d].n_added) == (f"phone:{a}:{a + len(form)}", 1), text
+    assert all(out[d].n_added == 0 for d, _ in seen + near)
