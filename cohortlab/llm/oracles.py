@@ -48,4 +48,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r)
 """
 
-SQL = {"op2_ngram_jaccard": OP2, "op7_decontaminate": OP7, "op8_line_dedup": OP8}
+# filters A to E as bits 1 to 16; every order and step by joins over all states
+OP11 = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+m AS (SELECT doc_id, part, CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+             + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+             + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask FROM w),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+        FROM labels GROUP BY doc_id),
+h AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM m LEFT JOIN lab USING (doc_id) GROUP BY part, mask),
+f AS (SELECT chr(65 + i) AS filter, CAST(pow(2, i) AS INT) AS bit FROM (SELECT unnest(range(5))::INT AS i)),
+o AS (SELECT '' AS filter_order, 0 AS seen UNION ALL
+      SELECT filter_order || filter, seen + bit FROM o, f WHERE (seen & bit) = 0),
+s AS (SELECT filter_order, k AS step, substr(filter_order, k, 1) AS filter,
+             list_sum(list_transform(range(1, k), lambda j: CAST(pow(2, ascii(substr(filter_order, j, 1)) - 65) AS INT))) AS before
+      FROM o, (SELECT unnest(range(1, 6))::INT AS k) WHERE seen = 31),
+r AS (SELECT part, filter_order, step, filter,
+             coalesce(sum(n) FILTER ((mask & (coalesce(before, 0) | bit)) = 0), 0) AS kept,
+             coalesce(sum(n) FILTER ((mask & bit) <> 0 AND (mask & coalesce(before, 0)) = 0), 0) AS removed,
+             coalesce(sum(n) FILTER ((mask & bit) <> 0 AND (mask & coalesce(before, 0)) <> 0), 0) AS redundant,
+             coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+             coalesce(sum(good) FILTER ((mask & bit) <> 0 AND (mask & coalesce(before, 0)) = 0), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER ((mask & bit) <> 0 AND (mask & coalesce(before, 0)) = 0), 0) AS toxic_lost
+      FROM s JOIN f USING (filter), h GROUP BY ALL)
+SELECT part, filter_order, step, filter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r
+"""
+
+SQL = {"op11_filter_audit": OP11, "op2_ngram_jaccard": OP2, "op7_decontaminate": OP7, "op8_line_dedup": OP8}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import (decontaminate, fingerprints, html_extract, line_runs, ngram_jaccard, oracles, pii, piece_codec,
+from cohortlab.llm import (decontaminate, filter_audit, fingerprints, html_extract, line_runs, ngram_jaccard, oracles, pii, piece_codec,
                            quality, token_counts, unit_dedup)
 from cohortlab.llm.common import read_table
 
@@ -50,6 +50,10 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -61,6 +65,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_piece_codec": op10_piece_codec,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 
