@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import (decontaminate, filter_audit, fingerprints, html_extract, line_runs, ngram_jaccard, oracles, pii, piece_codec,
-                           quality, token_counts, unit_dedup)
+from cohortlab.llm import (decontaminate, filter_audit, fingerprints, html_extract, language_id, line_runs, ngram_jaccard, oracles, pii, piece_codec,
+                           quality, token_align, token_counts, unit_dedup)
 from cohortlab.llm.common import read_table
 
 
@@ -54,6 +54,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -66,6 +74,8 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_piece_codec": op10_piece_codec,
     "op11_filter_audit": op11_filter_audit,
+    "op12_language_id": op12_language_id,
+    "op13_token_align": op13_token_align,
 }
 
 
