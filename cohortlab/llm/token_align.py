@@ -14,9 +14,9 @@ The id pairs that can ever be linked are thus bounded by the two vocabularies al
 counts are summed by Spark from each document's distinct pairs; the table of at most that many rows
 is broadcast, and every document's links are scored against it.
 
-A worker encodes each unit (what stands between single spaces whose neighbours are letters, digits or ASCII marks,
-where neither vocabulary has a token across) once while it is in a bounded memory; new units are put together
-and encoded in one call by the two libraries.
+A worker encodes each unit once while it is in a bounded memory: a text is cut before single spaces and line feeds
+whose neighbours are letters, digits or ASCII marks, where neither vocabulary has a token across. New units are put
+together and encoded in one call by each library.
 
 Defined results: texts that are null or empty, or whose tokens' bytes don't join up to space + text (a
 text with U+2581, say), have no tokens: zeros and the empty string. Rows are independent;
@@ -39,12 +39,16 @@ from pyspark.sql import functions as F
 from cohortlab.llm import bytekit as bk
 from cohortlab.llm.common import text_or_empty, written
 
-_MEMORY = 200_000   # units remembered by a worker; about 60 MB
+_MEMORY = 300_000   # units remembered by a worker; about 75 MB
 _UNIT = 64          # bytes; longer units are not remembered
-_CALL = 1 << 18     # characters of new units encoded in one call
+_CALL = 512         # new units encoded in one call; more are slower, as the libraries' heaps outgrow the cache
 _EDGE = r"!-~\w"    # never white space to either tokenizer
-_CUT = re.compile(f"(?<=[{_EDGE}]) (?=[{_EDGE}])")
-_CLEAN = re.compile(rf" [{_EDGE}](?:.*[{_EDGE}])?\Z", re.DOTALL)
+# Fixed value: the byte-level pre-tokenizer's pattern.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LATIN = re.compile("[\n -~\u00c0-\u024f]*")  # letters of every Unicode version since 3.2, so all libraries agree on them
+_REGULAR = re.compile(rf"[{_EDGE}]++(?:[ \n][{_EDGE}]++)*+")
+_CUT = re.compile(rf"(?<=[{_EDGE}])(?: (?=[{_EDGE}])|(?=\n[{_EDGE}]))")
+_CLEAN = re.compile(rf"\n?[{_EDGE}](?:.*[{_EDGE}])?\Z", re.DOTALL)
 
 
 def diagonal_runs(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -55,23 +59,10 @@ def diagonal_runs(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     at_a: list[int] = []
     at_b: list[int] = []
     i = j = 0
-    n, m = len(a), len(b)
+    n = len(a)
     while i < n:
-        if a[i] == b[j]:
-            start, k = i, 1
-            while a[i:i + k] == b[j:j + k] and i < n:  # both are cut at their end alike, or differ
-                i, j, k = i + k, j + k, 2 * k
-            i, j = min(i, n), min(j, m)
-            while k > 1 and i < n:
-                k //= 2
-                if i + k <= n and a[i:i + k] == b[j:j + k]:
-                    i, j = i + k, j + k
-            at_a.extend(range(start, i))
-            at_b.extend(range(j - (i - start), j))
-            if i >= n:
-                break
         x, y = a[i], b[j]
-        while x != y:
+        while x != y:  # an irregular group: the side that is behind goes on
             if x < y:
                 i += 1
                 x = a[i]
@@ -81,9 +72,34 @@ def diagonal_runs(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
         at_a.append(i)
         at_b.append(j)
         i, j = i + 1, j + 1
+        if i < n and a[i] == b[j]:  # a stretch begins at this shift
+            start, k = i, 2
+            i, j = i + 1, j + 1
+            while i + k <= n and a[i:i + k] == b[j:j + k]:
+                i, j, k = i + k, j + k, 2 * k
+            while k > 1:
+                k //= 2
+                if i + k <= n and a[i:i + k] == b[j:j + k]:
+                    i, j = i + k, j + k
+            at_a.extend(range(start, i))
+            at_b.extend(range(j - (i - start), j))
     return at_a, at_b
 
 
+def units_of(text: str) -> list[str]:
+    """The units of a text, a leading space left off: ``literal`` gives the whole unit."""
+    if _REGULAR.fullmatch(text):
+        return text.replace("\n", " \n").split(" ")
+    units = _CUT.split(text)
+    if units[0][0] in " \n":
+        units[0] = " " + units[0]
+    return units
+
+
+def literal(unit: str) -> str:
+    return unit if unit[0] in " \n" else " " + unit
+
+
 class TokenPair:
     """The two tokenizers, their tokens' bytes, and a bounded memory of encoded units."""
 
@@ -96,6 +112,7 @@ class TokenPair:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=b_file)
         self.bytes_a, self.bytes_b = _byte_level_tokens(a_file), _piece_tokens(self.b)
+        self.ranks = _as_ranks(a_file, self.bytes_a)
         if any(" " in t.lstrip(b" ").decode("latin-1") for t in self.bytes_b):
             raise ValueError("a piece of B crosses a space")
         self.n_b = len(self.bytes_b)
@@ -104,64 +121,73 @@ class TokenPair:
         shown = [[f"{i}{mark}" for i in range(len(t))] for t, marks in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for mark in marks]
         self.shown = np.array(sum(shown, []), object)  # A inside, A last of its group, B inside, B last
         self.base = np.cumsum([0] + [len(s) for s in shown])[:4].tolist()
-        self.units: dict[str, tuple[bytes, bytes] | None] = {}
-        self.older: dict[str, tuple[bytes, bytes] | None] = {}
+        self.units: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # ids of A and of B, as the bytes of an array
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def encode_run(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of A for ``text`` (which begins with a space) and of B for what is behind that space."""
-        return (np.array(self.a.encode(text, add_special_tokens=False).ids, np.int32),
-                np.array(self.b.encode(text[1:]), np.int32))
+        return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int32), np.array(self.b.encode(text[1:]), np.int32)
 
     def same_bytes(self, ids: np.ndarray, tokens: list[bytes], raw: bytes) -> bool:
         return b"".join([tokens[i] for i in ids.tolist()]) == raw
 
     def _checked(self, unit: str):
-        ids_a, ids_b = self.encode_run(unit)
-        raw = unit.encode()
+        text = literal(unit)
+        if text[0] == "\n":  # the libraries see a word before the line feed
+            found = self._checked(" a" + text)
+            lone = self._checked(" a")
+            return found and tuple(f[len(x):] for f, x in zip(found, lone))
+        ids_a, ids_b = self.encode_run(text)
+        raw = text.encode()
         if self.same_bytes(ids_a, self.bytes_a, raw) and self.same_bytes(ids_b, self.bytes_b, raw):
             return ids_a.tobytes(), ids_b.tobytes()
         return None
 
-    def _encode_clean(self, units: list[str]) -> None:
-        """Encode units that begin with a single space, all in one call, and remember them."""
-        ids_a, ids_b = self.encode_run("".join(units))
-        ends = np.cumsum([len(u.encode()) for u in units])
-        cuts_a, cuts_b = (np.searchsorted(np.cumsum(size[ids]), ends) + 1 for ids, size in ((ids_a, self.size_a), (ids_b, self.size_b)))
-        lo_a = lo_b = 0
-        for unit, hi_a, hi_b in zip(units, cuts_a.tolist(), cuts_b.tolist()):
-            part_a, part_b, raw = ids_a[lo_a:hi_a], ids_b[lo_b:hi_b], unit.encode()
-            lo_a, lo_b = hi_a, hi_b
-            if self.same_bytes(part_a, self.bytes_a, raw) and self.same_bytes(part_b, self.bytes_b, raw):
-                self.units[unit] = (part_a.tobytes(), part_b.tobytes())
-            else:  # the pieces lost bytes, so the cuts behind this unit may be off: each by itself
-                for u in units[units.index(unit):]:
-                    self.units[u] = self._checked(u)
+    def _encode_clean(self, units: list[str], lead: str) -> None:
+        """Encode clean units, all led by a space or all by the line feed they begin with, in one call, and remember them."""
+        text = " a" + lead + lead.join(units)  # the libraries see a word in front
+        raw = text.encode()
+        # the same ranks in tiktoken, where the pattern's classes are the same beyond doubt
+        ids_a = (np.array(self.ranks.encode_ordinary(text), np.int32) if self.ranks and _LATIN.fullmatch(text) else
+                 np.array(self.a.encode(text, add_special_tokens=False).ids, np.int32))
+        ids_b = np.array(self.b.encode(text[1:]), np.int32)
+        sizes = [len(u) for u in units] if len(raw) == len(text) else [len(u.encode()) for u in units]
+        ends = np.cumsum([2, *sizes]) + len(lead) * np.arange(len(units) + 1)
+        for known, ids, size, tokens in ((self.units[0], ids_a, self.size_a, self.bytes_a), (self.units[1], ids_b, self.size_b, self.bytes_b)):
+            at = np.cumsum(size[ids])
+            cut = np.searchsorted(at, ends)
+            if not (self.same_bytes(ids, tokens, raw) and np.array_equal(at[cut], ends)):
+                for unit in units:  # some unit's pieces lose bytes: each by itself, when it is met
+                    self.units[0].pop(unit, None)
                 return
+            cuts, whole = ((cut + 1) * 4).tolist(), ids.tobytes()
+            known.update(zip(units, [whole[x:y] for x, y in zip(cuts[:-1], cuts[1:])]))
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode those units of the texts that are not in the memory."""
-        if len(self.units) >= _MEMORY // 2:
-            self.older, self.units = self.units, {}
-        new, n = [], 0
-        for unit in dict.fromkeys(u for units in texts for u in units if u not in self.units):
-            if unit in self.older:
-                self.units[unit] = self.older[unit]
+        if len(self.units[0]) >= _MEMORY // 2:
+            self.older, self.units = self.units, ({}, {})
+        (a, b), (older_a, older_b) = self.units, self.older
+        runs: dict[tuple[bool, str], list[str]] = {}
+        for unit in set().union(*texts).difference(a):
+            if unit in older_a:
+                a[unit], b[unit] = older_a[unit], older_b[unit]
             elif len(unit) <= _UNIT and "▁" not in unit and _CLEAN.match(unit):
-                new.append(unit)
-                n += len(unit)
-                if n > _CALL:
-                    self._encode_clean(new)
-                    new, n = [], 0
-        if new:
-            self._encode_clean(new)
+                runs.setdefault((_LATIN.fullmatch(unit) is not None, "" if unit[0] == "\n" else " "), []).append(unit)
+        for (_, lead), new in runs.items():
+            for i in range(0, len(new), _CALL):
+                self._encode_clean(new[i:i + _CALL], lead)
 
     def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of a whole text given its units, or None where the bytes don't join up to it."""
-        known = self.units
-        found = [known[u] if u in known else self._checked(u) for u in units]
-        if None in found:
-            return None
-        return tuple(np.frombuffer(b"".join([f[side] for f in found]), np.int32) for side in (0, 1))
+        a, b = (list(map(known.get, units)) for known in self.units)
+        if None in a:  # not in the memory, or without tokens
+            for i in [i for i, x in enumerate(a) if x is None]:
+                found = self._checked(units[i])
+                if found is None:
+                    return None
+                a[i], b[i] = found
+        return tuple(np.frombuffer(b"".join(x), np.int32) for x in (a, b))
 
     def align(self, ids_a: np.ndarray, ids_b: np.ndarray):
         """Places (in A and in B) of the tokens that close each group."""
@@ -203,6 +229,22 @@ def _byte_level_tokens(file: str) -> list[bytes]:
     return out
 
 
+def _as_ranks(file: str, tokens: list[bytes]):
+    """The same BPE for tiktoken, or None if the file's merges or pattern are not those of plain ranks."""
+    import tiktoken
+
+    with open(file, encoding="utf-8") as f:
+        model = json.load(f)
+    pre, merges, vocab = model.get("pre_tokenizer") or {}, model["model"]["merges"], model["model"]["vocab"]
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("normalizer"):
+        return None
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+    if [vocab.get(a + b) for a, b in pairs] != list(range(256, 256 + len(pairs))):
+        return None
+    ranks = {t: i for i, t in enumerate(tokens) if i < 256 + len(pairs)}
+    return tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 256 + len(pairs) else None
+
+
 def _piece_tokens(sp) -> list[bytes]:
     """The bytes of each id of a SentencePiece model; control and unknown pieces have none."""
     return [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i)
@@ -229,8 +271,7 @@ def _rows(batches, files):
     """Slices of batches with the units of each text, encoded."""
     pair = token_pair(*files)
     for b in (x.slice(i, 128) for x in batches for i in range(0, len(x), 128)):
-        units = [_CUT.split(" " + t) if t else [] for t in b.column("text").to_pylist()]
-        units = [[u[0], *[" " + x for x in u[1:]]] if u else u for u in units]
+        units = [units_of(t) if t else [] for t in b.column("text").to_pylist()]
         pair.learn(units)
         yield pair, b, units
 
