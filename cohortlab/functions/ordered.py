@@ -52,8 +52,7 @@ def ordered_cumsum(agg: DataFrame, group_cols: list[str], value_col: str, measur
                                          for m in measures])
     a = join_null_safe(a, bt, group_cols + ["_bk"])
     wi = Window.partitionBy(*group_cols, "_bk").orderBy(vorder).rowsBetween(Window.unboundedPreceding, 0)
-    for m in measures:
-        a = a.withColumn(f"{m}{suffix}", F.col(f"_off_{m}") + F.sum(m).over(wi))
+    a = a.withColumns({f"{m}{suffix}": F.col(f"_off_{m}") + F.sum(m).over(wi) for m in measures})
     return a.drop("_bk", *[f"_off_{m}" for m in measures])
 
 
@@ -73,8 +72,7 @@ def _ordered_cumsum_ranged(agg: DataFrame, group_cols: list[str], value_col: str
                                             for m in measures])
     out = join_null_safe(s, off, ["_pid"] + group_cols)
     wi = Window.partitionBy("_pid", *group_cols).orderBy(vorder).rowsBetween(Window.unboundedPreceding, 0)
-    for m in measures:
-        out = out.withColumn(f"{m}{suffix}", F.col(f"_off_{m}") + F.sum(m).over(wi))
+    out = out.withColumns({f"{m}{suffix}": F.col(f"_off_{m}") + F.sum(m).over(wi) for m in measures})
     return out.drop("_pid", *[f"_off_{m}" for m in measures])
 
 

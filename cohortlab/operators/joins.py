@@ -54,3 +54,13 @@ def equal_count_check(a: DataFrame, b: DataFrame) -> DataFrame:
     ca = a.agg(F.count(F.lit(1)).alias("n_left"))
     cb = b.agg(F.count(F.lit(1)).alias("n_right"))
     return with_global(ca, cb).withColumn("equal", F.col("n_left") == F.col("n_right"))
+
+
+def require_equal_counts(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Op 55: ``first``, which fails when read unless all tables have as many rows (no modality lacks a sample)."""
+    for other in others:
+        check = equal_count_check(first, other)
+        sure = check.select(F.when(F.col("equal"), F.lit(True)).otherwise(F.raise_error(F.format_string(
+            "mismatch in the number of samples: %d and %d", "n_left", "n_right"))).alias("_equal"))
+        first = with_global(first, sure).where("_equal").drop("_equal")
+    return first

@@ -191,16 +191,29 @@ def poisson_weight(h) -> F.Column:
     return w
 
 
-def bootstrap_weights(df: DataFrame, id_col: str, resamples: int = 100, seed: int = 42) -> DataFrame:
-    """Resample b = 1..B as Poisson(1) multiplicities per row (hash-seeded).
+def weight_vector(id_col: str, resamples: int = 100, seed: int = 42) -> F.Column:
+    """Multiplicities of a row in the original sample (place 0: 1) and in resamples 1..B: Poisson(1), hash-seeded by id.
 
-    Each row is replicated B times with its weight and no row index or join is
-    needed, so resamples of any size are built with map-side work only.
+    No row index or join is needed, so resamples of any size are built where the row is.
     """
-    d = df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"),
-                                             F.col(id_col).cast("string"))), 1, 8), 16, 10).cast("bigint")
-    return d.withColumn("w", poisson_weight(h)).where(F.col("w") > 0)
+    def weight(b):
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), F.col(id_col).cast("string")))
+        h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+        return F.transform(F.array(h), poisson_weight)[0]  # h is computed once
+    return F.concat(F.array(F.lit(1)), F.transform(F.sequence(F.lit(1), F.lit(resamples)), weight))
+
+
+def bootstrap_weights(df: DataFrame, id_col: str, resamples: int = 100, seed: int = 42) -> DataFrame:
+    """The resamples as rows: ``b`` and ``w`` for each resample that drew the row."""
+    drawn = df.withColumn("_w", weight_vector(id_col, resamples, seed))
+    one = drawn.select("*", F.posexplode("_w").alias("b", "w")).where((F.col("b") > 0) & (F.col("w") > 0))
+    return one.drop("_w")
+
+
+def _spread(base: DataFrame, id_col: str) -> DataFrame:
+    """At least a partition per core: the weights cost more than the rows' size tells."""
+    par = base.sparkSession.sparkContext.defaultParallelism
+    return base.repartition(par, id_col) if base.rdd.getNumPartitions() < par else base
 
 
 def bootstrap_ci(df: DataFrame, run_cols: list[str], id_col: str = "id", score: str = "pred",
@@ -209,25 +222,44 @@ def bootstrap_ci(df: DataFrame, run_cols: list[str], id_col: str = "id", score:
     """Op 78: per run and metric: point estimate, bootstrap mean, population std
     and the 2.5 / 97.5 linear percentiles. Single-class resamples are skipped.
 
-    The B-fold expansion is aggregated straight into the (run, b, score) table
-    (map-side combine), which is written once to the shared checkpoint folder;
-    every per-resample metric is computed from that small table.
+    Each row carries its vector of weights; one aggregate turns the rows into one per (run,
+    distinct score) that holds the weight sums of every resample and class, so what is combined
+    map-side and shuffled has as many rows for 1,000 resamples as for one. That table is written once; the running
+    sums along the score are taken for all resamples together, and every
+    metric of a resample is an aggregate over the unfolded vectors, combined before the shuffle.
     """
-    base = df.select(*run_cols, id_col, score, label)
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if base.rdd.getNumPartitions() < par:  # spread the B-fold expansion over all cores
-        base = base.repartition(par, id_col)
-    bw = bootstrap_weights(base, id_col, resamples, seed)
-    # b = 0 is the original sample (weight 1): point estimates come from the same table
-    orig = base.withColumn("b", F.lit(0)).withColumn("w", F.lit(1))
-    table = materialize(score_table(orig.unionByName(bw), run_cols + ["b"], score, label, weight="w"))
-    every = binary_metrics(None, run_cols + ["b"], table=table)
-    point = every.where(F.col("b") == 0).drop("b")
-    cls = table.groupBy(*run_cols, "b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    per = every.where(F.col("b") > 0).join(cls.where((F.col("_p") > 0) & (F.col("_n") > 0)),
-                                           run_cols + ["b"], "left_semi")
+    y = F.col(label).cast("double")
+    base = _spread(df.select(*run_cols, id_col, score, label).where(F.col(score).isNotNull()), id_col)
+    rows = base.select(*run_cols, F.col(score).cast("double").alias("threshold"), y.alias("_y"),
+                       weight_vector(id_col, resamples, seed).alias("_w"))
+    every = range(resamples + 1)
+    pos, neg = [f"_p{b}" for b in every], [f"_n{b}" for b in every]
+    sums = rows.groupBy(*run_cols, "threshold").agg(
+        *[F.sum(F.col("_w")[b] * F.col("_y")).alias(pos[b]) for b in every],
+        *[F.sum(F.col("_w")[b] * (1 - F.col("_y"))).alias(neg[b]) for b in every])
+    table = materialize(sums)
+    curve = ordered_cumsum(table, run_cols, "threshold", pos + neg, descending=True)
+    total = table.groupBy(*run_cols).agg(F.array(*[F.sum(p) for p in pos]).alias("_P"), F.array(*[F.sum(n) for n in neg]).alias("_N"))
+    vectors = join_null_safe(curve.select(*run_cols, "threshold", *[
+        F.array(*names).alias(out) for out, names in (("pos", pos), ("neg", neg), ("tp", [f"{p}_cum" for p in pos]), ("fp", [f"{n}_cum" for n in neg]))]),
+        total, run_cols)
+    one = vectors.select(*run_cols, "threshold", F.inline(F.arrays_zip(
+        F.sequence(F.lit(0), F.lit(resamples)).alias("b"), "pos", "neg", "tp", "fp", F.col("_P").alias("P"), F.col("_N").alias("N"))))
+    precision, recall = safe_div(F.col("tp"), F.col("tp") + F.col("fp")), safe_div(F.col("tp"), F.col("P"))
+    above, below = F.col("threshold") > 0.5, F.col("threshold") <= 0.5
+    s = one.groupBy(*run_cols, "b").agg(
+        safe_div(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2)), F.first("P") * F.first("N")).alias("auroc"),
+        safe_div(F.sum(F.col("pos") * precision), F.first("P")).alias("auprc"),
+        F.max(F.least(precision, recall)).alias("minpse"), F.first("P").alias("_p"), F.first("N").alias("_n"),
+        F.sum(F.when(above, F.col("pos")).otherwise(0.0)).alias("_tp"), F.sum(F.when(above, F.col("neg")).otherwise(0.0)).alias("_fp"),
+        F.sum(F.when(below, F.col("pos")).otherwise(0.0)).alias("_fn"), F.sum(F.when(below, F.col("neg")).otherwise(0.0)).alias("_tn"))
+    tp, fp, fn, tn = (F.col(c) for c in ("_tp", "_fp", "_fn", "_tn"))
+    per = materialize(s.select(
+        *run_cols, "b", "auroc", "auprc", "minpse", safe_div(tp + tn, tp + fp + fn + tn).alias("accuracy"), safe_div(tp, tp + fp).alias("precision"),
+        safe_div(tp, tp + fn).alias("recall"), safe_div(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        ((F.col("_p") > 0) & (F.col("_n") > 0)).alias("both")))
     arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])
-    return _intervals(point.select(*run_cols, F.inline(arr)), per.select(*run_cols, "b", F.inline(arr)), run_cols)
+    return _intervals(per.where("b = 0").select(*run_cols, F.inline(arr)), per.where("b > 0 AND both").select(*run_cols, "b", F.inline(arr)), run_cols)
 
 
 def _intervals(point: DataFrame, per: DataFrame, run_cols: list[str]) -> DataFrame:
@@ -243,17 +275,22 @@ def bootstrap_regression_ci(df: DataFrame, run_cols: list[str], id_col: str = "i
                             resamples: int = 100, seed: int = 42) -> DataFrame:
     """Op 78 for lengths of stay: MAE, MSE, RMSE and R^2 with the same resamples.
 
-    Every metric follows from six weighted sums, so what is shuffled is one row per
-    run, resample and task. Sums of squares are taken about the run's mean label.
+    Every metric follows from weighted sums of five terms of a row, so the rows become one per run
+    with the sums of all resamples. Sums of squares are taken about the run's mean label.
     """
-    base = df.select(*run_cols, id_col, F.col(pred).cast("double").alias("_p"), F.col(label).cast("double").alias("_y"))
+    base = df.select(*run_cols, id_col, F.col(pred).cast("double").alias("_q"), F.col(label).cast("double").alias("_y"))
     centre = base.groupBy(*run_cols).agg(F.avg("_y").alias("_c"))
-    base = join_null_safe(base, centre, run_cols)
-    drawn = base.withColumn("b", F.lit(0)).withColumn("w", F.lit(1)).unionByName(bootstrap_weights(base, id_col, resamples, seed))
-    e, y, w = F.col("_p") - F.col("_y"), F.col("_y") - F.col("_c"), F.col("w")
-    s = materialize(drawn.groupBy(*run_cols, "b").agg(
-        F.sum("w").alias("n"), F.sum(w * F.abs(e)).alias("a"), F.sum(w * e * e).alias("ssr"), F.sum(w * y).alias("y1"),
-        F.sum(w * y * y).alias("y2"), F.min("_y").alias("lo"), F.max("_y").alias("hi")))
+    base = _spread(join_null_safe(base, centre, run_cols), id_col)
+    e, y = F.col("_q") - F.col("_y"), F.col("_y") - F.col("_c")
+    terms = {"n": F.lit(1.0), "a": F.abs(e), "ssr": e * e, "y1": y, "y2": y * y}
+    rows = base.select(*run_cols, "_y", *[t.alias(f"_{k}") for k, t in terms.items()], weight_vector(id_col, resamples, seed).alias("_w"))
+    every = range(resamples + 1)
+    w = F.col("_w")
+    wide = rows.groupBy(*run_cols).agg(
+        *[F.sum(w[b] * F.col(f"_{k}")).alias(f"{k}{b}") for k in terms for b in every],
+        *[agg(F.when(w[b] > 0, F.col("_y"))).alias(f"{k}{b}") for k, agg in (("lo", F.min), ("hi", F.max)) for b in every])
+    s = materialize(wide.select(*run_cols, F.inline(F.array(*[F.struct(
+        F.lit(b).alias("b"), *[F.col(f"{k}{b}").alias(k) for k in [*terms, "lo", "hi"]]) for b in every]))).where("n > 0"))
     sst = F.col("y2") - F.col("y1") * F.col("y1") / F.col("n")
     r2 = F.when(F.col("lo") < F.col("hi"), 1.0 - F.col("ssr") / sst).when(F.col("ssr") > 0, 0.0).otherwise(1.0)
     arr = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("v")) for m, v in (

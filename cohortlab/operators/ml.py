@@ -6,15 +6,20 @@ Fits run on the whole split (not per mini-batch); scoring emits a long
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassificationModel, GBTClassifier,
+                                       MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.operators import metrics
+from cohortlab.session import materialize, scratch_dir
+
 SEED = 42
 
 
@@ -61,6 +66,112 @@ def fit_mlp(train: DataFrame, vec_cols: list[str], label: str, hidden: int = 256
     return model
 
 
+def fit_mlp_on_validation(train: DataFrame, val: DataFrame, id_col: str, vec_cols: list[str], label: str, hidden: int = 256,
+                          rounds: int = 4, iterations: int = 10, patience: int | None = None,
+                          n_classes: int = 2) -> tuple[PipelineModel, list[float]]:
+    """Ops 106-107 with the weights chosen on validation data.
+
+    Each round goes on from the weights of the last one (warm start) and is scored by its AUROC on ``val``; the
+    model of the best round is returned, the earliest of equals, with the AUROC of every round. ``patience``: rounds without
+    a better one before training ends.
+    """
+    def prepared(d: DataFrame) -> DataFrame:
+        arrays = [F.col(c).cast("array<double>") for c in vec_cols]
+        return materialize(d.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias(label),
+                                    *[array_to_vector(a).alias(f"_v{i}") for i, a in enumerate(arrays)]))
+    train, val = prepared(train), prepared(val)
+    joined = VectorAssembler(inputCols=[f"_v{i}" for i in range(len(vec_cols))], outputCol="features")
+    train = joined.transform(train)
+    layers = [len(train.select("features").first().features), hidden, n_classes]
+    best, weights, history = None, None, []
+    for _ in range(rounds):
+        mlp = MultilayerPerceptronClassifier(labelCol=label, layers=layers, maxIter=iterations, seed=SEED)
+        if weights is not None:
+            mlp.setInitialWeights(weights)
+        fitted = mlp.fit(train)
+        weights = fitted.weights
+        model = PipelineModel(stages=[joined, fitted])
+        scores = model.transform(val).select(F.lit(1).alias("run"), F.col(label).alias("label"), vector_to_array(F.col("probability"))[1].alias("pred"))
+        found = metrics.curve_metrics(metrics.pr_curve(scores, ["run"]), ["run"]).first()
+        history.append(found.auroc if found else 0.0)
+        if best is None or history[-1] > history[best[0]]:
+            best = (len(history) - 1, model)
+        elif patience is not None and len(history) - 1 - best[0] >= patience:
+            break
+    return best[1], history
+
+
+# ---------------------------------------------------------------- models as expressions
+
+def tree_nodes(model: PipelineModel) -> list[dict]:
+    """Every node of a fitted tree or ensemble: tree, id, prediction, class counts, children, feature and threshold.
+
+    Read from the model's own saved form, which is as large as the model (trees x 2^depth nodes), not as the data.
+    """
+    from pyspark.sql import SparkSession
+    spark, stage = SparkSession.getActiveSession(), model.stages[-1]
+    path = scratch_dir(spark, "tree-model")
+    stage.write().save(path)
+    data = spark.read.parquet(f"{path}/data")
+    if "nodeData" in data.columns:
+        data = data.select(F.col("treeID").alias("tree"), "nodeData.*")
+    else:
+        data = data.withColumn("tree", F.lit(0))
+    rows = data.select("tree", "id", "prediction", "impurityStats", "leftChild", "rightChild", F.col("split.featureIndex").alias("feature"),
+                       F.col("split.leftCategoriesOrThreshold").alias("threshold"), F.col("split.numCategories").alias("categories")).collect()
+    if any(r.leftChild >= 0 and r.categories >= 0 for r in rows):
+        raise ValueError("splits on categories are not supported")
+    return [r.asDict() for r in rows]
+
+
+def _tree_sql(nodes: dict[int, dict], at: int, columns: list[str], value) -> str:
+    node = nodes[at]
+    if node["leftChild"] < 0:
+        return _double(value(node))
+    left, right = (_tree_sql(nodes, node[side], columns, value) for side in ("leftChild", "rightChild"))
+    return f"CASE WHEN {columns[node['feature']]} <= {_double(node['threshold'][0])} THEN {left} ELSE {right} END"
+
+
+def _double(x: float) -> str:
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def model_sql(model: PipelineModel, features: Iterable[str]) -> str:
+    """A fitted tree, forest or boosted ensemble as one SQL expression over its feature columns: P(class 1), or the value.
+
+    Plain ``CASE`` and arithmetic with every threshold to its last digit, so Spark and other engines evaluate it
+    alike. A null or NaN feature goes to the right, as in the fitted model.
+    """
+    stage, columns = model.stages[-1], [f"CAST({f} AS DOUBLE)" for f in features]
+    trees: dict[int, dict[int, dict]] = {}
+    for n in tree_nodes(model):
+        trees.setdefault(n["tree"], {})[n["id"]] = n
+    boosted = isinstance(stage, (GBTClassificationModel, GBTRegressionModel))
+    classifier = isinstance(stage, (DecisionTreeClassificationModel, RandomForestClassificationModel, GBTClassificationModel))
+    shares = classifier and not boosted  # leaves vote with the share of class 1 they saw
+    value = (lambda n: n["impurityStats"][1] / sum(n["impurityStats"])) if shares else (lambda n: n["prediction"])
+    parts = [_tree_sql(trees[t], 0, columns, value) for t in sorted(trees)]
+    if boosted:
+        total = " + ".join(f"{_double(w)} * ({p})" for w, p in zip(stage.treeWeights, parts))
+        return f"1 / (1 + exp(-2 * ({total})))" if classifier else f"({total})"
+    return f"(({') + ('.join(parts)})) / {len(parts)}"
+
+
+def score_by_expression(model: PipelineModel, features: list[str], df: DataFrame, id_col: str, label: str) -> DataFrame:
+    """Op 109 without the model: (id, pred, label) by the exported expression, in generated code."""
+    return df.select(F.col(id_col).alias("id"), F.expr(model_sql(model, features)).alias("pred"), F.col(label).cast("double").alias("label"))
+
+
+def loss_against_constant(scores: DataFrame, task: str = "mortality") -> DataFrame:
+    """One row: mean loss (cross-entropy, or squared error for LOS) of the scores and of the best constant."""
+    p, y = F.col("pred"), F.col("label")
+    if task == "los":
+        return scores.agg(F.avg((p - y) * (p - y)).alias("loss"), F.var_pop(y).alias("constant"))
+    eps = 1e-12
+    entropy = lambda q, t: -(t * F.ln(F.greatest(q, F.lit(eps))) + (1 - t) * F.ln(F.greatest(1 - q, F.lit(eps))))
+    return scores.agg(F.avg(entropy(p, y)).alias("loss"), entropy(F.avg(y), F.avg(y)).alias("constant"))
+
+
 def batch_score(model: PipelineModel, df: DataFrame, id_col: str, label: str, task: str = "mortality",
                 vec_cols: list[str] | None = None) -> DataFrame:
     """Op 109: (id, pred, label); pred = P(class 1) for binary tasks, the value for LOS."""

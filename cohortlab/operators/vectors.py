@@ -2,17 +2,14 @@
 (ops 89-102, 111).
 
 Vectors are ``array<float|double>`` columns; arithmetic uses higher-order
-array functions (zip_with / aggregate), so it stays inside whole-stage codegen.
+array functions (zip_with / aggregate), evaluated in the JVM row by row.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.exprs import common_prefix_len, with_global
@@ -186,19 +183,119 @@ def lloyd_kmeans(points: DataFrame, id_col: str, vec: str, k: int, max_iter: int
     return table, nearest_center(points.select(id_col, vec), vec, table)
 
 
-def kmeans_fit(points: DataFrame, id_col: str, vec: str, ks: list[int], seed: int = 42) -> DataFrame:
-    """Op 94: Spark ML k-means for every k; rows (k, id, cluster)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    v = materialize(points.select(id_col, array_to_vector(F.col(vec).cast("array<double>")).alias("features")))
-    outs = []
-    for k in ks:
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(v)
-        outs.append(model.transform(v).select(F.lit(k).alias("k"), id_col, "cluster"))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+def _seeds(sample: np.ndarray, k: int, seed: int, tries: int = 8, rounds: int = 10) -> np.ndarray:
+    """k-means++ over a sample (each next centre is drawn with odds of its squared distance to those before),
+    several times, each moved a few rounds over the sample; the draw of the least objective."""
+    draw = np.random.default_rng([seed, k])
+    best, least = None, np.inf
+    for _ in range(tries):
+        centres = [sample[draw.integers(len(sample))]]
+        d2 = ((sample - centres[0]) ** 2).sum(axis=1)
+        while len(centres) < k:
+            total = d2.sum()
+            centres.append(sample[draw.choice(len(sample), p=d2 / total) if total > 0 else draw.integers(len(sample))])
+            d2 = np.minimum(d2, ((sample - centres[-1]) ** 2).sum(axis=1))
+        centres = np.array(centres)
+        for _ in range(rounds):
+            near, d2 = _nearest(sample, centres)
+            n = np.bincount(near, minlength=k)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, sample)
+            centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        if d2.sum() < least:
+            best, least = centres, d2.sum()
+    return best
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre (the first of equals) and squared distance of each row."""
+    near = np.argmin((centres * centres).sum(axis=1) - 2 * (x @ centres.T), axis=1)
+    return near, ((x - centres[near]) ** 2).sum(axis=1)
+
+
+def _vectors(batches, rows: int = 8192):
+    for whole in batches:
+        for at in range(0, len(whole), rows):
+            b = whole.slice(at, rows)
+            yield b, np.stack([v.values.to_numpy(zero_copy_only=False) for v in b.column("v")]).astype(float)
+
+
+def _sweep_sums(centres: dict[int, np.ndarray]):
+    """Per task and k: each centre's points and vector sum, the objective, and (c = -1) the farthest point."""
+    def run(batches):
+        sums = {k: (np.zeros(len(c), np.int64), np.zeros_like(c), np.zeros(len(c))) for k, c in centres.items()}
+        far = {k: (-1.0, None) for k in centres}
+        for _, x in _vectors(batches):
+            for k, c in centres.items():
+                near, d2 = _nearest(x, c)
+                n, s, cost = sums[k]
+                n += np.bincount(near, minlength=len(c))
+                np.add.at(s, near, x)
+                cost += np.bincount(near, d2, len(c))
+                if d2.max() > far[k][0]:
+                    far[k] = (float(d2.max()), x[d2.argmax()])
+        rows = [(k, int(c), int(n[c]), float(cost[c]), s[c].tolist()) for k, (n, s, cost) in sums.items() for c in np.flatnonzero(n)]
+        rows += [(k, -1, 0, d, v.tolist()) for k, (d, v) in far.items() if v is not None]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["k", "c", "n", "cost", "s"])
+    return run
+
+
+def kmeans_sweep(points: DataFrame, id_col: str, vec: str, ks: list[int], seed: int = 42, max_iter: int = 100,
+                 seed_rows: int = 5_000) -> tuple[DataFrame, DataFrame]:
+    """Op 94: Lloyd k-means for every k of a sweep, all of them in one scan per round.
+
+    A pass emits, per task and k, the k partial sums; a k whose centres stay leaves the next passes. Only centres
+    (sum of ks x dim numbers per task) reach the driver. Seeds are k-means++ over at most ``seed_rows`` points (chosen by
+    hash); a centre that lost its points moves to the point farthest from its own centre.
+
+    Returns centres ``(k, cluster, centre, n)`` and assignments ``(k, id, cluster, d2)``.
+    """
+    from cohortlab.functions.exprs import hash_order
+    spark, kind = points.sparkSession, points.schema[id_col].dataType.simpleString()
+    pts = points.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    sample = (pts.withColumn("_h", hash_order("id", seed, "init")).orderBy("_h", "id").limit(seed_rows).select("v").collect())
+    if not sample:
+        return (spark.createDataFrame([], "k int, cluster int, centre array<double>, n bigint"),
+                spark.createDataFrame([], f"k int, id {kind}, cluster int, d2 double"))
+    first = np.array([r.v for r in sample])
+    centres = {k: _seeds(first, k, seed) for k in ks}
+    moving, sizes = dict(centres), {}
+    for _ in range(max_iter):
+        parts = pts.select("v").mapInArrow(_sweep_sums(moving), "k bigint, c bigint, n bigint, cost double, s array<double>")
+        found: dict[int, list] = {k: [] for k in moving}
+        for r in parts.toArrow().to_pylist():  # sum of ks + 1 rows for each task
+            found[r["k"]].append(r)
+        for k, rows in found.items():
+            n, s = np.zeros(k, np.int64), np.zeros_like(moving[k])
+            for r in rows:
+                if r["c"] >= 0:
+                    n[r["c"]] += r["n"]
+                    s[r["c"]] += r["s"]
+            moved = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], moving[k])
+            lost, far = np.flatnonzero(n == 0), max((r for r in rows if r["c"] < 0), key=lambda r: (r["cost"], r["s"]))
+            if lost.size and far["cost"] > 0:
+                moved[lost[0]] = far["s"]
+            # sums of another order differ in the last digits
+            done = not (lost.size and far["cost"] > 0) and np.allclose(moved, moving[k], rtol=1e-12, atol=1e-12)
+            centres[k], sizes[k] = moved, n
+            if done:
+                moving.pop(k)
+            else:
+                moving[k] = moved
+        if not moving:
+            break
+
+    def assign(batches):
+        for b, x in _vectors(batches):
+            for k, c in centres.items():
+                near, d2 = _nearest(x, c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), k), pa.int32()), b.column("id"), pa.array(near, pa.int32()),
+                                                  pa.array(d2)], ["k", "id", "cluster", "d2"])
+
+    table = spark.createDataFrame([(k, i, v.tolist(), int(sizes[k][i])) for k, c in centres.items() for i, v in enumerate(c)],
+                                  "k int, cluster int, centre array<double>, n bigint")
+    return table, pts.mapInArrow(assign, f"k int, id {kind}, cluster int, d2 double")
 
 
 def calinski_harabasz(df: DataFrame, group_cols: list[str], cluster: str, vec: str) -> DataFrame:
@@ -288,64 +385,3 @@ def tree_distance(a: Column, b: Column, a_known: Column | None = None, b_known:
         F.size(F.filter(F.sequence(F.lit(1), F.greatest(m, F.lit(1))),
                         lambda i: F.element_at(pa, i) == F.element_at(pb, i))))
     return F.size(pa) + F.size(pb) - 2 * common
-
-
-# ---------------------------------------------------------------- k nearest neighbours
-
-def knn_graph(points: DataFrame, id_col: str, vec: str, k: int = 20, queries: DataFrame | None = None,
-              block: int = 50_000) -> DataFrame:
-    """Op 102: exact k nearest neighbours (Euclidean, no self), as edges (id, nbr, rank, dist).
-
-    ``queries(id_col)`` names the points to search for (cluster centres, a sample); without
-    it every point is a query, which is quadratic work and meant for small tables. Queries and
-    points are hashed into blocks of about ``block`` rows; every pair of blocks is a
-    co-group computed with numpy inside the task, which returns only its local
-    top-k per query. Distance pairs are never written out as rows.
-    """
-    kind = points.schema[id_col].dataType.simpleString()
-    p = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    asked = p if queries is None else p.join(queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    tq, tc = (max(1, math.ceil(d.count() / block)) for d in (asked, p))
-    tile = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    q = asked.select(F.col("id").alias("id"), F.col("v").alias("v"), tile(tq).alias("qt"), F.explode(F.sequence(F.lit(0), F.lit(tc - 1))).alias("ct"))
-    c = p.select("id", "v", tile(tc).alias("ct"), F.explode(F.sequence(F.lit(0), F.lit(tq - 1))).alias("qt"))
-
-    keep_k = k + 5  # rounding at the cut may swap neighbours; exact distances decide the final order
-    id_kind = "int64" if kind in ("bigint", "int") else "object"
-
-    def local_topk(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": pd.Series([], dtype=id_kind), "nbr": pd.Series([], dtype=id_kind),
-                              "dist": pd.Series([], dtype="float64")})
-        if qdf.empty or cdf.empty:
-            return empty
-        qa, ca = np.stack(qdf["v"].to_numpy()), np.stack(cdf["v"].to_numpy())
-        qid, cid = qdf["id"].to_numpy(), cdf["id"].to_numpy()
-        cn = (ca * ca).sum(1)
-        outs = []
-        for s0 in range(0, qa.shape[0], 1024):  # bounded memory: 1024 queries x 32768 candidates at a time
-            qb, qi = qa[s0:s0 + 1024], qid[s0:s0 + 1024]
-            best_d = np.full((qb.shape[0], 0), np.inf)
-            best_j = np.zeros((qb.shape[0], 0), dtype=np.int64)
-            for c0 in range(0, ca.shape[0], 32768):
-                cb = ca[c0:c0 + 32768]
-                d2 = (qb * qb).sum(1)[:, None] + cn[None, c0:c0 + 32768] - 2 * qb @ cb.T
-                d2[qi[:, None] == cid[None, c0:c0 + 32768]] = np.inf
-                cat_d = np.concatenate([best_d, d2], axis=1)
-                cat_j = np.concatenate([best_j, np.broadcast_to(np.arange(c0, c0 + cb.shape[0]), d2.shape)], axis=1)
-                kk = min(keep_k, cat_d.shape[1])
-                sel = np.argpartition(cat_d, kk - 1, axis=1)[:, :kk] if kk < cat_d.shape[1] else \
-                    np.broadcast_to(np.arange(cat_d.shape[1]), cat_d.shape)
-                best_d = np.take_along_axis(cat_d, sel, axis=1)
-                best_j = np.take_along_axis(cat_j, sel, axis=1)
-            rows = np.repeat(np.arange(qb.shape[0]), best_j.shape[1])
-            cols = best_j.ravel()
-            keep = np.isfinite(best_d.ravel())
-            rows, cols = rows[keep], cols[keep]
-            exact = np.sqrt(((qb[rows] - ca[cols]) ** 2).sum(axis=1))  # direct form for the survivors
-            outs.append(pd.DataFrame({"id": qi[rows], "nbr": cid[cols], "dist": exact}))
-        return pd.concat(outs, ignore_index=True) if outs else empty
-
-    cand = q.groupBy("qt", "ct").cogroup(c.groupBy("qt", "ct")).applyInPandas(
-        lambda a, b: local_topk(a, b), schema=f"id {kind}, nbr {kind}, dist double")
-    w = Window.partitionBy("id").orderBy("dist", "nbr")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

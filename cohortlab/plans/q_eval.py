@@ -190,7 +190,7 @@ def _los_boot_ctes():
         ("lr", "SELECT record_id AS id, CAST(outcome AS INT) AS run, CAST(GREATEST(datediff('day', record_date, discharge_date), 0) AS DOUBLE) "
                "AS y, lab_quantity / 5 AS p FROM f_admissions"),
         ("lw", f"SELECT *, CASE WHEN b = 0 THEN 1 ELSE {w} END AS w FROM (SELECT lr.*, b, ('0x' || substr(md5('42|' || CAST(b AS VARCHAR) || "
-               "'|' || CAST(id AS VARCHAR)), 1, 8))::BIGINT AS h FROM lr, (SELECT CAST(range AS INT) AS b FROM range(0, 21)))"),
+               "'|' || CAST(id AS VARCHAR)), 1, 8))::BIGINT AS h FROM lr, (SELECT CAST(range AS INT) AS b FROM range(0, 101)))"),
         ("lm", "SELECT *, SUM(w * y) OVER (PARTITION BY run, b) / SUM(w) OVER (PARTITION BY run, b) AS mu FROM lw"),
         ("lg", "SELECT run, b, SUM(w * ABS(p - y)) / SUM(w) AS mae, SUM(w * power(p - y, 2)) / SUM(w) AS mse, "
                "SQRT(SUM(w * power(p - y, 2)) / SUM(w)) AS rmse, 1 - SUM(w * power(p - y, 2)) / SUM(w * power(y - mu, 2)) AS r2 FROM lm GROUP BY run, b"),
@@ -205,7 +205,7 @@ def _los_boot_ctes():
 def q_bootstrap_los(spark, sf):
     a = admissions_los(spark, sf).select(F.col("record_id").alias("id"), F.col("outcome").cast("int").alias("run"),
                                          F.col("los").alias("label"), (F.col("lab_quantity") / 5).alias("pred"))
-    return metrics.bootstrap_regression_ci(a, ["run"], resamples=20, seed=42)
+    return metrics.bootstrap_regression_ci(a, ["run"], resamples=100, seed=42)
 
 
 @register("format_mean_std", oracle(

@@ -106,12 +106,35 @@ def q_write_run_summary(spark, sf):
     return spark.read.schema("model string, n long, n_pos long, mean_pred double").json(path)
 
 
-@register("incremental_skip", oracle(
-    "SELECT doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT id FROM f_responses WHERE id % 2 = 0)", ("f_responses",)))
+def _run_configs(spark, sf):
+    """One row per run of f_preds: what its predictions were made with."""
+    return fixture(spark, sf, "f_preds").groupBy("model").agg(F.count_distinct("pred").alias("n_scores"), F.min("id").alias("first_id"))
+
+
+@register("run_records", oracle("SELECT model, id, pred, CAST(label AS DOUBLE) AS label FROM f_preds", ("f_preds",), dbl=("pred",)))
+def q_run_records(spark, sf):
+    path = scratch_dir(spark, "run-records")
+    io.write_run_records(fixture(spark, sf, "f_preds"), _run_configs(spark, sf), path, ["model"])
+    return io.read_run_records(spark, path, ["model"])
+
+
+@register("run_manifest", oracle(
+    "SELECT model, COUNT(DISTINCT pred) AS n_scores, MIN(id) AS first_id, COUNT(*) AS n, CAST(SUM(label) AS BIGINT) AS n_pos, "
+    "AVG(pred) AS mean_pred, true AS bounded FROM f_preds GROUP BY model", ("f_preds",), dbl=("mean_pred",)))
+def q_run_manifest(spark, sf):
+    path = scratch_dir(spark, "run-records")
+    io.write_run_records(fixture(spark, sf, "f_preds"), _run_configs(spark, sf), path, ["model"], chunk=500)
+    m = io.read_run_manifest(spark, path)
+    return m.select("model", "n_scores", "first_id", "n", "n_pos", "mean_pred", (F.col("largest_chunk") <= 500).alias("bounded"))
+
+
+@register("incremental_skip", oracle("SELECT id FROM f_responses WHERE id NOT IN (SELECT id FROM f_codes)", ("f_responses", "f_codes")))
 def q_incremental_skip(spark, sf):
-    todo = read_table(spark, sf, "labels", ["doc_id"]).select(F.col("doc_id").alias("id"))
-    done = prompts.parse_response(fixture(spark, sf, "f_responses").where("id % 2 = 0"), "response")
-    return io.incremental_skip(todo, done, ["id"])
+    """Done is what an earlier run left in its result folder, whatever it says: only its id column is read."""
+    path = scratch_dir(spark, "results")
+    io.write_parquet(fixture(spark, sf, "f_codes").select(F.lit(RUN).alias("run"), "id", F.col("title").alias("response")), path, ["run"])
+    todo = fixture(spark, sf, "f_responses").select("id")
+    return io.incremental_skip(todo, spark.read.parquet(path), ["id"])
 
 
 @register("stream_response_ingest", oracle(
@@ -123,9 +146,10 @@ def q_stream_ingest(spark, sf):
     raw = fixture(spark, sf, "f_responses").select(F.lit(RUN).alias("run"), "id", "response",
                                                    F.lit(None).cast("double").alias("label"),
                                                    F.current_timestamp().alias("received_at"))
-    # two deliveries of the same responses, the second one late: every (run, id) must come out once
+    # two deliveries of the same responses, the second one late and to a stream with another checkpoint:
+    # every (run, id) must be there once, as it came first
     raw.write.mode("append").json(src)
     ingest_available(spark, src, os.path.join(root, "out"), os.path.join(root, "ckpt"))
     raw.withColumn("received_at", F.lit("2001-01-01").cast("timestamp")).write.mode("append").json(src)
-    out = ingest_available(spark, src, os.path.join(root, "out"), os.path.join(root, "ckpt"))
+    out = ingest_available(spark, src, os.path.join(root, "out"), os.path.join(root, "ckpt-renewed"))
     return out.select("run", "id", "think", "pred", "status")

@@ -120,13 +120,22 @@ def q_last_prediction(spark, sf):
 # ---------------------------------------------------------------- prompts
 
 
+_SCALES = {"eye": TPL.GCS_EYE, "motor": TPL.GCS_MOTOR, "verbal": TPL.GCS_VERBAL}
+
+
+def _decode_sql(scale: dict) -> str:
+    return ("CASE WHEN masked THEN 'NaN' ELSE CASE code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in scale.items())
+            + " ELSE 'NaN' END END")
+
+
 @register("decode_categorical", oracle(
-    "SELECT event_id, CASE CAST(FLOOR(value) AS BIGINT) % 7 " + " ".join(
-        f"WHEN {k} THEN '{v}'" for k, v in TPL.GCS_MOTOR.items()) + " ELSE 'NaN' END AS motor_label FROM events"))
+    "SELECT event_id, " + ", ".join(f"{_decode_sql(m)} AS {n}_label" for n, m in _SCALES.items())
+    + " FROM (SELECT event_id, CAST(FLOOR(value) AS BIGINT) % 7 AS code, event_type = 'error' AS masked FROM events)"))
 def q_decode_categorical(spark, sf):
-    e = read_table(spark, sf, "events", ["event_id", "value"])
-    code = F.floor("value").cast("bigint") % 7
-    return e.select("event_id", prompts.decode_categorical(code, TPL.GCS_MOTOR).alias("motor_label"))
+    """Codes on all three scales; the cells of error events are masked."""
+    e = read_table(spark, sf, "events", ["event_id", "event_type", "value"])
+    code, masked = F.floor("value").cast("bigint") % 7, F.col("event_type") == "error"
+    return e.select("event_id", *[prompts.decode_categorical(code, m, masked).alias(f"{n}_label") for n, m in _SCALES.items()])
 
 
 UNITS = {"click": "count", "error": "/", "purchase": "USD", "signup": "count", "view_": "count"}
@@ -415,4 +424,4 @@ def q_join_modalities(spark, sf):
     ehr = pairs.select("id", norm(F.col("e1")).alias("ehr_norm"))
     note = pairs.select("id", norm(F.col("e2")).alias("note_norm"))
     lab = pairs.select("id", F.col("score").alias("label"))
-    return joins.join_modalities(ehr, note, lab)
+    return joins.join_modalities(joins.require_equal_counts(ehr, note, lab), note, lab)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlab.operators import vectors as V
+from cohortlab.operators.knn import knn_graph
 from cohortlab.plans.registry import oracle, register
+from cohortlab.session import materialize
 from cohortlab.sources.tables import fixture
 
 # ---------------------------------------------------------------- similarity
@@ -101,13 +103,20 @@ def q_calinski_harabasz(spark, sf):
 _KS = [10, 20, 30, 40, 50]
 
 
-@register("kmeans", oracle("SELECT k, id, true AS valid, true AS all_used FROM f_embeddings, (VALUES " + ", ".join(
+@register("kmeans", oracle("SELECT k, id, true AS valid, true AS all_used, true AS fixed_point FROM f_embeddings, (VALUES " + ", ".join(
     f"({k})" for k in _KS) + ") v(k)", ("f_embeddings",)))
 def q_kmeans(spark, sf):
-    """Every point has one of the k clusters, and each cluster has points."""
-    out = V.kmeans_fit(_emb(spark, sf), "id", "embedding", _KS, seed=42)
+    """Every point has one of the k clusters, each cluster has points, and its centre is their mean."""
+    e = _emb(spark, sf)
+    centres, out = V.kmeans_sweep(e, "id", "embedding", _KS, seed=42)
+    out = materialize(out)
+    means = out.join(e.select("id", "embedding"), "id").select("k", "cluster", F.posexplode("embedding").alias("d", "x")).groupBy("k", "cluster", "d").agg(F.avg("x").alias("mean"))
+    held = centres.select("k", "cluster", F.posexplode("centre").alias("d", "x"))
+    fixed = held.join(means, ["k", "cluster", "d"], "left").groupBy("k").agg(
+        F.bool_and(F.coalesce(F.abs(F.col("x") - F.col("mean")) < 1e-9, F.lit(False))).alias("fixed_point"))
     used = out.groupBy("k").agg((F.count_distinct("cluster") == F.col("k")).alias("all_used"))
-    return out.join(used, "k").select("k", "id", ((F.col("cluster") >= 0) & (F.col("cluster") < F.col("k"))).alias("valid"), "all_used")
+    return out.join(used, "k").join(fixed, "k").select(
+        "k", "id", ((F.col("cluster") >= 0) & (F.col("cluster") < F.col("k"))).alias("valid"), "all_used", "fixed_point")
 
 
 @register("lloyd_kmeans", oracle("SELECT id, true AS fixed_point FROM f_embeddings", ("f_embeddings",)))
@@ -203,5 +212,5 @@ def q_tree_distance(spark, sf):
 def q_knn_graph(spark, sf):
     e = _emb(spark, sf)
     # the search's query set: every hundredth id, against all points
-    g = V.knn_graph(e, "id", "embedding", k=20, queries=e.where("id % 100 = 0"))
+    g = knn_graph(e, "id", "embedding", k=20, queries=e.where("id % 100 = 0"))
     return g.select("id", "nbr", F.col("rank").cast("bigint").alias("rank"), "dist")

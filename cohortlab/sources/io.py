@@ -7,10 +7,12 @@ are partitioned by run instead of one file per patient.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlab.functions.exprs import join_null_safe
+
 # Column slices of the code order file (0-based [start, end)).
 CODE_FILE_SLICES = {"order": (0, 6), "code": (6, 14), "flag": (14, 16), "short_title": (16, 77), "title": (77, None)}
 MAX_CODE_LEN = 4
@@ -79,6 +81,48 @@ def run_summary(preds: DataFrame, run_cols: list[str], pred: str = "pred", label
                                         F.avg(F.col(pred).cast("double")).alias("mean_pred"))
 
 
+def write_run_records(preds: DataFrame, configs: DataFrame, path: str, run_cols: list[str], id_col: str = "id",
+                      pred: str = "pred", label: str = "label", chunk: int = 1_000) -> None:
+    """Op 113: each run's config, predictions and labels as records of at most ``chunk`` rows, and a manifest.
+
+    ``chunks/`` holds ``(run_cols, chunk, ids, preds, labels)``; a run's rows are dealt by hash of the id, so no task
+    gets a whole run, and cut to the bound. ``manifest/`` holds one row per run: its columns of ``configs``,
+    counts, mean prediction and the number of chunks a reader must find.
+    """
+    rows = preds.select(*run_cols, F.col(id_col).alias("id"), F.col(pred).cast("double").alias("pred"), F.col(label).cast("double").alias("label"))
+    sizes = rows.groupBy(*run_cols).agg(F.count("*").alias("_n"))
+    deal = F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") * 2 / chunk).cast("long"))  # about half full: few are cut again
+    dealt = join_null_safe(rows, sizes, run_cols).withColumn("_part", deal)
+    w = Window.partitionBy(*run_cols, "_part").orderBy("id", "pred", "label")
+    cut = dealt.withColumn("_piece", F.floor((F.row_number().over(w) - 1) / chunk))
+    one = F.struct("id", "pred", "label")
+    packed = cut.groupBy(*run_cols, "_part", "_piece").agg(F.array_sort(F.collect_list(one)).alias("_r"))
+    packed.select(*run_cols, F.concat_ws("-", "_part", "_piece").alias("chunk"), F.size("_r").alias("n"), F.col("_r.id").alias("ids"),
+                  F.col("_r.pred").alias("preds"), F.col("_r.label").alias("labels")).write.mode("overwrite").parquet(f"{path}/chunks")
+    chunks = preds.sparkSession.read.parquet(f"{path}/chunks")
+    total = chunks.groupBy(*run_cols).agg(
+        F.sum("n").alias("n"), F.sum(F.aggregate("labels", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))).cast("long").alias("n_pos"),
+        (F.sum(F.aggregate("preds", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))))
+         / F.sum(F.size(F.filter("preds", lambda x: x.isNotNull())))).alias("mean_pred"),
+        F.count("*").alias("n_chunks"), F.max("n").alias("largest_chunk"))
+    join_null_safe(configs, total, run_cols, "left").write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def read_run_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def read_run_records(spark: SparkSession, path: str, run_cols: list[str]) -> DataFrame:
+    """Op 113: ``(run_cols, id, pred, label)`` of all runs; fails if a run's chunks are not those of its manifest."""
+    chunks, manifest = spark.read.parquet(f"{path}/chunks"), read_run_manifest(spark, path)
+    there = chunks.groupBy(*run_cols).agg(F.count("*").alias("_chunks"), F.sum("n").alias("_rows"))
+    whole = join_null_safe(manifest.select(*run_cols, "n", "n_chunks"), there, run_cols, "left")
+    same = F.col("_chunks").eqNullSafe(F.col("n_chunks")) & F.col("_rows").eqNullSafe(F.col("n"))
+    sure = whole.select(*run_cols, F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("chunks of a run are missing"))).alias("_sure"))
+    rows = join_null_safe(chunks, sure, run_cols).where("_sure")
+    return rows.select(*run_cols, F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("preds").alias("pred"), F.col("labels").alias("label"))))
+
+
 def incremental_skip(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Op 8: rows whose result already exists, whatever it says, are skipped (anti join)."""
     return todo.join(done.select(*keys), keys, "left_anti")

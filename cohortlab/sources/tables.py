@@ -14,8 +14,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 # Fixture definitions shared by Spark and the DuckDB oracle.
-# Each maps a name to (base tables used, SQL text). Dialect differences are
-# kept in the two dicts below.
+# Each maps a name to (base tables used, SQL text).
 FIXTURE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "f_events": (("events",), """
 SELECT user_id AS id, CAST(ts AS DATE) AS record_date, event_id, event_type AS feature, value
@@ -83,15 +82,9 @@ SELECT doc_id AS id, CAST(doc_id % 2 AS INT) AS gender, CAST(20 + (doc_id * 7) %
        CASE lang WHEN 'en' THEN 'WHITE' WHEN 'de' THEN 'WHITE - OTHER EUROPEAN'
                  WHEN 'fr' THEN 'BLACK/AFRICAN' ELSE 'HISPANIC/LATINO' END AS race
 FROM documents"""),
-}
-
-SPARK_ONLY = {
-    "f_scores": (("embeddings",), """
-SELECT vec_id AS id, slice(embedding, 1, 3) AS scores, label % 3 AS label FROM embeddings"""),
-}
-DUCKDB_ONLY = {
+    # Every dimension is a class score; the label is one of the first ten classes.
     "f_scores": (("embeddings",), """
-SELECT vec_id AS id, list_slice(embedding, 1, 3) AS scores, label % 3 AS label FROM embeddings"""),
+SELECT vec_id AS id, embedding AS scores, label FROM embeddings"""),
 }
 
 
@@ -113,10 +106,10 @@ def register_tables(spark: SparkSession, sf_dir: str, names) -> None:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build one fixture DataFrame. Views are re-bound on every call, and the
     returned DataFrame is analysed immediately, so it keeps pointing at ``sf_dir``."""
-    tables, sql = FIXTURE_SQL.get(name) or SPARK_ONLY[name]
+    tables, sql = FIXTURE_SQL[name]
     register_tables(spark, sf_dir, tables)
     return spark.sql(sql)
 
 
 def oracle_fixture_sql(name: str) -> str:
-    return (FIXTURE_SQL.get(name) or DUCKDB_ONLY[name])[1].strip()
+    return FIXTURE_SQL[name][1].strip()
