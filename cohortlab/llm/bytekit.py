@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20      # bytes hashed in one go
-_LONG_WORD = 1 << 19  # longer words are hashed by blake2b
+_ALONE = 1 << 19     # longer words don't share a block
+_LONG_WORD = 1 << 8  # longer words are hashed by blake2b: a sum of byte codes times powers modulo 2^64 has
+#                      collisions that can be constructed, from about 1,024 bytes on
 
 # Byte classes: fixed by the operators' word patterns.
 NON_SPACE = np.ones(256, bool)
@@ -116,10 +118,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray):
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """64-bit hashes of the byte spans (ascending, not overlapping); ``fold``: A-Z as a-z."""
     table, out = (_FOLDED if fold else _BYTE), np.empty(starts.size, np.uint64)
-    long = np.flatnonzero(ends - starts > _LONG_WORD)  # by their own length only: equal bytes have equal hashes
-    for i in long.tolist():
-        word = data[starts[i]:ends[i]]
-        out[i] = int.from_bytes(hashlib.blake2b((FOLD[word] if fold else word).tobytes(), digest_size=8).digest(), "little")
+    long = np.flatnonzero(ends - starts > _ALONE)
     stops = iter([*long.tolist(), starts.size])
     i, stop = 0, next(stops)
     while i < starts.size:
@@ -134,6 +133,9 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
         s, e = starts[i:j] - lo, ends[i:j] - lo
         out[i:j] = mix((total[e] - total[s]) * inv[s])
         i = j
+    for i in np.flatnonzero(ends - starts > _LONG_WORD).tolist():  # by their own length only: equal bytes have equal hashes
+        word = data[starts[i]:ends[i]]
+        out[i] = int.from_bytes(hashlib.blake2b((FOLD[word] if fold else word).tobytes(), digest_size=8).digest(), "little")
     return out
 
 

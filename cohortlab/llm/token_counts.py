@@ -9,6 +9,10 @@ to the one it begins in (``"start"``) or ends in (``"end"``). So the sections' c
 
 ``count_fields`` does the same for a document put together from several columns.
 
+A run of letters, marks or white space of thousands of characters is one stretch to the encoder's pattern, whose
+library overflows its stack or merges in quadratic time there. Such texts are cut by the same pattern, and
+their long stretches are merged by a second library with a heap (``single_piece``), which has the merges that the ranks imply.
+
 Defined results: a null text is empty; the empty text has no sections and 0 tokens. An
 empty last line (behind a final line feed) is no section. Rows are independent.
 """
@@ -16,9 +20,11 @@ empty last line (behind a final line feed) is no section. Rows are independent.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +32,10 @@ from cohortlab.llm import bytekit as bk
 from cohortlab.llm.common import text_or_empty
 
 RULES = ("most", "start", "end")
+_LONG = 4096  # characters of a stretch that the usual encoder doesn't get
+_LONG_SPACE = re.compile(rf"\s{{{_LONG}}}")
 _encoders: dict[str, tuple] = {}
+_single: dict[str, object] = {}
 
 
 def default_ranks() -> str:
@@ -50,6 +59,57 @@ def encoder(ranks_file: str):
     return _encoders[ranks_file]
 
 
+def _halves(token: bytes, rank: int, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
+    """The two tokens of lower rank that are merged to ``token`` last."""
+    parts = [token[i:i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        pairs = [ranks.get(a + b, rank) for a, b in zip(parts, parts[1:])]
+        at = min(range(len(pairs)), key=pairs.__getitem__)
+        if pairs[at] >= rank:
+            raise ValueError("the ranks are not those of a byte-pair encoding")
+        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+    return parts[0], parts[1]
+
+
+def single_piece(ranks_file: str):
+    """Encoder of one stretch, whatever its length, by the merges that the ranks imply; one for a process."""
+    if ranks_file not in _single:
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        with open(ranks_file, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        letter = _byte_letters()
+        shown = lambda token: "".join([letter[b] for b in token])
+        merges = [tuple(map(shown, _halves(t, r, ranks))) for t, r in sorted(ranks.items(), key=lambda x: x[1]) if len(t) > 1]
+        whole = Tokenizer(models.BPE({shown(t): r for t, r in ranks.items()}, merges))
+        whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        _single[ranks_file] = whole
+    return _single[ranks_file]
+
+
+def _byte_letters() -> list[str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
+def encode_text(ranks_file: str, text: str) -> list[int]:
+    """Ids of a whole text."""
+    encoding, _ = encoder(ranks_file)
+    if len(text) < _LONG or not (_LONG_SPACE.search(text) or max(map(len, text.split()), default=0) >= _LONG):
+        return encoding.encode_ordinary(text)
+    import public_tokenizers
+
+    out, done = [], 0
+    for stretch in regex.finditer(public_tokenizers.PATTERN, text):
+        if stretch.end() - stretch.start() >= _LONG:  # a stretch's borders are borders of the text before it, too
+            out += encoding.encode_ordinary(text[done:stretch.start()])
+            out += single_piece(ranks_file).encode(stretch.group(), add_special_tokens=False).ids
+            done = stretch.end()
+    return out + encoding.encode_ordinary(text[done:])
+
+
 def attribute(token_ends: np.ndarray, token_sizes: np.ndarray, section_ends: np.ndarray, rule: str = "most"):
     """Tokens of each section, and tokens that cross into the next one.
 
@@ -70,10 +130,10 @@ def attribute(token_ends: np.ndarray, token_sizes: np.ndarray, section_ends: np.
 
 def _encode(ranks_file, texts, sections, rule):
     """Per row ``(tokens, section sizes in code points, tokens, crossing)``; ``sections`` gives byte ends per row."""
-    encoding, length = encoder(ranks_file)
+    _, length = encoder(ranks_file)
     out = []
     for text, ends in zip(texts, sections):
-        ids = np.array(encoding.encode_ordinary(text), np.int64)
+        ids = np.array(encode_text(ranks_file, text), np.int64)
         if not ids.size:
             out.append((0, np.zeros(ends.size, np.int64), np.zeros(ends.size, np.int64)))
             continue

@@ -59,3 +59,23 @@ def test_fields_add_up(spark, encoding):
     got = {r.id: r for r in T.count_fields(rows, "id", ["role", "text"]).collect()}
     assert got[1].n_tokens == len(encoding.encode_ordinary("user\n\nHello there")) == got[1].n_role + got[1].n_text
     assert got[3].n_text == 0 and got[2].n_role + got[2].n_text == got[2].n_tokens
+
+
+LONG = [" " * 1_000_000, "a" + " " * 1_000_000 + "b", "\n" * 70_001 + "x y", "x" * 50_000 + " tail's end", "ab " * 3 + "!" * 9_000 + "　" * 5_000 + "é",
+        "\r\n" * 6_000, " \n" * 5_000 + "\t" * 4_096, "word " * 2_000 + "7" * 5_000 + " \n" + "日本" * 3_000]
+
+
+@pytest.mark.parametrize("text", LONG, ids=range(len(LONG)))
+def test_long_stretches_against_the_other_library(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert T.encode_text(T.default_ranks(), text) == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_five_million_characters_of_one_kind(spark):
+    rows = [(i, c * 5_000_000) for i, c in enumerate(" x\n")]
+    got = {r.doc_id: r for r in T.report(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_tokens", "n_sections").collect()}
+    assert got[0].n_tokens == 5_000_000 and got[1].n_tokens == 625_000 and got[2].n_tokens == 2_500_000
+    assert [got[i].n_sections for i in range(3)] == [1, 1, 5_000_000]
