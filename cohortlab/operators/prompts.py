@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlab.functions.exprs import py_float_text
+from cohortlab.functions.jsonscan import json_spans
 from cohortlab.functions.templates import DEFAULT_BINARY_PRED, NOTE_HEADER, TASK_PREFIX
 
 RESPONSE_SCHEMA = T.StructType([T.StructField("think", T.StringType()), T.StructField("answer", T.StringType())])
@@ -141,8 +142,9 @@ def parse_response(df: DataFrame, text_col: str = "response") -> DataFrame:
     What stands before a closing ``</think>`` tag is set aside. Then the JSON is taken
     from the text around it (prose, code fences, closed or not): a list of objects
     yields its last one; else the span from the first ``{`` to the last ``}``; if that is
-    no JSON, the last flat object. Both keys are required (else status 'failed', no
-    pred); a non-numeric answer gives pred -1.
+    no JSON, the last flat object; where none of them has both keys, the last complete JSON value that has
+    (``json_spans``: nested objects, several in a reply, broken ones between). Both keys are required
+    (else status 'failed', no pred); a non-numeric answer gives pred -1.
     """
     text = F.regexp_replace(F.col(text_col), r"(?s)^.*</think>", "")
     many = F.regexp_extract(text, r"(?s)\[\s*\{.*\}\s*\]", 0)
@@ -155,7 +157,12 @@ def parse_response(df: DataFrame, text_col: str = "response") -> DataFrame:
     listed = (many != "") & (F.position(many, text) < F.instr(text, "{"))
     obj = F.when(listed, F.element_at(alone(many, T.ArrayType(RESPONSE_SCHEMA)), -1)).otherwise(
         F.coalesce(alone(one, RESPONSE_SCHEMA), alone(tail, RESPONSE_SCHEMA)))
+    full = lambda r: r["think"].isNotNull() & r["answer"].isNotNull()
+    scanned = F.transform(json_spans(text), lambda s: F.when(s.startswith("["), F.try_element_at(F.from_json(s, T.ArrayType(RESPONSE_SCHEMA)), F.lit(-1)))
+                          .otherwise(F.from_json(s, RESPONSE_SCHEMA)))
     d = df.withColumn("_r", obj)
+    # the scanner reads a reply character by character: only where the patterns found nothing
+    d = d.withColumn("_r", F.when(full(F.col("_r")), F.col("_r")).when(text.contains("{"), F.try_element_at(F.filter(scanned, full), F.lit(-1))))
     ok = F.col("_r.think").isNotNull() & F.col("_r.answer").isNotNull()
     return d.select(*df.columns, F.when(ok, F.col("_r.think")).alias("think"),
                     F.when(ok, F.coalesce(F.col("_r.answer").try_cast("double"), F.lit(-1.0))).alias("pred"),
