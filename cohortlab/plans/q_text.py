@@ -32,6 +32,18 @@ def q_pack_sequences(spark, sf):
     return p.select("id", F.size("x_ts").cast("bigint").alias("n_visits"), nested_text("x_ts").alias("x_ts"))
 
 
+_CHUNK = 8
+_CHUNK_CTE = ("pchunk", f"SELECT *, CAST(FLOOR((ROW_NUMBER() OVER (PARTITION BY id ORDER BY record_date) - 1) / {_CHUNK}) AS INT) AS chunk FROM panel")
+
+
+@register("pack_chunks", oracle(
+    f"SELECT id, chunk, CAST(chunk * {_CHUNK} AS BIGINT) AS start, CAST(COUNT(*) AS INT) AS n, string_agg(" + _row_sql(LAB_FEATURES)
+    + ", ';' ORDER BY record_date) AS x_ts FROM pchunk GROUP BY id, chunk", _PANEL_FIX, ctes=_PANEL_ALL + (_CHUNK_CTE,)))
+def q_pack_chunks(spark, sf):
+    p = sequences.pack_chunks(build_panel(spark, sf), "id", "record_date", LAB_FEATURES, size=_CHUNK)
+    return p.select("id", "chunk", F.col("offset").alias("start"), "n", nested_text("x_ts").alias("x_ts"))
+
+
 @register("record_time_list", oracle(
     "SELECT id, string_agg(strftime(record_date, '%Y-%m-%d'), ',' ORDER BY record_date) AS record_time "
     "FROM f_visits GROUP BY id", ("f_visits",)))
