@@ -51,9 +51,9 @@ def _against_model(model, features, rows, label, task):
     return out.select("id", "label", "pred", (F.abs(F.col("pred") - F.col("model_pred")) <= 1e-9).alias("same"))
 
 
-def _learnt(model, features, train, label, task="mortality"):
+def _learnt(model, train, label, task="mortality"):
     """One row: is the loss on the training rows below the best constant's (or as low where that has none)?"""
-    loss = ml.loss_against_constant(ml.score_by_expression(model, features, train, "id", label), task)
+    loss = ml.loss_against_constant(ml.batch_score(model, train, "id", label, task), task)
     return loss.select(((F.col("loss") < F.col("constant")) | (F.col("constant") < 1e-9)).alias("learnt"))
 
 
@@ -64,7 +64,7 @@ def _tree(kind):
         model = ml.fit_tree_model(train, _TREE_FEATURES, "outcome", kind)
         out = _against_model(model, _TREE_FEATURES, t.where(F.col("split") == "val"), "outcome", "mortality")
         return with_global(out.select("id", "label", F.col("pred").between(0, 1).alias("valid"), "same"),
-                           _learnt(model, _TREE_FEATURES, train, "outcome"))
+                           _learnt(model, train, "outcome"))
     return q
 
 
@@ -82,7 +82,7 @@ def _regressor(kind):
         train = t.where(F.col("split") == "train")
         model = ml.fit_tree_model(train, _TREE_FEATURES, "los", kind, task="los")
         s = _against_model(model, _TREE_FEATURES, t.where(F.col("split") == "val"), "los", "los")
-        return with_global(s.select("id", "label", (F.col("pred") >= 0).alias("valid"), "same"), _learnt(model, _TREE_FEATURES, train, "los", "los"))
+        return with_global(s.select("id", "label", (F.col("pred") >= 0).alias("valid"), "same"), _learnt(model, train, "los", "los"))
     return q
 
 
