@@ -17,10 +17,13 @@ sets, so no pair is lost. Where that doesn't suffice, the set keeps 1.
 
 Sets of equal content are one class first. The class with most copies leads a list, as near
 copies are mostly copies of it. Each set is first compared with the centres that lead most
-of its lists, so a group of n near copies costs about n comparisons; lists whose members then still lie in different components have their pairs between components looked
-at, as allocated.
-Candidates first meet a bound (the L1 distance of bucketed shingle counts never exceeds
-the real difference); the rest are verified exactly on the shingles of the two texts.
+of its lists, so a group of n near copies costs about n comparisons; lists whose members then still lie in different
+components have their pairs looked at, as allocated. Sets that the same centre leads and that meet in very many lists are
+a *family*; families and components that meet often are compared in blocks of sketches: a task takes two blocks of
+some hundred members each and sends on only the pairs that the bound leaves, so a large group of texts just under the
+threshold makes no row for each of its pairs.
+The bound: the L1 distance of bucketed shingle counts never exceeds the real difference. What it leaves is
+verified exactly on the shingles of the two texts.
 
 Signatures travel in packed blocks; those that a task already holds twice send one row on
 (its first member stands for the rest), so a hot signature doesn't gather in one task.
@@ -50,6 +53,8 @@ _FLUSH = 600_000   # signatures a task gathers before it sends blocks
 _BLOCK = 500_000     # signatures a part of the index should have
 _STARS = 3           # centres that a set is compared with at first
 _DEAR = 12           # members from which a list of several components is dear
+_ROW_COST = 8        # comparisons within blocks that cost no more than one row of a pair
+_CELL, _CELL_BYTES = 256, 1 << 19   # members and bytes of sketches that a block should have
 _NEXT, _FLEX, _LESS = 1, 2, 4   # bits of a row: next band's scheme, flexible segment, one shingle less; above: weight
 _MOST_WEIGHT = 31
 
@@ -255,6 +260,40 @@ def _may_link(batches):
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _sketch_block(column, row):
+    """``(node, comp, n, {width: (places, counts)})`` of one row's list of members."""
+    lo, hi = column.offsets[row].as_py(), column.offsets[row + 1].as_py()
+    part = column.values.slice(lo, hi - lo)
+    node, comp, n, bins = part.flatten()
+    raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in bins]
+    width = np.array([x.size for x in raw])
+    by_width = {int(w): (np.flatnonzero(width == w), np.stack([x for x in raw if x.size == w]).astype(np.int32)) for w in np.unique(width)}
+    return node.to_numpy(), comp.to_numpy(), n.to_numpy(), by_width
+
+
+def _close_pairs(batches):
+    """Of two blocks of members, the pairs of different components whose sketches differ in (s + l) / 9 at most."""
+    for b in batches:
+        for row, same in enumerate(b.column("same").to_pylist()):
+            (node_a, comp_a, n_a, one), (node_b, comp_b, n_b, two) = (_sketch_block(b.column(c), row) for c in ("one", "two"))
+            for wa, (at_a, u) in one.items():
+                for wb, (at_b, v) in two.items():
+                    w = min(wa, wb)
+                    x, y = u.reshape(len(at_a), -1, w).sum(1), v.reshape(len(at_b), -1, w).sum(1)
+                    step = max(1, (1 << 21) // y.size)
+                    for k in range(0, len(at_a), step):
+                        i, j = at_a[k:k + step, None], at_b[None, :]
+                        gap = np.abs(x[k:k + step, None, :] - y[None, :, :]).sum(2)
+                        keep = ((9 * gap <= n_a[i] + n_b[j]) & (5 * np.minimum(n_a[i], n_b[j]) >= 4 * np.maximum(n_a[i], n_b[j]))
+                                & (comp_a[i] != comp_b[j]))
+                        if same:
+                            keep &= node_a[i] < node_b[j]
+                        p, q = np.nonzero(keep)
+                        if p.size:
+                            left, right = node_a[at_a[k + p]], node_b[at_b[q]]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
+
+
 def _verify(batches):
     """Exact: 100 * intersection >= 80 * union."""
     for b in batches:
@@ -301,26 +340,31 @@ def links(texts: DataFrame, n_shingles: int) -> DataFrame:
                     .repartition("part").mapInArrow(bk.tidy(_lists), "sig long, node long, bits int, centre long"), "jaccard-lists", "zstd")
     sketch = written(texts.select("node", "text").mapInArrow(bk.tidy(_sketches), "node long, n long, segments long, flex long, bins binary"), "jaccard-sketch")
     release(texts.sparkSession)
-    seen = written(_check(_stars(lists), sketch, texts), "jaccard-stars")
+    led = written(_led(lists), "jaccard-led")
+    seen = written(_check(_stars(led), sketch, texts), "jaccard-stars")
     release(texts.sparkSession)
     comps = connected_components(seen.where("ok").select("a", "b"), "jaccard")
     rest = written(_apart(lists, comps).join(sketch.select("node", F.col("n").alias("size"), "segments", "flex"), "node"), "jaccard-apart")
     release(texts.sparkSession)
-    cross = _cross(rest).join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    cross = _cross(rest, led, sketch).join(seen.select("a", "b"), ["a", "b"], "left_anti")
     more = written(_check(cross, sketch, texts), "jaccard-cross")
     return seen.where("ok").select("a", "b").union(more.where("ok").select("a", "b"))
 
 
-def _stars(lists: DataFrame) -> DataFrame:
-    """Each set with the centres that lead most of its lists, ``_STARS`` at most: near copies share
-    many lists, while strangers meet in a few. What is left out here comes up again in ``_cross``."""
+def _led(lists: DataFrame) -> DataFrame:
+    """``(node, centre, times)``: how many of a set's lists it leads itself, and the ``_STARS`` others that lead most of them."""
     # a list's centre in a task stands for its members there; over all tasks, one leads it
     lead = (lists.groupBy("sig").agg(F.min(F.struct((-F.shiftright("bits", 3)).alias("w"), "node")).alias("l"))
             .select("sig", F.col("l.node").alias("centre")))
-    often = lists.drop("centre").join(lead, "sig").where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("times"))
-    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), "centre"))
-    return (often.withColumn("nth", nth).where(F.col("nth") <= _STARS)
-            .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
+    often = lists.drop("centre").join(lead, "sig").groupBy("node", "centre").agg(F.count("*").alias("times"))
+    nth = F.row_number().over(Window.partitionBy("node", F.col("node") == F.col("centre")).orderBy(F.desc("times"), "centre"))
+    return often.withColumn("nth", nth).where(F.col("nth") <= _STARS).drop("nth")
+
+
+def _stars(led: DataFrame) -> DataFrame:
+    """Each set with the centres that lead most of its lists: near copies share
+    many lists, while strangers meet in a few. What is left out here comes up again in ``_cross``."""
+    return (led.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
 
 
 def _apart(lists: DataFrame, comps: DataFrame) -> DataFrame:
@@ -331,13 +375,19 @@ def _apart(lists: DataFrame, comps: DataFrame) -> DataFrame:
     return placed.join(apart, "sig")
 
 
-def _cross(rest: DataFrame) -> DataFrame:
+def _cross(rest: DataFrame, led: DataFrame, sketch: DataFrame) -> DataFrame:
     """Pairs between components, as each set's allocation asks for.
 
     The larger set of a pair asks, under the scheme of its own band: with l shingles it
     differs from a smaller partner in 2 l / 9 at most, and the sum of its allocation needs
     to be one more than that.
+
+    A set's group is its family (the sets that the same centre leads most) if that one's members meet in more
+    lists than a comparison of all of them in blocks costs, else its component. Every two sets of which one asks
+    for the other are in one family, or in two groups that meet.
     """
+    family = led.groupBy("node").agg(F.max(F.struct("times", (-F.col("centre")).alias("c"))).alias("m")).select("node", (-F.col("m.c")).alias("family"))
+    rest = rest.join(written(family, "jaccard-families"), "node")
     rest = rest.withColumn("dear", F.col("n") > _DEAR)
     own = rest.where(F.col("bits").bitwiseAND(_NEXT) == 0)
     flexible, less = F.col("bits").bitwiseAND(_FLEX) > 0, F.col("bits").bitwiseAND(_LESS) > 0
@@ -347,28 +397,67 @@ def _cross(rest: DataFrame) -> DataFrame:
               .withColumn("nth", F.row_number().over(one.orderBy(F.desc("n"), "sig"))))
     spare = F.greatest(F.col("flex") - F.col("spoilt"), F.lit(0)) + F.col("segments") - 1 - F.floor(F.col("size") * 2 / 9)
     # the longest lists get 0 as far as that goes; the rest are looked up
-    asking = own.where("NOT dear").select("sig", "node", "comp", "size").union(costly.where(F.col("nth") > spare).select("sig", "node", "comp", "size"))
-    other = rest.select("sig", F.col("node").alias("node_b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"))
+    cols = ["sig", "node", "comp", "family", "size"]
+    asking = written(own.where("NOT dear").select(*cols).union(costly.where(F.col("nth") > spare).select(*cols)), "jaccard-asking")
+    members = written(rest.select("node", "comp", "family", "size").distinct(), "jaccard-members")
+
+    def times(one, two, group, group_b):
+        """How often groups meet: members of the one that ask times members of the other there, over all lists."""
+        here, there = one.groupBy("sig", group).agg(F.count("*").alias("asked")), two.groupBy("sig", group_b).agg(F.count("*").alias("met"))
+        return here, there, F.sum(F.col("asked") * F.col("met")).alias("times")
+
+    here, there, total = times(asking, rest, "family", "family")
+    tight = (here.join(there, ["sig", "family"]).groupBy("family").agg(total)
+             .join(members.groupBy("family").agg(F.count("*").alias("held")), "family")
+             .where((F.col("held") > 1) & (F.col("times") * _ROW_COST > F.col("held") * F.col("held"))).select("family", F.lit(True).alias("tight")))
+    tight = written(tight, "jaccard-tight")
+    group = F.when(F.col("tight"), F.col("family") * 2 + 1).otherwise(F.col("comp") * 2).alias("g")
+    members = written(members.join(tight, "family", "left").select("node", "comp", "size", group)
+                      .join(sketch.select("node", "bins"), "node"), "jaccard-grouped")
+    asking = asking.join(tight, "family", "left").select("sig", "node", "comp", "size", group)
+    other = rest.join(tight, "family", "left").select(
+        "sig", F.col("node").alias("node_b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"), group.alias("g_b"))
     # little data, many pairs: keep the number of partitions
     n = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asking, other = written(asking, "jaccard-asking").repartition(n, "sig"), other.repartition(n, "sig")
-    # how often two components meet: members that ask times members there, over all lists
-    here = asking.groupBy("sig", "comp").agg(F.count("*").alias("asked"))
-    there = other.groupBy("sig", "comp_b").agg(F.count("*").alias("met"))
-    meets = here.join(there, "sig").where("comp <> comp_b").groupBy("comp", "comp_b").agg(F.sum(F.col("asked") * F.col("met")).alias("times"))
-    members = rest.select(F.col("comp"), "node", "size").distinct()
-    held = members.groupBy("comp").agg(F.count("*").alias("held"))
-    meets = written(meets.join(held, "comp").join(held.select(F.col("comp").alias("comp_b"), F.col("held").alias("held_b")), "comp_b")
-                    .select("comp", "comp_b", (F.col("times") > F.col("held") * F.col("held_b")).alias("whole")), "jaccard-meets")
-    # components that meet more often than they have pairs: every pair once; else list by list
-    whole = meets.where("whole").select(F.least("comp", "comp_b").alias("comp"), F.greatest("comp", "comp_b").alias("comp_b")).distinct()
-    theirs = members.select(F.col("comp").alias("comp_b"), F.col("node").alias("node_b"), F.col("size").alias("size_b"))
-    near = (F.least("size", "size_b") * 5 >= F.greatest("size", "size_b") * 4)
-    full = whole.join(members, "comp").join(theirs, "comp_b").where(near)
-    single = (here.join(there, "sig").where("comp <> comp_b").join(meets.where("NOT whole"), ["comp", "comp_b"]).select("sig", "comp", "comp_b")
-              .join(asking, ["sig", "comp"]).join(other, ["sig", "comp_b"]).where(near & (F.col("size_b") <= F.col("size"))))
+    asking, other = asking.repartition(n, "sig"), other.repartition(n, "sig")
+    here, there, total = times(asking, other, "g", "g_b")
+    met = here.join(there, "sig").where("g <> g_b").select("sig", "g", "g_b", "asked", "met")
+    held = written(members.groupBy("g").agg(F.count("*").alias("held"), F.greatest(
+        F.ceil(F.count("*") / _CELL), F.ceil(F.sum(F.octet_length("bins")) / _CELL_BYTES)).cast("int").alias("cells")), "jaccard-held")
+    meets = met.groupBy("g", "g_b").agg(total)
+    meets = written(meets.join(held.select("g", "held"), "g").join(held.select(F.col("g").alias("g_b"), F.col("held").alias("held_b")), "g_b")
+                    .select("g", "g_b", (F.col("times") * _ROW_COST > F.col("held") * F.col("held_b")).alias("whole"),
+                            (F.col("held") * F.col("held_b") <= _ROW_COST).alias("few")), "jaccard-meets")
+    # groups that meet often: all their members, in blocks unless they are few; else list by list
+    often = meets.where("whole").select(F.least("g", "g_b").alias("g"), F.greatest("g", "g_b").alias("g_b"), "few").distinct()
+    whole = (often.where("NOT few").drop("few").union(tight.select((F.col("family") * 2 + 1).alias("g"), (F.col("family") * 2 + 1).alias("g_b"))))
+    near = (F.least("size", "size_b") * 5 >= F.greatest("size", "size_b") * 4) & (F.col("comp") != F.col("comp_b"))
+    theirs = members.select(F.col("g").alias("g_b"), F.col("node").alias("node_b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"))
+    few = often.where("few").join(members.drop("bins"), "g").join(theirs, "g_b").where(near)
+    single = (met.select("sig", "g", "g_b").join(meets.where("NOT whole"), ["g", "g_b"]).select("sig", "g", "g_b")
+              .join(asking, ["sig", "g"]).join(other, ["sig", "g_b"]).where(near & (F.col("size_b") <= F.col("size"))))
     pair = [F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")]
-    return full.select(*pair).union(single.select(*pair)).distinct()
+    return _in_blocks(whole, members, held).union(few.select(*pair)).union(single.select(*pair)).distinct()
+
+
+def _in_blocks(whole: DataFrame, members: DataFrame, held: DataFrame) -> DataFrame:
+    """Close pairs ``(a, b)`` of all members of each two groups ``(g, g_b)``, block by block; a pair of blocks is a row,
+    dealt by both, so the blocks of a large group are spread."""
+    cell = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell")
+    blocks = (members.join(held.select("g", "cells"), "g").select("g", cell, F.struct("node", "comp", F.col("size").alias("n"), "bins").alias("m"))
+              .groupBy("g", "cell").agg(F.collect_list("m").alias("block")))
+    blocks = written(blocks, "jaccard-blocks")
+    cells = held.select("g", F.sequence(F.lit(0), F.col("cells") - 1).alias("cells"))
+    pairs = (whole.join(cells, "g").join(cells.select(F.col("g").alias("g_b"), F.col("cells").alias("cells_b")), "g_b")
+             .select("g", "g_b", F.explode("cells").alias("cell"), "cells_b").select("g", "g_b", "cell", F.explode("cells_b").alias("cell_b"))
+             .where("g <> g_b OR cell <= cell_b"))
+    # little data, many comparisons: keep the number of partitions
+    n = int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    two = blocks.select(F.col("g").alias("g_b"), F.col("cell").alias("cell_b"), F.col("block").alias("two"))
+    both = (pairs.join(blocks.withColumnRenamed("block", "one"), ["g", "cell"]).repartition(n, "g_b", "cell_b")
+            .join(two.repartition(n, "g_b", "cell_b"), ["g_b", "cell_b"])
+            .select(((F.col("g") == F.col("g_b")) & (F.col("cell") == F.col("cell_b"))).alias("same"), "one", "two"))
+    return both.mapInArrow(bk.tidy(_close_pairs), "a long, b long")
 
 
 def _check(pairs: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:

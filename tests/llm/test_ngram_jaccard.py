@@ -132,3 +132,36 @@ def test_equal_long_words_are_linked(spark):
     rows = [(1, long), (2, "short"), (3, long), (4, other)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert {r.doc_id: r.component_id for r in J.report(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
+def test_large_group_of_near_copies_and_texts_just_under_the_threshold(spark, monkeypatch):
+    """Members of one family in many components: compared in several blocks, and no link is lost."""
+    monkeypatch.setattr(J, "_CELL", 16)
+    rng = random.Random(12)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(260):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(words)))
+    assert 1 < len({c for _, _, c in brute(rows)}) < 250
+    assert got(spark, rows) == brute(rows)
+
+
+def test_close_pairs_of_two_blocks():
+    """The bound in blocks keeps every pair that may link, and each pair of a block with itself once."""
+    texts = [t for t in variants(4)[:120] if t]
+    sketch = next(J._sketches([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["node", "text"])]))
+    member = [{"node": r["node"], "comp": r["node"] // 2, "n": r["n"], "bins": r["bins"]} for r in sketch.to_pylist()]
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("bins", pa.binary())]))
+    block = lambda ms: pa.array([[], ms], kind)
+    cut = len(member) // 2
+    parts = [(True, member[:cut], member[:cut]), (False, member[cut:], member[:cut]), (True, member[cut:], member[cut:])]
+    found = []
+    for same, one, two in parts:
+        rows = pa.RecordBatch.from_arrays([pa.array([False, same]), block(one), block(two)], ["same", "one", "two"])
+        found += [tuple(x.values()) for b in J._close_pairs([rows.slice(1)]) for x in b.to_pylist()]
+    sets = [shingle_set(t) for t in texts]
+    links = {(i, j) for j in range(len(sets)) for i in range(j)
+             if i // 2 != j // 2 and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert links and links <= set(found) and len(found) == len(set(found)) and all(a < b and a // 2 != b // 2 for a, b in found)
