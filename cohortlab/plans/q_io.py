@@ -26,7 +26,7 @@ RUN = "structured/mimic-iv/mortality/m/0shot_list"
 @register("read_fixed_width", oracle("SELECT code, title FROM f_codes WHERE len(code) <= 4", ("f_codes",)))
 def q_read_fixed_width(spark, sf):
     path = scratch_dir(spark, "codes")
-    io.write_fixed_width(fixture(spark, sf, "f_codes"), path, "id", "code", "title")
+    io.write_fixed_width(fixture(spark, sf, "f_codes"), path, "id", "code", "title", volumes=True)
     return io.read_fixed_width(spark, path)
 
 

@@ -16,6 +16,7 @@ from cohortlab.functions.exprs import join_null_safe
 # Column slices of the code order file (0-based [start, end)).
 CODE_FILE_SLICES = {"order": (0, 6), "code": (6, 14), "flag": (14, 16), "short_title": (16, 77), "title": (77, None)}
 MAX_CODE_LEN = 4
+ORDERS_PER_VOLUME = 1_000_000  # orders have six digits
 
 RESPONSE_RECORD = T.StructType([
     T.StructField("run", T.StringType()), T.StructField("id", T.LongType()),
@@ -36,17 +37,25 @@ def read_fixed_width(spark: SparkSession, path: str, max_code_len: int = MAX_COD
     return d.where(F.length("code") <= max_code_len)
 
 
-def write_fixed_width(df: DataFrame, path: str, order: str, code: str, title: str, flag: str | None = None) -> None:
+def write_fixed_width(df: DataFrame, path: str, order: str, code: str, title: str, flag: str | None = None,
+                      volumes: bool = False) -> None:
     """Writer of the same layout (used to stage code files for op 3). Fields that don't fit fail the job:
-    an order of over 6 digits, a code of over 8 or a flag of over 2 characters."""
+    an order of over 6 digits, a code of over 8 or a flag of over 2 characters.
+
+    ``volumes``: whole numbers of any size are orders; each million goes to a folder ``volume=<order div 1000000>`` of its own,
+    with the last six digits as order in the line. Readers of ``path`` get the lines of all volumes."""
     def fits(c, width: int, name: str):
         return F.when(F.length(c) <= width, c).otherwise(F.raise_error(F.concat(F.lit(f"{name} too long: "), c)))
     f = fits(F.col(flag).cast("string"), 2, "flag") if flag else F.lit("0")
-    number = fits(F.col(order).cast("string"), 6, "order")
+    within = F.pmod(F.col(order).cast("long"), F.lit(ORDERS_PER_VOLUME)) if volumes else F.col(order)
+    number = fits(within.cast("string"), 6, "order")
     number = F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number)
     line = F.concat(F.rpad(number, 6, " "), F.rpad(fits(F.col(code), 8, "code"), 8, " "),
                     F.rpad(f, 2, " "), F.rpad(F.substring(F.col(title), 1, 60), 61, " "), F.col(title))
-    df.select(line.alias("value")).write.mode("overwrite").text(path)
+    if not volumes:
+        return df.select(line.alias("value")).write.mode("overwrite").text(path)
+    volume = F.round((F.col(order).cast("long") - within) / ORDERS_PER_VOLUME).cast("long")
+    df.select(line.alias("value"), volume.alias("volume")).write.mode("overwrite").partitionBy("volume").text(path)
 
 
 def read_response_json(spark: SparkSession, path: str) -> DataFrame:
