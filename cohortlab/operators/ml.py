@@ -6,7 +6,9 @@ Fits run on the whole split (not per mini-batch); scoring emits a long
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassificationModel, GBTClassifier,
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.operators import metrics
-from cohortlab.session import materialize, scratch_dir
+from cohortlab.session import materialize, scratch_dir, write_once
 
 SEED = 42
 
@@ -103,8 +105,11 @@ def fit_mlp_on_validation(train: DataFrame, val: DataFrame, id_col: str, vec_col
 
 # ---------------------------------------------------------------- models as expressions
 
-def tree_nodes(model: PipelineModel) -> list[dict]:
-    """Every node of a fitted tree or ensemble: tree, id, prediction, class counts, children, feature and threshold.
+MAX_NODES = 2_000  # tree nodes that one Spark plan may hold: the driver needs some KB for each
+
+
+def tree_nodes(model: PipelineModel) -> Iterator[dict[int, dict]]:
+    """Tree after tree its nodes by id: value (share of class 1 or prediction), children, feature and threshold.
 
     Read from the model's own saved form, which is as large as the model (trees x 2^depth nodes), not as the data.
     """
@@ -117,23 +122,41 @@ def tree_nodes(model: PipelineModel) -> list[dict]:
         data = data.select(F.col("treeID").alias("tree"), "nodeData.*")
     else:
         data = data.withColumn("tree", F.lit(0))
-    rows = data.select("tree", "id", "prediction", "impurityStats", "leftChild", "rightChild", F.col("split.featureIndex").alias("feature"),
-                       F.col("split.leftCategoriesOrThreshold").alias("threshold"), F.col("split.numCategories").alias("categories")).collect()
-    if any(r.leftChild >= 0 and r.categories >= 0 for r in rows):
+    shares = isinstance(stage, (DecisionTreeClassificationModel, RandomForestClassificationModel))  # leaves vote with the share of class 1 they saw
+    stats = F.col("impurityStats")
+    value = stats[1] / F.aggregate(stats, F.lit(0.0), lambda a, x: a + x) if shares else F.col("prediction")
+    if data.where("leftChild >= 0 AND split.numCategories >= 0").limit(1).count():
         raise ValueError("splits on categories are not supported")
-    return [r.asDict() for r in rows]
+    rows = data.select("tree", "id", F.when(F.col("leftChild") < 0, value).alias("value"), "leftChild", "rightChild",
+                       F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold")).toPandas()
+    for _, part in rows.groupby("tree", sort=True):
+        yield {n["id"]: n for n in part.to_dict("records")}
 
 
-def _tree_sql(nodes: dict[int, dict], at: int, columns: list[str], value) -> str:
+def _tree_sql(nodes: dict[int, dict], at: int, columns: list[str]) -> str:
     node = nodes[at]
     if node["leftChild"] < 0:
-        return _double(value(node))
-    left, right = (_tree_sql(nodes, node[side], columns, value) for side in ("leftChild", "rightChild"))
-    return f"CASE WHEN {columns[node['feature']]} <= {_double(node['threshold'][0])} THEN {left} ELSE {right} END"
+        return _double(node["value"])
+    left, right = (_tree_sql(nodes, node[side], columns) for side in ("leftChild", "rightChild"))
+    return f"CASE WHEN {columns[node['feature']]} <= {_double(node['threshold'])} THEN {left} ELSE {right} END"
 
 
 def _double(x: float) -> str:
-    return f"CAST('{float(x)!r}' AS DOUBLE)"
+    text = repr(float(x))
+    if not math.isfinite(x):
+        return f"CAST('{text}' AS DOUBLE)"
+    return text if "e" in text else f"{text}e0"  # with an exponent both engines read a double, as one word
+
+
+def _summands(model: PipelineModel, columns: list[str]) -> tuple[list[tuple[str, int]], Callable[[str], str]]:
+    """Each tree's share of the prediction as SQL over double columns with its number of nodes, and what makes the prediction of their sum."""
+    stage = model.stages[-1]
+    parts = [(f"({_tree_sql(nodes, 0, columns)})", len(nodes)) for nodes in tree_nodes(model)]
+    if isinstance(stage, (GBTClassificationModel, GBTRegressionModel)):
+        parts = [(f"{_double(w)} * {p}", n) for w, (p, n) in zip(stage.treeWeights, parts)]
+        classifier = isinstance(stage, GBTClassificationModel)
+        return parts, (lambda total: f"1 / (1 + exp(-2 * ({total})))") if classifier else (lambda total: f"({total})")
+    return parts, lambda total: f"({total}) / {len(parts)}"
 
 
 def model_sql(model: PipelineModel, features: Iterable[str]) -> str:
@@ -142,24 +165,31 @@ def model_sql(model: PipelineModel, features: Iterable[str]) -> str:
     Plain ``CASE`` and arithmetic with every threshold to its last digit, so Spark and other engines evaluate it
     alike. A null or NaN feature goes to the right, as in the fitted model.
     """
-    stage, columns = model.stages[-1], [f"CAST({f} AS DOUBLE)" for f in features]
-    trees: dict[int, dict[int, dict]] = {}
-    for n in tree_nodes(model):
-        trees.setdefault(n["tree"], {})[n["id"]] = n
-    boosted = isinstance(stage, (GBTClassificationModel, GBTRegressionModel))
-    classifier = isinstance(stage, (DecisionTreeClassificationModel, RandomForestClassificationModel, GBTClassificationModel))
-    shares = classifier and not boosted  # leaves vote with the share of class 1 they saw
-    value = (lambda n: n["impurityStats"][1] / sum(n["impurityStats"])) if shares else (lambda n: n["prediction"])
-    parts = [_tree_sql(trees[t], 0, columns, value) for t in sorted(trees)]
-    if boosted:
-        total = " + ".join(f"{_double(w)} * ({p})" for w, p in zip(stage.treeWeights, parts))
-        return f"1 / (1 + exp(-2 * ({total})))" if classifier else f"({total})"
-    return f"(({') + ('.join(parts)})) / {len(parts)}"
-
-
-def score_by_expression(model: PipelineModel, features: list[str], df: DataFrame, id_col: str, label: str) -> DataFrame:
-    """Op 109 without the model: (id, pred, label) by the exported expression, in generated code."""
-    return df.select(F.col(id_col).alias("id"), F.expr(model_sql(model, features)).alias("pred"), F.col(label).cast("double").alias("label"))
+    parts, whole = _summands(model, [f"CAST({f} AS DOUBLE)" for f in features])
+    return whole(" + ".join(p for p, _ in parts))
+
+
+def score_by_expression(model: PipelineModel, features: list[str], df: DataFrame, id_col: str, label: str,
+                        max_nodes: int | None = None) -> DataFrame:
+    """Op 109 without the model: (id, pred, label) by the exported expression.
+
+    The sum over the trees is taken some trees at a time, ``max_nodes`` (MAX_NODES) nodes or one tree, in the order of the
+    expression, and the rows keep it: as one plan, or as generated code, a forest of 100 x 2^10 leaves is too much for the driver.
+    """
+    max_nodes = max_nodes or MAX_NODES
+    parts, whole = _summands(model, features)
+    d = df.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_label"),
+                  *[F.col(f).cast("double").alias(f) for f in dict.fromkeys(features)], F.lit(0.0).alias("_sum"))
+    taken, held = [], 0
+    for at, (sql, n) in enumerate(parts):
+        taken, held = [*taken, sql], held + n
+        if at + 1 == len(parts) or held + parts[at + 1][1] > max_nodes:
+            # a lambda is evaluated as it stands: no code is generated from the trees
+            more = F.transform(F.array("_sum"), lambda total: reduce(lambda x, tree: x + F.expr(tree), taken, total))
+            d, taken, held = d.withColumn("_sum", more[0]), [], 0
+            if at + 1 < len(parts):
+                d = write_once(d, "forest-sums")
+    return d.select(F.col("_id").alias("id"), F.expr(whole("_sum")).alias("pred"), F.col("_label").alias("label"))
 
 
 def loss_against_constant(scores: DataFrame, task: str = "mortality") -> DataFrame:
