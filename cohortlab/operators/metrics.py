@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.exprs import join_null_safe, safe_div, with_global
 from cohortlab.functions.ordered import ordered_cumsum
-from cohortlab.session import materialize
+from cohortlab.session import materialize, write_once
 
 CURVE_BUCKETS = 4096
 LOG_CLAMP = -100.0
@@ -185,10 +185,16 @@ def poisson_thresholds(max_k: int = 16) -> list[int]:
 
 
 def poisson_weight(h) -> F.Column:
-    w = F.lit(0)
-    for t in poisson_thresholds():
-        w = w + (h >= F.lit(t)).cast("int")
-    return w
+    """Number of cut points up to ``h``, 8 lower-case hex digits: these sort as their numbers do, and most end at the first or second cut."""
+    cuts = [f"{t:08x}" for t in poisson_thresholds()]
+    w = F.when(h < F.lit(cuts[0]), 0)
+    for k, t in enumerate(cuts[1:], 1):
+        w = w.when(h < F.lit(t), k)
+    return w.when(h.isNotNull(), len(cuts))
+
+
+def _digits(id_col: str, b, seed: int) -> F.Column:
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), F.col(id_col).cast("string"))), 1, 8)
 
 
 def weight_vector(id_col: str, resamples: int = 100, seed: int = 42) -> F.Column:
@@ -196,11 +202,8 @@ def weight_vector(id_col: str, resamples: int = 100, seed: int = 42) -> F.Column
 
     No row index or join is needed, so resamples of any size are built where the row is.
     """
-    def weight(b):
-        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), F.col(id_col).cast("string")))
-        h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-        return F.transform(F.array(h), poisson_weight)[0]  # h is computed once
-    return F.concat(F.array(F.lit(1)), F.transform(F.sequence(F.lit(1), F.lit(resamples)), weight))
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda b: _digits(id_col, b, seed))
+    return F.concat(F.array(F.lit(1)), F.transform(drawn, poisson_weight))
 
 
 def bootstrap_weights(df: DataFrame, id_col: str, resamples: int = 100, seed: int = 42) -> DataFrame:
@@ -210,10 +213,14 @@ def bootstrap_weights(df: DataFrame, id_col: str, resamples: int = 100, seed: in
     return one.drop("_w")
 
 
-def _spread(base: DataFrame, id_col: str) -> DataFrame:
-    """At least a partition per core: the weights cost more than the rows' size tells."""
-    par = base.sparkSession.sparkContext.defaultParallelism
-    return base.repartition(par, id_col) if base.rdd.getNumPartitions() < par else base
+ROWS_PER_TASK = 25_000  # of a bootstrap: every row is hashed once per resample
+
+
+def _spread(base: DataFrame) -> DataFrame:
+    """The rows, written once, in as many tasks as their weights are worth: these cost more than the rows' size tells."""
+    base = write_once(base, "bootstrap-rows")
+    tasks = max(base.sparkSession.sparkContext.defaultParallelism, math.ceil(base.count() / ROWS_PER_TASK))
+    return base.repartition(tasks)
 
 
 def bootstrap_ci(df: DataFrame, run_cols: list[str], id_col: str = "id", score: str = "pred",
@@ -229,7 +236,7 @@ def bootstrap_ci(df: DataFrame, run_cols: list[str], id_col: str = "id", score:
     metric of a resample is an aggregate over the unfolded vectors, combined before the shuffle.
     """
     y = F.col(label).cast("double")
-    base = _spread(df.select(*run_cols, id_col, score, label).where(F.col(score).isNotNull()), id_col)
+    base = _spread(df.select(*run_cols, id_col, score, label).where(F.col(score).isNotNull()))
     rows = base.select(*run_cols, F.col(score).cast("double").alias("threshold"), y.alias("_y"),
                        weight_vector(id_col, resamples, seed).alias("_w"))
     every = range(resamples + 1)
@@ -275,22 +282,20 @@ def bootstrap_regression_ci(df: DataFrame, run_cols: list[str], id_col: str = "i
                             resamples: int = 100, seed: int = 42) -> DataFrame:
     """Op 78 for lengths of stay: MAE, MSE, RMSE and R^2 with the same resamples.
 
-    Every metric follows from weighted sums of five terms of a row, so the rows become one per run
-    with the sums of all resamples. Sums of squares are taken about the run's mean label.
+    Every metric follows from weighted sums of five terms of a row, so the rows become one per run and resample,
+    summed where they are: a row's copies are never written or sent. Sums of squares are taken about the run's mean label.
     """
-    base = df.select(*run_cols, id_col, F.col(pred).cast("double").alias("_q"), F.col(label).cast("double").alias("_y"))
+    base = _spread(df.select(*run_cols, F.col(id_col).alias("_id"), F.col(pred).cast("double").alias("_q"), F.col(label).cast("double").alias("_y")))
     centre = base.groupBy(*run_cols).agg(F.avg("_y").alias("_c"))
-    base = _spread(join_null_safe(base, centre, run_cols), id_col)
     e, y = F.col("_q") - F.col("_y"), F.col("_y") - F.col("_c")
     terms = {"n": F.lit(1.0), "a": F.abs(e), "ssr": e * e, "y1": y, "y2": y * y}
-    rows = base.select(*run_cols, "_y", *[t.alias(f"_{k}") for k, t in terms.items()], weight_vector(id_col, resamples, seed).alias("_w"))
-    every = range(resamples + 1)
-    w = F.col("_w")
-    wide = rows.groupBy(*run_cols).agg(
-        *[F.sum(w[b] * F.col(f"_{k}")).alias(f"{k}{b}") for k in terms for b in every],
-        *[agg(F.when(w[b] > 0, F.col("_y"))).alias(f"{k}{b}") for k, agg in (("lo", F.min), ("hi", F.max)) for b in every])
-    s = materialize(wide.select(*run_cols, F.inline(F.array(*[F.struct(
-        F.lit(b).alias("b"), *[F.col(f"{k}{b}").alias(k) for k in [*terms, "lo", "hi"]]) for b in every]))).where("n > 0"))
+    rows = join_null_safe(base, centre, run_cols).select(*run_cols, "_id", "_y", *[t.alias(f"_{k}") for k, t in terms.items()])
+    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples))).alias("b"))
+    drawn = drawn.select("*", _digits("_id", F.col("b"), seed).alias("_h"))
+    weighed = drawn.select("*", F.when(F.col("b") == 0, 1).otherwise(poisson_weight(F.col("_h"))).alias("_w"))
+    s = materialize(weighed.groupBy(*run_cols, "b").agg(
+        *[F.sum(F.col("_w") * F.col(f"_{k}")).alias(k) for k in terms],
+        *[agg(F.when(F.col("_w") > 0, F.col("_y"))).alias(k) for k, agg in (("lo", F.min), ("hi", F.max))]).where("n > 0"))
     sst = F.col("y2") - F.col("y1") * F.col("y1") / F.col("n")
     r2 = F.when(F.col("lo") < F.col("hi"), 1.0 - F.col("ssr") / sst).when(F.col("ssr") > 0, 0.0).otherwise(1.0)
     arr = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("v")) for m, v in (
